@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import simhash
+from sessionloom.llm import html_text, language, packing, quality, simhash
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_language_id": language.op6_language_id,
+    "op9_html_extraction": html_text.op9_html_extraction,
 }
 
 ORACLE_SQL: dict[str, str] = {}
