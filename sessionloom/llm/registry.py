@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import html_text, language, packing, quality, simhash
+from sessionloom.llm import decontaminate, html_text, language, packing, pii, quality, simhash, topk
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_simhash_near_dedup": simhash.op3_simhash_near_dedup,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_language_id": language.op6_language_id,
+    "op8_pii_weak_supervision": pii.op8_pii_weak_supervision,
     "op9_html_extraction": html_text.op9_html_extraction,
+    "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}
