@@ -1,12 +1,78 @@
-"""The corpus pipeline: documents to packed training sequences."""
+"""The corpus pipeline: documents to packed training sequences.
+
+Each stage is a function (spark, docs, sf_dir) -> DataFrame.  Its result is written as Parquet and read again as the docs of
+the next stage.  All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sessionloom.llm import decontaminate, packing, pii, quality, simhash
+from sessionloom.llm.common import table, written
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the top grade is a half at least; the model is fitted on the rated ones among them."""
+    model = quality.fit(docs, quality.graded(table(spark, sf_dir, "labels")))
+    return quality.select(docs, model)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of near-duplicates; one row of it, if its id comes more than once.
+
+    Rows without doc_id can't be told apart and stay only where no document of their group has one: one row for each.
+    """
+    classes = written(simhash.near_duplicates(docs), "pipeline-classes")
+    keep = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(_without_id(docs, classes)).select(docs.columns)
+
+
+def _without_id(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of the rows without doc_id, one for each fingerprint whose group has no id at all."""
+    loose = docs.where("doc_id IS NULL")
+    if classes.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
+        return loose.limit(0)
+    found = simhash.near_duplicates(loose.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("fingerprint").alias("fp")).distinct()
+    alone = classes.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("fp")).distinct()
+    prints = simhash.with_fingerprints(loose)
+    return prints.join(keep.join(alone, "fp", "left_semi"), "fp", "left_semi").dropDuplicates(["fp"]).drop("fp")
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no passage of the benchmark."""
+    return decontaminate.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data masked and n_chars of the new text."""
+    masked = pii.mask(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_duplicates", dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
 
-STAGES: list = []
+#: SQL expresses none of the model-based stages; tests/llm holds the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over ``documents``; what each keeps is a table in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
