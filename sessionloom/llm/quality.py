@@ -29,7 +29,7 @@ from sessionloom.llm.common import own_columns, table, written
 HASH_BITS = 30
 MAX_LABELLED = 24_000
 MIN_DOCS = 4
-MAX_FEATURES = 60_000
+MAX_FEATURES = 20_000
 RIDGE = 2e-4
 MIN_CHI = 16.0
 STEPS = 220
@@ -107,16 +107,6 @@ def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n_cols: int, grades: np.ndar
     return par[:n_cols], th
 
 
-def differing(rows: np.ndarray, cols: np.ndarray, n_cols: int, grades: np.ndarray, n_grades: int, least: float) -> np.ndarray:
-    """The columns whose presence differs between the grades by a chi-square of at least ``least``."""
-    n, size = np.bincount(grades, minlength=n_grades), len(grades)
-    seen = np.stack([np.bincount(cols, weights=grades[rows] == k, minlength=n_cols) for k in range(n_grades)], axis=1)
-    total = seen.sum(axis=1, keepdims=True)
-    there, gone = total * n / size, (size - total) * n / size
-    chi = ((seen - there) ** 2 / np.maximum(there, 1e-9) + ((n - seen) - gone) ** 2 / np.maximum(gone, 1e-9)).sum(axis=1)
-    return np.flatnonzero(chi >= least)
-
-
 def graded(labels: DataFrame) -> DataFrame:
     """doc_id, grade: 0 toxic, 1 poor, 2 good.  Rows without both ratings or without an id are left out."""
     own = own_columns(labels, doc_id="long", quality="int", toxic="int").dropna()
@@ -139,25 +129,27 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED, mi
     # the chosen ratings are bounded by max_labelled
     texts = own_columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("text", "grade")
     seen = written(texts.mapInArrow(_places, "places array<int>, grade int"), "quality-sample")
-    often = seen.select(F.explode("places").alias("place")).groupBy("place").count().where(F.col("count") >= min_docs)
-    top = often.orderBy(F.desc("count"), "place").limit(max_features).select("place").toPandas()["place"].to_numpy(np.int64)
-    places = np.sort(top)
+    sizes = {r["grade"]: r["count"] for r in seen.groupBy("grade").count().collect()}  # a row for each grade
+    total = sum(sizes.values())
+    there = [F.count_if(F.col("grade") == k).alias(f"n{k}") for k in range(n_grades)]
+    often = seen.select("grade", F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n"), *there).where(F.col("n") >= min_docs)
+    chi = F.lit(0.0)
+    for k, size in sizes.items():
+        yes, no = F.col("n") * size / total, (total - F.col("n")) * size / total
+        chi = chi + F.pow(F.col(f"n{k}") - yes, 2) / F.greatest(yes, F.lit(1e-9)) + F.pow((size - F.col(f"n{k}")) - no, 2) / F.greatest(no, F.lit(1e-9))
+    best = often.withColumn("chi", chi).where(F.col("chi") >= min_chi).orderBy(F.desc("chi"), "place").limit(max_features)
+    places = np.sort(best.select("place").toPandas()["place"].to_numpy(np.int64))
     if not len(places):
         return Ordinal(places, np.zeros(0), np.array([-40.0 + k for k in range(n_grades - 1)]))
     lookup = F.broadcast(seen.sparkSession.createDataFrame(list(enumerate(places.tolist())), "col int, place int"))
     numbered = seen.withColumn("row", F.monotonically_increasing_id())  # before the places are split up
-    rows = numbered.select("row", "grade", F.explode_outer("places").alias("place")).join(lookup, "place", "left")
-    data = rows.groupBy("row", "grade").agg(F.array_compact(F.collect_list("col")).alias("cols")).toPandas()
+    pairs = numbered.select("row", "grade", F.explode_outer("places").alias("place")).join(lookup, "place", "left")
+    data = pairs.groupBy("row", "grade").agg(F.array_compact(F.collect_list("col")).alias("cols")).toPandas()
     lengths = data["cols"].map(len).to_numpy()
     r = np.repeat(np.arange(len(data)), lengths)
-    c = np.concatenate([np.asarray(x, np.int64) for x in data["cols"]]) if lengths.sum() else np.zeros(0, np.int64)
-    own = data["grade"].to_numpy(np.int64)
-    kept = differing(r, c, len(places), own, n_grades, min_chi)
-    new = np.full(len(places), -1)
-    new[kept] = np.arange(len(kept))
-    used = new[c] >= 0
-    weights, thresholds = fit_ordinal(r[used], new[c[used]], len(kept), own, n_grades)
-    return Ordinal(places[kept], weights, thresholds)
+    c = np.concatenate([np.asarray(x, np.int64) for x in data["cols"]])
+    weights, thresholds = fit_ordinal(r, c, len(places), data["grade"].to_numpy(np.int64), n_grades)
+    return Ordinal(places, weights, thresholds)
 
 
 def _scores(shared):
