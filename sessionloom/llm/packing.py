@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -37,49 +38,88 @@ EPOCHS = 2
 GENERATIONS = 8
 POPULATION = 6
 REMAINDER_BLOCKS = 512
-CACHE = 200_000
+CACHE = 400_000
 CACHED_CHARS = 48
+#: The tokenizer's word pattern for characters below U+0250: contractions, runs of letters, single numbers, runs of other marks.
+_LETTERS, _NUMBERS, _BLANKS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", " \t-\r\x85\xa0"
+WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_BLANKS}{_LETTERS}{_NUMBERS}]+")
+BEYOND = re.compile("[\u0250-\U0010ffff]")
 STEP_CHARS = 1 << 20
 
 
 class IdBytes:
-    """Texts to token ids as little-endian 32-bit integers, as the tokenizer itself gives them.
+    """Texts to token ids as little-endian 32-bit integers, exactly as the tokenizer gives them.
 
-    The vocabulary's words never cross white space, so that white-space separated chunks can be encoded one by one
-    and kept in a cache of bounded size.  Texts in which that doesn't hold (special tokens, and the four
-    separators that Python but not the tokenizer takes for white space) are encoded whole.
+    A text of characters below U+0250, whose words can be told by fixed ranges, is split here into the tokenizer's lower-case words;
+    the words' ids are kept in a cache of bounded size, and new words are joined and sent through the tokenizer's merges in
+    one call.  Other texts, and those with special tokens, go through the tokenizer as they are.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown: dict[int, str] = {}  # the tokenizer's printable character of each byte
+        for c in range(0x250):
+            for byte, sign in zip(chr(c).encode(), level.pre_tokenize_str(chr(c))[0][0], strict=True):
+                self.shown[byte] = sign
+        del self.shown[32]
+        self.ids: dict[str, bytes] = {}
         self.cache = cache
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            shown = " ".join(part).encode().decode("latin-1").translate(self.shown)  # no word holds a space
+            ids = np.asarray(self.merges.encode_batch_fast([shown], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(part):
+                raise ValueError("the tokenizer's words have no ends")
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            self.ids.update({w: data[a:b] for w, a, b in zip(part, cuts[:-1], cuts[1:], strict=True)})
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [None if "<|" in t or "\x1c" in t or "\x1d" in t or "\x1e" in t or "\x1f" in t else t.split() for t in texts]
-        known = self.known
-        if len(known) > self.cache:
-            known.clear()
-        new = list(set().union(*(s for s in split if s)).difference(known))
-        extra: list[str] = []
+        words: list[list[str] | None] = []
+        for t in texts:
+            low = t.lower()
+            far = not low.isascii() and (BEYOND.search(low) or BEYOND.search(t))
+            words.append(None if far or "<|" in t else WORDS.findall(low))
+        ids = self.ids
+        if len(ids) > self.cache:
+            ids.clear()
+        new = list(set().union(*(s for s in words if s)).difference(ids))
         if new:
-            known.update(zip(new, self._encode(new), strict=True))
-            extra = [w for w in new if len(w) > CACHED_CHARS]
-        out = [b"".join([known[w] for w in s]) if s is not None else self._encode([t])[0] for s, t in zip(split, texts, strict=True)]
-        for w in extra:
-            del known[w]
+            self._learn(new)
+        out = [b"".join([ids[w] for w in s]) if s is not None else self._whole(t) for s, t in zip(words, texts, strict=True)]
+        for w in new:
+            if len(w) > CACHED_CHARS:
+                del ids[w]
         return out
 
 
+_encoders: dict[str, IdBytes] = {}
+
+
+def id_bytes(path: str) -> IdBytes:
+    """The encoder of this Python worker, whose cache serves one task after the other."""
+    if path not in _encoders:
+        _encoders[path] = IdBytes(path)
+    return _encoders[path]
+
+
 def _cut(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, uid = IdBytes(path), TaskContext.get().partitionId() << 40
+        encode, uid = id_bytes(path), TaskContext.get().partitionId() << 40
         end = np.asarray([END], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
