@@ -36,10 +36,10 @@ def _without_id(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if classes.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
         return loose.limit(0)
     found = simhash.near_duplicates(loose.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("fingerprint").alias("fp")).distinct()
-    alone = classes.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias("fp")).distinct()
+    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("fingerprint").alias(simhash.PRINT)).distinct()
+    alone = classes.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias(simhash.PRINT)).distinct()
     prints = simhash.with_fingerprints(loose)
-    return prints.join(keep.join(alone, "fp", "left_semi"), "fp", "left_semi").dropDuplicates(["fp"]).drop("fp")
+    return prints.join(keep.join(alone, simhash.PRINT, "left_semi"), simhash.PRINT, "left_semi").dropDuplicates([simhash.PRINT]).drop(simhash.PRINT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
