@@ -14,7 +14,7 @@ def raw_lines(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFra
     Line numbers start at 1 and count blank lines; one closing carriage return is taken off.  A session is a file together with the sidechain files
     in the folder that carries its name; the file comes first (path_ix 0), its sidechains follow in path order.
     """
-    whole = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     whole = whole.select(F.col("_metadata.file_path").alias("path"), "value").where(~F.regexp_like("path", F.lit(r"/\.[^/]*$")))
     main = F.regexp_replace(F.regexp_replace("path", F.lit(r"/subagents/[^/]*$"), F.lit("")), F.lit(r"\.jsonl(?:\.[a-z0-9]+)?$"), F.lit(""))
     files = whole.select(main.alias("session_key"), "path", F.sha2(F.col("value").cast("binary"), 256).alias("sha256"), F.regexp_replace("value", F.lit("\n$"), F.lit("")).alias("value"))
