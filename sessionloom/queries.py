@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from sessionloom.functions import redact as R
 from sessionloom.functions import text as X
 from sessionloom.operators import evaluation, joins, ledgers, segment, state, triage
+from sessionloom.operators import sessions as S
 from sessionloom.operators import events as E
 from sessionloom.operators import masking as M
 from sessionloom.streaming import sessions as streams
@@ -579,3 +580,76 @@ def scope_overlap(spark, sf_dir):
     found = values(spark, SCOPES, "id int, scope string").select(F.lit("s").alias("session_key"), F.when(F.col("scope") == "", F.array().cast("array<string>")).otherwise(F.split("scope", ",")).alias("scope"), F.col("id").alias("evt"), F.lit("t").alias("text"), F.lit(1).alias("rank"))
     own = values(spark, CHUNKS, "chunk int, subsystems string").select(F.lit("s").alias("session_key"), "chunk", F.split("subsystems", ",").alias("subsystems"))
     return triage.governing(found, own).select("chunk", F.col("evt").alias("id"))
+
+
+# ---- facts on whole sessions
+
+
+@query(f"WITH {EV}, l AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY evt) AS before FROM ev) SELECT user_id, evt, event_type FROM l WHERE before IS NULL OR before <> event_type")
+def consecutive_dedup(spark, sf_dir):
+    own = calls(spark, sf_dir).select(F.col("user_id").alias("session_key"), "evt", "event_type")
+    return S.without_repeats(own, "event_type").select(F.col("session_key").alias("user_id"), "evt", "event_type")
+
+
+@query(f"WITH {EV} SELECT user_id, evt, upper(left(event_type, 1)) || row_number() OVER (PARTITION BY user_id, event_type ORDER BY evt) AS id FROM ev")
+def item_ids(spark, sf_dir):
+    own = calls(spark, sf_dir).select(F.col("user_id").alias("session_key"), "evt", "event_type")
+    kinds = {k: k[0].upper() for k in [r[0] for r in own.select("event_type").distinct().limit(1000).collect()]}
+    return S.numbered(own, "event_type", "evt", kinds).select(F.col("session_key").alias("user_id"), "evt", "id")
+
+
+@query(
+    f"""WITH {EV}, s AS (SELECT user_id, evt FROM ev WHERE event_type = 'signup'), c AS (SELECT user_id, evt AS chunk FROM ev WHERE event_type = 'purchase'),
+r AS (SELECT c.user_id, chunk, s.evt, row_number() OVER (PARTITION BY c.user_id, chunk ORDER BY s.evt DESC) AS k FROM c JOIN s ON s.user_id = c.user_id AND s.evt < chunk)
+SELECT user_id, chunk, evt FROM r WHERE k <= 3"""
+)
+def prior_summaries(spark, sf_dir):
+    c = calls(spark, sf_dir).withColumn("session_key", F.col("user_id"))
+    found = c.where("event_type = 'signup'").select("session_key", "evt", F.lit("").alias("text"))
+    own = c.where("event_type = 'purchase'").select("session_key", F.col("evt").alias("chunk"), F.col("evt").alias("evt_start"))
+    return S.prior_summaries(found, own).select(F.col("session_key").alias("user_id"), "chunk", "evt")
+
+
+@query(
+    f"""WITH RECURSIVE {MERGED} SELECT m.session_key, m.episode AS chunk, array_to_string(list(n.episode ORDER BY n.episode) FILTER (n.episode IS NOT NULL), ',') AS later
+FROM merged m LEFT JOIN merged n ON n.session_key = m.session_key AND n.episode > m.episode GROUP BY ALL"""
+)
+def later_index(spark, sf_dir):
+    found = segment.episodes(rows(spark, sf_dir), MIN_EPISODE)
+    own = found.select("session_key", F.col("episode").alias("chunk"), F.col("episode").alias("last_episode"))
+    later = F.array_join(F.transform("later", lambda x: x.cast("string")), ",")
+    return S.later_index(found, own).select("session_key", "chunk", F.nullif(later, F.lit("")).alias("later"))
+
+
+@query(f"WITH {EV}, n AS (SELECT user_id, event_type, count(*) AS n FROM ev GROUP BY ALL) SELECT user_id, arg_max(event_type, (n, length(event_type), event_type)) AS path FROM n GROUP BY user_id")
+def busiest_path(spark, sf_dir):
+    n = calls(spark, sf_dir).groupBy(F.col("user_id").alias("session_key"), F.col("event_type").alias("path")).agg(F.count("*").alias("edits"))
+    return S.busiest(n).select(F.col("session_key").alias("user_id"), "path")
+
+
+@query(
+    f"""WITH RECURSIVE {MASKED}, e AS (SELECT session_key, tier_rank AS section, pos AS rank, tokens, row_number() OVER (PARTITION BY session_key ORDER BY tier_rank, pos) AS k FROM rows_), w AS (
+  SELECT session_key, 0 AS k, CAST({PAGE} AS BIGINT) AS room, -1 AS shut, -1 AS section, -1 AS rank, false AS kept FROM e GROUP BY session_key
+  UNION ALL
+  SELECT e.session_key, e.k, CASE WHEN (e.tokens <= w.room OR w.k = 0) AND w.shut <> e.section THEN greatest(w.room - e.tokens, 0) ELSE w.room END,
+    CASE WHEN (e.tokens <= w.room OR w.k = 0) AND w.shut <> e.section THEN w.shut ELSE e.section END, e.section, e.rank, (e.tokens <= w.room OR w.k = 0) AND w.shut <> e.section
+  FROM w JOIN e ON e.session_key = w.session_key AND e.k = w.k + 1)
+SELECT session_key, section, rank FROM w WHERE kept"""
+)
+def ledger_slice(spark, sf_dir):
+    own = segment.positions(rows(spark, sf_dir)).select("session_key", F.col("tier_rank").alias("section"), F.col("pos").alias("rank"), "text")
+    return S.ledger_slice(own, PAGE, 10_000).select("session_key", "section", "rank")
+
+
+@query(f"WITH RECURSIVE {MERGED} SELECT c.session_key, count(*) AS events, (SELECT count(*) FROM merged m WHERE m.session_key = c.session_key) AS episodes FROM conv c GROUP BY c.session_key")
+def dry_run(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    found = segment.episodes(r, MIN_EPISODE)
+    return S.dry_run(sessions(spark, sf_dir), r, found, segment.chunks(found, BUDGET)).select("session_key", "events", "episodes")
+
+
+@query(f"WITH {EV}, l AS (SELECT user_id, event_type, max(evt) AS evt FROM ev GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY evt DESC, event_type) AS rank FROM l WHERE event_type <> 'view') SELECT user_id, CAST(rank AS INTEGER) AS rank, 'fix: ' || event_type AS action FROM r WHERE rank <= 3")
+def next_actions(spark, sf_dir):
+    runs = calls(spark, sf_dir).select(F.col("user_id").alias("session_key"), F.col("event_type").alias("normalized"), (F.col("event_type") != "view").alias("failed"), F.lit("run").alias("category"), "evt")
+    none = spark.createDataFrame([], "session_key long, sig string, status string, occurrences long")
+    return S.next_actions(runs, none).select(F.col("session_key").alias("user_id"), "rank", "action")
