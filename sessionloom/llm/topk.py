@@ -29,7 +29,8 @@ SAFE = float(1 << 52)
 
 
 def quantized(column: F.Column) -> F.Column:
-    """Each component x, as a double, to floor(256 x); null for null vectors, and those with null or non-finite components."""
+    """Each component x, as a double, to floor(256 x); null for null vectors, and those with null or non-finite components
+    (or components beyond 2 ** 62 / 256, whose products are no longs)."""
     wide = F.transform(column.cast("array<double>"), lambda x: x * SCALE)
     bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= float(1 << 62)))
     return F.when(column.isNull() | bad | F.exists(column, lambda x: x.isNull()), F.lit(None)).otherwise(F.transform(wide, lambda x: F.floor(x)))
