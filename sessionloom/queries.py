@@ -179,10 +179,10 @@ def recency_tail(spark, sf_dir):
     CASE WHEN w.shut <> o.tier_rank AND o.tokens > w.room THEN o.tier_rank ELSE w.shut END, o.evt,
     CASE WHEN o.tokens > w.room THEN w.room - 12 END, w.shut <> o.tier_rank AND (o.tokens <= w.room OR w.room >= 40)
   FROM w JOIN o ON o.session_key = w.session_key AND o.k = w.k + 1)
-SELECT session_key, evt, cut AS room FROM w WHERE kept"""
+SELECT session_key, evt, coalesce(cut, -1) AS room FROM w WHERE kept"""
 )
 def digest(spark, sf_dir):
-    return segment.digest(rows(spark, sf_dir), PAGE).select("session_key", "evt", "room")
+    return segment.digest(rows(spark, sf_dir), PAGE).select("session_key", "evt", F.coalesce("room", F.lit(-1)).alias("room"))
 
 
 @query(f"WITH {MASKED} SELECT session_key, evt, tier, tokens FROM rows_ WHERE evt BETWEEN 1 AND 4")
@@ -374,12 +374,12 @@ def command_last_status(spark, sf_dir):
     return ledgers.last_status(own).select(F.col("session_key").alias("user_id"), F.col("category").alias("event_type"), "evt", "event_id")
 
 
-@query(f"WITH {EV} SELECT e.user_id, e.event_id, max(c.evt) AS cmd_evt, arg_max(c.event_type, c.evt) AS command FROM ev e LEFT JOIN ev c ON c.user_id = e.user_id AND c.event_type <> 'error' AND c.evt <= e.evt WHERE e.event_type = 'error' GROUP BY ALL")
+@query(f"WITH {EV} SELECT e.user_id, e.event_id, coalesce(max(c.evt), -1) AS cmd_evt, arg_max(c.event_type, c.evt) AS command FROM ev e LEFT JOIN ev c ON c.user_id = e.user_id AND c.event_type <> 'error' AND c.evt <= e.evt WHERE e.event_type = 'error' GROUP BY ALL")
 def error_attribution(spark, sf_dir):
     c = calls(spark, sf_dir)
     errors = c.where("event_type = 'error'").select("user_id", "event_id", "evt")
     runs = c.where("event_type <> 'error'").select("user_id", F.col("evt").alias("cmd_evt"), F.col("event_type").alias("command"))
-    return joins.as_of(errors, runs, ["user_id"], "evt", "cmd_evt", ["cmd_evt", "command"]).select("user_id", "event_id", "cmd_evt", "command")
+    return joins.as_of(errors, runs, ["user_id"], "evt", "cmd_evt", ["cmd_evt", "command"]).select("user_id", "event_id", F.coalesce("cmd_evt", F.lit(-1)).alias("cmd_evt"), "command")
 
 
 ERR = f"""{EV}, att AS (
@@ -396,12 +396,12 @@ def error_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("user_id", "command").agg(F.count("*").alias("occurrences"), F.min("evt").alias("first_evt"), F.max("evt").alias("last_evt"))
 
 
-@query(f"WITH {ERR} SELECT l.user_id, l.command, l.occurrences, l.last_evt, max(c.evt) AS resolved_evt FROM led l LEFT JOIN ev c ON c.user_id = l.user_id AND c.event_type = l.command AND c.evt > l.last_evt GROUP BY ALL")
+@query(f"WITH {ERR} SELECT l.user_id, l.command, l.occurrences, l.last_evt, coalesce(max(c.evt), -1) AS resolved_evt FROM led l LEFT JOIN ev c ON c.user_id = l.user_id AND c.event_type = l.command AND c.evt > l.last_evt GROUP BY ALL")
 def error_resolution(spark, sf_dir):
     led = error_ledger(spark, sf_dir)
     runs = calls(spark, sf_dir).select("user_id", F.col("event_type").alias("command"), "evt")
     both = led.join(runs, ["user_id", "command"], "left")
-    return both.groupBy("user_id", "command", "occurrences", "last_evt").agg(F.max(F.when(F.col("evt") > F.col("last_evt"), F.col("evt"))).alias("resolved_evt"))
+    return both.groupBy("user_id", "command", "occurrences", "last_evt").agg(F.coalesce(F.max(F.when(F.col("evt") > F.col("last_evt"), F.col("evt"))), F.lit(-1)).alias("resolved_evt"))
 
 
 @query(f"WITH {ERR} SELECT user_id, command, occurrences FROM led WHERE occurrences >= 3")
@@ -479,13 +479,13 @@ def arms_cross(spark, sf_dir):
 @query(
     """WITH t AS (SELECT source AS session_key, CASE WHEN quality = 1 THEN 'tail' ELSE 'none' END AS arm, lang AS class, toxic = 0 AS correct, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens, CAST(doc_id % 4 AS BIGINT) AS expansions FROM labels JOIN documents USING (doc_id))
 SELECT session_key, arm, class, CAST(grouping(session_key, arm, class) AS INTEGER) AS level, count(*) AS asked, count(*) FILTER (correct) AS correct, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(sum(expansions) AS BIGINT) AS expansions,
-  CASE WHEN count(*) FILTER (correct) > 0 THEN CAST(sum(tokens) AS BIGINT) // count(*) FILTER (correct) END AS tokens_per_correct
+  CASE WHEN count(*) FILTER (correct) > 0 THEN CAST(sum(tokens) AS BIGINT) // count(*) FILTER (correct) ELSE -1 END AS tokens_per_correct
 FROM t GROUP BY GROUPING SETS ((session_key, arm, class), (session_key, arm), (arm, class), (arm))"""
 )
 def score_grouping_sets(spark, sf_dir):
     both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     t = both.select(F.col("source").alias("session_key"), F.when(F.col("quality") == 1, "tail").otherwise("none").alias("arm"), F.col("lang").alias("class"), (F.col("toxic") == 0).alias("correct"), X.tokens(F.col("text")).alias("tokens"), (F.col("doc_id") % 4).alias("expansions"))
-    return evaluation.score(t).drop("accuracy")
+    return evaluation.score(t).drop("accuracy").withColumn("tokens_per_correct", F.coalesce("tokens_per_correct", F.lit(-1)))
 
 
 @query("WITH i AS (SELECT source AS session_key, CASE lang WHEN 'en' THEN 'next_action' WHEN 'fr' THEN 'goal' ELSE 'decision' END AS kind, doc_id AS seq FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY session_key, kind ORDER BY seq DESC) AS k FROM i) SELECT session_key, kind, seq, k <= CASE kind WHEN 'goal' THEN 1 WHEN 'next_action' THEN 3 ELSE 2147483647 END AS kept FROM r")
