@@ -140,7 +140,8 @@ def page_records(pages: DataFrame) -> DataFrame:
 def op7_warc_revisits(spark, sf_dir: str) -> DataFrame:
     out = resolve(page_records(table(spark, sf_dir, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))
-    return out.select("record_id", "canonical_url", "target_id", "state", F.array_join(lines, "\n").alias("headers"))
+    target, text = F.coalesce("target_id", F.lit(-1)), F.coalesce(F.array_join(lines, "\n"), F.lit(""))
+    return out.select("record_id", "canonical_url", target.alias("target_id"), "state", text.alias("headers"))
 
 
 OP7_SQL = r"""
@@ -160,8 +161,8 @@ WITH p AS (
   SELECT v.record_id, arg_max(c.page_id, c.page_id) AS target_page FROM visits v JOIN c ON c.canon = v.canon AND c.page_id * 4 + 1 < v.ts GROUP BY v.record_id
 )
 SELECT v.record_id, v.canon AS canonical_url,
-  CASE WHEN t.etag = v.etag THEN t.page_id * 3 + 1 END AS target_id,
+  CASE WHEN t.etag = v.etag THEN t.page_id * 3 + 1 ELSE -1 END AS target_id,
   CASE WHEN t.page_id IS NULL THEN 'orphan' WHEN t.etag = v.etag THEN 'resolved' ELSE 'mismatch' END AS state,
-  CASE WHEN t.etag = v.etag THEN 'content-length: ' || t.bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: t' || v.ts || chr(10) || 'etag: ' || v.etag END AS headers
+  CASE WHEN t.etag = v.etag THEN 'content-length: ' || t.bytes || chr(10) || 'content-type: text/html' || chr(10) || 'date: t' || v.ts || chr(10) || 'etag: ' || v.etag ELSE '' END AS headers
 FROM visits v LEFT JOIN latest l USING (record_id) LEFT JOIN c t ON t.page_id = l.target_page
 """
