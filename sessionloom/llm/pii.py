@@ -285,11 +285,18 @@ def masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, end)).otherwise(text)
 
 
+FOUND, TAKEN = "pii_mask_found", "pii_mask_taken"
+
+
 def mask(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, with the personal data in ``text`` masked.  Null texts stay null."""
-    found = written(docs.select(candidates(F.col("text")).alias("candidates")).where(F.size("candidates") > 0), "pii-candidates")
-    model = fit(found)
-    return docs.withColumn("text", masked(F.col("text"), decided(candidates(F.col("text")), model)))
+    """The rows of ``docs``, all columns, with the personal data in ``text`` masked.  Null texts stay null.
+
+    Candidates are looked for once: they are written next to the rows, the model is fitted on them and they are read again.
+    """
+    found = written(docs.withColumn(FOUND, candidates(F.col("text"))), "pii-candidates")
+    model = fit(found.select(F.col(FOUND).alias("candidates")).where(F.size("candidates") > 0))
+    taken = found.withColumn(TAKEN, decided(F.col(FOUND), model))
+    return taken.withColumn("text", masked(F.col("text"), F.col(TAKEN))).select(docs.columns)
 
 
 def digest(found: DataFrame) -> DataFrame:
