@@ -31,6 +31,11 @@ def _or_lit(x: Column | str) -> Column:
     return x if isinstance(x, Column) else F.col(x)
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value made once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def quoted(text: str) -> str:
     """A literal for a Java pattern."""
     return "".join(c if c.isalnum() or c in " _/" else f"\\{c}" if ord(c) < 128 else c for c in text)
@@ -66,9 +71,13 @@ def truncate_middle(text: Column, n: Column | int) -> Column:
     """Within n bytes the text; else its first and last n / 2 bytes around a marker with the tokens taken out."""
     n = F.lit(n) if isinstance(n, int) else n
     half = F.floor(n / 2).cast("int")
-    head, tail = head_bytes(text, half), tail_bytes(text, half)
-    gone = tokens_of_bytes(F.octet_length(text) - F.octet_length(head) - F.octet_length(tail))
-    return F.when(F.octet_length(text) <= n, text).otherwise(F.concat(head, F.lit("…"), gone.cast("string"), F.lit(" tokens truncated…"), tail))
+
+    def around(ends: Column) -> Column:
+        gone = tokens_of_bytes(F.octet_length(text) - F.octet_length(ends["head"]) - F.octet_length(ends["tail"]))
+        return F.concat(ends["head"], F.lit("…"), gone.cast("string"), F.lit(" tokens truncated…"), ends["tail"])
+
+    ends = F.struct(head_bytes(text, half).alias("head"), tail_bytes(text, half).alias("tail"))
+    return F.when(F.octet_length(text) <= n, text).otherwise(let(ends, around))
 
 
 def truncate_tokens(text: Column, n: Column | int) -> Column:
@@ -100,7 +109,7 @@ def head_and_tail(text: Column, max_tokens: int, keep: int = 20) -> Column:
     cut = F.concat(
         F.array_join(F.slice(each, 1, keep), "\n"), F.lit("\n… "), (n - 2 * keep).cast("string"), F.lit(" lines …\n"), F.array_join(F.slice(each, -keep, keep), "\n")
     )
-    return truncate_tokens(F.when(n > 2 * keep, cut).otherwise(text), max_tokens)
+    return let(F.when(n > 2 * keep, cut).otherwise(text), lambda t: truncate_tokens(t, max_tokens))
 
 
 def collapse_blank_lines(text: Column) -> Column:
