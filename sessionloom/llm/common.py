@@ -59,9 +59,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def own_columns(df: DataFrame, **types: str) -> DataFrame:
-    """Only the named columns of ``df``, cast; columns with other names never reach an operator."""
-    return df.select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
+    """Only the named columns of ``df``, cast, in small batches; columns with other names never reach an operator."""
+    return text_batches(df).select(*[F.col(f"`{c}`").cast(t).alias(c) for c, t in types.items()])
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+TEXT_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, with Arrow batches of its session bounded to TEXT_ROWS rows: whole texts may be long, and a batch is in memory on both
+    sides several times."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import own_columns, table
+from sessionloom.llm.common import own_columns, table, text_batches
 
 Q = 8
 WINDOW = 120
@@ -253,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text contains no window of any item; texts never leave their task."""
     for index in indexes(benchmark, window, share, block_chars):
-        docs = docs.mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), window, share), docs.schema)
+        docs = text_batches(docs).mapInArrow(_clean(docs.sparkSession.sparkContext.broadcast(index), window, share), docs.schema)
     return docs
 
 

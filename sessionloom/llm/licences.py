@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import table, written
+from sessionloom.llm.common import table, text_batches, written
 
 LEAST = 0.6
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
@@ -190,7 +190,7 @@ def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least:
     Null and empty texts state nothing and may inherit; a null path is a file in the root directory.  Repeated rows each have a row.  Ties between
     a directory's licences go to the name that sorts first.  An empty table gives an empty result; other columns are not read.
     """
-    own = files.select(F.col("file_id").cast("long").alias("file_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
+    own = text_batches(files).select(F.col("file_id").cast("long").alias("file_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
     return with_inherited(written(stated(own, templates, least), "licence-stated"))
 
 

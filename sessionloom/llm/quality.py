@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import own_columns, table, written
+from sessionloom.llm.common import own_columns, table, text_batches, written
 
 HASH_BITS = 30
 MAX_LABELLED = 24_000
@@ -195,7 +195,7 @@ def _kept(shared, grade: int, probability: float):
 def select(docs: DataFrame, model: Ordinal, grade: int = SELECT_GRADE, probability: float = SELECT_PROBABILITY) -> DataFrame:
     """The rows of ``docs``, all columns, whose text has ``P(grade >= grade) >= probability``; texts never leave their task."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_kept(shared, grade, probability), docs.schema)
+    return text_batches(docs).mapInArrow(_kept(shared, grade, probability), docs.schema)
 
 
 def op2_quality_classifier(spark, sf_dir: str) -> DataFrame:
