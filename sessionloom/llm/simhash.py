@@ -160,7 +160,7 @@ def _link_buckets(radius: int, limit: int):
                         emit(held_id[0], np.concatenate(held), links, over)
                     held, held_id, spilled = [], this, False
                 held.append(fp[lo:hi])
-                if limit and sum(map(len, held)) > limit:  # a bucket is never held beyond the limit
+                if limit and (spilled or sum(map(len, held)) > limit):  # a bucket is never held beyond the limit, and spills to its end
                     over.extend((held_id[0], x) for part in held for x in part.tolist())
                     held, spilled = [np.zeros(0, np.int64)], True
             yield _link_batch(links, over)

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -102,6 +103,32 @@ def test_full_buckets_go_to_finer_levels(spark):
             assert same == (classes[i] == classes[j])
 
 
+def test_full_buckets_of_several_batches_lose_no_row(spark):
+    """All prints differ only in bits that table 2 of radius 1 masks, so they are one bucket there, longer than the limit and than many batches."""
+    rng = random.Random(8)
+    free = range(0, 64, 3)
+    base = [sum(1 << b for b in free if rng.random() < 0.5) for _ in range(215)]
+    prints = sorted({*base, *(p ^ 1 << rng.choice(free) for p in base)})
+    signed = np.sort(np.array(prints, np.uint64).view(np.int64))
+    for n in (65, 149, 151, len(signed)):
+        batches = [pa.RecordBatch.from_arrays([pa.array([2] * len(x)), pa.array([0] * len(x)), pa.array(x)], ["t", "key", "fp"]) for x in np.split(signed[:n], range(50, n, 50))]
+        over = [x for b in simhash._link_buckets(1, 64)(iter(batches)) for x in b.column(0).to_pylist()]
+        assert over == signed[:n].tolist()
+    key, df = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(int(p),) for p in signed], "fp long")
+    before = spark.conf.get(key)
+    spark.conf.set(key, "50")
+    try:
+        found = {r["node"]: r["root"] for r in simhash.components(simhash.links(df, radius=1, bucket_limit=64)).collect()}
+    finally:
+        spark.conf.set(key, before)
+    prints = [int(p) & (1 << 64) - 1 for p in signed]
+    classes = plain_classes(list(range(len(prints))), prints, 1)
+    for i in range(len(prints)):
+        for j in range(i):
+            same = found.get(int(signed[i]), ("alone", i)) == found.get(int(signed[j]), ("alone", j))
+            assert same == (classes[i] == classes[j])
+
+
 def test_top_k_is_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
