@@ -179,7 +179,7 @@ TOKEN = r"[\p{IsAlphabetic}\p{N}/._:\\-]+"
 
 def normalize_signature(snippet: Column) -> Column:
     """Hex strings, numbers, paths, UUIDs and durations by their kind; white space single."""
-    parts = F.regexp_extract_all(snippet, F.lit(rf"{TOKEN}|\s+|."), F.lit(0))
+    parts = F.regexp_extract_all(snippet, F.lit(rf"{TOKEN}|\p{{IsWhite_Space}}+|."), F.lit(0))
 
     def kind(t: Column) -> Column:
         return (
@@ -188,7 +188,7 @@ def normalize_signature(snippet: Column) -> Column:
             .when(F.contains(t, F.lit("/")) & (F.length(t) > 1), "<path>")
             .when(F.regexp_like(t, F.lit("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]*){4}$")), "<uuid>")
             .when(F.regexp_like(t, F.lit("^[0-9.]+[A-Za-z]+$")), "<dur>")
-            .when(F.regexp_like(t, F.lit(r"^\s+$")), " ")
+            .when(F.regexp_like(t, F.lit(r"^\p{IsWhite_Space}")), " ")
             .otherwise(t)
         )
 

@@ -334,8 +334,8 @@ def quote_containment(spark, sf_dir):
 
 @query()
 def error_signatures(spark, sf_dir):
-    first = F.regexp_extract("text", "^[^\n]*", 0)
-    return table(spark, sf_dir, "documents").select("doc_id", X.normalize_signature(first).alias("signature"), X.signature_id(first).alias("sig"))
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", X.normalize_signature(t).alias("signature"), X.signature_id(t).alias("sig"))
 
 
 @query(

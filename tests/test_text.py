@@ -1,8 +1,12 @@
 """Scalar functions: budgets in bytes, whole characters, redaction."""
 
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from sessionloom import queries
 from sessionloom.functions import redact as R
 from sessionloom.functions import text as X
 
@@ -28,6 +32,28 @@ def test_placeholder_and_errors(spark):
     assert a == b and len(a) == 12
 
 
+def plain_signature(text):
+    out, token = "", ""
+    kinds = [("[0-9a-fA-F]{7,}", "<hex>"), ("[0-9]+", "<n>"), (".*/.*", "<path>"), ("[0-9a-fA-F]{8}(-[0-9a-fA-F]*){4}", "<uuid>"), ("[0-9.]+[A-Za-z]+", "<dur>")]
+    for c in text + "\0":
+        if c.isalnum() or c in "/._-:\\":
+            token += c
+            continue
+        if token:
+            out += next((k for p, k in kinds if re.fullmatch(p, token) and token != "/"), token)
+            token = ""
+        out += c if not c.isspace() else "" if out.endswith("\x01") else "\x01"
+    return out[:-1].replace("\x01", " ").strip(" ")
+
+
+def test_error_signatures_take_the_whole_text(spark, tmp_path):
+    texts = ["first line\nerror at /a/b.rs:12:4 after 1.3s", "first line\nwarning", "\n\n 12 x\r\n\tdeadbeef1 / é9 3.5ms\n", "a\u2028b\u00a0 \u0085c", "550e8400-e29b-41d4-a716-446655440000\n\nend\n" * 3000, "(12)[a/b]\n{7s}", "", " \n ", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["signature"], r["sig"]) for r in queries.QUERIES["error_signatures"](spark, str(tmp_path)).collect()}
+    whole = {i: t if t is None else plain_signature(t) for i, t in enumerate(texts)}
+    assert got == {i: (s, s if s is None else hashlib.sha256(s.encode()).hexdigest()[:12]) for i, s in whole.items()}
+
+
 def test_sentences(spark):
     t = F.col("t")
     assert one(spark, X.sentences(t), "One. Two 1.5 three! Four?\nFive\n```\ncode. x\n```\nSix.") == [["One.", "Two 1.5 three!", "Four?", "Five", "Six."]]
