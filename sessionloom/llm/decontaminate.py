@@ -1,10 +1,11 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
-Benchmark items are cut into overlapping windows of at most ``window`` characters.  A window of ``m`` characters within
+Every stretch of ``window`` characters of a benchmark item is a window, and so is a shorter item as a whole.  A window of ``m`` characters within
 ``e`` edits of a stretch of text shares at least ``m - q + 1 - q * e`` of its q-grams with it, at diagonals (text place minus
 window place) that differ by at most ``e``.  The shared q-grams are therefore counted by item in diagonal bands of width
 ``2 * (e + 1)`` that overlap by half, so that some band holds all of a match's diagonals.  Bands that meet the bound keep
-their regions, and a banded alignment decides for each window whether it is there within its edit budget.
+their regions, and a banded alignment decides for each window, at every start, whether it is there within its edit budget: a
+passage of ``window`` characters is found wherever it stands in its item.
 
 The q-gram index is the small side: it is built for blocks of items with at most ``block_chars`` characters and sent to the
 executors block by block, so that its size is bounded however large the benchmark grows; documents are read once a block and
@@ -31,6 +32,7 @@ EDIT_SHARE = 0.1
 BLOCK_CHARS = 4_000_000
 STEP_CHARS = 1 << 18
 HIT_STEP = 1 << 20
+ALIGN_STEP = 1 << 12
 _P1, _P2, _P4, _GOLD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F)
 
 
@@ -59,32 +61,43 @@ def budget(m: int, share: float = EDIT_SHARE) -> int:
     return max(0, min(math.floor(share * m), (m - Q) // Q))
 
 
-def windows(m: int, size: int = WINDOW) -> list[tuple[int, int]]:
-    """Start and end of an item's windows: steps of half a window, the last one flush with the end."""
-    if m < Q:
-        return []
-    if m <= size:
-        return [(0, m)]
-    starts = list(range(0, m - size, size // 2))
-    return [(s, s + size) for s in [*starts, m - size]]
+def windows(m: int, size: int = WINDOW) -> int:
+    """The number of an item's windows: one at each place that leaves room for it; a shorter item is one window."""
+    return 0 if m < Q else max(1, m - size + 1)
 
 
-def banded_edits(pattern: np.ndarray, text: np.ndarray, lo: int, width: int) -> int:
-    """The fewest edits between the pattern and a stretch of the text whose diagonals (text place minus pattern place) stay
-    within [lo, lo + width)."""
+def banded_edits_of(patterns: np.ndarray, text: np.ndarray, lo: np.ndarray, width: int) -> np.ndarray:
+    """For each pattern (a row), the fewest edits between it and a stretch of the text whose diagonals (text place minus pattern
+    place) stay within [lo, lo + width)."""
     far = 1 << 20
-    at = np.arange(lo, lo + width)
-    n, ramp = len(text), np.arange(width)
-    d = np.where((at >= 0) & (at <= n), 0, far)
-    for i, p in enumerate(pattern.tolist()):
+    at = lo[:, None].astype(np.int32) + np.arange(width, dtype=np.int32)
+    n, ramp = len(text), np.arange(width, dtype=np.int32)
+    d = np.where((at >= 0) & (at <= n), 0, far).astype(np.int32)
+    for i in range(patterns.shape[1]):
         j = at + i
         inside = (j >= 0) & (j < n)
-        same = text[np.minimum(np.maximum(j, 0), n - 1)] == p if n else np.zeros(width, bool)
+        same = text[np.clip(j, 0, n - 1)] == patterns[:, i, None] if n else np.zeros(at.shape, bool)
         new = np.where(inside, d + ~same, far)
-        new[:-1] = np.minimum(new[:-1], d[1:] + 1)
-        new[(at + i + 1 < 0) | (at + i + 1 > n)] = far
-        d = np.minimum(np.minimum.accumulate(new - ramp) + ramp, far)
-    return int(d.min())
+        new[:, :-1] = np.minimum(new[:, :-1], d[:, 1:] + 1)
+        new[(j + 1 < 0) | (j + 1 > n)] = far
+        d = np.minimum(np.minimum.accumulate(new - ramp, axis=1) + ramp, far)
+    return d.min(axis=1)
+
+
+def banded_edits(pattern: np.ndarray, text: np.ndarray, lo: int, width: int) -> int:
+    """As ``banded_edits_of``, for one pattern."""
+    return int(banded_edits_of(pattern[None], text, np.array([lo]), width)[0])
+
+
+def verbatim(pattern: np.ndarray, text: np.ndarray, size: int, diagonals: range) -> np.ndarray:
+    """The starts of the pattern's windows that stand in the text without an edit at one of the diagonals."""
+    out = [np.zeros(0, np.int64)]
+    for d in diagonals:
+        lo, hi = max(0, -d), min(len(pattern), len(text) - d)
+        if hi - lo >= size:
+            sums = np.concatenate([[0], np.cumsum(pattern[lo:hi] == text[lo + d : hi + d])])
+            out.append(lo + np.flatnonzero(sums[size:] - sums[:-size] == size))
+    return np.unique(np.concatenate(out))
 
 
 @dataclass(frozen=True)
@@ -113,7 +126,7 @@ class Index:
         order = np.argsort(bucket, kind="stable")
         size = np.bincount(bucket, minlength=1 << bits).astype(np.int32)
         start = (np.cumsum(size) - size).astype(np.int32)
-        least = np.array([min([e - s - Q + 1 - Q * budget(e - s, share) for s, e in windows(len(c), window)], default=1 << 30) for c in codes], np.int64)
+        least = np.array([m - Q + 1 - Q * budget(m, share) if m >= Q else 1 << 30 for m in (min(len(c), window) for c in codes)], np.int64)
         return cls(ids, codes, least, budget(window, share) + 1, bits, size, start, item[order], offset[order])
 
     def find(self, texts: list[str], window: int, share: float) -> list[tuple[int, int, int, int]]:
@@ -176,14 +189,22 @@ class Index:
         """Align the windows of an item that have enough different q-grams in the band from ``diagonal``."""
         distinct = np.unique(offsets)
         pattern = self.texts[item]
-        for s, e in windows(len(pattern), window):
-            edits = budget(e - s, share)
-            got = np.searchsorted(distinct, e - Q, side="right") - np.searchsorted(distinct, s)
-            if got < e - s - Q + 1 - Q * edits or found.get(s) == 0:
-                continue
-            fewest = banded_edits(pattern[s:e], text, diagonal + s - edits, 2 * self.band + 2 * edits)
-            if fewest <= edits:
-                found[s] = min(fewest, found.get(s, fewest))
+        size = min(window, len(pattern))
+        edits = budget(size, share)
+        starts = np.arange(windows(len(pattern), window))
+        got = np.searchsorted(distinct, starts + size - Q, side="right") - np.searchsorted(distinct, starts)
+        starts = starts[got >= size - Q + 1 - Q * edits]
+        if not len(starts):
+            return
+        found.update(dict.fromkeys(verbatim(pattern, text, size, range(diagonal, diagonal + 2 * self.band)).tolist(), 0))
+        starts = np.array([s for s in starts.tolist() if found.get(s) != 0], np.int64)
+        every = np.lib.stride_tricks.sliding_window_view(pattern, size)
+        for at in range(0, len(starts), ALIGN_STEP):
+            part = starts[at : at + ALIGN_STEP]
+            fewest = banded_edits_of(every[part], text, diagonal + part - edits, 2 * self.band + 2 * edits)
+            for s, n in zip(part.tolist(), fewest.tolist(), strict=True):
+                if n <= edits:
+                    found[s] = min(n, found.get(s, n))
 
 
 def _texts_in_steps(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -203,7 +224,7 @@ def _matches(shared, window: int, share: float):
         for b in batches:
             rows = []
             for first, part in _texts_in_steps(b.column(1)):
-                rows += [(b.column(0)[first + t].as_py(), index.ids[i], len(windows(len(index.texts[i]), window)), n, e) for t, i, n, e in index.find(part, window, share)]
+                rows += [(b.column(0)[first + t].as_py(), index.ids[i], windows(len(index.texts[i]), window), n, e) for t, i, n, e in index.find(part, window, share)]
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "windows", "found", "edits"])

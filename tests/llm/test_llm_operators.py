@@ -334,6 +334,36 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).collect() == [] and decontaminate.contaminated(df.limit(0), bench).collect() == []
 
 
+def plain_windows(item, doc, size=120):
+    """The edits of each window of the item against the best stretch of the document, by the whole table."""
+    out = []
+    for s in range(len(item) - size + 1):
+        row = np.zeros(len(doc) + 1, int)
+        for i, c in enumerate(item[s : s + size]):
+            new = np.concatenate([[i + 1], np.minimum(row[:-1] + (doc != c), row[1:] + 1)])
+            row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+        out.append(int(row.min()))
+    return out
+
+
+def test_decontamination_finds_excerpts_at_every_place():
+    rng = random.Random(12)
+    item, host = text(rng, 60), text(rng, 15)
+    index = decontaminate.Index.build([0, 1], [text(rng, 40), item], 120, 0.1)
+    docs = []
+    for at in range(0, len(item) - 120):
+        edited = list(item[at : at + 120])
+        for p in rng.sample(range(120), at % 4 * 4):
+            edited[p] = rng.choice(["", "#", edited[p] + "#"])
+        docs += [f"{host} {item[at : at + 120]} {host}", f"{host} {''.join(edited)}", item[at : at + 108]]
+    got = {t: (n, e) for t, i, n, e in index.find(docs, 120, 0.1) if i == 1}
+    assert set(got) == set(range(len(docs)))
+    for t in rng.sample(range(len(docs)), 40):
+        near = [e for e in plain_windows(decontaminate.code_points(item), decontaminate.code_points(docs[t])) if e <= 12]
+        assert got[t] == (len(near), min(near))
+    assert index.find([item[at : at + 90] for at in range(0, len(item) - 90, 5)], 120, 0.1) == []
+
+
 def test_banded_edits_is_the_edit_distance():
     rng = random.Random(9)
     for _ in range(40):
