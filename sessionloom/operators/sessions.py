@@ -63,9 +63,8 @@ def without_repeats(rows: DataFrame, value: str) -> DataFrame:
     return rows.withColumn("_same", F.coalesce(before.eqNullSafe(F.col(value)) & (F.row_number().over(w) > 1), F.lit(False))).where("NOT _same").drop("_same")
 
 
-def numbered(rows: DataFrame, kind: str, order: str, prefixes: dict[str, str]) -> DataFrame:
-    """The rows with an id: their kind's prefix and their number in the session's rows of that kind."""
-    prefix = F.coalesce(*[F.when(F.col(kind) == k, p) for k, p in prefixes.items()], F.lit("?"))
+def numbered(rows: DataFrame, kind: str, order: str, prefix: Column) -> DataFrame:
+    """The rows with an id: their prefix and their number in the session's rows of that kind."""
     return rows.withColumn("id", F.concat(prefix, F.row_number().over(Window.partitionBy("session_key", kind).orderBy(order)).cast("string")))
 
 

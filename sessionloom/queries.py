@@ -594,8 +594,7 @@ def consecutive_dedup(spark, sf_dir):
 @query(f"WITH {EV} SELECT user_id, evt, upper(left(event_type, 1)) || row_number() OVER (PARTITION BY user_id, event_type ORDER BY evt) AS id FROM ev")
 def item_ids(spark, sf_dir):
     own = calls(spark, sf_dir).select(F.col("user_id").alias("session_key"), "evt", "event_type")
-    kinds = {k: k[0].upper() for k in [r[0] for r in own.select("event_type").distinct().limit(1000).collect()]}
-    return S.numbered(own, "event_type", "evt", kinds).select(F.col("session_key").alias("user_id"), "evt", "id")
+    return S.numbered(own, "event_type", "evt", F.upper(F.left("event_type", F.lit(1)))).select(F.col("session_key").alias("user_id"), "evt", "id")
 
 
 @query(

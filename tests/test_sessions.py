@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sessionloom import queries
 from sessionloom.operators import evaluation, render
 from sessionloom.operators import sessions as S
 
@@ -64,3 +65,13 @@ def test_accounting(spark):
     lines = spark.createDataFrame([("s", "x" * 39)], "session_key string, raw string")
     r = S.token_accounting(lines, rows, rows.limit(1)).first()
     assert (r["raw"], r["masked"]) == (10, 15)
+
+
+def test_item_ids_of_any_number_of_kinds(spark, tmp_path):
+    kinds = [f"{chr(97 + k % 26)}{k}" for k in range(1100)]
+    rows = [(k % 3, i, f"2024-01-01 00:{i // 60 % 60:02}:{i % 60:02}", kinds[k]) for i, k in enumerate([*range(1100), *range(0, 1100, 2)])]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, ts string, event_type string")
+    events.withColumn("ts", F.to_timestamp("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    got = queries.QUERIES["item_ids"](spark, str(tmp_path)).collect()
+    expected = sorted((k % 3, f"{kinds[k][0].upper()}{n}") for k in range(1100) for n in ((1, 2) if k % 2 == 0 else (1,)))
+    assert sorted((r["user_id"], r["id"]) for r in got) == expected
