@@ -36,7 +36,7 @@ def expansions(answer: Column) -> Column:
 
 def arms_by_questions(arms: DataFrame, asked: DataFrame) -> DataFrame:
     """Every arm with every question; arms are a handful of names."""
-    return asked.crossJoin(F.broadcast(arms.limit(100)))
+    return asked.crossJoin(F.broadcast(arms))
 
 
 def trials(plan: DataFrame, answer: Callable[[str, str], str]) -> DataFrame:

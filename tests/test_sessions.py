@@ -75,3 +75,10 @@ def test_item_ids_of_any_number_of_kinds(spark, tmp_path):
     got = queries.QUERIES["item_ids"](spark, str(tmp_path)).collect()
     expected = sorted((k % 3, f"{kinds[k][0].upper()}{n}") for k in range(1100) for n in ((1, 2) if k % 2 == 0 else (1,)))
     assert sorted((r["user_id"], r["id"]) for r in got) == expected
+
+
+def test_no_arm_is_left_out(spark):
+    arms = spark.createDataFrame([(f"arm{k}",) for k in range(150)], "arm string")
+    asked = spark.createDataFrame([(1,), (2,)], "question_id int")
+    got = evaluation.arms_by_questions(arms, asked).collect()
+    assert sorted((r["arm"], r["question_id"]) for r in got) == sorted((f"arm{k}", q) for k in range(150) for q in (1, 2))
