@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -388,10 +389,90 @@ def test_main_text(spark):
     rows = [(i, "u", h) for i, h in enumerate([*PAGES, *odd, PAGES[0]])] + [(None, None, PAGES[1])]
     out = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("n", F.lit(1)))
     got = {r["page_id"]: r["text"] for r in out.collect()}
-    assert [got[i] for i in range(9)] == [*want, "", "", "<", "<p", "deep", "plain text", "a < b & c"] and got[9] == want[0] and got[None] == want[1]
+    assert [got[i] for i in range(9)] == [*want, "", "", "<", "", "deep", "plain text", "a < b & c"] and got[9] == want[0] and got[None] == want[1]
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect())
 
 
+LONG = "<p>A long paragraph, with commas, and with more words than the rest.</p><p>And another one, which goes on for a while longer.</p>"
+LONG_TEXT = "A long paragraph, with commas, and with more words than the rest.\nAnd another one, which goes on for a while longer."
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<nav>x</nav><article class="post category-social tag-cookies">{LONG}</article>', LONG_TEXT),
+        (f'<div class="post comments-open" id="main">{LONG}</div><div class="comments">{LONG * 5}</div>', LONG_TEXT),
+        ("<article><p>One first, of two.</p></article><article><p>Two second, of two.</p></article>", "One first, of two.\nTwo second, of two."),
+        (f"<article><p>Outer text, of some length to count.</p><article>{LONG}</article></article>", f"Outer text, of some length to count.\n{LONG_TEXT}"),
+        (f'<article>{LONG}<article class="comment">{LONG * 3}</article></article>', LONG_TEXT),
+        (f'<div class="share-wrapper"><h1>T</h1>{LONG}</div>', f"T\n{LONG_TEXT}"),
+        (f"<main><section><h2>a</h2><p>short, one</p></section><section>{LONG}</section></main><div>{LONG * 9}</div>", f"a\nshort, one\n{LONG_TEXT}"),
+        ('<div class="ad">Buy this, and that, and all of it, now.</div><article><p>Tiny.</p></article>', "Tiny."),
+        (f"<div id=a>{LONG}</div><div id=b>{LONG}</div>", f"{LONG_TEXT}\n{LONG_TEXT}"),  # a tie keeps both
+        ('<p title=">">hello <a href="x>it is', "hello it is"),
+        ("<p>a </> b </3 c>d<!-->e<!--->f<!-- g", "a b def"),
+    ],
+)
+def test_main_text_cases(page, want):
+    assert html_text.main_text(page) == want
+
+
+def plain_blocks(node):
+    """The blocks of a random tree (tag, children or text), by recursion."""
+    out, held = [], []
+
+    def flush():
+        if s := " ".join("".join(held).split()):
+            out.append(s)
+        held.clear()
+
+    def walk(x):
+        if isinstance(x, str):
+            held.append(x)
+            return
+        block = x[0] in ("div", "p", "section", "ul", "li", "h2")
+        if x[0] in ("nav", "form"):
+            flush()
+            return
+        if block:
+            flush()
+        for y in x[1]:
+            walk(y)
+        if block:
+            flush()
+
+    walk(node)
+    flush()
+    return out
+
+
+def markup(x):
+    return x if isinstance(x, str) else f"<{x[0]}>{''.join(map(markup, x[1]))}</{x[0]}>"
+
+
+def test_main_text_is_the_plain_recursion_on_random_trees():
+    rng = random.Random(13)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice([" ", ", ", "", "\n "]).join(rng.choices(WORDS, k=rng.randrange(1, 9)))
+        tag = rng.choice(["div", "section", "b", "i", "nav", "form", "ul", "h2", "span"])
+        return tag, [tree(depth - 1) for _ in range(rng.randrange(4))]
+
+    for _ in range(200):
+        inner = ["<p>", [tree(5) for _ in range(4)]]
+        page = f"<html><body><nav>menu</nav><article>{''.join(map(markup, inner[1]))}</article><footer>f</footer></body></html>"
+        assert html_text.main_text(page) == "\n".join(plain_blocks(("div", inner[1])))
+
+
+def test_pages_take_time_in_proportion():
+    for piece in [' a="b"', " a=", ' a="', "<", "<hr>", '<a href="x>', "</ ", "<!", "<a ", "<b><p>", "<li><div>", "</b>", "&", "<script>"]:
+        for start in ("<p", "<p><table>" + "<b>" * 20_000, ""):
+            began = time.process_time()
+            html_text.main_text(start + piece * 20_000)
+            assert time.process_time() - began < 3, piece
+
+
 def test_licences(spark):
     rows = [
         (1, "a/LICENSE", "Released under the MIT License."),
