@@ -2,14 +2,15 @@
 
 Every stretch of ``window`` characters of a benchmark item is a window, and so is a shorter item as a whole.  A window of ``m`` characters within
 ``e`` edits of a stretch of text shares at least ``m - q + 1 - q * e`` of its q-grams with it, at diagonals (text place minus
-window place) that differ by at most ``e``.  The shared q-grams are therefore counted by item in diagonal bands of width
+window place) that differ by at most ``e``.  The shared q-grams are therefore counted by piece of an item in diagonal bands of width
 ``2 * (e + 1)`` that overlap by half, so that some band holds all of a match's diagonals.  Bands that meet the bound keep
 their regions, and a banded alignment decides for each window, at every start, whether it is there within its edit budget: a
-passage of ``window`` characters is found wherever it stands in its item.
+passage of ``window`` characters is found wherever it stands in its item.  Items of fewer than q characters are looked for verbatim, as whole words.
 
 The q-gram index is the small side: it is built for blocks of items with at most ``block_chars`` characters and sent to the
 executors block by block, so that its size is bounded however large the benchmark grows; documents are read once a block and
-never shuffled.  All q-grams of whole texts are looked up; there is no cap on matches or candidates.
+never shuffled.  All q-grams of whole texts are looked up, a bounded number of hits at a time; there is no cap on matches or candidates.
+A stretch that repeats a few characters over and over is shortened to what the longest match can reach.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ WINDOW = 120
 EDIT_SHARE = 0.1
 BLOCK_CHARS = 4_000_000
 STEP_CHARS = 1 << 18
-HIT_STEP = 1 << 20
+HIT_STEP = 1 << 18
+PIECE = 1024
+PERIODS = 8
 ALIGN_STEP = 1 << 12
 _P1, _P2, _P4, _GOLD = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35), np.uint32(0x27D4EB2F)
 
@@ -100,111 +103,201 @@ def verbatim(pattern: np.ndarray, text: np.ndarray, size: int, diagonals: range)
     return np.unique(np.concatenate(out))
 
 
+def shortened(c: np.ndarray, longest: int) -> np.ndarray:
+    """The text with every stretch that repeats 1 to ``PERIODS`` characters cut to ``longest`` characters and a period.
+
+    What is matched is never longer than ``longest``, so all that stood at the edges of the stretch or inside of it still stands
+    there, as often as not at another place, and nothing new comes about.
+    """
+    for period in range(1, PERIODS + 1):
+        if len(c) <= 2 * longest:
+            break
+        same = np.concatenate([[False], c[period:] == c[:-period], [False]])
+        edges = np.flatnonzero(same[1:] != same[:-1]).reshape(-1, 2)  # [first, end) of places equal to the one a period later
+        spare = (edges[:, 1] - edges[:, 0] - 2 * longest) // period * period
+        keep = np.ones(len(c), bool)
+        for (first, _), n in zip(edges[spare > 0].tolist(), spare[spare > 0].tolist(), strict=True):
+            keep[first + longest : first + longest + n] = False
+        c = c[keep]
+    return c
+
+
+def short_hashes(c: np.ndarray, m: int) -> np.ndarray:
+    """64-bit hashes of the stretches of ``m`` characters at each place."""
+    h = np.zeros(max(0, len(c) - m + 1), np.uint64)
+    for k in range(m):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + c[k : k + len(h)]
+    return h
+
+
+def is_word(c: np.ndarray) -> np.ndarray:
+    """Whether each character is a letter or a digit."""
+    kinds, back = np.unique(c, return_inverse=True)
+    return np.array([chr(k).isalnum() for k in kinds.tolist()], bool)[back] if len(c) else np.zeros(0, bool)
+
+
 @dataclass(frozen=True)
 class Index:
-    """Postings of a block of items, grouped by hash bucket."""
+    """The q-grams of a block of items, sorted by hash.
+
+    Items are cut into pieces of at most PIECE characters that overlap by a window less one, so that each window lies in one piece; q-grams
+    are counted by piece.  A table of a byte for each of some 32 times as many places (32 MB at most) as there are q-grams tells most of what is in none.
+    """
 
     ids: list[int | None]
     texts: list[np.ndarray]
-    least: np.ndarray
     band: int
     bits: int
+    some: np.ndarray
+    hashes: np.ndarray
     size: np.ndarray
     start: np.ndarray
-    item: np.ndarray
+    piece: np.ndarray
     offset: np.ndarray
+    piece_item: np.ndarray
+    piece_start: np.ndarray
+    piece_end: np.ndarray
+    least: np.ndarray
+    short: dict[int, dict[int, list[int]]]
 
     @classmethod
     def build(cls, ids: list[int | None], texts: list[str], window: int, share: float) -> Index:
         codes = [code_points(normal(t)) for t in texts]
-        hashes = [gram_hashes(c) for c in codes]
-        total = sum(map(len, hashes))
-        bits = min(26, max(12, math.ceil(math.log2(max(total, 1))) + 6))
-        bucket = np.concatenate([*hashes, np.zeros(0, np.uint32)]) >> np.uint32(32 - bits)
-        item = np.repeat(np.arange(len(codes), dtype=np.int32), [len(h) for h in hashes])
-        offset = np.concatenate([*(np.arange(len(h), dtype=np.int32) for h in hashes), np.zeros(0, np.int32)])
-        order = np.argsort(bucket, kind="stable")
-        size = np.bincount(bucket, minlength=1 << bits).astype(np.int32)
-        start = (np.cumsum(size) - size).astype(np.int32)
-        least = np.array([m - Q + 1 - Q * budget(m, share) if m >= Q else 1 << 30 for m in (min(len(c), window) for c in codes)], np.int64)
-        return cls(ids, codes, least, budget(window, share) + 1, bits, size, start, item[order], offset[order])
+        step = max(1, PIECE - window + 1)
+        pieces = [(i, s, min(len(c), s + step + window - 1)) for i, c in enumerate(codes) if len(c) >= Q for s in range(0, windows(len(c), window), step)]
+        short: dict[int, dict[int, list[int]]] = {}
+        for i, c in enumerate(codes):
+            if 0 < len(c) < Q:
+                short.setdefault(len(c), {}).setdefault(int(short_hashes(c, len(c))[0]), []).append(i)
+        grams = [gram_hashes(codes[i][s:e]) for i, s, e in pieces]
+        every = np.concatenate([*grams, np.zeros(0, np.uint32)])
+        piece = np.repeat(np.arange(len(pieces), dtype=np.int32), [len(g) for g in grams])
+        offset = np.concatenate([*(np.arange(s, s + len(g), dtype=np.int32) for (_, s, _), g in zip(pieces, grams, strict=True)), np.zeros(0, np.int32)])
+        order = np.argsort(every, kind="stable")
+        hashes, start, size = np.unique(every[order], return_index=True, return_counts=True)
+        bits = min(25, max(12, len(hashes).bit_length() + 5))
+        some = np.zeros(1 << bits, bool)
+        some[hashes >> np.uint32(32 - bits)] = True
+        item, first, end = (np.array([p[k] for p in pieces], np.int64) for k in range(3))
+        least = np.array([m - Q + 1 - Q * budget(m, share) for m in (min(len(codes[i]), window) for i in item.tolist())], np.int64)
+        return cls(ids, codes, budget(window, share) + 1, bits, some, hashes, size.astype(np.int32), start.astype(np.int32), piece[order], offset[order], item, first, end, least, short)
 
     def find(self, texts: list[str], window: int, share: float) -> list[tuple[int, int, int, int]]:
         """(text number, item number, windows found, fewest edits) of the matches in the texts (already normal)."""
         c = code_points("\0".join(texts) + "\0")
-        ends = np.cumsum([len(t) + 1 for t in texts])
-        bucket = gram_hashes(c) >> np.uint32(32 - self.bits)
-        n = self.size[bucket]
-        places = np.flatnonzero(n)
         out: dict[tuple[int, int], dict[int, int]] = {}
-        n = n[places]
-        first = self.start[bucket[places]]
-        lo = 0
-        sums = np.cumsum(n, dtype=np.int64)
-        n_bands = len(c) // self.band + 2
+        self._find_short(c, out)
+        grams, places, which = self._hits(c)
+        if len(places) and int(self.size[which].sum()) > 4 * len(c):  # much repetition: the same matches stand in less text
+            c = shortened(c, window + budget(window, share))
+            grams, places, which = self._hits(c)
+        ends = np.flatnonzero(c == 0) + 1
+        done: set[tuple[int, int]] = set()
+        for piece, diagonal in self._bands(places, which, len(c)):
+            item, low, high = int(self.piece_item[piece]), int(self.piece_start[piece]), int(self.piece_end[piece])
+            reach = np.searchsorted(ends, [max(0, low + diagonal), high + diagonal + 2 * self.band], side="right").tolist()
+            if all((t, piece) in done for t in range(reach[0], min(reach[1] + 1, len(texts)))):
+                continue
+            at = np.arange(low, high - Q + 1)
+            own = gram_hashes(self.texts[item][low:high])
+            p = at[None] + np.arange(diagonal, diagonal + 2 * self.band)[:, None]
+            inside = (p >= 0) & (p < len(grams))
+            hit = inside & (grams[np.clip(p, 0, len(grams) - 1)] == own[None])
+            doc, off = np.searchsorted(ends, p[hit], side="right"), np.broadcast_to(at, p.shape)[hit]
+            for t in np.unique(doc).tolist():
+                if (t, piece) not in done:
+                    first = int(ends[t - 1]) if t else 0
+                    if self._verify(c[first : ends[t] - 1], piece, diagonal - first, off[doc == t], window, share, out.setdefault((t, item), {})):
+                        done.add((t, piece))
+        return [(t, item, len(found), min(found.values())) for (t, item), found in out.items() if found]
+
+    def _find_short(self, c: np.ndarray, out: dict[tuple[int, int], dict[int, int]]) -> None:
+        """Items of fewer than q characters, verbatim and as whole words."""
+        if not self.short:
+            return
+        word, ends = is_word(c), np.flatnonzero(c == 0)
+        for m, by_hash in self.short.items():
+            h = short_hashes(c, m)
+            for at in np.flatnonzero(np.isin(h, np.array(list(by_hash), np.uint64))).tolist():
+                for i in by_hash[int(h[at])]:
+                    fits = np.array_equal(c[at : at + m], self.texts[i])
+                    if fits and not (at and word[at - 1] and word[at]) and not (at + m < len(c) and word[at + m - 1] and word[at + m]):
+                        out.setdefault((int(np.searchsorted(ends, at)), i), {})[0] = 0
+
+    def _hits(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The q-grams' hashes, the places of those in the index, and their numbers there."""
+        grams = gram_hashes(c)
+        places = np.flatnonzero(self.some[grams >> np.uint32(32 - self.bits)])
+        which = np.searchsorted(self.hashes, grams[places])
+        which[which == len(self.hashes)] = 0
+        same = self.hashes[which] == grams[places] if len(self.hashes) else np.zeros(0, bool)
+        return grams, places[same], which[same]
+
+    def _bands(self, places: np.ndarray, which: np.ndarray, length: int) -> Iterator[tuple[int, int]]:
+        """(piece, lowest diagonal) of the bands with enough q-grams.
+
+        Hits are made and counted a bounded number at a time, in the order of the text.  Diagonals that no later place can reach are decided and
+        forgotten, so what is kept is no more than a count for each band that the index has at one place of the text.
+        """
         shift = max(map(len, self.texts), default=0)
-        n_bands += shift // self.band + 2
-        keys_of, hits_of = [], []
-        while lo < len(places):  # bounded numbers of postings at a time
+        n_bands = (length + shift) // self.band + 3
+        n, first = self.size[which], self.start[which]
+        sums = np.cumsum(n, dtype=np.int64)
+        keys, counts, lo = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while lo < len(places):
             hi = max(lo + 1, int(np.searchsorted(sums, (sums[lo - 1] if lo else 0) + HIT_STEP)))
             m = n[lo:hi]
             k = np.repeat(first[lo:hi] - (np.cumsum(m) - m).astype(np.int32), m) + np.arange(int(m.sum()), dtype=np.int32)
-            p = np.repeat(places[lo:hi], m)
-            diagonal = p - self.offset[k] + shift
-            keys_of.append(self.item[k].astype(np.int64) * n_bands + diagonal // self.band)
-            hits_of.append((p, k))
-            lo = hi
-        if not keys_of:
-            return []
-        keys = np.concatenate(keys_of)
-        ranked = np.sort(keys)
-        head = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        u, count = ranked[head], np.diff(np.append(head, len(ranked)))
-        both = count.copy()
-        near = np.flatnonzero(u[1:] == u[:-1] + 1)
-        both[near] += count[near + 1]
-        enough = both >= self.least[u // n_bands]
-        alone = np.flatnonzero(enough)
-        if not len(alone):
-            return []
-        wanted = np.unique(np.concatenate([u[alone], u[alone] + 1]))
-        at = np.searchsorted(wanted, keys)
-        at[at == len(wanted)] = 0
-        chosen = np.flatnonzero(wanted[at] == keys)
-        ck = keys[chosen]
-        p = np.concatenate([h[0] for h in hits_of])[chosen]
-        off = self.offset[np.concatenate([h[1] for h in hits_of])[chosen]]
-        order = np.argsort(ck, kind="stable")
-        ck, p, off = ck[order], p[order], off[order]
-        for key in u[alone].tolist():
-            a, b = np.searchsorted(ck, [key, key + 2])
-            item, band = divmod(key, n_bands)
-            doc = np.searchsorted(ends, p[a:b], side="right")
-            for t in np.unique(doc).tolist():
-                own = off[a:b][doc == t]
-                self._verify(c[ends[t] - len(texts[t]) - 1 : ends[t] - 1], item, band * self.band - shift - int(ends[t] - len(texts[t]) - 1), own, window, share, out.setdefault((t, item), {}))
-        return [(t, item, len(found), min(found.values())) for (t, item), found in out.items() if found]
-
-    def _verify(self, text: np.ndarray, item: int, diagonal: int, offsets: np.ndarray, window: int, share: float, found: dict[int, int]) -> None:
-        """Align the windows of an item that have enough different q-grams in the band from ``diagonal``."""
+            new = self.piece[k].astype(np.int64) * n_bands + (np.repeat(places[lo:hi], m) - self.offset[k] + shift) // self.band
+            new.sort()
+            head = np.flatnonzero(np.concatenate([[True], new[1:] != new[:-1]]))
+            keys, counts = np.concatenate([keys, new[head]]), np.concatenate([counts, np.diff(np.append(head, len(new)))])
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, counts = keys[head], np.add.reduceat(counts, head)
+            piece, band = keys // n_bands, keys % n_bands
+            over = (band + 2) * self.band - shift <= places[hi] - self.piece_end[piece] if hi < len(places) else np.ones(len(keys), bool)
+            both = counts.copy()
+            near = np.flatnonzero(keys[1:] == keys[:-1] + 1)
+            both[near] += counts[near + 1]
+            enough = np.flatnonzero(over & (both >= self.least[piece]))
+            for at in enough[np.argsort(-both[enough], kind="stable")].tolist():  # the fullest first, as they may settle a piece
+                yield int(piece[at]), int(band[at]) * self.band - shift
+            keys, counts, lo = keys[~over], counts[~over], hi
+
+    def _verify(self, text: np.ndarray, piece: int, diagonal: int, offsets: np.ndarray, window: int, share: float, found: dict[int, int]) -> bool:
+        """Align the windows of a piece that have enough different q-grams in the band from ``diagonal``; whether
+        nothing is left to look for: all windows are there, and one of the item's verbatim."""
         distinct = np.unique(offsets)
-        pattern = self.texts[item]
+        pattern = self.texts[self.piece_item[piece]]
         size = min(window, len(pattern))
         edits = budget(size, share)
-        starts = np.arange(windows(len(pattern), window))
-        got = np.searchsorted(distinct, starts + size - Q, side="right") - np.searchsorted(distinct, starts)
-        starts = starts[got >= size - Q + 1 - Q * edits]
-        if not len(starts):
-            return
-        found.update(dict.fromkeys(verbatim(pattern, text, size, range(diagonal, diagonal + 2 * self.band)).tolist(), 0))
-        starts = np.array([s for s in starts.tolist() if found.get(s) != 0], np.int64)
-        every = np.lib.stride_tricks.sliding_window_view(pattern, size)
+        first = int(self.piece_start[piece])
+        every = np.arange(first, int(self.piece_end[piece]) - size + 1)
+        got = np.searchsorted(distinct, every + size - Q, side="right") - np.searchsorted(distinct, every)
+        starts = every[got >= size - Q + 1 - Q * edits]
+        starts = self._left(starts, found)
+        if len(starts):
+            own = pattern[first : self.piece_end[piece]]
+            found.update(dict.fromkeys((first + verbatim(own, text, size, range(diagonal + first, diagonal + first + 2 * self.band))).tolist(), 0))
+            starts = self._left(starts, found)
+        views = np.lib.stride_tricks.sliding_window_view(pattern, size)
         for at in range(0, len(starts), ALIGN_STEP):
             part = starts[at : at + ALIGN_STEP]
-            fewest = banded_edits_of(every[part], text, diagonal + part - edits, 2 * self.band + 2 * edits)
+            fewest = banded_edits_of(views[part], text, diagonal + part - edits, 2 * self.band + 2 * edits)
             for s, n in zip(part.tolist(), fewest.tolist(), strict=True):
                 if n <= edits:
                     found[s] = min(n, found.get(s, n))
+        return not len(self._left(every, found))
+
+    @staticmethod
+    def _left(starts: np.ndarray, found: dict[int, int]) -> np.ndarray:
+        """The windows that aren't found yet; until one is found verbatim, also those found with edits, as another place may need fewer."""
+        if not found:
+            return starts
+        enough = len(found) if 0 in found.values() else 0
+        return np.array([s for s in starts.tolist() if (s not in found if enough else found.get(s) != 0)], np.int64)
 
 
 def _texts_in_steps(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -246,7 +339,7 @@ def _clean(shared, window: int, share: float):
 
 
 def indexes(benchmark: DataFrame, window: int = WINDOW, share: float = EDIT_SHARE, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
-    """The q-gram indexes of the benchmark, block by block.  Null and empty items, and those of fewer than q characters, match
+    """The q-gram indexes of the benchmark, block by block.  Null and empty items match
     nothing; an item may be longer than a block."""
     own = own_columns(benchmark, item_id="long", text="string").where("text IS NOT NULL")
     chars = own.agg(F.sum(F.length("text"))).first()[0] or 0

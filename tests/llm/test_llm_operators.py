@@ -352,7 +352,7 @@ def test_decontamination_finds_excerpts_at_every_place():
     item, host = text(rng, 60), text(rng, 15)
     index = decontaminate.Index.build([0, 1], [text(rng, 40), item], 120, 0.1)
     docs = []
-    for at in range(0, len(item) - 120):
+    for at in range(0, len(item) - 120, 3):
         edited = list(item[at : at + 120])
         for p in rng.sample(range(120), at % 4 * 4):
             edited[p] = rng.choice(["", "#", edited[p] + "#"])
@@ -365,6 +365,61 @@ def test_decontamination_finds_excerpts_at_every_place():
     assert index.find([item[at : at + 90] for at in range(0, len(item) - 90, 5)], 120, 0.1) == []
 
 
+def test_decontamination_of_repeated_characters_is_brute_force():
+    """Random items and texts full of runs, against the whole table of edits for every window."""
+    rng = random.Random(14)
+
+    def runs(n):
+        out = ""
+        while len(out) < n:
+            out += rng.choice(["-", "=-", "ab", "abc.", ". "]) * rng.randrange(1, 60) if rng.random() < 0.6 else text(rng, 4) + " "
+        return decontaminate.normal(out[:n])
+
+    hits = 0
+    for _ in range(12):
+        items = [runs(rng.choice([40, 130, 160])) for _ in range(3)]
+        docs = [runs(rng.choice([60, 400, 900])) for _ in range(3)]
+        docs[0] += " " + items[0][5:135]
+        got = {(t, i): (n, e) for t, i, n, e in decontaminate.Index.build([0, 1, 2], items, 120, 0.1).find(docs, 120, 0.1)}
+        for t, doc in enumerate(docs):
+            for i, item in enumerate(items):
+                size = min(120, len(item))
+                near = [e for e in plain_windows(decontaminate.code_points(item), decontaminate.code_points(doc), size) if e <= decontaminate.budget(size)]
+                hits += bool(near)
+                assert bool(near) == ((t, i) in got), (doc, item)
+                if near:
+                    assert got[t, i][1] == min(near)
+    assert hits > 15
+
+
+def test_decontamination_memory_is_bounded_under_repetition():
+    import tracemalloc
+
+    index = decontaminate.Index.build([0, 1], ["-" * 600, "x" + "-=" * 300], 120, 0.1)
+    tracemalloc.start()
+    began = time.process_time()
+    got = index.find(["-" * 20_000, "=-" * 100_000, "- " * 10_000], 120, 0.1)
+    assert time.process_time() - began < 20 and tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()
+    assert {(t, i) for t, i, *_ in got} == {(0, 0), (1, 1)}
+
+
+def test_shortened_keeps_what_a_match_can_reach():
+    rng = random.Random(15)
+    for _ in range(60):
+        piece = "".join(rng.choices("ab-", k=rng.randrange(1, 9)))
+        own = text(rng, 6) + piece * rng.randrange(1, 60) + text(rng, 5) + piece * 40
+        short = "".join(map(chr, decontaminate.shortened(decontaminate.code_points(own), 20)))
+        every = lambda s: {s[i : i + 20] for i in range(len(s) - 19)}
+        assert every(short) == every(own) and len(short) <= len(own)
+
+
+def test_short_items_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "an Abc here"), (2, "abcd xabc"), (3, "a+b = c"), (4, "abc")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "ABC"), (2, "+b ="), (3, "zz")], "item_id long, text string")
+    assert key(decontaminate.contaminated(docs, bench).select("doc_id", "item_id", "edits").collect()) == key([(1, 1, 0), (4, 1, 0), (3, 2, 0)])
+
+
 def test_banded_edits_is_the_edit_distance():
     rng = random.Random(9)
     for _ in range(40):
