@@ -20,26 +20,39 @@ DEFAULT = {
     "stripe": r"(?:sk_live_|rk_live_)[A-Za-z0-9]{16,}",
     "google": r"AIza[A-Za-z0-9_-]{30,}",
     "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
-    "assignment": r"(?:API_KEY|SECRET|TOKEN|PASSWORD|PASSWD|api_key|secret|token|password|passwd) ?[=:] ?[\"']?[A-Za-z0-9_/+.=-]{8,}[\"']?",
+    "assignment": r"(?i)(?:secret|token|password|passwd|api_key|private_key)[a-z0-9_.-]{0,40}[\"']? ?[=:] ?[\"']?[a-z0-9_/+.=-]{8,}[\"']?",
 }
 STRICT = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "private_ip": r"(?:10\.[0-9]{1,3}|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3}",
-    "long_token": r"[A-Za-z0-9_-]{32,}",
 }
+#: Strings of 32 characters and more are secrets, in strict mode, from this entropy a character on.
+TOKEN, ENTROPY = r"[A-Za-z0-9_+/=-]{32,}", 3.5
 MODES = ("off", "default", "strict")
 
 
 def classes(mode: str) -> list[str]:
     if mode not in MODES:
         raise ValueError(f"no such mode: {mode}")
-    return [] if mode == "off" else [*DEFAULT, *(STRICT if mode == "strict" else ())]
+    return [] if mode == "off" else [*DEFAULT, *((*STRICT, "high_entropy") if mode == "strict" else ())]
+
+
+def entropy(token: Column) -> Column:
+    """Bits a character of a string's own distribution of characters; 0 for the empty one."""
+    chars = F.split(token, F.lit(""))
+    n = F.length(token)
+    share = lambda c: (n - F.length(F.replace(token, c, F.lit("")))) / n
+    return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda sum_, c: sum_ - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
 
 
 def redact(text: Column, mode: str = "default") -> Column:
-    """The text with its secrets replaced.  ``strict`` adds mail addresses, private addresses and long mixed tokens; ``off`` changes nothing."""
+    """The text with its secrets replaced.  ``strict`` adds mail addresses, private addresses and long strings of high entropy; ``off`` changes nothing."""
     for name in classes(mode):
-        text = F.regexp_replace(text, F.lit((DEFAULT | STRICT)[name]), F.lit(REDACTED))
+        if name == "high_entropy":
+            found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), lambda t: entropy(t) >= ENTROPY)
+            text = F.aggregate(found, text, lambda own, t: F.replace(own, t, F.lit(REDACTED)))
+        else:
+            text = F.regexp_replace(text, F.lit((DEFAULT | STRICT)[name]), F.lit(REDACTED))
     return text
 
 
@@ -52,6 +65,11 @@ def redactions(before: Column, after: Column) -> Column:
 def redact_sql(column: str, mode: str = "default") -> str:
     """The same chain for the SQL oracle."""
     for name in classes(mode):
-        pattern = (DEFAULT | STRICT)[name]
-        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{REDACTED}', 'g')"
+        if name == "high_entropy":
+            bits = "list_sum(list_transform(list_distinct(string_split(t, '')), lambda c: -((length(t) - length(replace(t, c, ''))) / length(t)) * log2((length(t) - length(replace(t, c, ''))) / length(t))))"
+            found = f"list_filter(list_distinct(regexp_extract_all({column}, '{TOKEN}')), lambda t: {bits} >= {ENTROPY})"
+            column = f"list_reduce({found}, lambda own, t: replace(own, t, '{REDACTED}'), {column})"
+        else:
+            pattern = (DEFAULT | STRICT)[name]
+            column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{REDACTED}', 'g')"
     return column

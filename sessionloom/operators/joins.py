@@ -42,14 +42,32 @@ def overlap(left: DataFrame, right: DataFrame, key: list[str], bucket: int) -> D
     return both.where((F.col("l_start") <= F.col("r_end")) & (F.col("r_start") <= F.col("l_end")) & (F.col("_b") == first)).drop("_b")
 
 
-def contained(quotes: DataFrame, texts: DataFrame, quote: str, text: str, gram: int = 24, small: int = 10_000) -> DataFrame:
-    """Pairs of quotes and texts where the text contains the quote, for quotes of ``gram`` characters and more; shorter ones never match.
+SPACE = r"[ \t\n\x0B\f\r]+"
 
-    The first ``gram`` characters of a quote are looked up among the texts' substrings of that length, so the join is by equality.  Up to
-    ``small`` different beginnings are tested where the texts lie and only hits are joined; beyond that all substrings are.
+
+def contained(quotes: DataFrame, texts: DataFrame, quote: str, text: str, least: int = 24) -> DataFrame:
+    """Pairs of quotes and texts where the text contains the quote, for quotes of ``least`` characters and more; shorter ones never match.
+
+    A word with white space on both sides within a quote is a word of every text that contains it.  Each quote is looked up by the rarest of its own among the
+    distinct words of the texts: equality on the word gives candidates (hash of the text, quote), and ``contains`` decides once both are joined back.  Only
+    words and hashes are shuffled, in proportion to the texts.  Quotes without such a word are looked up by their first ``least`` characters.
     """
-    keyed = quotes.where(F.length(quote) >= gram).withColumn("_g", F.left(F.col(quote), F.lit(gram)))
-    starts = [r["_g"] for r in keyed.select("_g").distinct().limit(small + 1).collect()]
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - gram + 1, F.lit(1))), lambda i: F.substr(F.col(text), i, F.lit(gram)))
-    grams = F.array_distinct(F.filter(grams, lambda g: g.isin(starts)) if len(starts) <= small else grams)
-    return texts.withColumn("_g", F.explode(grams)).join(keyed, "_g").where(F.contains(F.col(text), F.col(quote))).drop("_g")
+    words = lambda c: F.array_distinct(F.split(c, F.lit(SPACE)))
+    own = quotes.where(F.length(quote) >= least)
+    parts = F.split(F.col(quote), F.lit(SPACE))
+    inner = own.withColumns({"_q": F.xxhash64(quote), "_in": F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))})
+    each = inner.select("_q", F.explode("_in").alias("_w")).distinct()
+    n = texts.select(F.explode(words(F.col(text))).alias("_w")).join(each.select("_w").distinct(), "_w", "left_semi").groupBy("_w").agg(F.count("*").alias("_n"))
+    rank = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), (-F.length("_w")).alias("l"), "_w")
+    anchors = each.join(n, "_w", "left").groupBy("_q").agg(F.min_by("_w", rank).alias("_w"))
+    said = texts.select(F.xxhash64(text).alias("_t"), F.explode(words(F.col(text))).alias("_w"))
+    pairs = said.join(anchors, "_w").select("_t", "_q")
+    bare = inner.where(F.size("_in") == 0)
+    if not bare.isEmpty():
+        chars = texts.select(F.xxhash64(text).alias("_t"), F.split(F.col(text), F.lit("")).alias("_c"))
+        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_c") - least + 1, F.lit(1))), lambda i: F.array_join(F.slice("_c", i, F.lit(least)), ""))
+        starts = bare.select("_q", F.left(quote, F.lit(least)).alias("_g"))
+        pairs = pairs.unionByName(chars.select("_t", F.explode(F.array_distinct(grams)).alias("_g")).join(starts, "_g").select("_t", "_q"))
+    near = inner.drop("_in").join(pairs.distinct(), "_q").drop("_q")
+    found = texts.withColumn("_t", F.xxhash64(text)).join(near, "_t")
+    return found.where(F.contains(F.col(text), F.col(quote))).drop("_t")

@@ -228,13 +228,17 @@ def edited(found: DataFrame) -> DataFrame:
 
 
 # Directory names that name no part of a project.
-GENERIC = ["src", "lib", "test", "tests", "docs", "doc", "dist", "build", "target", "node_modules", "packages", "crates", "apps", "bin", "scripts", "examples", "vendor", "internal", "pkg", "cmd", "app", "main", "home", "users", "tmp", "var", "private"]
+GENERIC = [
+    "src", "lib", "dist", "build", "out", "target", "node_modules", "vendor", "bin", "obj", "tmp", "temp", "test", "tests", "__tests__", "spec", "specs", "fixtures", "fixture",
+    "examples", "example", "assets", "static", "public", "coverage", "generated", "gen", "pkg", "packages", "apps", "app", "crates", "modules", "components", "shared", "common",
+    "internal", "server", "client", "types", "utils", "helpers", "hooks", "styles", "images", "img", "docs", "doc",
+]
 
 
 def vocabulary(paths: DataFrame, least: int = 2) -> DataFrame:
-    """session_key, name: directory names of at least three letters, without dots, in ``least`` paths (session_key, path) at least."""
+    """session_key, name, n: names of three bytes at least in paths (session_key, path), without dots and not generic, that occur ``least`` times."""
     part = paths.select("session_key", F.explode(F.split("path", "/")).alias("name"))
-    kept = part.where((F.length("name") >= 3) & ~F.col("name").isin(GENERIC) & ~F.contains("name", F.lit(".")))
+    kept = part.where((F.octet_length("name") >= 3) & ~F.col("name").isin(GENERIC) & ~F.contains("name", F.lit(".")))
     return kept.groupBy("session_key", "name").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 

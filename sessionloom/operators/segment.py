@@ -121,12 +121,12 @@ def digest(rows: DataFrame, budget: int = DIGEST, least: int = 40, marker: int =
 
 
 def arc(turns: DataFrame) -> DataFrame:
-    """Of sessions with eight turns and more (session_key, evt), every ``max(inner / 5, 1)``-th inner turn."""
+    """Of sessions with eight turns and more (session_key, evt), every ``max(inner / 5, 1)``-th inner turn, six at most."""
     w = Window.partitionBy("session_key").orderBy("evt")
     each = turns.withColumns({"pos": F.row_number().over(w) - 1, "n": F.count("*").over(Window.partitionBy("session_key"))})
     stride = F.greatest(F.floor((F.col("n") - 2) / 5), F.lit(1))
     inner = (F.col("n") >= 8) & F.col("pos").between(1, F.col("n") - 2)
-    return each.where(inner & ((F.col("pos") - 1) % stride == 0)).select("session_key", "evt")
+    return each.where(inner & ((F.col("pos") - 1) % stride == 0) & (F.col("pos") - 1 < 6 * stride)).select("session_key", "evt")
 
 
 def stride_sample(found: DataFrame, n: int, share: float = 0.85) -> DataFrame:

@@ -43,17 +43,35 @@ def compactions(events: DataFrame) -> DataFrame:
     return own.select("session_key", F.col("idx").alias("evt"), F.when(F.col("kind") == "compaction_summary", F.col("text")).alias("summary"), F.coalesce("windowed", F.lit(False)).alias("windowed"))
 
 
-def prior_summaries(found: DataFrame, chunks: DataFrame, most: int = 3) -> DataFrame:
-    """session_key, chunk, evt, text: of the summaries (session_key, evt, text) before each chunk (session_key, chunk, evt_start) the latest, in order."""
-    before = chunks.join(found, "session_key").where(F.col("evt") < F.col("evt_start"))
-    w = Window.partitionBy("session_key", "chunk").orderBy(F.desc("evt"))
-    return before.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).select("session_key", "chunk", "evt", "text")
+NO_SUMMARY = "(a boundary without a readable summary)"
+
+
+def prior_summaries(found: DataFrame, chunks: DataFrame, most: int = 3, tokens: int = 400) -> DataFrame:
+    """session_key, chunk, evt, text: of the summaries (session_key, evt, text) before each chunk (session_key, chunk, evt_start) the latest, in order; each cut to ``tokens``
+    and on one line, a boundary without text with words that say so.
+
+    One window over both sides, whose frame never holds more than ``most`` summaries of the rows before.
+    """
+    own = F.struct("evt", F.coalesce(F.replace(X.truncate_tokens(F.col("text"), tokens), F.lit("\n"), F.lit(" ")), F.lit(NO_SUMMARY)).alias("text"))
+    a = chunks.select("session_key", "chunk", F.col("evt_start").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(found.select(own).schema[0].dataType).alias("_s"))
+    b = found.select("session_key", F.lit(None).cast(chunks.schema["chunk"].dataType).alias("chunk"), F.col("evt").alias("_at"), F.lit(1).alias("_side"), own.alias("_s"))
+    order = Window.partitionBy("session_key").orderBy("_at", "_side")  # of one place, the chunk comes first: its own boundary isn't before it
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    both = a.unionByName(b).withColumn("_n", F.count("_s").over(upto))
+    last = Window.partitionBy("session_key").orderBy("_n").rangeBetween(1 - most, 0)
+    near = both.withColumn("_last", F.collect_list("_s").over(last)).where("_side = 0 AND _n > 0")
+    return near.select("session_key", "chunk", F.explode("_last").alias("_s")).select("session_key", "chunk", "_s.evt", "_s.text")
 
 
 def later_index(episodes: DataFrame, chunks: DataFrame) -> DataFrame:
-    """session_key, chunk, later: the numbers of the episodes after each chunk's last (``last_episode``)."""
-    both = chunks.join(episodes.select("session_key", "episode"), "session_key", "left")
-    return both.groupBy("session_key", "chunk").agg(F.array_sort(F.collect_list(F.when(F.col("episode") > F.col("last_episode"), F.col("episode")))).alias("later"))
+    """session_key, chunk, later: the numbers of the episodes after each chunk's last (``last_episode``).
+
+    The numbers of a session are sorted once, and each chunk takes what comes behind the place of its last.
+    """
+    every = episodes.groupBy("session_key").agg(F.array_sort(F.collect_set("episode")).alias("_all"))
+    both = chunks.join(every, "session_key", "left")
+    behind = F.filter(F.coalesce("_all", F.array().cast(every.schema["_all"].dataType)), lambda e: e > F.col("last_episode"))
+    return both.select("session_key", "chunk", behind.alias("later"))
 
 
 def without_repeats(rows: DataFrame, value: str) -> DataFrame:
@@ -129,19 +147,21 @@ def next_actions(runs: DataFrame, errors: DataFrame, failures: int = 3, open_err
 
 
 def ledger_slice(entries: DataFrame, budget: int = LEDGER_TOKENS, item: int = ITEM_TOKENS) -> DataFrame:
-    """session_key, section, rank, text of the entries (the same columns) that a shared budget holds: in order of section and rank, each cut to ``item`` tokens, the
-    first always kept, a section ending at the first that doesn't fit."""
-    cut = entries.withColumn("text", X.truncate_tokens(F.col("text"), item)).withColumn("tokens", X.tokens(F.col("text")))
-    a = cut.groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("section", "rank", "tokens"))).alias("a"))
+    """session_key, section, rank, text of the entries (the same columns) that a shared budget holds: in order of section and rank, each cut to ``item`` tokens
+    and costing two more, for its separator.  A section ends at the first that doesn't fit, but its first entry is always kept: an empty section would say that
+    there is nothing."""
+    cut = entries.withColumn("text", X.truncate_tokens(F.col("text"), item)).withColumn("cost", X.tokens(F.col("text")) + 2)
+    a = cut.groupBy("session_key").agg(F.array_sort(F.collect_list(F.struct("section", "rank", "cost"))).alias("a"))
     kept = "array<struct<section:int,rank:int>>"
-    state = F.struct(F.lit(budget).cast("bigint").alias("left"), F.lit(-1).alias("shut"), F.lit(True).alias("first"), F.array().cast(kept).alias("out"))
+    state = F.struct(F.lit(budget).cast("bigint").alias("left"), F.lit(-1).alias("section"), F.lit(False).alias("shut"), F.array().cast(kept).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        fits = ((x["tokens"] <= s["left"]) | s["first"]) & (s["shut"] != x["section"])
+        first = s["section"] != x["section"]
+        fits = first | ((x["cost"] <= s["left"]) & ~s["shut"])
         return F.struct(
-            F.when(fits, F.greatest(s["left"] - x["tokens"], F.lit(0))).otherwise(s["left"]).alias("left"),
-            F.when(fits, s["shut"]).otherwise(x["section"]).alias("shut"),
-            F.lit(False).alias("first"),
+            F.when(fits, F.greatest(s["left"] - x["cost"], F.lit(0))).otherwise(s["left"]).cast("bigint").alias("left"),
+            x["section"].cast("int").alias("section"),
+            (~fits).alias("shut"),
             F.when(fits, F.concat(s["out"], F.array(F.struct(x["section"].cast("int").alias("section"), x["rank"].cast("int").alias("rank"))))).otherwise(s["out"]).alias("out"),
         )
 
@@ -150,8 +170,8 @@ def ledger_slice(entries: DataFrame, budget: int = LEDGER_TOKENS, item: int = IT
 
 
 def busiest(files: DataFrame) -> DataFrame:
-    """session_key, path: the file with most edits; the longer path, then the later in order, if several have as many."""
-    return files.groupBy("session_key").agg(F.max_by("path", F.struct("edits", F.length("path"), "path")).alias("path"))
+    """session_key, path: the edited file with most edits; the longer path, then the later in order, if several have as many."""
+    return files.where("edits > 0").groupBy("session_key").agg(F.max_by("path", F.struct("edits", F.length("path"), "path")).alias("path"))
 
 
 def browse(summaries: DataFrame, agent: str | None = None, recency: str | None = None, now: str | None = None, query: str | None = None) -> DataFrame:

@@ -65,6 +65,37 @@ class Batch:
     paths: list[str] = field(default_factory=list)
 
 
+def _is_range(value) -> bool:
+    pair = (value.get("start"), value.get("end")) if isinstance(value, dict) else tuple(value) if isinstance(value, list) else ()
+    return len(pair) == 2 and all(isinstance(x, int) and not isinstance(x, bool) for x in pair)
+
+
+def _are_words(op: dict, keys) -> str | None:
+    return next((f"{k} is no text" for k in keys if op.get(k) is not None and not isinstance(op[k], str)), None)
+
+
+def malformed(op: dict) -> str | None:
+    """What is wrong with an operation's fields, or None: they come from a model and may have any shape."""
+    name = op.get("op")
+    if not isinstance(name, str):
+        return "no operation"
+    ids = op.get("ids", [op["id"]] if "id" in op else [])
+    if not isinstance(ids, list) or not all(isinstance(i, str) for i in ids):
+        return "an id is no text"
+    if name in ("update", "resolve", "drop", "confirm") and not isinstance(op.get("id"), str) or name in ("supersede", "merge") and not ids:
+        return "no id"
+    if name in ("resolve", "confirm") and not (isinstance(op.get("evt"), int) and not isinstance(op["evt"], bool)):
+        return "no evt"
+    new = {"add": op, "supersede": op.get("replacement"), "merge": op.get("merged")}.get(name)
+    if name in ("add", "supersede", "merge") and not isinstance(new, dict):
+        return "no new item"
+    for part, key in ((new, "sources"), (op, "add_sources")):
+        ranges = part.get(key) if isinstance(part, dict) else None
+        if ranges is not None and not (isinstance(ranges, list) and all(map(_is_range, ranges))):
+            return f"{key} are no ranges of events"
+    return _are_words(op, ("text", "why", "reason")) or (_are_words(new, (*WORDS, "kind", "confidence")) if isinstance(new, dict) else None)
+
+
 def _ranges(value) -> list[tuple[int, int]]:
     return [(min(a, b), max(a, b)) for a, b in ((r["start"], r["end"]) if isinstance(r, dict) else r for r in value or [])]
 
@@ -84,7 +115,9 @@ class State:
 
     def why_not(self, op: dict, batch: Batch, added: dict[str, int]) -> str | None:
         """The reason against an operation, or None.  Checks come in a fixed order."""
-        name = op.get("op")
+        if reason := malformed(op):
+            return reason
+        name = op["op"]
         for id_ in op.get("ids") or ([op["id"]] if "id" in op else []):
             item = self.get(id_)
             if item is None:

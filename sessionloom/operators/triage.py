@@ -23,6 +23,7 @@ DIRECTIVES = {
     "emphasis": ["critical:", "important:", "crucial:"],
     "exclusivity": ["only ever ", "only use ", "stick to "],
 }
+# Fillers before a directive, beginnings of questions, marks of harness noise.
 LEADING = ["please", "also", "and", "but", "then", "so", "plus", "finally", "lastly", "importantly", "however", "just", "note", "ps", "p.s.", "one more thing"]
 QUESTIONS = ["why ", "how ", "what ", "when ", "where ", "which ", "who ", "can you", "could you", "would you", "is it", "are we", "did you", "do you", "does "]
 NOISE = ["<command-name>", "<command-message>", "<local-command", "system-reminder", "<system-reminder", "[request interrupted", "caveat: the messages below"]

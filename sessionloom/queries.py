@@ -17,6 +17,7 @@ from sessionloom.operators import evaluation, joins, ledgers, segment, state, tr
 from sessionloom.operators import sessions as S
 from sessionloom.operators import events as E
 from sessionloom.operators import masking as M
+from sessionloom.sources import transcripts
 from sessionloom.streaming import sessions as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -191,11 +192,21 @@ def expand_range(spark, sf_dir):
 
 
 @query(
-    f"""WITH {CONV}, t AS (SELECT session_key, idx AS evt, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY session_key) AS n FROM conv WINDOW w AS (PARTITION BY session_key ORDER BY idx))
-SELECT session_key, evt FROM t WHERE n >= 8 AND pos BETWEEN 1 AND n - 2 AND (pos - 1) % greatest((n - 2) // 5, 1) = 0"""
+    """WITH t AS (SELECT user_id, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+inner_ AS (SELECT user_id, pos AS evt, pos - 1 AS k, greatest((n - 2) // 5, 1) AS step FROM t WHERE n >= 8 AND pos BETWEEN 1 AND n - 2),
+shown AS (SELECT user_id, evt, row_number() OVER (PARTITION BY user_id ORDER BY k) AS line FROM inner_ WHERE k % step = 0)
+SELECT user_id, evt FROM shown WHERE line <= 6"""
 )
 def arc_sample(spark, sf_dir):
-    return segment.arc(sessions(spark, sf_dir).select("session_key", F.col("idx").alias("evt")))
+    own = calls(spark, sf_dir).select(F.col("user_id").alias("session_key"), "evt")
+    return segment.arc(own).select(F.col("session_key").alias("user_id"), "evt")
+
+
+@query(f"WITH {CONV}, c AS (SELECT DISTINCT session_key, CASE CAST(session_key AS INTEGER) % 5 WHEN 0 THEN '/w/a/b' WHEN 1 THEN '/w/a' WHEN 2 THEN '/w/a/b/c' WHEN 3 THEN '/w/a/bc' ELSE '/' END AS cwd FROM conv) SELECT session_key, cwd FROM c WHERE cwd IN ('/w/a/b', '/w/a', '/w', '/')")
+def project_filter(spark, sf_dir):
+    folder = F.element_at(F.array(*map(F.lit, ["/w/a/b", "/w/a", "/w/a/b/c", "/w/a/bc", "/"])), F.col("session_key").cast("int") % 5 + 1)
+    own = sessions(spark, sf_dir).select("session_key", folder.alias("cwd")).distinct().withColumns({c: F.lit(None).cast("string") for c in ("title", "first_message", "started_at")})
+    return transcripts.matching(own, project="/w/a/b", up=True).select("session_key", "cwd")
 
 
 @query(
@@ -348,13 +359,14 @@ def harness_fragment(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS session_key, unnest(string_split(regexp_replace(url, '^[^:]*://[^/]*', ''), '/')) AS name FROM pages)
-SELECT session_key, name, count(*) AS n FROM p WHERE length(name) >= 3 AND NOT contains(name, '.') GROUP BY ALL HAVING count(*) >= 2"""
+    f"""WITH p AS (SELECT p_brand AS session_key, CASE p_partkey % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'components/' WHEN 2 THEN '.cache/' ELSE 'scripts/' END || lower(p_type) || '/' || replace(p_name, ' ', '/') || '/v.' || p_size AS path FROM part),
+n AS (SELECT session_key, unnest(string_split(path, '/')) AS name FROM p)
+SELECT session_key, name, count(*) AS n FROM n WHERE strlen(name) >= 3 AND NOT contains(name, '.') AND name NOT IN ({', '.join(repr(g) for g in ledgers.GENERIC)}) GROUP BY ALL HAVING count(*) >= 2"""
 )
 def vocabulary(spark, sf_dir):
-    u = F.col("url")
-    own = table(spark, sf_dir, "pages").select(F.regexp_extract(u, "://([^/?#]*)", 1).alias("session_key"), F.regexp_replace(u, F.lit("^[^:]*://[^/]*"), F.lit("")).alias("path"))
-    return ledgers.vocabulary(own)
+    top = F.element_at(F.array(*map(F.lit, ["src", "components", ".cache", "scripts"])), (F.col("p_partkey") % 4 + 1).cast("int"))
+    path = F.concat_ws("/", top, F.lower("p_type"), F.replace("p_name", F.lit(" "), F.lit("/")), F.concat(F.lit("v."), F.col("p_size").cast("string")))
+    return ledgers.vocabulary(table(spark, sf_dir, "part").select(F.col("p_brand").alias("session_key"), path.alias("path")))
 
 
 # ---- events as tool calls
@@ -620,19 +632,20 @@ def later_index(spark, sf_dir):
     return S.later_index(found, own).select("session_key", "chunk", F.nullif(later, F.lit("")).alias("later"))
 
 
-@query(f"WITH {EV}, n AS (SELECT user_id, event_type, count(*) AS n FROM ev GROUP BY ALL) SELECT user_id, arg_max(event_type, (n, length(event_type), event_type)) AS path FROM n GROUP BY user_id")
+@query(f"WITH {EV}, n AS (SELECT user_id, event_type, count(*) FILTER (event_id % 8 = 0) AS n FROM ev GROUP BY ALL) SELECT user_id, arg_max(event_type, (n, length(event_type), event_type)) AS path FROM n WHERE n > 0 GROUP BY user_id")
 def busiest_path(spark, sf_dir):
-    n = calls(spark, sf_dir).groupBy(F.col("user_id").alias("session_key"), F.col("event_type").alias("path")).agg(F.count("*").alias("edits"))
+    n = calls(spark, sf_dir).groupBy(F.col("user_id").alias("session_key"), F.col("event_type").alias("path")).agg(F.count_if(F.col("event_id") % 8 == 0).alias("edits"))
     return S.busiest(n).select(F.col("session_key").alias("user_id"), "path")
 
 
 @query(
-    f"""WITH RECURSIVE {MASKED}, e AS (SELECT session_key, tier_rank AS section, pos AS rank, tokens, row_number() OVER (PARTITION BY session_key ORDER BY tier_rank, pos) AS k FROM rows_), w AS (
-  SELECT session_key, 0 AS k, CAST({PAGE} AS BIGINT) AS room, -1 AS shut, -1 AS section, -1 AS rank, false AS kept FROM e GROUP BY session_key
+    f"""WITH RECURSIVE {MASKED}, e AS (SELECT session_key, tier_rank AS section, pos AS rank, tokens + 2 AS cost, row_number() OVER (PARTITION BY session_key ORDER BY tier_rank, pos) AS k,
+  row_number() OVER (PARTITION BY session_key, tier_rank ORDER BY pos) AS nth FROM rows_), w AS (
+  SELECT session_key, 0 AS k, CAST({PAGE} AS BIGINT) AS remaining, -1 AS section, -1 AS rank, false AS kept, false AS broken FROM e GROUP BY session_key
   UNION ALL
-  SELECT e.session_key, e.k, CASE WHEN (e.tokens <= w.room OR w.k = 0) AND w.shut <> e.section THEN greatest(w.room - e.tokens, 0) ELSE w.room END,
-    CASE WHEN (e.tokens <= w.room OR w.k = 0) AND w.shut <> e.section THEN w.shut ELSE e.section END, e.section, e.rank, (e.tokens <= w.room OR w.k = 0) AND w.shut <> e.section
-  FROM w JOIN e ON e.session_key = w.session_key AND e.k = w.k + 1)
+  SELECT session_key, k, CASE WHEN kept THEN greatest(remaining - cost, 0) ELSE remaining END, section, rank, kept, NOT kept FROM (
+    SELECT e.session_key, e.k, w.remaining, e.cost, e.section, e.rank, CASE WHEN e.nth = 1 THEN true WHEN w.broken THEN false ELSE e.cost <= w.remaining END AS kept
+    FROM w JOIN e ON e.session_key = w.session_key AND e.k = w.k + 1))
 SELECT session_key, section, rank FROM w WHERE kept"""
 )
 def ledger_slice(spark, sf_dir):

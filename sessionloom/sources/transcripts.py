@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PROVIDERS = ("tree", "rollout", "journal")
@@ -35,7 +35,8 @@ def source_hash(lines: DataFrame) -> DataFrame:
 def profile(lines: DataFrame, head: int = 60) -> DataFrame:
     """session_key, n_lines, first_line, last_line, head (the first ``head`` lines) of the non-blank lines of each main file."""
     own = lines.where((F.col("path_ix") == 0) & (F.trim("raw") != ""))
-    kept = F.slice(F.array_sort(F.collect_list(F.when(F.col("line_no") <= 4 * head, F.struct("line_no", "raw")))), 1, head)
+    own = own.withColumn("_n", F.row_number().over(Window.partitionBy("session_key").orderBy("line_no")))
+    kept = F.array_sort(F.collect_list(F.when(F.col("_n") <= head, F.struct("line_no", "raw"))))
     return own.groupBy("session_key").agg(
         F.count("*").alias("n_lines"), F.min_by("raw", "line_no").alias("first_line"), F.max_by("raw", "line_no").alias("last_line"), F.transform(kept, lambda x: x["raw"]).alias("head")
     )
@@ -86,10 +87,17 @@ def summaries(lines: DataFrame) -> DataFrame:
     ).withColumn("id", F.coalesce("id", id_from_filename(F.col("session_key"))))
 
 
-def matching(found: DataFrame, project: str | None = None, query: str | None = None, limit: int | None = None) -> DataFrame:
-    """Summaries of a project (its folder or one below it; all, if none matches) whose title, first message or folder hold the query, latest first."""
+def in_project(cwd: Column, folder: str, up: bool = False) -> Column:
+    """Whether a session's folder is the given one or, with ``up``, one above it."""
+    own = cwd == folder
+    above = F.startswith(F.lit(folder), F.concat(F.rtrim(cwd, F.lit("/")), F.lit("/"))) & F.startswith(cwd, F.lit("/"))
+    return F.coalesce(own | above if up else own, F.lit(False))
+
+
+def matching(found: DataFrame, project: str | None = None, query: str | None = None, limit: int | None = None, up: bool = False) -> DataFrame:
+    """Summaries of a project (sessions in its folder and, with ``up``, in those above it; all, if none matches) whose title, first message or folder hold the query, latest first."""
     if project is not None:
-        own = found.where((F.col("cwd") == project) | F.startswith(F.col("cwd"), F.lit(project.rstrip("/") + "/")))
+        own = found.where(in_project(F.col("cwd"), project, up))
         found = found.join(own.select("session_key"), "session_key", "left_semi") if not own.isEmpty() else found
     if query is not None:
         hay = F.lower(F.concat_ws("\n", "title", "first_message", "cwd"))

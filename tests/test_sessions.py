@@ -82,3 +82,65 @@ def test_no_arm_is_left_out(spark):
     asked = spark.createDataFrame([(1,), (2,)], "question_id int")
     got = evaluation.arms_by_questions(arms, asked).collect()
     assert sorted((r["arm"], r["question_id"]) for r in got) == sorted((f"arm{k}", q) for k in range(150) for q in (1, 2))
+
+
+def test_malformed_operations_are_refused(spark):
+    from sessionloom.operators import state
+
+    source = {"start": 1, "end": 2}
+    odd = [
+        {"op": "drop"}, {"op": "confirm", "id": "G1"}, {"op": 3}, {"op": "add", "kind": "goal", "text": "x", "sources": [4]}, {"op": "add", "kind": "goal", "text": "x", "sources": [{"start": 1}]},
+        {"op": "add", "kind": ["goal"], "text": "x", "sources": [source]}, {"op": "add", "kind": "goal", "text": 7, "sources": [source]}, {"op": "supersede", "id": "G1"}, {"op": "merge", "merged": {}},
+        {"op": "resolve", "id": "G1", "evt": "2"}, {"op": "update", "id": "G1", "add_sources": 5}, {"op": "add", "kind": "goal", "text": "x", "sources": "1..2"}, {"op": "update", "id": ["G1"]},
+    ]
+    good = {"op": "add", "kind": "goal", "text": "ship it", "sources": [source]}
+    got, refused = state.replay([("c1", state.Batch(0, 5, [1, 2], ["ship it"]), [good]), ("c2", state.Batch(0, 5, [1, 2], []), odd)])
+    assert [i.text for i in got.items] == ["ship it"] and got.items[0].status == "active"
+    assert [(r[0], r[1]) for r in refused] == [("c2", k) for k in range(len(odd))] and all(r[3] for r in refused)
+
+
+def test_ledger_slice_keeps_the_first_of_each_section(spark):
+    rows = [("s", 0, 0, "a" * 40), ("s", 0, 1, "b" * 40), ("s", 0, 2, "c"), ("s", 1, 0, "d" * 400), ("s", 1, 1, "e"), ("s", 2, 0, "f" * 40)]
+    got = S.ledger_slice(spark.createDataFrame(rows, "session_key string, section int, rank int, text string"), 20, 1000).collect()
+    assert sorted((r["section"], r["rank"]) for r in got) == [(0, 0), (1, 0), (2, 0)]  # 12 of 20; 12 don't fit and end it; 102 and 12 are the first of theirs
+    wide = S.ledger_slice(spark.createDataFrame(rows, "session_key string, section int, rank int, text string"), 1000, 1000).collect()
+    assert len(wide) == len(rows)
+
+
+def test_prior_summaries_say_what_they_have(spark):
+    found = spark.createDataFrame([("s", 1, "one\nline"), ("s", 3, None), ("s", 4, "x" * 4000), ("s", 5, "four"), ("s", 7, "late")], "session_key string, evt int, text string")
+    chunks = spark.createDataFrame([("s", 0, 1), ("s", 1, 2), ("s", 2, 7)], "session_key string, chunk int, evt_start int")
+    got = {}
+    for r in S.prior_summaries(found, chunks).collect():
+        got.setdefault(r["chunk"], {})[r["evt"]] = r["text"]
+    assert got[1] == {1: "one line"} and set(got) == {1, 2} and set(got[2]) == {3, 4, 5}
+    assert got[2][3] == S.NO_SUMMARY and len(got[2][4]) < 1700
+
+
+def test_projects_are_folders_and_those_above(spark):
+    from sessionloom.sources import transcripts
+
+    own = spark.createDataFrame([("a", "/w/a/b"), ("b", "/w/a"), ("c", "/w/a/b/c"), ("d", "/w/a/bc"), ("e", "/"), ("f", None), ("g", "w")], "session_key string, cwd string").withColumns({c: F.lit(None).cast("string") for c in ("title", "first_message", "started_at")})
+    keys = lambda **k: {r["session_key"] for r in transcripts.matching(own, **k).collect()}
+    assert keys(project="/w/a/b") == {"a"} and keys(project="/w/a/b", up=True) == {"a", "b", "e"} and keys(project="/none") == set("abcdefg")
+
+
+def test_quotes_with_and_without_inner_words(spark):
+    from sessionloom.operators import joins
+
+    texts = ["the quick brown fox jumps over the lazy dog today", "a  " + "x" * 30 + " end", "quick\tbrown  fox jumps over it all", "", None, "y" * 23, "zz " + "q" * 12 + " " + "r" * 12 + " zz", "the quick brown fox jumps over the lazy dog today"]
+    quotes = ["quick brown fox jumps over the", "x" * 24, "brown  fox jumps over it all", "y" * 23, "q" * 12 + " " + "r" * 12, "nothing of this is anywhere here", None, "ick brown fox jumps over the laz", "x" * 24]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").withColumn("_n", F.lit(1))
+    q = spark.createDataFrame(list(enumerate(quotes)), "item_id int, quote string")
+    want = sorted((i, d) for i, x in enumerate(quotes) for d, y in enumerate(texts) if x and y and len(x) >= 24 and x in y)
+    assert sorted((r["item_id"], r["doc_id"]) for r in joins.contained(q, t, "quote", "text").collect()) == want
+
+
+def test_arc_shows_six_at_most(spark):
+    turns = spark.createDataFrame([("s", i) for i in range(11)] + [("t", i) for i in range(12)] + [("u", i) for i in range(7)], "session_key string, evt int")
+    got = {}
+    from sessionloom.operators import segment
+
+    for r in segment.arc(turns).collect():
+        got.setdefault(r["session_key"], []).append(r["evt"])
+    assert {k: sorted(v) for k, v in got.items()} == {"s": [1, 2, 3, 4, 5, 6], "t": [1, 3, 5, 7, 9]}

@@ -66,5 +66,9 @@ def test_redaction(spark):
     assert all(R.REDACTED in o and o.startswith("a ") for o in out)
     assert one(spark, R.redact(F.col("t"), "off"), secrets[1]) == [secrets[1]]
     assert one(spark, R.redact(F.col("t"), "strict"), "me@x.org at 10.0.0.1") == [f"{R.REDACTED} at {R.REDACTED}"]
+    keys = one(spark, R.redact(F.col("t")), "MyDbPassword=hunter2hunter2", "private_key: abcdefgh12", "stoken_id = 'abcdefgh'", "the token of it")
+    assert all(R.REDACTED in k for k in keys[:3]) and keys[3] == "the token of it"
+    plain, mixed = "-" * 40, "aB3xK9qLm2Zt7Rw5Yp8Vc4Nd6Hf1Jg0SeU"
+    assert one(spark, R.redact(F.col("t"), "strict"), f"{plain} {mixed}", "a-simple-kebab-" * 3) == [f"{plain} {R.REDACTED}", "a-simple-kebab-" * 3]
     with pytest.raises(ValueError, match="mode"):
         R.classes("odd")
