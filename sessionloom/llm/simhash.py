@@ -13,8 +13,14 @@ lost, whatever the data.
 Distinct fingerprints are compared, never documents: a thousand exact copies are one fingerprint.
 Buckets stream through sorted partitions and give a spanning forest, never all pairs.  A bucket beyond
 ``bucket_limit`` goes on to another level, which masks the bits not yet used in the same covering
-way; keys double in length with each level (about 32, 48, 56 bits), so that the third level's buckets
-hold a few hundred fingerprints at most.
+way; keys grow with each level (about 32, 48, 56 bits), so that the third level's buckets differ in some
+eight bits and hold a few hundred distinct fingerprints.
+
+``first_of_copies`` groups by a wider rule, for near copies whose shingle fingerprints are too far apart.  A changed word changes as many
+shingles as a shingle has words, but only one or two of a text's distinct words, so fingerprints of the distinct words
+stay within the radius; several with hashes of their own make up for each other's misses.  Pairs within the radius of such a
+word fingerprint are linked if their shingle fingerprints differ in at most ``side`` bits, which are 13 of 64 for a similarity
+of 0.8 of the five-word shingles (8.7 bits differ on average at 0.8, with a deviation of 2.7).
 """
 
 from __future__ import annotations
@@ -24,9 +30,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from sessionloom.llm.common import drop_written, own_columns, table, text_batches, written
 
@@ -35,6 +41,23 @@ RADIUS = 4
 BUCKET_LIMIT = 4096
 LEVELS = 3
 PRINT = "simhash_fingerprint"
+SEEDS = 3
+SIDE = 13
+#: A key with more than this share of all rows is hot: there are at most as many such keys as its inverse.
+HOT = 1000
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes set."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 65536):
+        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -42,7 +65,22 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
     A bit that exactly half of the hashes set is 0.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
+    return shingle_print(words_of(text), shingle)
+
+
+def word_prints(words: list[bytes], seeds: int = SEEDS) -> list[int]:
+    """Fingerprints of the distinct words, one for each seed; 0 without a word."""
+    digest = xxhash.xxh64_intdigest
+    h = np.array([digest(w, 42) for w in sorted(set(words))], np.uint64)
+    out = []
+    for k in range(seeds):
+        g = (h ^ h >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)
+        g = (g ^ g >> np.uint64(29)) * np.uint64(0xD6E8FEB86659FD93)
+        out.append(_majority(g ^ g >> np.uint64(32)) if len(g) else 0)
+    return out
+
+
+def shingle_print(words: list[bytes], shingle: int = SHINGLE) -> int:
     if not words:
         return 0
     joined = b" ".join(words)
@@ -54,11 +92,7 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
     hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n).view(">u8")[0])
+    return _majority(hashes)
 
 
 def _signed(x: int) -> int:
@@ -77,37 +111,40 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return own_columns(docs, doc_id="long", text="string").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def _append_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text"))
-        prints = [f"{fingerprint(texts[i].as_py()):016x}" for i in range(len(texts))]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.string())], [*batch.schema.names, PRINT])
-
-
-def with_fingerprints(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a column simhash_fingerprint, 16 hexadecimal digits."""
-    kinds = [*docs.schema.fields, T.StructField(PRINT, T.StringType())]
-    return text_batches(docs).mapInArrow(_append_fingerprints, T.StructType(kinds))
+        texts, rows = batch.column(0), []
+        for i in range(len(texts)):
+            words = words_of(texts[i].as_py())
+            rows.append([_signed(x) for x in (shingle_print(words), *word_prints(words))])
+        kinds = ["side", *(f"w{k}" for k in range(SEEDS))]
+        found = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(kinds))]
+        yield pa.RecordBatch.from_arrays([*found, *batch.columns[1:]], [*kinds, *batch.schema.names[1:]])
 
 
 def covering_masks(positions: list[int], radius: int = RADIUS) -> list[int]:
-    """The ``2 ** (radius + 1) - 1`` masks over the given bit positions."""
+    """The ``2 ** (radius + 1) - 1`` masks over the given bit positions.
+
+    The vectors of one bit come first, so that any ``radius + 1`` positions span all dimensions and no mask is empty.
+    """
     size = 1 << (radius + 1)
-    of = {p: 1 + k % (size - 1) for k, p in enumerate(positions)}
-    return [sum(1 << p for p, m in of.items() if bin(m & v).count("1") % 2) for v in range(1, size)]
+    vectors = sorted(range(1, size), key=lambda m: (m & m - 1 != 0, m))
+    of = {p: vectors[k % (size - 1)] for k, p in enumerate(positions)}
+    return [sum(1 << p for p, m in of.items() if (m & v).bit_count() % 2) for v in range(1, size)]
 
 
 def _unused(mask: int) -> list[int]:
     return [p for p in range(64) if not mask >> p & 1]
 
 
-def _spanning(fps: np.ndarray, radius: int, block: int = 1024) -> list[tuple[int, int]]:
-    """Links within one bucket: a spanning forest of the pairs within the radius, smallest root first."""
-    fps = np.sort(fps)
-    n = len(fps)
-    if n == 2:
-        a, b = int(fps[0]), int(fps[1])
-        return [(a, b)] if ((a ^ b) & 0xFFFFFFFFFFFFFFFF).bit_count() <= radius else []
+def _spanning(rows: np.ndarray, radius: int, side: int | None, block: int = 1024) -> list[tuple[int, int]]:
+    """Links within one bucket: a spanning forest of the pairs within the radius, smallest root first.
+
+    ``rows`` has a row for each of fp (and node and its shingle fingerprint, if ``side`` bounds the differences of these).
+    """
+    rows = rows[:, np.argsort(rows[0] if side is None else rows[1])]
+    names = rows[0] if side is None else rows[1]
+    n = rows.shape[1]
     parent = list(range(n))
 
     def root(x: int) -> int:
@@ -116,91 +153,89 @@ def _spanning(fps: np.ndarray, radius: int, block: int = 1024) -> list[tuple[int
             x = parent[x]
         return x
 
-    bits = fps.view(np.uint64)
+    bits = rows[0].view(np.uint64)
+    sides = None if side is None else rows[2].view(np.uint64)
     out = []
     for lo in range(0, n, block):
         for at in range(lo, n, block):
             near = np.bitwise_count(bits[lo : lo + block, None] ^ bits[None, at : at + block]) <= radius
+            if sides is not None:
+                near &= np.bitwise_count(sides[lo : lo + block, None] ^ sides[None, at : at + block]) <= side
             i, j = np.nonzero(near)
             keep = j + at > i + lo
             for x, y in zip((i[keep] + lo).tolist(), (j[keep] + at).tolist(), strict=True):
                 rx, ry = root(x), root(y)
                 if rx != ry:
                     parent[max(rx, ry)] = min(rx, ry)
-                    out.append((int(fps[x]), int(fps[y])))
+                    out.append((int(names[x]), int(names[y])))
     return out
 
 
-def _link_buckets(radius: int, limit: int):
-    """Rows sorted by (t, key, fp) -> links, and the rows of buckets beyond ``limit``."""
-
-    def emit(t: int, fps: np.ndarray, links: list, over: list) -> None:
-        if len(fps) < 2:
-            return
-        if limit and len(fps) > limit:
-            over.extend((t, x) for x in fps.tolist())
-        else:
-            links.extend(_spanning(fps, radius))
+def _link_buckets(radius: int, limit: int, side: int | None = None):
+    """Rows sorted by (t, key, fp), of t, key and what ``_spanning`` takes -> links, and the rows of buckets beyond ``limit``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         held_id, spilled = None, False
         for batch in batches:
-            t, key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            t, key, *own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns))
             if not len(t):
                 continue
+            rows = np.stack(own)
             links: list[tuple[int, int]] = []
-            over: list[tuple[int, int]] = []
+            over: list[tuple[int, np.ndarray]] = []
             cuts = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1
             bounds = [0, *cuts.tolist(), len(t)]
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 this = (int(t[lo]), int(key[lo]))
                 if this != held_id:
-                    if held_id is not None and not spilled and (len(held) > 1 or len(held[0]) > 1):
-                        emit(held_id[0], np.concatenate(held), links, over)
+                    if held_id is not None and not spilled and sum(x.shape[1] for x in held) > 1:
+                        links += _spanning(np.concatenate(held, axis=1), radius, side)
                     held, held_id, spilled = [], this, False
-                held.append(fp[lo:hi])
-                if limit and (spilled or sum(map(len, held)) > limit):  # a bucket is never held beyond the limit, and spills to its end
-                    over.extend((held_id[0], x) for part in held for x in part.tolist())
-                    held, spilled = [np.zeros(0, np.int64)], True
-            yield _link_batch(links, over)
-        if held_id is not None and not spilled and held:
-            links, over = [], []
-            emit(held_id[0], np.concatenate(held), links, over)
-            yield _link_batch(links, over)
+                held.append(rows[:, lo:hi])
+                if limit and (spilled or sum(x.shape[1] for x in held) > limit):  # a bucket is never held beyond the limit, and spills to its end
+                    over += [(held_id[0], x) for x in held]
+                    held, spilled = [], True
+            yield _link_batch(links, over, len(own))
+        if held_id is not None and not spilled and sum(x.shape[1] for x in held) > 1:
+            yield _link_batch(_spanning(np.concatenate(held, axis=1), radius, side), [], len(held[0]))
 
     return run
 
 
-def _link_batch(links: list[tuple[int, int]], over: list[tuple[int, int]]) -> pa.RecordBatch:
-    rows = [(a, b, None) for a, b in links] + [(x, x, t) for t, x in over]
-    cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], ["a", "b", "over"])
-
+def _link_batch(links: list[tuple[int, int]], over: list[tuple[int, np.ndarray]], width: int) -> pa.RecordBatch:
+    """a, b of the links; over (the table), fp, node and side of the others."""
+    a, b = zip(*links, strict=True) if links else ((), ())
+    rows = np.concatenate([x for _, x in over], axis=1) if over else np.zeros((width, 0), np.int64)
+    tables = np.repeat(np.array([t for t, _ in over], np.int64), [x.shape[1] for _, x in over]) if over else np.zeros(0, np.int64)
+    cols = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(tables), pa.int64())]) for x in (a, b)]
+    return pa.RecordBatch.from_arrays([*cols, *(pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(x)]) for x in (tables, *rows))], ["a", "b", "over", "fp", "node", "side"][: 3 + width])
 
-def _level(rows: DataFrame, tables: DataFrame, radius: int, limit: int, level: int) -> DataFrame:
-    """One level: rows (at, fp) under each of the masks (at, t, mask) of their table, bucketed and linked."""
-    keyed = rows.join(F.broadcast(tables), "at").select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")  # masks: LEVELS and the radius bound them
-    dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-    return written(dealt.mapInArrow(_link_buckets(radius, limit), "a long, b long, over long"), f"simhash-links-{level}")
 
+def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, side: int | None = None) -> DataFrame:
+    """a, b: links that connect exactly the fingerprints (column fp, distinct) within the radius.
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """a, b: links that connect exactly the fingerprints (column fp, distinct) within the radius."""
+    With ``side``, rows are (fp, node, side): nodes are linked whose fps are within the radius and whose sides are within ``side`` bits.  Buckets of the last
+    level are held whole: their rows differ in a few bits of fp only.
+    """
     spark = distinct.sparkSession
+    own = ["fp"] if side is None else ["fp", "node", "side"]
     masks, out = {0: 0}, None
-    rows = distinct.select(F.lit(0).cast("long").alias("at"), "fp")
+    rows = distinct.select(F.lit(0).cast("long").alias("at"), *own)
+    schema = "a long, b long, over long, " + ", ".join(f"{c} long" for c in own)
     for level in range(1, LEVELS + 1):
         finer = [(at, at * 64 + k + 1, m | mask) for at, m in masks.items() for k, mask in enumerate(covering_masks(_unused(m), radius))]
         tables = spark.createDataFrame([(at, t, _signed(m)) for at, t, m in finer], "at long, t long, mask long")
-        found = _level(rows, tables, radius, bucket_limit if level < LEVELS else 0, level)
+        keyed = rows.join(F.broadcast(tables), "at").select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), *own)  # masks: LEVELS and the radius bound them
+        dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+        found = written(dealt.mapInArrow(_link_buckets(radius, bucket_limit if level < LEVELS else 0, side), schema), f"simhash-links-{level}")
         linked = found.where("over IS NULL").select("a", "b")
         out = linked if out is None else out.unionByName(linked)
         over = {r["over"] for r in found.where("over IS NOT NULL").select("over").distinct().collect()}  # tables of the level: 31, then 961
         if not over:
             break
         masks = {t: m for _, t, m in finer if t in over}
-        rows = found.where("over IS NOT NULL").select(F.col("over").alias("at"), F.col("a").alias("fp"))
+        rows = found.where("over IS NOT NULL").select(F.col("over").alias("at"), *own)
     return out
 
 
@@ -239,13 +274,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     before = None
     for k in range(1, max_rounds + 1):
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
         # large star: the larger neighbours of each node link to its smallest
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = join_hot(both, least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = written(large, f"cc-{k}-large")
         # small star: a node and its smaller neighbours link to the smallest of them
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.col("b").alias("x"), "m", "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_hot(large, low, "a").select(F.col("b").alias("x"), "m", "a")
         nxt = small.select(F.col("x").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         nxt = written(nxt, f"cc-{k}")
         drop_written(e)
@@ -262,6 +297,56 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
+    """``rows`` inner-joined with ``by_key``, which has one row and the number ``n`` of rows for each key.
+
+    Keys with more than a HOT-th of all rows, at most HOT of them, are broadcast, so that their rows stay where they are; the others are
+    joined by shuffle.
+    """
+    by_key = written(by_key, "join-keys")
+    total = by_key.agg(F.sum("n")).first()[0] or 0
+    hot, cold = by_key.where(F.col("n") > total // HOT).drop("n"), by_key.where(F.col("n") <= total // HOT).drop("n")
+    marked = rows.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
+    near = marked.where("_hot").drop("_hot").join(F.broadcast(hot), key)
+    return near.unionByName(marked.where("_hot IS NULL").drop("_hot").join(cold, key))
+
+
+def _address(docs: DataFrame) -> DataFrame:
+    """``docs``, read from files, with _file and _row: where each row stands."""
+    meta = F.col("_metadata")
+    return docs.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
+
+
+def first_of_copies(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, side: int = SIDE) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their group of near copies: the smallest doc_id, then the place in the files.
+
+    Documents are grouped by the word fingerprints and the shingle fingerprint (see above), which also holds pairs within ``radius`` of each other by the
+    shingle fingerprint alone.  One row of each group stays, whatever ids repeat; a row without an id stays only where
+    none of its group has one.  Rows without a word are copies of each other.  ``docs`` is written first if it isn't read from files.  An empty
+    table gives an empty result.
+    """
+    try:
+        placed = _address(docs)
+    except AnalysisException:
+        docs = written(docs, "simhash-docs")
+        placed = _address(docs)
+    own = text_batches(placed).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), "_file", "_row")
+    kinds = ["side", *(f"w{k}" for k in range(SEEDS))]
+    schema = ", ".join(f"{c} long" for c in (*kinds, "doc_id")) + ", _file string, _row long"
+    prints = own.mapInArrow(_all_prints, schema).withColumn("node", F.xxhash64(*kinds))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")).alias("first")
+    nodes = written(prints.groupBy("node", *kinds).agg(first), "simhash-nodes")
+    found = links(nodes.select(F.col("w0").alias("fp"), "node", "side"), radius, bucket_limit, side)
+    for k in range(1, SEEDS):
+        found = found.unionByName(links(nodes.select(F.col(f"w{k}").alias("fp"), "node", "side"), radius, bucket_limit, side))
+    found = found.unionByName(links(nodes.select(F.col("side").alias("fp"), "node", "side"), radius, bucket_limit, radius))
+    comp = written(components(found), "simhash-components")
+    # nodes are distinct on both sides; the minima of a group are combined before they are shuffled
+    grouped = nodes.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
+    keep = written(grouped.select("first._file", "first._row"), "simhash-first")
+    return placed.join(keep, ["_file", "_row"], "left_semi").select(docs.columns)
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
     """doc_id, fingerprint, component_id for each row of ``docs`` (doc_id, text).
 
@@ -271,14 +356,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = B
     other columns are not read.
     """
     prints = written(fingerprints(docs), "simhash-prints")
-    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-distinct")
     comp = written(components(links(distinct, radius, bucket_limit)), "simhash-components")
     # fingerprints in a component of several; the others stand alone with their own copies
-    labelled = distinct.join(comp, distinct.fp == comp.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    labelled = written(labelled, "simhash-labelled")
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = written(labelled.select("fp", "root").join(least, "root").select("fp", "component_id"), "simhash-classes")
-    return prints.join(by_print, "fp").select(
+    several = written(distinct.join(comp.withColumnRenamed("node", "fp"), "fp"), "simhash-several")
+    least = several.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of_several = join_hot(several.select("fp", "root", F.col("n").alias("copies")), least, "root").select("fp", "component_id", F.col("copies").alias("n"))
+    alone = distinct.join(several.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"), "n")
+    return join_hot(prints, of_several.unionByName(alone), "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",

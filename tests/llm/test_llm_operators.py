@@ -113,7 +113,7 @@ def test_full_buckets_of_several_batches_lose_no_row(spark):
     signed = np.sort(np.array(prints, np.uint64).view(np.int64))
     for n in (65, 149, 151, len(signed)):
         batches = [pa.RecordBatch.from_arrays([pa.array([2] * len(x)), pa.array([0] * len(x)), pa.array(x)], ["t", "key", "fp"]) for x in np.split(signed[:n], range(50, n, 50))]
-        over = [x for b in simhash._link_buckets(1, 64)(iter(batches)) for x in b.column(0).to_pylist()]
+        over = [x for b in simhash._link_buckets(1, 64)(iter(batches)) for x in b.column(3).drop_null().to_pylist()]
         assert over == signed[:n].tolist()
     key, df = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.createDataFrame([(int(p),) for p in signed], "fp long")
     before = spark.conf.get(key)
@@ -130,6 +130,48 @@ def test_full_buckets_of_several_batches_lose_no_row(spark):
             assert same == (classes[i] == classes[j])
 
 
+def test_finer_masks_leave_no_table_empty():
+    for n in (5, 8, 15, 31, 32, 64):
+        masks, rng = simhash.covering_masks(list(range(n))), random.Random(n)
+        assert len(set(masks)) == 31 and all(masks)
+        for _ in range(300):
+            diff = sum(1 << b for b in rng.sample(range(n), rng.randrange(5)))
+            assert any(diff & m == 0 for m in masks)
+
+
+def five_word_similarity(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_first_of_copies_catches_near_copies(spark):
+    """Edited copies of 0.8 and more by plain five-word similarity go, others stay, whatever the ids."""
+    rng = random.Random(21)
+    rows, gone, stay = [], 0, 0
+    for i in range(120):
+        base = text(rng, rng.randrange(60, 400)).split()
+        rows.append((i, " ".join(base)))
+        edited = list(base)
+        for at in rng.sample(range(len(base)), max(1, int(len(base) * rng.choice([0.01, 0.018, 0.3])))):
+            edited[at] = rng.choice([edited[at] + ".", edited[at].upper(), rng.choice(WORDS), ""])
+        copy = " ".join(edited)
+        same = five_word_similarity(" ".join(base), copy)
+        if same >= 0.8 or same < 0.4:
+            rows.append((1000 + i, copy))
+            gone, stay = gone + (same >= 0.8), stay + (same < 0.4)
+    rows += [(500, rows[0][1]), (None, rows[0][1]), (0, rows[0][1]), (7000, None), (7001, ""), (None, "no id at all here"), (None, "no id at all here"), (0, text(rng, 50))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"fp": F.lit("x"), "side": F.lit("y"), "root": F.lit("z")})
+    kept = simhash.first_of_copies(docs)
+    assert kept.columns == docs.columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    late = {i for i in ids if i is not None and 1000 <= i < 2000}
+    caught = gone + stay - len(late)
+    assert gone > 40 and stay > 20 and len(late) >= stay and caught >= 0.9 * gone
+    assert {i for i in ids if i is not None and i < 120} == set(range(120)) and ids.count(0) == 2  # two texts have the id 0
+    assert 500 not in ids and ids.count(None) == 1 and 7000 in ids and 7001 not in ids
+    assert simhash.first_of_copies(docs.limit(0)).collect() == []
+
+
 def test_top_k_is_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
