@@ -20,26 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates; one row of it, if its id comes more than once.
-
-    Rows without doc_id can't be told apart and stay only where no document of their group has one: one row for each.
-    """
-    classes = written(simhash.near_duplicates(docs), "pipeline-classes")
-    keep = classes.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(_without_id(docs, classes)).select(docs.columns)
-
-
-def _without_id(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the rows without doc_id, one for each fingerprint whose group has no id at all."""
-    loose = docs.where("doc_id IS NULL")
-    if classes.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        return loose.limit(0)
-    found = simhash.near_duplicates(loose.select(F.monotonically_increasing_id().alias("doc_id"), "text"))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("fingerprint").alias(simhash.PRINT)).distinct()
-    alone = classes.where("doc_id IS NULL AND component_id IS NULL").select(F.col("fingerprint").alias(simhash.PRINT)).distinct()
-    prints = simhash.with_fingerprints(loose)
-    return prints.join(keep.join(alone, simhash.PRINT, "left_semi"), simhash.PRINT, "left_semi").dropDuplicates([simhash.PRINT]).drop(simhash.PRINT)
+    """The first document of each group of near copies: that with the smallest doc_id, then the first in the files."""
+    return simhash.first_of_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
