@@ -8,8 +8,8 @@ probability ``p ** k``; the popcounts are corrected for that, language by langua
 A language contains an n-gram if its rate there is at least ``min_share`` of the highest rate that any language
 has, so that stray words of one language in another's documents do no harm.
 
-The model is learned from a bounded sample of labelled rows (``max_per_lang`` of each language, by hash of the id);
-every whole text is then scored.
+The model is learned from a bounded sample of labelled rows (``max_per_lang`` of each language, by hash of the id), from all of
+its n-grams; the filter is a bit array of fixed size for each language, whose blocks the executors build.  Every whole text is then scored.
 """
 
 from __future__ import annotations
@@ -20,8 +20,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.llm.common import own_columns, table, written
@@ -30,9 +31,10 @@ MAX_PER_LANG = 2500
 ORDERS = (2, 3, 4)
 MIN_COUNT = 3
 MIN_SHARE = 0.25
-MAX_GRAMS = 400_000
 HASHES = 3
-SLOTS_PER_GRAM = 12
+SLOT_BITS = 22
+BLOCK_BITS = 16
+MAX_LANGUAGES = 1024
 UNKNOWN = "und"
 STEP_CHARS = 1 << 19
 
@@ -53,6 +55,11 @@ def letters() -> np.ndarray:
     return _letters
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter: a mark alone is none."""
+    return any(map(str.isalpha, text))
+
+
 def codes(text: str) -> np.ndarray:
     """Lower-cased code points with a space for whatever is no letter, and a space at either end."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -90,17 +97,14 @@ class Filters:
         return [((h >> np.uint64(7)) + np.uint64(k) * second) & mask for k in range(HASHES)]
 
     @classmethod
-    def build(cls, languages: list[str], hashes: np.ndarray, members: list[list[int]]) -> Filters:
-        """``members[i]``: the languages (by number) that contain n-gram ``hashes[i]``."""
-        size = 1 << max(10, math.ceil(math.log2(max(1, len(hashes)) * SLOTS_PER_GRAM)))
+    def of_blocks(cls, languages: list[str], blocks: list[tuple[int, int, bytes]], bits: int) -> Filters:
+        """From the blocks (number, word of 64 languages, the slots as 64-bit numbers) of a filter of 2 ** bits slots."""
         width = np.uint8 if len(languages) <= 8 else np.uint16 if len(languages) <= 16 else np.uint64
-        slots = [np.zeros(size, width) for _ in range(-(-len(languages) // 64) or 1)]
-        at = cls.positions(hashes, size)
-        for lang in range(len(languages)):
-            own = np.fromiter((lang in m for m in members), bool, len(members))
-            for p in at:
-                slots[lang // 64][p[own]] |= width(1 << (lang % 64))
-        fill = np.array([np.count_nonzero(slots[i // 64] >> width(i % 64) & width(1)) / size for i in range(len(languages))])
+        slots = [np.zeros(1 << bits, width) for _ in range(-(-len(languages) // 64) or 1)]
+        for number, word, data in blocks:
+            part = np.frombuffer(data, "<u8")
+            slots[word][number << BLOCK_BITS : (number << BLOCK_BITS) + len(part)] = part.astype(width)
+        fill = np.array([np.count_nonzero(slots[i // 64] >> width(i % 64) & width(1)) / (1 << bits) for i in range(len(languages))])
         return cls(languages, slots, fill**HASHES)
 
     def lookup(self, h: np.ndarray) -> list[np.ndarray]:
@@ -146,7 +150,7 @@ class Filters:
         share = np.clip((found - n[:, None] * self.chance) / (1 - np.minimum(self.chance, 0.999999)) / np.maximum(n, 1)[:, None], 0, 1)
         langs, scores = [], []
         for i, t in enumerate(texts):
-            if t is None or not (each[i] != _SPACE).any() or not self.languages:
+            if t is None or not has_letter(t) or not self.languages:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
             else:
@@ -179,29 +183,64 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(by)
 
 
-def fit(labelled: DataFrame, max_per_lang: int = MAX_PER_LANG, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, max_grams: int = MAX_GRAMS) -> Filters:
+def _slots(bits: int):
+    """Rows (gram, langs: numbers) -> slot, word, mask: the bits that the n-grams of a batch set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs = b.column(1)
+            lengths = np.diff(langs.offsets.to_numpy())
+            numbers = langs.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            h = np.repeat(b.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), lengths)
+            at = np.concatenate([p.astype(np.int64) for p in Filters.positions(h, 1 << bits)])
+            word, mask = np.tile(numbers // 64, HASHES), np.uint64(1) << np.tile(numbers % 64, HASHES).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(word.astype(np.int32)), pa.array(mask.view(np.int64))], ["slot", "word", "mask"])
+
+    return run
+
+
+def _block(frame: pd.DataFrame) -> pd.DataFrame:
+    data = np.zeros(1 << BLOCK_BITS, "<u8")
+    data[(frame["slot"] & (1 << BLOCK_BITS) - 1).to_numpy()] = frame["mask"].to_numpy(np.int64).view(np.uint64)
+    return pd.DataFrame({"block": [int(frame["block"].iloc[0])], "word": [int(frame["word"].iloc[0])], "data": [data.tobytes()]})
+
+
+def filters(members: DataFrame, languages: list[str], bits: int = SLOT_BITS) -> Filters:
+    """The filters of ``members`` (gram, langs: numbers in ``languages``), of any number of rows.
+
+    Tasks set the bits of their n-grams, the bits of a slot are joined by OR before and after one shuffle, and the driver gets the blocks of
+    the finished array, whose size is fixed: 2 ** bits slots for each 64 languages.
+    """
+    set_ = members.mapInArrow(_slots(bits), "slot long, word int, mask long").groupBy("slot", "word").agg(F.bit_or("mask").alias("mask"))
+    dealt = set_.withColumn("block", F.shiftright("slot", min(BLOCK_BITS, bits)))
+    blocks = dealt.groupBy("block", "word").applyInPandas(_block, "block long, word int, data binary").collect()
+    return Filters.of_blocks(languages, [(r["block"], r["word"], bytes(r["data"])) for r in blocks], max(bits, BLOCK_BITS))
+
+
+def fit(labelled: DataFrame, max_per_lang: int = MAX_PER_LANG, min_count: int = MIN_COUNT, min_share: float = MIN_SHARE, max_languages: int = MAX_LANGUAGES) -> Filters:
     """The filters of a sample of ``labelled`` (doc_id, text, lang): about ``max_per_lang`` rows of each language, all of a rarer one.
 
-    Rows with a null text, language or id are not learned from.  The ``max_grams`` n-grams with the highest rate in any
-    language are kept; the model therefore has a bounded size.
+    Rows with a null text, language or id are not learned from.  All n-grams that the sample has ``min_count`` times in a language are members.  More than
+    ``max_languages`` different languages are refused with a ValueError: such a column holds something else.
     """
     own = own_columns(labelled, doc_id="long", text="string", lang="string")
-    sizes = own.where("doc_id IS NOT NULL AND lang IS NOT NULL").groupBy("lang").count().collect()  # a row for each language
-    if not sizes:
-        return Filters.build([], np.zeros(0, np.uint64), [])
-    languages = sorted(r["lang"] for r in sizes)
+    counted = own.where("doc_id IS NOT NULL AND lang IS NOT NULL").groupBy("lang").count()
+    sizes = written(counted, "language-sizes")
+    languages = sorted(r["lang"] for r in sizes.select("lang").limit(max_languages + 1).collect())
+    if len(languages) > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    if not languages:
+        return Filters(languages, [np.zeros(1, np.uint8)], np.zeros(0))
     buckets = 1 << 20
-    share = F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(math.ceil(buckets * min(1.0, max_per_lang / r["count"]))))])
-    sample = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) < F.element_at(share, F.col("lang"))).dropna()
+    named = F.broadcast(sizes.select("lang", F.ceil(F.least(F.lit(1.0), max_per_lang / F.col("count")) * buckets).alias("most"), (F.row_number().over(Window.orderBy("lang")) - 1).alias("number")))  # max_languages rows
+    sample = own.dropna().join(named, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)) < F.col("most"))
     counts = sample.select("text", "lang").mapInArrow(_counts, "lang string, gram long, n long")
     counts = written(counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    rates = counts.where(F.col("n") >= min_count).join(F.broadcast(totals), "lang").select("gram", "lang", (F.col("n") / F.col("total")).alias("rate"))
-    highest = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "lang")).alias("in"))  # a row for each language
-    kept = highest.select("gram", "top", F.transform(F.filter("in", lambda x: x["rate"] >= min_share * F.col("top")), lambda x: x["lang"]).alias("langs"))
-    rows = kept.orderBy(F.desc("top"), "gram").limit(max_grams).select("gram", "langs").toPandas()
-    number = {lang: k for k, lang in enumerate(languages)}
-    return Filters.build(languages, rows["gram"].to_numpy(np.int64).view(np.uint64), [[number[x] for x in m] for m in rows["langs"]])
+    rates = counts.where(F.col("n") >= min_count).join(F.broadcast(totals), "lang").join(named, "lang").select("gram", "number", (F.col("n") / F.col("total")).alias("rate"))
+    highest = rates.groupBy("gram").agg(F.max("rate").alias("top"), F.collect_list(F.struct("rate", "number")).alias("in"))  # a row for each language
+    members = highest.select("gram", F.transform(F.filter("in", lambda x: x["rate"] >= min_share * F.col("top")), lambda x: x["number"]).alias("langs"))
+    return filters(members, languages)
 
 
 def _predict(shared):
@@ -230,7 +269,7 @@ def predict(docs: DataFrame, model: Filters) -> DataFrame:
     the language that sorts first.  Repeated rows and null ids stay.  An empty table gives an empty result; other columns are
     not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by max_grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size
     return own_columns(docs, doc_id="long", text="string").mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double")
 
 

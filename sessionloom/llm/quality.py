@@ -5,9 +5,8 @@ thresholds.  The features ``x`` are presences, hashed to ``2 ** HASH_BITS`` plac
 text, the shares of word shapes (case and trailing marks) and the share of distinct words.  From a fitted model
 come the expected grade and the tail probability ``P(grade >= k)``, by which documents are selected.
 
-Fitting uses a bounded sample of labelled rows (``max_labelled``, by hash of the id); places that fewer than
-``min_docs`` of its documents have, or that don't differ between the grades (chi-square below ``min_chi``),
-carry no weight, so the model is a short list of places and weights.
+Fitting uses a bounded sample of labelled rows (``max_labelled``, by hash of the id).  All hashed places have a weight, held back by the
+ridge alone: the likelihood is minimised by limited-memory BFGS over the sample's presences.
 Scoring reads every whole text.
 """
 
@@ -26,13 +25,11 @@ from pyspark.sql import functions as F
 
 from sessionloom.llm.common import own_columns, table, text_batches, written
 
-HASH_BITS = 30
+HASH_BITS = 20
 MAX_LABELLED = 24_000
-MIN_DOCS = 4
-MAX_FEATURES = 20_000
-RIDGE = 2e-4
-MIN_CHI = 16.0
-STEPS = 220
+RIDGE = 1e-4
+STEPS = 80
+MEMORY = 6
 GRADES = 3
 SELECT_GRADE = 2
 SELECT_PROBABILITY = 0.5
@@ -65,46 +62,90 @@ def features(text: str | None) -> list[int]:
 
 @dataclass(frozen=True)
 class Ordinal:
-    """A fitted model: sorted places, their weights, and the increasing thresholds between the grades."""
+    """A fitted model: a weight for each hashed place, and the increasing thresholds between the grades."""
 
-    places: np.ndarray
     weights: np.ndarray
     thresholds: np.ndarray
 
-    def tails(self, score: float) -> list[float]:
+    def tails(self, text: str | None) -> list[float]:
         """P(grade >= k) for k = 1, 2, ..."""
+        score = float(self.weights[np.array(features(text), np.int64)].sum())
         return [1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds.tolist()]
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, n_cols: int, grades: np.ndarray, n_grades: int, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and thresholds for the presences (rows[i], cols[i]), rows ascending, by full-batch Adam on the mean
-    negative log-likelihood plus ``ridge * |w|^2 / 2``."""
-    n = len(grades)
-    shares = np.cumsum(np.bincount(grades, minlength=n_grades) + 1)[:-1] / (n + n_grades)
+class Presences:
+    """Rows of places, in row order and in place order, for sums along either."""
+
+    def __init__(self, lengths: np.ndarray, places: np.ndarray, size: int):
+        self.n, self.size, self.places = len(lengths), size, places.astype(np.int32)
+        self._rows = np.flatnonzero(lengths)
+        self._row_starts = (np.cumsum(lengths) - lengths)[self._rows]
+        order = np.argsort(self.places, kind="stable")
+        self._row_of = np.repeat(np.arange(self.n, dtype=np.int32), lengths)[order]
+        there, starts = np.unique(self.places[order], return_index=True)
+        self._there, self._place_starts = there, starts
+
+    def by_row(self, weights: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        if len(self._rows):
+            out[self._rows] = np.add.reduceat(weights[self.places], self._row_starts)
+        return out
+
+    def by_place(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.size)
+        if len(self._there):
+            out[self._there] = np.add.reduceat(values[self._row_of], self._place_starts)
+        return out
+
+
+def loss(par: np.ndarray, x: Presences, grades: np.ndarray, n_grades: int, ridge: float) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood plus ``ridge * |w|^2 / 2``, and its slope.
+
+    ``par``: the weights, the first threshold and the logarithms of the steps to the next ones.
+    """
+    n, w = x.n, par[: x.size]
+    up = np.exp(par[x.size + 1 :])
+    th = np.cumsum(np.concatenate([par[x.size : x.size + 1], up]))
+    z, at = x.by_row(w), np.arange(n)
+    cum = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(z[:, None] - th[None, :], -60, 60))), np.ones((n, 1))], axis=1)
+    p = np.maximum(cum[at, grades + 1] - cum[at, grades], 1e-12)
+    slope = cum * (1 - cum)  # of each cumulative probability, by its threshold
+    dz = (slope[at, grades + 1] - slope[at, grades]) / p / n  # of the loss, by z
+    dth = np.zeros((n, n_grades + 1))
+    dth[at, grades + 1] -= slope[at, grades + 1] / p / n
+    dth[at, grades] += slope[at, grades] / p / n
+    back = np.cumsum(dth[:, 1:-1].sum(axis=0)[::-1])[::-1]
+    return float(-np.log(p).mean() + ridge * (w @ w) / 2), np.concatenate([x.by_place(dz) + ridge * w, back[:1], back[1:] * up])
+
+
+def fit_ordinal(x: Presences, grades: np.ndarray, n_grades: int, ridge: float = RIDGE, steps: int = STEPS) -> Ordinal:
+    """The minimum of ``loss`` by limited-memory BFGS with step halving."""
+    shares = np.cumsum(np.bincount(grades, minlength=n_grades) + 1)[:-1] / (x.n + n_grades)
     first = np.log(shares / (1 - shares))
-    par = np.concatenate([np.zeros(n_cols), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
-    m, v = np.zeros_like(par), np.zeros_like(par)
-    at = np.arange(n)
-    for step in range(1, steps + 1):
-        w = par[:n_cols]
-        th = np.cumsum(np.concatenate([par[n_cols : n_cols + 1], np.exp(par[n_cols + 1 :])]))
-        z = np.bincount(rows, weights=w[cols], minlength=n)
-        cum = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(np.clip(z[:, None] - th[None, :], -60, 60))), np.ones((n, 1))], axis=1)
-        p = np.maximum(cum[at, grades + 1] - cum[at, grades], 1e-12)
-        slope = cum * (1 - cum)  # of each cumulative probability, by its threshold
-        dz = (slope[at, grades + 1] - slope[at, grades]) / p / n  # of the loss, by z
-        dth = np.zeros((n, n_grades + 1))
-        dth[at, grades + 1] -= slope[at, grades + 1] / p / n
-        dth[at, grades] += slope[at, grades] / p / n
-        dth = dth[:, 1:-1].sum(axis=0)
-        steps_up = np.exp(par[n_cols + 1 :])
-        back = np.cumsum(dth[::-1])[::-1]
-        grad = np.concatenate([np.bincount(cols, weights=dz[rows], minlength=n_cols) + ridge * w, back[:1], back[1:] * steps_up])
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad * grad
-        par = par - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-    th = np.cumsum(np.concatenate([par[n_cols : n_cols + 1], np.exp(par[n_cols + 1 :])]))
-    return par[:n_cols], th
+    par = np.concatenate([np.zeros(x.size), first[:1], np.log(np.maximum(np.diff(first), 1e-3))])
+    value, grad = loss(par, x, grades, n_grades, ridge)
+    moved: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        way, back = grad.copy(), []
+        for s, y in reversed(moved):
+            back.append((s @ way) / (s @ y))
+            way -= back[-1] * y
+        way *= (moved[-1][0] @ moved[-1][1]) / (moved[-1][1] @ moved[-1][1]) if moved else 1 / max(1.0, float(np.linalg.norm(grad)))
+        for (s, y), a in zip(moved, reversed(back), strict=True):
+            way += s * (a - (y @ way) / (s @ y))
+        length = 1.0
+        while True:
+            new = par - length * way
+            new_value, new_grad = loss(new, x, grades, n_grades, ridge)
+            if new_value <= value - 1e-4 * length * (grad @ way) or length < 1e-8:
+                break
+            length /= 2
+        if (new - par) @ (new_grad - grad) > 1e-12:
+            moved = [*moved, (new - par, new_grad - grad)][-MEMORY:]
+        par, value, grad = new, new_value, new_grad
+        if np.linalg.norm(grad) < 1e-5:
+            break
+    return Ordinal(par[: x.size], np.cumsum(np.concatenate([par[x.size : x.size + 1], np.exp(par[x.size + 1 :])])))
 
 
 def graded(labels: DataFrame) -> DataFrame:
@@ -120,7 +161,7 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), b.column(1)], ["places", "grade"])
 
 
-def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED, min_docs: int = MIN_DOCS, max_features: int = MAX_FEATURES, n_grades: int = GRADES, min_chi: float = MIN_CHI) -> Ordinal:
+def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED, n_grades: int = GRADES, ridge: float = RIDGE) -> Ordinal:
     """The model of a sample of about ``max_labelled`` rated rows (all, if fewer).  No rated row: a model that
     gives every text the top grade."""
     n = grades.count()
@@ -129,43 +170,20 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED, mi
     # the chosen ratings are bounded by max_labelled
     texts = own_columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("text", "grade")
     seen = written(texts.mapInArrow(_places, "places array<int>, grade int"), "quality-sample")
-    sizes = {r["grade"]: r["count"] for r in seen.groupBy("grade").count().collect()}  # a row for each grade
-    total = sum(sizes.values())
-    there = [F.count_if(F.col("grade") == k).alias(f"n{k}") for k in range(n_grades)]
-    often = seen.select("grade", F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n"), *there).where(F.col("n") >= min_docs)
-    chi = F.lit(0.0)
-    for k, size in sizes.items():
-        yes, no = F.col("n") * size / total, (total - F.col("n")) * size / total
-        chi = chi + F.pow(F.col(f"n{k}") - yes, 2) / F.greatest(yes, F.lit(1e-9)) + F.pow((size - F.col(f"n{k}")) - no, 2) / F.greatest(no, F.lit(1e-9))
-    best = often.withColumn("chi", chi).where(F.col("chi") >= min_chi).orderBy(F.desc("chi"), "place").limit(max_features)
-    places = np.sort(best.select("place").toPandas()["place"].to_numpy(np.int64))
-    if not len(places):
-        return Ordinal(places, np.zeros(0), np.array([-40.0 + k for k in range(n_grades - 1)]))
-    lookup = F.broadcast(seen.sparkSession.createDataFrame(list(enumerate(places.tolist())), "col int, place int"))
-    numbered = seen.withColumn("row", F.monotonically_increasing_id())  # before the places are split up
-    pairs = numbered.select("row", "grade", F.explode_outer("places").alias("place")).join(lookup, "place", "left")
-    data = pairs.groupBy("row", "grade").agg(F.array_compact(F.collect_list("col")).alias("cols")).toPandas()
-    lengths = data["cols"].map(len).to_numpy()
-    r = np.repeat(np.arange(len(data)), lengths)
-    c = np.concatenate([np.asarray(x, np.int64) for x in data["cols"]])
-    weights, thresholds = fit_ordinal(r, c, len(places), data["grade"].to_numpy(np.int64), n_grades)
-    return Ordinal(places, weights, thresholds)
+    data = seen.orderBy("grade", F.xxhash64("places"), F.size("places")).toArrow()  # max_labelled rows, in an order of their own
+    if not data.num_rows:
+        return Ordinal(np.zeros(1 << HASH_BITS), np.array([-40.0 + k for k in range(n_grades - 1)]))
+    places = data.column("places").combine_chunks()
+    x = Presences(np.diff(places.offsets.to_numpy()), places.flatten().to_numpy(), 1 << HASH_BITS)
+    return fit_ordinal(x, data.column("grade").to_numpy().astype(np.int64), n_grades, ridge)
 
 
 def _scores(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Ordinal = shared.value
-        of = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True)).get
         for b in batches:
-            texts, expected, tails = b.column(1), [], []
-            for i in range(len(texts)):
-                t = model.tails(math.fsum([of(p, 0.0) for p in features(texts[i].as_py())]))
-                tails.append(t)
-                expected.append(sum(t))
-            cols = [b.column(0), pa.array(expected, pa.float64()), pa.array(tails, pa.list_(pa.float64()))]
-            if b.num_columns > 2:
-                cols += b.columns[2:]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "expected_grade", "tails", *b.schema.names[2:]])
+            tails = [model.tails(b.column(1)[i].as_py()) for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(sum, tails)), pa.float64()), pa.array(tails, pa.list_(pa.float64()))], ["doc_id", "expected_grade", "tails"])
 
     return run
 
@@ -176,24 +194,23 @@ def score(docs: DataFrame, model: Ordinal) -> DataFrame:
     Null and empty texts have no features: they get the grade that the thresholds alone give.  Repeated rows and null ids
     stay.  An empty table gives an empty result; other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_features places and weights at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 2 ** HASH_BITS weights
     return own_columns(docs, doc_id="long", text="string").mapInArrow(_scores(shared), "doc_id long, expected_grade double, tails array<double>")
 
 
 def _kept(shared, grade: int, probability: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Ordinal = shared.value
-        of = dict(zip(model.places.tolist(), model.weights.tolist(), strict=True)).get
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
-            keep = [model.tails(math.fsum([of(p, 0.0) for p in features(texts[i].as_py())]))[grade - 1] >= probability for i in range(len(texts))]
+            keep = [model.tails(texts[i].as_py())[grade - 1] >= probability for i in range(len(texts))]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
 def select(docs: DataFrame, model: Ordinal, grade: int = SELECT_GRADE, probability: float = SELECT_PROBABILITY) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has ``P(grade >= grade) >= probability``; texts never leave their task."""
+    """The rows of ``docs``, all columns, whose text has ``P(grade >= grade) >= probability``, a tie included; texts never leave their task."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return text_batches(docs).mapInArrow(_kept(shared, grade, probability), docs.schema)
 

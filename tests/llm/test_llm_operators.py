@@ -264,16 +264,52 @@ def test_language_held_out(spark):
     assert {r["lang_pred"] for r in empty} == {"und"}
 
 
-def test_bloom_answers_hold_all_members_and_few_others():
+def test_bloom_answers_hold_all_members_and_few_others(spark):
     h = np.arange(1, 5001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    f = language.Filters.build([f"l{k}" for k in range(70)], h, [[k % 70] for k in range(5000)])
+    members = spark.createDataFrame([(int(x), [k % 70]) for k, x in enumerate(h.view(np.int64))], "gram long, langs array<int>")
+    f = language.filters(members, [f"l{k}" for k in range(70)], 16)
     masks = f.lookup(h)
-    assert all(masks[(k % 70) // 64][k] >> np.uint64(k % 70 % 64) & np.uint64(1) for k in range(0, 5000, 7))
+    assert all(masks[(k % 70) // 64][k] >> np.uint64(k % 70 % 64) & np.uint64(1) for k in range(5000))
     other = f.lookup(h + np.uint64(12345))
     rate = sum(int(np.bitwise_count(m).sum()) for m in other) / 5000
     assert rate < 70 * max(0.02, 2 * f.chance.max())
 
 
+def test_language_is_the_plain_sets(spark):
+    """Filters against exact sets of n-grams, and scores against counts of them."""
+    rng = random.Random(16)
+    parts = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["lo", "er", "mi", "be"], "cc": ["ção", "que", "lo", "os"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(parts[lang], k=3)) for _ in range(n))
+    rows = [(i, make(lang, 20), lang) for i, lang in enumerate(list(parts) * 20)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: {} for lang in parts}
+
+    def plain_grams(t):
+        s = "".join(c if c.isalpha() else " " for c in f" {t.lower()} ")
+        for order in language.ORDERS:
+            for k in range(len(s) - order + 1):
+                g = s[k : k + order]
+                if " " not in g[1:-1] and (g[0] != " " or g[-1] != " "):
+                    yield g
+
+    for _, t, lang in rows:
+        for g in plain_grams(t):
+            counts[lang][g] = counts[lang].get(g, 0) + 1
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    members = {}
+    for g in set().union(*counts.values()):
+        rate = {lang: c[g] / total[lang] for lang, c in counts.items() if c.get(g, 0) >= language.MIN_COUNT}
+        members[g] = {lang for lang, r in rate.items() if r >= language.MIN_SHARE * max(rate.values())}
+    texts = [make(lang, n) for lang in parts for n in (1, 3, 400)] + ["los ka", "x", "ka " * 300_000]
+    for t, lang, score in zip(texts, *model.predict(texts), strict=True):
+        own = list(plain_grams(t))
+        share = {k: sum(k in members.get(g, ()) for g in own) / len(own) for k in parts}
+        assert abs(share[lang] - max(share.values())) < 1e-3 and abs(score - max(share.values())) < 1e-3
+    assert model.predict(["\u0301", "7 \u0300", "", None]) == (["und"] * 4, [0.0] * 4)
+    equal = language.fit(spark.createDataFrame([(1, "lo mi lo mi lo mi", "bb"), (2, "lo mi lo mi lo mi", "aa")], "doc_id long, text string, lang string"))
+    assert equal.predict(["lo mi"])[0] == ["aa"]  # a tie
+
+
 def test_quality_held_out(spark):
     rng = random.Random(7)
     rows, labels = [], []
@@ -300,12 +336,38 @@ def test_quality_held_out(spark):
     assert quality.score(docs.limit(0), model).collect() == []
 
 
-def test_ordinal_fit_orders_grades():
+def test_ordinal_fit_is_the_plain_gradient_descent():
+    """The slope against differences of the plain loss; the fit against small steps down that slope."""
     rng = np.random.default_rng(1)
-    grades = rng.integers(0, 3, 600)
-    rows, cols = np.arange(600), grades.copy()
-    w, th = quality.fit_ordinal(rows, cols, 3, grades, 3)
-    assert th[0] < th[1] and w[0] < w[1] < w[2]
+    n, size, grades = 120, 12, np.sort(rng.integers(0, 3, 120))
+    dense = (rng.random((n, size)) < 0.2 + 0.2 * (grades[:, None] == np.arange(size) % 3)).astype(float)
+    dense[5] = 0
+    x = quality.Presences(dense.sum(axis=1).astype(int), np.nonzero(dense)[1], size)
+
+    def plain(par):
+        th = np.array([-1e9, par[size], par[size] + math.exp(par[size + 1]), 1e9])
+        s = lambda v: 1 / (1 + np.exp(-np.clip(v, -60, 60)))
+        z = dense @ par[:size]
+        return -np.mean(np.log(s(th[grades + 1] - z) - s(th[grades] - z))) + 0.01 * par[:size] @ par[:size] / 2
+
+    par = rng.normal(size=size + 2) / 3
+    value, grad = quality.loss(par, x, grades, 3, 0.01)
+    assert abs(value - plain(par)) < 1e-9
+    for k in range(size + 2):
+        e = np.eye(size + 2)[k] * 1e-6
+        assert abs((plain(par + e) - plain(par - e)) / 2e-6 - grad[k]) < 1e-6
+    for _ in range(6000):
+        par = par - 0.5 * quality.loss(par, x, grades, 3, 0.01)[1]
+    model = quality.fit_ordinal(x, grades, 3, ridge=0.01)
+    assert np.allclose(model.weights, par[:size], atol=1e-2) and model.thresholds[0] < model.thresholds[1]
+    assert model.weights[0::3].mean() < model.weights[1::3].mean() < model.weights[2::3].mean()
+
+
+def test_quality_of_long_texts_and_no_ratings(spark):
+    docs = spark.createDataFrame([(1, "word " * 400_000), (2, None)], "doc_id long, text string")
+    model = quality.fit(docs, quality.graded(spark.createDataFrame([], "doc_id long, quality int, toxic int")))
+    assert [r["tails"][1] > 0.99 for r in quality.score(docs, model).collect()] == [True, True]
+    assert quality.select(docs, quality.Ordinal(np.zeros(1 << quality.HASH_BITS), np.array([-1.0, 0.0]))).count() == 2  # a tie at a half stays
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
