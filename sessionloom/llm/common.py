@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: A key with more than this share of all rows is hot: there are at most as many such keys as its inverse.
+HOT = 1000
 _own_dirs: list[str] = []
 
 
@@ -21,12 +23,14 @@ def _remove_own_dirs() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where that is unset (local runs and tests) a temporary folder is made and set, and removed
-    when the driver ends.
+    Where that is unset, a local run (and a test) gets a temporary folder, removed when the driver ends; on a cluster
+    it is an error, as executors would write where the driver never looks.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own_dirs:
         _own_dirs.append(tempfile.mkdtemp(prefix="loom-shared-"))
         atexit.register(_remove_own_dirs)
@@ -54,6 +58,20 @@ def drop_written(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
+    """``rows`` inner-joined with ``by_key``, which has one row and the number ``n`` of rows for each key.
+
+    Keys with more than a HOT-th of all rows, at most HOT of them, are broadcast, so that their rows stay where they are; the others are
+    joined by shuffle.
+    """
+    by_key = written(by_key, "join-keys")
+    total = by_key.agg(F.sum("n")).first()[0] or 0
+    hot, cold = by_key.where(F.col("n") > total // HOT).drop("n"), by_key.where(F.col("n") <= total // HOT).drop("n")
+    marked = rows.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
+    near = marked.where("_hot").drop("_hot").join(F.broadcast(hot), key)
+    return near.unionByName(marked.where("_hot IS NULL").drop("_hot").join(cold, key))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

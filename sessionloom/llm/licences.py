@@ -1,9 +1,12 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Each line, paragraph and the whole of a text is a segment.  Segments that hold a key word of licensing are vectors of term frequency
-times inverse document frequency, compared with every template of a licence; the best cosine of ``least`` or more is the file's
-own licence.  Document frequencies of the templates' terms are counted over all documents; a term of no template
-has the weight of an unseen one.
+Each line, clause and paragraph and the whole of a text is a segment: a vector of term frequency times inverse document frequency, with the document
+frequencies of all terms over all documents.  It is compared with every template of a licence: short statements, made of names and frames, and the customary
+headers, titles and texts.  The best cosine of ``least`` or more is the file's own licence.
+
+The terms of the templates are few, so their frequencies go to all tasks, and with them the cosine of a segment is bounded from above: the product is exact, and
+each other term adds at least one to the square of the segment's norm.  Segments whose bound is below ``least`` are no licence and leave no trace; of the
+others, each different one once, all terms are joined to their frequencies and the cosine is made.
 
 A directory's licence is that of its licence files (LICENSE, COPYING and the like), or else the one that most of its files state.
 A file without its own inherits from the nearest directory at or above its own that has one: distinct directories are joined to their ancestors
@@ -14,149 +17,237 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import table, text_batches, written
+from sessionloom.llm.common import join_hot, table, text_batches, written
 
 LEAST = 0.6
 TERM = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
-#: Words without which a segment is no statement about licensing.
-KEYS = re.compile(r"licen[cs]|copyright|spdx|public domain|permission|redistribut|warranty|rights reserved|copyleft|\bgpl|\bcc[ -]by", re.I)
 LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[.-].*)?$"
-SEGMENT_TERMS = 4000
-
-#: Licence -> forms of its statement: short notices and the customary headers.
-TEMPLATES: dict[str, list[str]] = {
-    "MIT": [
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "SPDX-License-Identifier: MIT",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-    ],
+#: Where clauses part.
+CLAUSE = re.compile(r"[,;:()\[\]\"]+|[.!?](?=\s|$)|\s[-|*#/]+\s")
+FLUSH_TERMS = 200_000
+
+FRAMES = [
+    "{}", "License: {}", "SPDX-License-Identifier: {}", "Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}", "Available under the {}",
+    "This work is licensed under the {}", "This project is licensed under the terms of the {}", "This library is distributed under the {}", "See the {} for details",
+]
+
+#: Licence -> names by which statements refer to it.
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT License", "MIT", "Expat License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0", "Apache 2.0 license", "ASL 2.0"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3", "GPL-3.0", "GPL-3.0-or-later", "GPL-3.0-only", "GPL version 3"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2", "GPL-2.0", "GPL-2.0-or-later", "GPL-2.0-only", "GPL version 2"],
+    "GPL": ["GNU General Public License", "GNU GPL", "GPL"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3", "LGPL-3.0", "LGPL-3.0-or-later", "LGPL-3.0-only", "LGPL version 3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1", "LGPLv2.1", "LGPL-2.1", "LGPL-2.1-or-later", "LGPL-2.1-only", "LGPL version 2.1"],
+    "LGPL": ["GNU Lesser General Public License", "GNU LGPL", "LGPL"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3", "AGPL-3.0", "AGPL-3.0-or-later", "AGPL-3.0-only", "Affero GPL"],
+    "MPL-2.0": ["Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL-2.0", "MPL 2.0"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "BSD-3-Clause", "3-clause BSD license", "New BSD license", "Modified BSD license"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "BSD-2-Clause", "2-clause BSD license", "Simplified BSD license", "FreeBSD license"],
+    "BSD": ["BSD license", "BSD-style license"],
+    "ISC": ["ISC License", "ISC"],
+    "Unlicense": ["Unlicense", "The Unlicense"],
+    "CC0-1.0": ["CC0 1.0", "CC0 1.0 Universal", "CC0-1.0", "CC0"],
+    "CC-BY-4.0": ["CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International License", "Creative Commons Attribution 4.0"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "Zlib": ["zlib License", "zlib/libpng license"],
+    "Proprietary": [],
+}
+#: Names that are words of other languages or too short to stand alone.
+NOT_ALONE = frozenset(["MIT", "ISC", "GPL", "LGPL", "CC0"])
+
+_WARRANTY = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+_BSD_1 = "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+_BSD_2 = "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+_GNU = "This {} is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+_MIT_2 = "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."
+
+#: Licence -> customary headers, titles and texts.
+TEXTS: dict[str, list[str]] = {
+    "MIT": [_MIT, _MIT_2, f"MIT License {_MIT} {_MIT_2} {_WARRANTY}"],
     "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/",
+        "TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        "Licensed under the GNU GPL v3.",
-        "SPDX-License-Identifier: GPL-3.0-or-later",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.",
-        "Licensed under the GNU GPL v2.",
-        "SPDX-License-Identifier: GPL-2.0-or-later",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "SPDX-License-Identifier: LGPL-3.0-or-later"],
-    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License, version 2.1.", "SPDX-License-Identifier: LGPL-2.1-or-later"],
-    "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3.", "SPDX-License-Identifier: AGPL-3.0-or-later"],
-    "MPL-2.0": [
-        "Licensed under the Mozilla Public License, version 2.0.",
-        "SPDX-License-Identifier: MPL-2.0",
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
-    ],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"],
-    "ISC": ["Licensed under the ISC License.", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"],
-    "CC0-1.0": ["Released under CC0 1.0, dedicated to the public domain.", "Licensed under CC0 1.0 Universal.", "SPDX-License-Identifier: CC0-1.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
-    "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without written permission."],
+    "GPL-3.0": [_GNU.format("program", ":", "", ",", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0": [_GNU.format("program", ";", "", ";", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": [_GNU.format("library", ":", "Lesser ", ",", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": [_GNU.format("library", ";", "Lesser ", ";", "2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "AGPL-3.0": [_GNU.format("program", ":", "Affero ", ",", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "Mozilla Public License Version 2.0"],
+    "BSD-3-Clause": [f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3}", _BSD_3],
+    "BSD-2-Clause": [f"{_BSD} {_BSD_1} {_BSD_2}"],
+    "BSD": [_BSD, "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
+    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
+    "CC0-1.0": ["Released under CC0 1.0, dedicated to the public domain.", "CC0 1.0 Universal Public Domain Dedication"],
+    "Zlib": ["This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software."],
+    "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. No part may be reproduced without written permission.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."],
 }
 
 
-def terms(text: str) -> Counter:
-    return Counter(TERM.findall(text.lower()))
+def templates() -> dict[str, list[str]]:
+    """Licence -> all forms of its statement."""
+    framed = {k: [f.format(n) for n in names for f in FRAMES if f != "{}" or n not in NOT_ALONE] for k, names in NAMES.items()}
+    return {k: [*forms, *TEXTS.get(k, [])] for k, forms in framed.items()}
 
 
-def _count_terms(vocabulary: frozenset[str]):
+def terms(text: str) -> Counter:
+    """Terms and how often they come; both spellings of the noun are one."""
+    return Counter(t.replace("licence", "license") for t in TERM.findall(text.lower()))
+
+
+def segments(text: str) -> dict[str, None]:
+    """The different lines, clauses, paragraphs and the whole of a text, in order."""
+    lines = text.split("\n")
+    return dict.fromkeys([*lines, *(c for line in lines for c in CLAUSE.split(line)), *re.split(r"\n\s*\n", text), text])
+
+
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """term, n: in how many texts of the partition each term is; the number of texts under the empty term."""
+
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
+
+    seen: Counter = Counter()
+    for b in batches:
+        for t in b.column(0):
+            seen[""] += 1
+            seen.update(terms(t.as_py() or "").keys())
+            if len(seen) > FLUSH_TERMS:
+                yield rows(seen)
+                seen = Counter()
+    yield rows(seen)
+
+
+def idf(n: int, found: int) -> float:
+    """At least 1, for a term that is in every text."""
+    return math.log((n + 1) / (found + 1)) + 1
+
+
+class Templates:
+    """The templates' unit vectors over their own terms, and the weights of these terms."""
+
+    def __init__(self, forms: dict[str, list[str]], frequency: dict[str, int], n: int, least: float = LEAST):
+        each = [(name, terms(f)) for name, fs in sorted(forms.items()) for f in fs]
+        self.names = [name for name, _ in each]
+        self.number = {t: k for k, t in enumerate(sorted({t for _, c in each for t in c}))}
+        self.idf = np.array([idf(n, frequency.get(t, 0)) for t in self.number])
+        self.unit = np.zeros((len(each), len(self.number)))
+        for k, (_, c) in enumerate(each):
+            for t, m in c.items():
+                self.unit[k, self.number[t]] = (1 + math.log(m)) * self.idf[self.number[t]]
+        self.unit /= np.linalg.norm(self.unit, axis=1, keepdims=True)
+        self._known: dict[str, float] = {}
+        # a template's heaviest terms, without which the rest of it is shorter than ``least``: a text with none of them is no statement of it
+        self.keys: set[str] = set()
+        by_number = list(self.number)
+        for u in self.unit:
+            order = np.argsort(-u, kind="stable")
+            rest = 1 - np.cumsum(u[order] ** 2)
+            self.keys.update(by_number[k] for k in order[: int(np.argmax(rest < least * least)) + 1].tolist())
+
+    def vector(self, counts: Counter) -> np.ndarray:
+        v = np.zeros(len(self.number))
+        for t, m in counts.items():
+            if t in self.number:
+                v[self.number[t]] = (1 + math.log(m)) * self.idf[self.number[t]]
+        return v
+
+    def bound(self, segment: str) -> float:
+        """No cosine of the segment with a template is above this."""
+        found = self._known.get(segment)
+        if found is None:
+            counts = terms(segment)
+            if self.keys.isdisjoint(counts):
+                return 0.0
+            own = self.vector(counts)
+            square = float(own @ own)
+            # each other term has a weight of one at least
+            found = float((self.unit @ own).max()) / math.sqrt(square + sum((1 + math.log(m)) ** 2 for t, m in counts.items() if t not in self.number)) if square else 0.0
+            if len(self._known) < 100_000 and len(segment) < 1000:
+                self._known[segment] = found
+        return found
+
+    def best(self, segment: str, square: float) -> tuple[float, str | None]:
+        """The best cosine of a segment whose terms outside of the templates have this square of their norm; equal ones go to the name that sorts first."""
+        own = self.vector(terms(segment))
+        cosines = np.round(self.unit @ own / math.sqrt(float(own @ own) + square), 9)
+        k = int(np.argmax(cosines))
+        return float(cosines[k]), self.names[k]
+
+
+def _likely(shared, least: float):
+    """Rows with ``segments``: those of the text whose bound reaches ``least``, by their terms."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, seen = 0, Counter()
+        t: Templates = shared.value
         for b in batches:
-            for t in b.column(0):
-                n += 1
-                text = t.as_py()
-                if text:
-                    seen.update(vocabulary.intersection(TERM.findall(text.lower())))
-        rows = [("", n), *seen.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["term", "n"])
+            texts, out = b.column(b.schema.get_field_index("text")), []
+            for i in range(len(texts)):
+                text = texts[i].as_py() or ""
+                hopeful = not t.keys.isdisjoint(terms(text))
+                kept = (" ".join(sorted(terms(s).elements())) for s in segments(text) if t.bound(s) >= least) if hopeful else ()
+                out.append(list(dict.fromkeys(kept)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(out, pa.list_(pa.string()))], ["uid", "file_id", "path", "segments"])
 
     return run
 
 
-class Scorer:
-    """Weights of terms and the templates' unit vectors, by term."""
-
-    def __init__(self, templates: dict[str, list[str]], frequency: dict[str, int], n: int):
-        self.unseen = math.log((n + 1) / 1) + 1
-        self.idf = {t: math.log((n + 1) / (f + 1)) + 1 for t, f in frequency.items()}
-        self.names, self.postings = [], defaultdict(list)
-        for name, forms in sorted(templates.items()):
-            for form in forms:
-                vector = self.vector(terms(form))
-                for t, w in vector.items():
-                    self.postings[t].append((len(self.names), w))
-                self.names.append(name)
-
-    def vector(self, counts: Counter) -> dict[str, float]:
-        v = {t: (1 + math.log(c)) * self.idf.get(t, self.unseen) for t, c in counts.items()}
-        norm = math.sqrt(math.fsum(w * w for w in v.values())) or 1.0
-        return {t: w / norm for t, w in v.items()}
-
-    def best(self, segment: str) -> tuple[float, str | None]:
-        scores: dict[int, float] = defaultdict(float)
-        for t, w in sorted(self.vector(terms(segment)).items()):
-            for k, x in self.postings.get(t, ()):
-                scores[k] += w * x
-        top = max(scores.items(), key=lambda s: (round(s[1], 9), -s[0]), default=None)
-        return (top[1], self.names[top[0]]) if top else (0.0, None)
-
-    def licence(self, text: str | None) -> tuple[float, str | None]:
-        """The best cosine over the segments and its licence; equal cosines go to the name that sorts first."""
-        if not text or not KEYS.search(text):
-            return 0.0, None
-        parts = dict.fromkeys(s for s in (*text.split("\n"), *re.split(r"\n\s*\n", text), text) if KEYS.search(s))
-        found = [self.best(s) for s in parts]
-        return max(found, key=lambda f: (round(f[0], 9), [-ord(c) for c in f[1] or ""]))
-
-
-def _scan(shared, least: float):
+def _best(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer: Scorer = shared.value
+        t: Templates = shared.value
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text"))
-            found = [scorer.licence(texts[i].as_py()) for i in range(len(texts))]
-            own = [(s, n) if s >= least else (None, None) for s, n in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([n for _, n in own], pa.string()), pa.array([s for s, _ in own], pa.float64())],
-                ["file_id", "path", "licence", "score"],
-            )
+            found = [t.best(s.as_py(), q.as_py()) for s, q in zip(b.column(0), b.column(1), strict=True)]
+            keep = pa.array([c >= least for c, _ in found], pa.bool_())
+            out = [b.column(0), b.column(2), pa.array([c for c, _ in found], pa.float64()), pa.array([n for _, n in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["segment", "n", "score", "licence"]).filter(keep)
 
     return run
 
 
-def stated(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
+def stated(files: DataFrame, forms: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """file_id, path, licence, score: each file's own licence, null where no segment reaches ``least``."""
-    templates = TEMPLATES if templates is None else templates
+    forms = templates() if forms is None else forms
     spark = files.sparkSession
-    vocabulary = frozenset(t for forms in templates.values() for f in forms for t in terms(f))
-    counts = files.select("text").mapInArrow(_count_terms(vocabulary), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row for each term of the templates
-    frequency = {r["term"]: r["n"] for r in counts}
-    n = frequency.pop("", 0)
-    scorer = Scorer(templates, {t: frequency.get(t, 0) for t in vocabulary}, n)
-    shared = spark.sparkContext.broadcast(scorer)  # the templates
-    return files.select("file_id", "path", "text").mapInArrow(_scan(shared, least), "file_id long, path string, licence string, score double")
+    frequency = written(files.select("text").mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")), "licence-terms")
+    own = spark.createDataFrame([(t,) for t in sorted({"", *(t for fs in forms.values() for f in fs for t in terms(f))})], "term string")
+    few = {r["term"]: r["df"] for r in frequency.join(F.broadcast(own), "term").collect()}  # a row for each term of the templates
+    n = few.pop("", 0)
+    shared = spark.sparkContext.broadcast(Templates(forms, few, n, least))  # the templates
+    rows = files.select(F.monotonically_increasing_id().alias("uid"), "file_id", "path", "text")
+    likely = written(rows.mapInArrow(_likely(shared, least), "uid long, file_id long, path string, segments array<string>"), "licence-segments")
+    each = likely.select("uid", F.explode("segments").alias("segment"))
+    distinct = written(each.groupBy("segment").agg(F.count("*").alias("n")), "licence-distinct")
+    # of each different segment: the square of the norm of its terms outside of the templates, with their frequencies
+    words = distinct.select("segment", F.explode(F.split("segment", " ")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("m"))
+    words = words.join(F.broadcast(own), "term", "left_anti")
+    by_term = words.groupBy("term").agg(F.count("*").alias("n")).join(frequency, "term")
+    weight = (1 + F.log("m")) * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
+    squares = join_hot(words, by_term, "term").groupBy("segment").agg(F.sum(weight * weight).alias("square"))
+    scored = distinct.join(squares, "segment", "left").select("segment", F.coalesce("square", F.lit(0.0)).alias("square"), "n")
+    best = scored.mapInArrow(_best(shared, least), "segment string, n long, score double, licence string")
+    found = join_hot(each, best, "segment").groupBy("uid").agg(F.max(F.struct("score", F.translate("licence", _LETTERS, _LETTERS[::-1]).alias("back"), "licence")).alias("top"))
+    return likely.join(found, "uid", "left").select("file_id", "path", F.col("top.licence").alias("licence"), F.col("top.score").alias("score"))
+
+
+#: In order, to turn the order of names round.
+_LETTERS = "-.0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 
 def with_inherited(found: DataFrame) -> DataFrame:
@@ -184,14 +275,14 @@ def with_inherited(found: DataFrame) -> DataFrame:
     )
 
 
-def scan(files: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
+def scan(files: DataFrame, forms: dict[str, list[str]] | None = None, least: float = LEAST) -> DataFrame:
     """Own and inherited licences of each row of ``files`` (file_id, path, text).
 
-    Null and empty texts state nothing and may inherit; a null path is a file in the root directory.  Repeated rows each have a row.  Ties between
+    ``forms`` has the templates (``templates()``, if none are given).  Null and empty texts state nothing and may inherit; a null path is a file in the root directory.  Repeated rows each have a row.  Ties between
     a directory's licences go to the name that sorts first.  An empty table gives an empty result; other columns are not read.
     """
     own = text_batches(files).select(F.col("file_id").cast("long").alias("file_id"), F.coalesce(F.col("path").cast("string"), F.lit("")).alias("path"), F.col("text").cast("string").alias("text"))
-    return with_inherited(written(stated(own, templates, least), "licence-stated"))
+    return with_inherited(written(stated(own, forms, least), "licence-stated"))
 
 
 def document_path() -> F.Column:

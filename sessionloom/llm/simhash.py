@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.common import drop_written, own_columns, table, text_batches, written
+from sessionloom.llm.common import drop_written, join_hot, own_columns, table, text_batches, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -43,8 +43,6 @@ LEVELS = 3
 PRINT = "simhash_fingerprint"
 SEEDS = 3
 SIDE = 13
-#: A key with more than this share of all rows is hot: there are at most as many such keys as its inverse.
-HOT = 1000
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -297,20 +295,6 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))
 
 
-def join_hot(rows: DataFrame, by_key: DataFrame, key: str) -> DataFrame:
-    """``rows`` inner-joined with ``by_key``, which has one row and the number ``n`` of rows for each key.
-
-    Keys with more than a HOT-th of all rows, at most HOT of them, are broadcast, so that their rows stay where they are; the others are
-    joined by shuffle.
-    """
-    by_key = written(by_key, "join-keys")
-    total = by_key.agg(F.sum("n")).first()[0] or 0
-    hot, cold = by_key.where(F.col("n") > total // HOT).drop("n"), by_key.where(F.col("n") <= total // HOT).drop("n")
-    marked = rows.join(F.broadcast(hot.select(key).withColumn("_hot", F.lit(True))), key, "left")
-    near = marked.where("_hot").drop("_hot").join(F.broadcast(hot), key)
-    return near.unionByName(marked.where("_hot IS NULL").drop("_hot").join(cold, key))
-
-
 def _address(docs: DataFrame) -> DataFrame:
     """``docs``, read from files, with _file and _row: where each row stands."""
     meta = F.col("_metadata")

@@ -642,11 +642,89 @@ def test_licences(spark):
         (6, None, "words without any"),
         (7, "a/b/c/w.txt", "This work is licensed under the GNU General Public License, version 3."),
         (2, "a/b/x.txt", "code"),
+        (8, "t/one.txt", "Licensed under the ISC License"),
+        (9, "t/two.txt", "SPDX-License-Identifier: MIT"),
+        (10, "t/three.txt", "nothing"),
+        (11, "u/COPYING", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+        (12, "u/a.txt", "License: MIT"),
+        (13, "u/b.txt", "License: MIT"),
+        (14, "u/deep/er/c.txt", "plain words " * 60_000),
+        (15, "v/NOTICE.md", "All rights reserved."),
+        (16, "v/w/x/y/z.txt", "text"),
     ]
-    df = spark.createDataFrame(rows, "file_id long, path string, text string").withColumns({"dir": F.lit(1), "named": F.lit(2)})
+    df = spark.createDataFrame(rows, "file_id long, path string, text string").withColumns({"dir": F.lit(1), "named": F.lit(2), "uid": F.lit(3), "n": F.lit(4)})
     got = key(r[0:1] + r[2:3] + r[4:6] for r in map(tuple, licences.scan(df).collect()))
-    assert got == key([(1, "MIT", "own", None), (2, "MIT", "inherited", "a"), (2, "MIT", "inherited", "a"), (3, "Apache-2.0", "own", None), (4, "Apache-2.0", "inherited", "a/b/c"), (5, None, "none", None), (6, None, "none", None), (7, "GPL-3.0", "own", None)])
+    want = [(1, "MIT", "own", None), (2, "MIT", "inherited", "a"), (2, "MIT", "inherited", "a"), (3, "Apache-2.0", "own", None), (4, "Apache-2.0", "inherited", "a/b/c"), (5, None, "none", None), (6, None, "none", None), (7, "GPL-3.0", "own", None)]
+    want += [(8, "ISC", "own", None), (9, "MIT", "own", None), (10, "ISC", "inherited", "t")]  # a tie: the name that sorts first
+    want += [(11, "GPL-2.0", "own", None), (12, "MIT", "own", None), (13, "MIT", "own", None), (14, "GPL-2.0", "inherited", "u"), (15, "Proprietary", "own", None), (16, "Proprietary", "inherited", "v")]  # a licence file before the many
+    assert got == key(want)
     assert licences.scan(df.limit(0)).collect() == []
+    root = spark.createDataFrame([(1, "LICENSE", "The Unlicense"), (2, "x/y/z.c", "int")], "file_id long, path string, text string")
+    assert key(r[0:1] + r[2:3] + r[4:6] for r in map(tuple, licences.scan(root).collect())) == key([(1, "Unlicense", "own", None), (2, "Unlicense", "inherited", "")])
+
+
+STATEMENTS = [
+    ("MIT", "This library is distributed under the MIT license, see the file LICENSE for details"), ("MIT", "Copyright (c) 2020 A. Person. Licensed under MIT."), ("MIT", "license = MIT License"),
+    ("MIT", "The code is available under the terms of the MIT License."), ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "You may use it under the MIT licence"), ("Apache-2.0", "Distributed under the terms of the Apache License 2.0"), ("Apache-2.0", "License: Apache-2.0"), ("Apache-2.0", "Licensed to you under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Released under the Apache 2.0 license, see LICENSE"), ("Apache-2.0", "Apache License\nVersion 2.0, January 2004"), ("GPL-3.0", "GPL-3.0"), ("GPL-3.0", "This program is licensed under the GPLv3"),
+    ("GPL-3.0", "Released under the GNU General Public License v3.0"), ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0-only"), ("GPL-2.0", "Licensed under GPLv2"), ("GPL-2.0", "Distributed under the GNU GPL v2, with no warranty"),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-only"), ("GPL", "Distributed under the GNU General Public License"), ("LGPL-2.1", "License: LGPL-2.1"), ("LGPL-2.1", "licensed under the LGPL version 2.1"),
+    ("LGPL-3.0", "Available under LGPLv3"), ("LGPL", "This library is covered by the GNU Lesser General Public License"), ("AGPL-3.0", "Licensed under the AGPLv3"), ("AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0-only"),
+    ("MPL-2.0", "Released under the Mozilla Public License 2.0."), ("MPL-2.0", "License: MPL-2.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("BSD-3-Clause", "Released under the 3-clause BSD license"), ("BSD-3-Clause", "Licensed under the New BSD license."),
+    ("BSD-2-Clause", "Distributed under the Simplified BSD license"), ("BSD-2-Clause", "license: BSD-2-Clause"), ("BSD", "BSD license"), ("BSD", "Use of this source code is governed by a BSD-style license"),
+    ("ISC", "SPDX-License-Identifier: ISC"), ("ISC", "Released under the ISC License"), ("Unlicense", "This is free and unencumbered software released into the public domain."), ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
+    ("CC-BY-4.0", "Text is available under CC BY 4.0"), ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."), ("CC-BY-SA-4.0", "Content licensed under CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0, for private use"), ("Zlib", "Released under the zlib License"), ("Proprietary", "(c) 2019 The Company. All rights reserved."), ("Proprietary", "Proprietary and confidential"),
+    (None, "The driver showed his license to the officer"), (None, "We went to the village with the software team"), (None, "mit"), (None, "A new version of the library is available"), (None, "the public library and the general store"),
+    (None, "Notice: the terms of the offer are on page 2"), (None, "permission was granted to leave the room"), (None, "see the file for details"), (None, "copyright law is a field of law"), (None, "This project is about birds"),
+    (None, "version 3 of the plan"), (None, "a creative writer of common sense"), (None, "he has a licence to fish"),
+]
+
+
+@pytest.fixture(scope="module")
+def stated(spark):
+    rng = random.Random(17)
+    prose = "the of and to in a is that it with as for was on are by this be at from or have an which you were all their can there been has more when no if out so what up its about into than them only other new some could these two may then do first any my now such like our over even most made after also did many before must through back years where much your way well down should because each just those people how too little state good very make world still own see men work long get here between both life being under never day same another know while last might us great old year off come since against go came right used take three".split()
+    fill = [(10_000 + i, " ".join(rng.choices(prose, k=40)) + " " + text(rng, 20)) for i in range(300)]
+    rows = [*((i, t) for i, (_, t) in enumerate(STATEMENTS)), *fill]
+    df = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in rows], "file_id long, path string, text string")
+    return rows, {r["file_id"]: r for r in licences.stated(df).collect()}
+
+
+def test_licence_statements(stated):
+    _, got = stated
+    right = [got[i]["licence"] == want for i, (want, _) in enumerate(STATEMENTS)]
+    named = [i for i in range(len(STATEMENTS)) if got[i]["licence"] is not None]
+    positive = [i for i, (want, _) in enumerate(STATEMENTS) if want is not None]
+    assert sum(right[i] for i in positive) >= 0.9 * len(positive), [(STATEMENTS[i], got[i]["licence"], got[i]["score"]) for i in positive if not right[i]]
+    assert sum(right[i] for i in named) >= 0.9 * len(named), [(STATEMENTS[i], got[i]["licence"], got[i]["score"]) for i in named if not right[i]]
+    assert all(r["licence"] is None for i, r in got.items() if i >= 10_000)
+
+
+def test_licences_are_the_plain_cosine(stated):
+    """Every segment against every template, with the frequencies of all terms."""
+    rows, got = stated
+    df = {}
+    for _, t in rows:
+        for w in licences.terms(t):
+            df[w] = df.get(w, 0) + 1
+    idf = lambda w: math.log((len(rows) + 1) / (df.get(w, 0) + 1)) + 1
+
+    def unit(counts):
+        v = {w: (1 + math.log(m)) * idf(w) for w, m in counts.items()}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    forms = [(name, unit(licences.terms(f))) for name, fs in licences.templates().items() for f in fs]
+    for i, t in rows[: len(STATEMENTS) + 10]:
+        best = (0.0, "")
+        for s in licences.segments(t):
+            v = unit(licences.terms(s)) if licences.terms(s) else {}
+            for name, f in forms:
+                best = max(best, (round(sum(x * f.get(w, 0) for w, x in v.items()), 9), name), key=lambda c: (c[0], [-ord(x) for x in c[1]]))
+        want = best if best[0] >= licences.LEAST else (None, None)
+        assert got[i]["licence"] == want[1] and (want[0] is None) == (got[i]["score"] is None) and (want[0] is None or abs(got[i]["score"] - want[0]) < 1e-8), (t, best, got[i])
 
 
 def test_revisits_are_the_latest_earlier_response(spark):
