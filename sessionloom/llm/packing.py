@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import bisect
 import os
 import random
 import re
@@ -35,7 +36,7 @@ END = 0
 BLOCK = 8192
 ISLANDS = 3
 EPOCHS = 2
-GENERATIONS = 8
+GENERATIONS = 30
 POPULATION = 6
 REMAINDER_BLOCKS = 512
 CACHE = 400_000
@@ -193,34 +194,53 @@ def _fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[in
     return -len(bins), sum((sum([sizes[i] for i in b]) / capacity) ** 2 for b in bins)
 
 
+def _swap_in(bins: list[list[int]], loose: list[int], sizes: list[int], capacity: int) -> list[int]:
+    """Bins that aren't full take a larger loose item in place of one of their own, that which fills them best: what is left loose gets smaller."""
+    pool = sorted((sizes[i], i) for i in loose)
+    for b in bins:
+        room = capacity - sum([sizes[i] for i in b])
+        while room and pool:
+            gain, out, at = 0, -1, -1
+            for i in b:
+                k = bisect.bisect_right(pool, (sizes[i] + room, len(sizes))) - 1
+                if k >= 0 and pool[k][0] - sizes[i] > gain:
+                    gain, out, at = pool[k][0] - sizes[i], i, k
+            if not gain:
+                break
+            b.remove(out)
+            b.append(pool.pop(at)[1])
+            bisect.insort(pool, (sizes[out], out))
+            room -= gain
+    return [i for _, i in reversed(pool)]
+
+
 def _cross(a: list[list[int]], b: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     fills = sorted(((sum([sizes[i] for i in x]), k) for k, x in enumerate(b)), reverse=True)
     well = [b[k] for _, k in fills[: max(1, len(fills) // 2)]]
     injected = rng.sample(well, max(1, len(well) // 2))
     taken = {i for x in injected for i in x}
-    kept, displaced = list(injected), []
+    kept, displaced = [list(x) for x in injected], []
     for x in a:
         if taken.isdisjoint(x):
-            kept.append(x)
+            kept.append(list(x))
         else:
             displaced += [i for i in x if i not in taken]
-    displaced.sort(key=lambda i: -sizes[i])
-    return _best_fit(displaced, sizes, capacity, kept)
+    return _best_fit(_swap_in(kept, displaced, sizes, capacity), sizes, capacity, kept)
 
 
 def _mutate(a: list[list[int]], sizes: list[int], capacity: int, rng: random.Random) -> list[list[int]]:
     """The worst-filled bins and a few others are emptied and their items put back in random order."""
     fills = sorted((sum([sizes[i] for i in x]), k) for k, x in enumerate(a))
     out = {k for _, k in fills[: max(1, len(a) // 50)]} | set(rng.sample(range(len(a)), min(len(a), max(1, len(a) // 50))))
-    loose = [i for k in out for i in a[k]]
-    rng.shuffle(loose)
-    return _best_fit(loose, sizes, capacity, [x for k, x in enumerate(a) if k not in out])
+    loose, kept = [i for k in out for i in a[k]], [list(x) for k, x in enumerate(a) if k not in out]
+    rng.shuffle(kept)
+    return _best_fit(_swap_in(kept, loose, sizes, capacity), sizes, capacity, kept)
 
 
-def evolve(sizes: list[int], seeds: list[list[int]], capacity: int, generations: int, population: int, seed: int) -> tuple[list[int], bool]:
-    """The best packing found, as the bin of each item, and whether it is proven optimal.
+def evolve(sizes: list[int], seeds: list[list[int]], capacity: int, generations: int, population: int, seed: int) -> tuple[list[list[int]], bool]:
+    """The last population, each packing as the bin of each item and the best first, and whether that is proven optimal.
 
-    ``seeds`` are packings from before.  Sizes are from 1 to ``capacity``.
+    ``seeds`` are packings from before: a population that goes on, and those that came from elsewhere.  Sizes are from 1 to ``capacity``.
     """
     rng, least = random.Random(seed), -(-sum(sizes) // capacity)
     down = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
@@ -233,30 +253,31 @@ def evolve(sizes: list[int], seeds: list[list[int]], capacity: int, generations:
     if not people:
         people.append(_best_fit(down, sizes, capacity, []))
     rate = lambda x: _fitness(x, sizes, capacity)
-    best = max(people, key=rate)
-    if len(best) > least:
-        while len(people) < population:
+    rated = sorted(((rate(x), -k, x) for k, x in enumerate(people)), reverse=True)
+    if -rated[0][0][0] > least:
+        while len(rated) < population:
             noisy = sorted(down, key=lambda i: -sizes[i] * (1 + 0.2 * rng.random()))
-            people.append(_best_fit(noisy, sizes, capacity, []))
-        rated = sorted(((rate(x), k, x) for k, x in enumerate(people)), reverse=True)
-        born = len(rated)
-        for _ in range(generations):
+            new = _best_fit(noisy, sizes, capacity, [])
+            rated.append((rate(new), -len(rated), new))
+        rated = sorted(rated, reverse=True)[:population]
+        for born in range(len(people) + population, len(people) + population + generations):
             if -rated[0][0][0] <= least:
                 break
             child = _cross(rng.choice(rated)[2], rated[rng.randrange(max(1, len(rated) // 2))][2], sizes, capacity, rng)
             if rng.random() < 0.5:
                 child = _mutate(child, sizes, capacity, rng)
-            rated = sorted([*rated, (rate(child), born, child)], reverse=True)[:population]
-            born += 1
-        best = rated[0][2]
-    genome = [0] * len(sizes)
-    for k, b in enumerate(best):
-        for i in b:
-            genome[i] = k
-    return genome, len(best) <= least
+            rated = sorted([*rated, (rate(child), -born, child)], reverse=True)[:population]
+    out = []
+    for _, _, bins in rated:
+        genome = [0] * len(sizes)
+        for k, b in enumerate(bins):
+            for i in b:
+                genome[i] = k
+        out.append(genome)
+    return out, -rated[0][0][0] <= least
 
 
-_EVOLVED = "block long, island int, uids array<long>, sizes array<int>, genome array<int>, bins int, optimal boolean"
+_EVOLVED = "block long, island int, uids array<long>, sizes array<int>, genome array<int>, people array<array<int>>, bins int, optimal boolean"
 
 
 def _epoch(capacity: int, generations: int, population: int, number: int):
@@ -265,8 +286,8 @@ def _epoch(capacity: int, generations: int, population: int, number: int):
             for r in frame.itertuples(index=False):
                 sizes = [int(x) for x in r.sizes]
                 seeds = [[int(b) for b in s] for s in r.seeds] if r.seeds is not None else []
-                genome, optimal = evolve(sizes, seeds, capacity, generations, population, hash((int(r.block), int(r.island), number)))
-                yield pd.DataFrame({"block": [r.block], "island": [r.island], "uids": [r.uids], "sizes": [r.sizes], "genome": [genome], "bins": [max(genome) + 1], "optimal": [optimal]})
+                people, optimal = evolve(sizes, seeds, capacity, generations, population, hash((int(r.block), int(r.island), number)))
+                yield pd.DataFrame({"block": [r.block], "island": [r.island], "uids": [r.uids], "sizes": [r.sizes], "genome": [people[0]], "people": [people[: 1 if optimal else None]], "bins": [max(people[0]) + 1], "optimal": [optimal]})
 
     return run
 
@@ -284,10 +305,10 @@ def _solve(items: DataFrame, capacity: int, islands: int, epochs: int, generatio
         if elites.isEmpty():
             break
         if k == 1:  # every island starts from the first packing
-            sent = elites.select("block", "genome", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"))
-        else:  # an island keeps its elite and gets its neighbour's
-            sent = elites.select("block", "genome", F.explode(F.array("island", (F.col("island") + 1) % islands)).alias("island"))
-        parents = sent.groupBy("block", "island").agg(F.sort_array(F.collect_set("genome")).alias("seeds"))  # two at most
+            parents = elites.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("people").alias("seeds"))
+        else:  # an island's population goes on, with its neighbour's elite
+            sent = elites.select("block", ((F.col("island") + 1) % islands).alias("island"), F.array("genome").alias("elite"))
+            parents = elites.join(sent, ["block", "island"]).select("block", "island", F.concat("people", "elite").alias("seeds"))
         start = rows.join(parents, "block")
         state = written(start.mapInPandas(_epoch(capacity, generations, population, k), _EVOLVED), f"{name}-{k}")
         solved = state.where("optimal").groupBy("block").agg(F.min("island").alias("island"))
