@@ -170,9 +170,10 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED, n_
     # the chosen ratings are bounded by max_labelled
     texts = own_columns(docs, doc_id="long", text="string").join(F.broadcast(chosen), "doc_id").select("text", "grade")
     seen = written(texts.mapInArrow(_places, "places array<int>, grade int"), "quality-sample")
-    data = seen.orderBy("grade", F.xxhash64("places"), F.size("places")).toArrow()  # max_labelled rows, in an order of their own
+    data = seen.withColumn("key", F.xxhash64("places")).toArrow()  # max_labelled rows
     if not data.num_rows:
         return Ordinal(np.zeros(1 << HASH_BITS), np.array([-40.0 + k for k in range(n_grades - 1)]))
+    data = data.take(np.lexsort((data.column("key").to_numpy(), data.column("grade").to_numpy())))  # an order of its own, for the same sums in each run
     places = data.column("places").combine_chunks()
     x = Presences(np.diff(places.offsets.to_numpy()), places.flatten().to_numpy(), 1 << HASH_BITS)
     return fit_ordinal(x, data.column("grade").to_numpy().astype(np.int64), n_grades, ridge)
