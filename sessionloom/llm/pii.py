@@ -1,7 +1,7 @@
 """Personal data by weak supervision, in DataFrame functions throughout.
 
-Four labelers vote on every candidate span: a *pattern* labeler (the strict format and its checks), a *gazetteer* labeler
-(mail domains, card issuers, calling codes, address ranges, titles), a *context* labeler (words before the span that speak for
+Four labelers vote on every candidate span: a *pattern* labeler (checks of form: check digits, lengths of issuers, parts that may not occur), a *gazetteer* labeler
+(top-level domains, issuers, calling codes, address ranges, account lengths by country, given names, key prefixes, well-known examples), a *context* labeler (words before the span that speak for
 or against personal data) and an *edge* labeler (the span is or isn't cut out of a longer word or number).  Expectation-maximisation
 estimates for each kind how often personal data occurs and how reliable each labeler is, and gives each pattern of votes
 a probability.  A logistic span classifier is trained on these and decides.
@@ -64,15 +64,44 @@ LOOSE_GUARD = {
     "name": lambda t: F.regexp_like(t, F.lit(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sr|Sra)\.?\x20\p{Lu}")),
 }
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
+# Lists that the gazetteer labeler looks up.
+TLDS = "com org net edu gov info biz io eu de fr es it nl pl uk us ca au ch at be br mx jp cn in ru se no dk fi pt ie nz za ar cl co kr".split()
+CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 98 212 213 216 234 254 351 352 353 358 359 370 371 372 380 385 386 420 421 852 880 886 966 971 972".split()
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IT": 27, "LT": 20, "LU": 20, "LV": 21, "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26}
+GIVEN_NAMES = "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen daniel lisa anna maria peter paul hans klaus karl heinz jürgen ursula monika sabine andrea stefan jean pierre marie jacques michel philippe françoise isabelle nathalie josé juan antonio carmen pedro luis ana laura sofia jane emma".split()
+KEY_PREFIXES = ["sk-", "sk_live_", "rk_live_", "AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "xoxb-", "xoxp-", "AIza", "eyJ", "glpat-"]
+EXAMPLES = {
+    "email": r"(?i)@(?:example|test|domain|invalid)\.|^(?:no-?reply|user|name)@",
+    "ip": r"^(?:0|127|255|22[4-9]|2[34][0-9])\.|^192\.0\.2\.|^198\.51\.100\.|^203\.0\.113\.",
+    "card": r"^4111[ -]?1111[ -]?1111[ -]?1111$|^4242[ -]?4242",
+    "phone": r"555[ .-]?01[0-9]{2}$",
+    "secret": r"(?i)example|change.?me|your|placeholder|dummy|x{4}|\*{4}|1234|password$",
+    "iban": r"(?!)",
+    "ssn": r"^(?:078-05-1120|219-09-9999|123-45-6789|987-65-432[0-9])$",
+    "name": r"(?!)",
+}
+_TLD = rf"(?i)[.)\]]\x20?(?:{'|'.join(TLDS)})$"
 GAZETTEER = {
-    "email": r"(?i)[.)\]]\x20?(?:com|org|net|edu|gov|info|biz|io|eu|de|fr|es|it|nl|pl|uk|us|ca|au|ch|at|be|br|mx|jp|cn|in|ru)$",
+    "email": _TLD,
     "ip": r"^(?:[1-9]|[1-9][0-9]|1[0-9][0-9]|2[01][0-9]|22[0-3])\.",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|3[068]|35|6)",
-    "phone": r"^\+?(?:1|7|2[07]|3[0-469]|4[0-13-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "secret": r"[0-9]",
-    "iban": r"^(?:AD|AE|AT|BE|BG|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IL|IS|IT|LI|LT|LU|LV|MC|MT|NL|NO|PL|PT|RO|SA|SE|SI|SK|SM|TR)",
+    "phone": rf"^(?:\+\x20?(?:{'|'.join(CALLING)})|\(?[2-9][0-8][0-9])",
+    "secret": rf"[:=][\x20\"']{{0,3}}(?:{'|'.join(KEY_PREFIXES)})",
+    "iban": "|".join(rf"^{c}(?:\x20?[A-Z0-9]){{{n - 2}}}$" for c, n in IBAN_LENGTHS.items()),
+    "ssn": r"(?!)",
+    "name": rf"(?iu)\x20(?:{'|'.join(GIVEN_NAMES)})(?:\x20|$)",
+}
+#: Where a form that is not in the gazetteer speaks against the span, and not only not for it.
+CLOSED = frozenset(["email", "ip", "card", "phone", "iban"])
+#: Forms that a span's own check asks for.
+FORM = {
+    "email": r"[.)\]]\x20?[A-Za-z]{2,}$",
+    "ip": r"^(?:0|[1-9][0-9]*)(?:\.(?:0|[1-9][0-9]*)){3}$",
+    "card": r"^(?:4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|3[068][0-9]{12}|35[0-9]{14}|6[0-9]{15,18})$",
+    "phone": r"^[0-9]{10,13}$",
+    "secret": r"[:=][\x20\"']{0,3}(?=[^0-9]*[0-9])(?=[^A-Za-z]*[A-Za-z]).{16,}$",
     "ssn": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
-    "name": r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme)",
+    "name": r"\x20\p{Lu}\p{Ll}+\x20\p{Lu}\p{Ll}+$",
 }
 FOR = r"(?i)(?:e-?mail|mail(?:to)?|contact|phone|tel|call|mobile|fax|card|visa|credit|ip|address|host|client|token|key|secret|passw|login|account|iban|bank|ssn|social|name|signed|dear)\W{0,12}\w*\W{0,3}$"
 AGAINST = r"(?i)(?:version|release|isbn|issn|doi|invoice|order|ref|serial|build|page|section|figure|rfc)\W{0,6}$"
@@ -127,19 +156,32 @@ def _valid_only(kind: str, spans: Column) -> Column:
     return F.filter(spans, lambda s: _valid(kind, s["text"]))
 
 
-def _votes(kind: str, s: Column, strict: Column) -> Column:
+def iban_remainder(text: Column) -> Column:
+    """The remainder by 97 of an account number with its first four characters behind and letters as 10 to 35; 1 if its check digits fit."""
+    flat = F.regexp_replace(text, F.lit("[^A-Z0-9]"), F.lit(""))
+    turned = F.split(F.concat(F.substring(flat, 5, 64), F.left(flat, F.lit(4))), "")
+    value = lambda c: F.when(c >= "A", F.ascii(c) - 55).otherwise(F.coalesce(c.try_cast("int"), F.lit(0)))
+    return F.aggregate(turned, F.lit(0), lambda a, c: (a * F.when(c >= "A", 100).when(c == "", 1).otherwise(10) + value(c)) % 97)
+
+
+def _votes(kind: str, s: Column) -> Column:
     """The four votes: 1 for, -1 against, 0 none."""
-    gazetteer = F.when(F.regexp_like(s["text"], F.lit(GAZETTEER[kind])), 1).otherwise(-1)
+    t = s["text"]
+    if kind == "iban":
+        form = F.when(iban_remainder(t) == 1, 1).otherwise(-1)
+    else:
+        form = F.when(F.regexp_like(_digits(t) if kind in ("card", "phone") else t, F.lit(FORM[kind])), 1).otherwise(-1)
+    gazetteer = F.when(F.regexp_like(t, F.lit(EXAMPLES[kind])), -1).when(F.regexp_like(t, F.lit(GAZETTEER[kind])), 1).otherwise(-1 if kind in CLOSED else 0)
     context = F.when(F.regexp_like(s["before"], F.lit(FOR)), 1).when(F.regexp_like(s["before"], F.lit(AGAINST)), -1).otherwise(0)
     edge = F.when(F.regexp_like(s["before"], F.lit(r"[\p{L}\p{N}_]$")) | F.regexp_like(s["after"], F.lit(r"^[\p{L}\p{N}_]")), -1).otherwise(1)
-    return F.array(strict, gazetteer, context, edge)
+    return F.array(form, gazetteer, context, edge)
 
 
-def _candidates_of(kind: str, spans: Column, strict, base) -> Column:
+def _candidates_of(kind: str, spans: Column, base: bool) -> Column:
     def one(s: Column) -> Column:
         n = F.length(s["text"])
         size = F.when(n < 12, 0).when(n < 24, 1).otherwise(2)
-        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), base(s).alias("base"), _votes(kind, s, strict(s)).alias("votes"), size.alias("size"))
+        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), s["end"].alias("end"), F.lit(base).alias("base"), _votes(kind, s).alias("votes"), size.alias("size"))
 
     return F.transform(spans, one)
 
@@ -154,10 +196,10 @@ def candidates(text: Column) -> Column:
     out = []
     for kind, pattern in STRICT.items():
         spans = _valid_only(kind, _matches(t, pattern, GUARD[kind](t)))
-        out.append(_candidates_of(kind, spans, lambda s: F.lit(1), lambda s: F.lit(True)))
+        out.append(_candidates_of(kind, spans, True))
     for kind, pattern in LOOSE.items():
         spans = _matches(t, pattern, LOOSE_GUARD[kind](t))
-        out.append(_candidates_of(kind, spans, lambda s: F.lit(0), lambda s: F.lit(False)))
+        out.append(_candidates_of(kind, spans, False))
     return F.concat(*out)
 
 

@@ -434,6 +434,51 @@ def test_pii_base_is_the_plain_version(spark):
     assert pii.digest(pii.find(df.limit(0))).collect() == []
 
 
+def plain_em(rows, rounds):
+    """rows: (kind, votes, size, n) -> the probability of each by expectation-maximisation, in loops."""
+    p = [1 / (1 + math.exp(-1.5 * sum(v) - 0.5)) for _, v, _, _ in rows]
+    for _ in range(rounds):
+        new = []
+        for kind, votes, _, _ in rows:
+            own = [(v, n * q, n * (1 - q)) for (k, v, _, n), q in zip(rows, p, strict=True) if k == kind]
+            yes, no = 1 + sum(y for _, y, _ in own), 1 + sum(x for _, _, x in own)
+            z = math.log(yes / no)
+            for i, vote in enumerate(votes):
+                same = [(y, x) for v, y, x in own if v[i] == vote]
+                z += math.log((sum(y for y, _ in same) + (2 if vote > 0 else 1)) / (yes + 3)) - math.log((sum(x for _, x in same) + (2 if vote < 0 else 1)) / (no + 3))
+            new.append(1 / (1 + math.exp(-min(30, max(-30, z)))))
+        p = new
+    return np.array(p)
+
+
+def test_pii_estimation_and_classifier_are_the_plain_versions(spark):
+    rng = random.Random(18)
+    rows = sorted({(rng.randrange(8), tuple(rng.choice([-1, 0, 1]) for _ in range(4)), rng.randrange(3)) for _ in range(60)})
+    rows = [(k, v, size, float(rng.randrange(1, 400))) for k, v, size in rows]
+    df = spark.createDataFrame([([(k, list(v), size, n) for k, v, size, n in rows],)], "patterns array<struct<kind:int,votes:array<int>,size:int,n:double>>")
+    got = df.select(pii._em(F.col("patterns")).alias("p")).first()["p"]
+    want = plain_em(rows, pii.EM_ROUNDS)
+    assert np.allclose(got, want, atol=1e-6) and 0.05 < np.mean(want > 0.5) < 0.95
+    x = np.array([[float(k == j) for j in range(8)] + [float(y) for v in votes for y in (v > 0, v < 0)] + [float(size == j) for j in range(3)] for k, votes, size, _ in rows])
+    n, w = np.sqrt([r[3] for r in rows]), np.zeros(19)
+    for _ in range(pii.FIT_ROUNDS):
+        w = w - 2.0 * (x.T @ (n * (1 / (1 + np.exp(-x @ w)) - want)) / max(n.sum(), 1.0) + 1e-4 * w)
+    data = spark.createDataFrame([([(a.tolist(), float(b), float(c)) for a, b, c in zip(x, n, want, strict=True)],)], "rows array<struct<x:array<double>,n:double,p:double>>")
+    assert np.allclose(data.select(pii._train(F.col("rows")).alias("w")).first()["w"], w, atol=1e-6)
+
+
+def test_pii_loose_spans_need_more_than_their_form(spark):
+    """Check digits, examples and context decide; spans that only look like personal data stay."""
+    good = ["IBAN DE89 3704 0044 0532 0130 00", "bank account: GB82WEST12345698765432", "call 212-667-1234 now", "api_key = ghp_a1B2c3D4e5F6g7H8i9J0", "Dear Mrs Anna Becker", "mail jane (at) home [dot] org"]
+    bad = ["order ZZ99 3704 0044 0532 0130 01", "XX12 3456 7890 1234 5678"]
+    rows = [(i, t) for i, t in enumerate([*good * 20, *bad * 20])]
+    out = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert all(out[i] for i in range(len(good) * 20)), [rows[i] for i in range(len(good)) if not out[i]]
+    assert not any("iban" in out[i] for i in range(len(good) * 20, len(rows)))
+    rest = spark.createDataFrame([("GB82WEST12345698765432",), ("DE89 3704 0044 0532 0130 00",), ("DE89 3704 0044 0532 0130 01",)], "t string").select(pii.iban_remainder(F.col("t")).alias("r")).collect()
+    assert [r["r"] == 1 for r in rest] == [True, True, False]
+
+
 def test_pii_masks(spark):
     df = spark.createDataFrame([(1, "x a@b.co y 9.9.9.9"), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in pii.mask(df).collect()} == {1: "x <email> y <ip>", 2: None, 3: "clean"}
