@@ -29,7 +29,7 @@ HASH_BITS = 20
 MAX_LABELLED = 24_000
 RIDGE = 1e-4
 STEPS = 80
-MEMORY = 6
+MEMORY = 4
 GRADES = 3
 SELECT_GRADE = 2
 SELECT_PROBABILITY = 0.5
@@ -73,6 +73,18 @@ class Ordinal:
         return [1 / (1 + math.exp(min(700.0, t - score))) for t in self.thresholds.tolist()]
 
 
+STEP = 1 << 20
+
+
+def _group_sums(values: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sums of values[at] over the groups that start at ``starts`` (each has a member), about STEP members at a time."""
+    out, bounds = np.zeros(len(starts)), np.append(starts, len(at))
+    cuts = np.unique(np.append(np.searchsorted(starts, np.arange(0, len(at), STEP)), len(starts)))
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        out[lo:hi] = np.add.reduceat(values[at[bounds[lo] : bounds[hi]]], starts[lo:hi] - starts[lo])
+    return out
+
+
 class Presences:
     """Rows of places, in row order and in place order, for sums along either."""
 
@@ -80,21 +92,20 @@ class Presences:
         self.n, self.size, self.places = len(lengths), size, places.astype(np.int32)
         self._rows = np.flatnonzero(lengths)
         self._row_starts = (np.cumsum(lengths) - lengths)[self._rows]
-        order = np.argsort(self.places, kind="stable")
+        order = np.argsort(self.places, kind="stable").astype(np.int32)
         self._row_of = np.repeat(np.arange(self.n, dtype=np.int32), lengths)[order]
-        there, starts = np.unique(self.places[order], return_index=True)
-        self._there, self._place_starts = there, starts
+        by_place = self.places[order]
+        self._place_starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), by_place[1:] != by_place[:-1]]))
+        self._there = by_place[self._place_starts]
 
     def by_row(self, weights: np.ndarray) -> np.ndarray:
         out = np.zeros(self.n)
-        if len(self._rows):
-            out[self._rows] = np.add.reduceat(weights[self.places], self._row_starts)
+        out[self._rows] = _group_sums(weights, self.places, self._row_starts)
         return out
 
     def by_place(self, values: np.ndarray) -> np.ndarray:
         out = np.zeros(self.size)
-        if len(self._there):
-            out[self._there] = np.add.reduceat(values[self._row_of], self._place_starts)
+        out[self._there] = _group_sums(values, self._row_of, self._place_starts)
         return out
 
 
@@ -174,9 +185,10 @@ def fit(docs: DataFrame, grades: DataFrame, max_labelled: int = MAX_LABELLED, n_
     if not data.num_rows:
         return Ordinal(np.zeros(1 << HASH_BITS), np.array([-40.0 + k for k in range(n_grades - 1)]))
     data = data.take(np.lexsort((data.column("key").to_numpy(), data.column("grade").to_numpy())))  # an order of its own, for the same sums in each run
-    places = data.column("places").combine_chunks()
+    rated, places = data.column("grade").to_numpy().astype(np.int64), data.column("places").combine_chunks()
     x = Presences(np.diff(places.offsets.to_numpy()), places.flatten().to_numpy(), 1 << HASH_BITS)
-    return fit_ordinal(x, data.column("grade").to_numpy().astype(np.int64), n_grades, ridge)
+    del data, places
+    return fit_ordinal(x, rated, n_grades, ridge)
 
 
 def _scores(shared):

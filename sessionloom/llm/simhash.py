@@ -296,9 +296,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _address(docs: DataFrame) -> DataFrame:
-    """``docs``, read from files, with _file and _row: where each row stands."""
+    """``docs``, read from files, with _file (a hash of the path) and _row: where each row stands."""
     meta = F.col("_metadata")
-    return docs.select("*", meta["file_path"].alias("_file"), meta["row_index"].alias("_row"))
+    return docs.select("*", F.xxhash64(meta["file_path"]).alias("_file"), meta["row_index"].alias("_row"))
 
 
 def first_of_copies(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, side: int = SIDE) -> DataFrame:
@@ -316,8 +316,8 @@ def first_of_copies(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = B
         placed = _address(docs)
     own = text_batches(placed).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), "_file", "_row")
     kinds = ["side", *(f"w{k}" for k in range(SEEDS))]
-    schema = ", ".join(f"{c} long" for c in (*kinds, "doc_id")) + ", _file string, _row long"
-    prints = own.mapInArrow(_all_prints, schema).withColumn("node", F.xxhash64(*kinds))
+    schema = ", ".join(f"{c} long" for c in (*kinds, "doc_id")) + ", _file long, _row long"
+    prints = written(own.mapInArrow(_all_prints, schema).withColumn("node", F.xxhash64(*kinds)), "simhash-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")).alias("first")
     nodes = written(prints.groupBy("node", *kinds).agg(first), "simhash-nodes")
     found = links(nodes.select(F.col("w0").alias("fp"), "node", "side"), radius, bucket_limit, side)
@@ -327,8 +327,10 @@ def first_of_copies(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = B
     comp = written(components(found), "simhash-components")
     # nodes are distinct on both sides; the minima of a group are combined before they are shuffled
     grouped = nodes.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))
-    keep = written(grouped.select("first._file", "first._row"), "simhash-first")
-    return placed.join(keep, ["_file", "_row"], "left_semi").select(docs.columns)
+    keep = grouped.select("first._file", "first._row")
+    # the rows to go are the fewer: their places are sent to the texts if they are small, else texts are shuffled, once
+    gone = written(prints.select("_file", "_row").join(keep, ["_file", "_row"], "left_anti"), "simhash-gone")
+    return placed.join(gone, ["_file", "_row"], "left_anti").select(docs.columns)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
