@@ -118,21 +118,32 @@ def segments(text: str) -> dict[str, None]:
     return dict.fromkeys([*lines, *(c for line in lines for c in CLAUSE.split(line)), *re.split(r"\n\s*\n", text), text])
 
 
-def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, n: in how many texts of the partition each term is; the number of texts under the empty term."""
+def _count_terms(shared=None):
+    """term, n: in how many texts of the partition each term is (of the shared ones, if given); the number of texts under the empty term."""
 
     def rows(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
 
-    seen: Counter = Counter()
-    for b in batches:
-        for t in b.column(0):
-            seen[""] += 1
-            seen.update(terms(t.as_py() or "").keys())
-            if len(seen) > FLUSH_TERMS:
-                yield rows(seen)
-                seen = Counter()
-    yield rows(seen)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if shared is None else shared.value
+        seen: Counter = Counter()
+        for b in batches:
+            for t in b.column(0):
+                seen[""] += 1
+                found = terms(t.as_py() or "").keys()
+                seen.update(found if wanted is None else wanted.intersection(found))
+                if len(seen) > FLUSH_TERMS:
+                    yield rows(seen)
+                    seen = Counter()
+        yield rows(seen)
+
+    return run
+
+
+def frequencies(files: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
+    """term, df: the number of ``files`` whose text has each term; only of the wanted ones, if given."""
+    shared = None if wanted is None else files.sparkSession.sparkContext.broadcast(wanted)
+    return files.select("text").mapInArrow(_count_terms(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def idf(n: int, found: int) -> float:
@@ -225,9 +236,8 @@ def stated(files: DataFrame, forms: dict[str, list[str]] | None = None, least: f
     """file_id, path, licence, score: each file's own licence, null where no segment reaches ``least``."""
     forms = templates() if forms is None else forms
     spark = files.sparkSession
-    frequency = written(files.select("text").mapInArrow(_count_terms, "term string, n long").groupBy("term").agg(F.sum("n").alias("df")), "licence-terms")
-    own = spark.createDataFrame([(t,) for t in sorted({"", *(t for fs in forms.values() for f in fs for t in terms(f))})], "term string")
-    few = {r["term"]: r["df"] for r in frequency.join(F.broadcast(own), "term").collect()}  # a row for each term of the templates
+    own = frozenset(t for fs in forms.values() for f in fs for t in terms(f))
+    few = {r["term"]: r["df"] for r in frequencies(files, own).collect()}  # a row for each term of the templates
     n = few.pop("", 0)
     shared = spark.sparkContext.broadcast(Templates(forms, few, n, least))  # the templates
     rows = files.select(F.monotonically_increasing_id().alias("uid"), "file_id", "path", "text")
@@ -236,8 +246,12 @@ def stated(files: DataFrame, forms: dict[str, list[str]] | None = None, least: f
     distinct = written(each.groupBy("segment").agg(F.count("*").alias("n")), "licence-distinct")
     # of each different segment: the square of the norm of its terms outside of the templates, with their frequencies
     words = distinct.select("segment", F.explode(F.split("segment", " ")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("m"))
-    words = words.join(F.broadcast(own), "term", "left_anti")
-    by_term = words.groupBy("term").agg(F.count("*").alias("n")).join(frequency, "term")
+    known = spark.createDataFrame([(t,) for t in sorted(own)], "term string")
+    words = words.join(F.broadcast(known), "term", "left_anti")
+    needed = written(words.groupBy("term").agg(F.count("*").alias("n")), "licence-needed")
+    # up to FLUSH_TERMS terms are sent to where the texts lie and only they are counted; beyond that all terms are
+    small = needed.count() <= FLUSH_TERMS
+    by_term = needed.join(frequencies(files, frozenset(r["term"] for r in needed.select("term").collect()) if small else None), "term")
     weight = (1 + F.log("m")) * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
     squares = join_hot(words, by_term, "term").groupBy("segment").agg(F.sum(weight * weight).alias("square"))
     scored = distinct.join(squares, "segment", "left").select("segment", F.coalesce("square", F.lit(0.0)).alias("square"), "n")
