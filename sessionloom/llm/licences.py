@@ -4,9 +4,10 @@ Each line, clause and paragraph and the whole of a text is a segment: a vector o
 frequencies of all terms over all documents.  It is compared with every template of a licence: short statements, made of names and frames, and the customary
 headers, titles and texts.  The best cosine of ``least`` or more is the file's own licence.
 
-The terms of the templates are few, so their frequencies go to all tasks, and with them the cosine of a segment is bounded from above: the product is exact, and
-each other term adds at least one to the square of the segment's norm.  Segments whose bound is below ``least`` are no licence and leave no trace; of the
-others, each different one once, all terms are joined to their frequencies and the cosine is made.
+The terms of the templates are few, so their frequencies go to all tasks, and those of all other terms by BUCKETS hashed places: terms that share a place have its sum, so
+no frequency is below the true one and no weight above.  With them the cosine of a segment is bounded from above, however many documents there are: the product is exact, and
+the norm is at least that of the weights of the places.  Segments whose bound is below ``least`` are no licence and leave no trace; of the others, each different one once, all
+terms are joined to their frequencies and the cosine is made.
 
 A directory's licence is that of its licence files (LICENSE, COPYING and the like), or else the one that most of its files state.
 A file without its own inherits from the nearest directory at or above its own that has one: distinct directories are joined to their ancestors
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,6 +35,8 @@ LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|unlicense|notice)(?:[.-].*)?$"
 #: Where clauses part.
 CLAUSE = re.compile(r"[,;:()\[\]\"]+|[.!?](?=\s|$)|\s[-|*#/]+\s")
 FLUSH_TERMS = 200_000
+#: Places of the frequencies that bound the weights of terms of no template.
+BUCKETS = 1 << 18
 
 FRAMES = [
     "{}", "License: {}", "SPDX-License-Identifier: {}", "Licensed under the {}", "Licensed under {}", "Released under the {}", "Distributed under the terms of the {}", "Available under the {}",
@@ -118,8 +122,16 @@ def segments(text: str) -> dict[str, None]:
     return dict.fromkeys([*lines, *(c for line in lines for c in CLAUSE.split(line)), *re.split(r"\n\s*\n", text), text])
 
 
-def _count_terms(shared=None):
-    """term, n: in how many texts of the partition each term is (of the shared ones, if given); the number of texts under the empty term."""
+def bucket(term: str) -> str:
+    """The hashed place of a term; no term has its sign."""
+    return f"#{zlib.crc32(term.encode()) % BUCKETS}"
+
+
+def _count_terms(shared=None, places: bool = False):
+    """term, n: in how many texts of the partition each term is (of the shared ones, if given); the number of texts under the empty term.
+
+    With ``places``, terms that aren't shared are counted under their hashed place.
+    """
 
     def rows(seen: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["term", "n"])
@@ -127,23 +139,30 @@ def _count_terms(shared=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = None if shared is None else shared.value
         seen: Counter = Counter()
+
+        def placed() -> Counter:
+            out: Counter = Counter()
+            for t, k in seen.items():
+                out[t if t == "" or t in wanted else bucket(t)] += k
+            return out
+
         for b in batches:
             for t in b.column(0):
                 seen[""] += 1
                 found = terms(t.as_py() or "").keys()
-                seen.update(found if wanted is None else wanted.intersection(found))
+                seen.update(found if wanted is None or places else wanted.intersection(found))
                 if len(seen) > FLUSH_TERMS:
-                    yield rows(seen)
+                    yield rows(placed() if places else seen)
                     seen = Counter()
-        yield rows(seen)
+        yield rows(placed() if places else seen)
 
     return run
 
 
-def frequencies(files: DataFrame, wanted: frozenset[str] | None = None) -> DataFrame:
-    """term, df: the number of ``files`` whose text has each term; only of the wanted ones, if given."""
+def frequencies(files: DataFrame, wanted: frozenset[str] | None = None, places: bool = False) -> DataFrame:
+    """term, df: the number of ``files`` whose text has each term; only of the wanted ones, if given, or with ``places`` of the hashed places of all others too."""
     shared = None if wanted is None else files.sparkSession.sparkContext.broadcast(wanted)
-    return files.select("text").mapInArrow(_count_terms(shared), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
+    return files.select("text").mapInArrow(_count_terms(shared, places), "term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def idf(n: int, found: int) -> float:
@@ -152,7 +171,7 @@ def idf(n: int, found: int) -> float:
 
 
 class Templates:
-    """The templates' unit vectors over their own terms, and the weights of these terms."""
+    """The templates' unit vectors over their own terms, the weights of these terms, and the least weight of every other term by its hashed place."""
 
     def __init__(self, forms: dict[str, list[str]], frequency: dict[str, int], n: int, least: float = LEAST):
         each = [(name, terms(f)) for name, fs in sorted(forms.items()) for f in fs]
@@ -164,6 +183,11 @@ class Templates:
             for t, m in c.items():
                 self.unit[k, self.number[t]] = (1 + math.log(m)) * self.idf[self.number[t]]
         self.unit /= np.linalg.norm(self.unit, axis=1, keepdims=True)
+        places = np.zeros(BUCKETS)
+        for t, k in frequency.items():
+            if t.startswith("#"):
+                places[int(t[1:])] = min(k, n)
+        self.least = np.log((n + 1) / (places + 1)) + 1
         self._known: dict[str, float] = {}
         # a template's heaviest terms, without which the rest of it is shorter than ``least``: a text with none of them is no statement of it
         self.keys: set[str] = set()
@@ -189,8 +213,8 @@ class Templates:
                 return 0.0
             own = self.vector(counts)
             square = float(own @ own)
-            # each other term has a weight of one at least
-            found = float((self.unit @ own).max()) / math.sqrt(square + sum((1 + math.log(m)) ** 2 for t, m in counts.items() if t not in self.number)) if square else 0.0
+            others = sum(((1 + math.log(m)) * float(self.least[int(bucket(t)[1:])])) ** 2 for t, m in counts.items() if t not in self.number) if square else 0.0
+            found = float((self.unit @ own).max()) / math.sqrt(square + others) + 1e-9 if square else 0.0
             if len(self._known) < 100_000 and len(segment) < 1000:
                 self._known[segment] = found
         return found
@@ -224,10 +248,10 @@ def _best(shared, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t: Templates = shared.value
         for b in batches:
-            found = [t.best(s.as_py(), q.as_py()) for s, q in zip(b.column(0), b.column(1), strict=True)]
+            found = [t.best(s.as_py(), q.as_py()) for s, q in zip(b.column(1), b.column(2), strict=True)]
             keep = pa.array([c >= least for c, _ in found], pa.bool_())
-            out = [b.column(0), b.column(2), pa.array([c for c, _ in found], pa.float64()), pa.array([n for _, n in found], pa.string())]
-            yield pa.RecordBatch.from_arrays(out, ["segment", "n", "score", "licence"]).filter(keep)
+            out = [b.column(0), b.column(3), pa.array([c for c, _ in found], pa.float64()), pa.array([n for _, n in found], pa.string())]
+            yield pa.RecordBatch.from_arrays(out, ["sid", "n", "score", "licence"]).filter(keep)
 
     return run
 
@@ -237,15 +261,16 @@ def stated(files: DataFrame, forms: dict[str, list[str]] | None = None, least: f
     forms = templates() if forms is None else forms
     spark = files.sparkSession
     own = frozenset(t for fs in forms.values() for f in fs for t in terms(f))
-    few = {r["term"]: r["df"] for r in frequencies(files, own).collect()}  # a row for each term of the templates
+    counted = frequencies(files, own, places=True).toArrow()  # a row for each term of the templates and for each hashed place
+    few = dict(zip(counted["term"].to_pylist(), counted["df"].to_pylist(), strict=True))
     n = few.pop("", 0)
     shared = spark.sparkContext.broadcast(Templates(forms, few, n, least))  # the templates
     rows = files.select(F.monotonically_increasing_id().alias("uid"), "file_id", "path", "text")
     likely = written(rows.mapInArrow(_likely(shared, least), "uid long, file_id long, path string, segments array<string>"), "licence-segments")
-    each = likely.select("uid", F.explode("segments").alias("segment"))
-    distinct = written(each.groupBy("segment").agg(F.count("*").alias("n")), "licence-distinct")
+    each = likely.select("uid", F.explode("segments").alias("segment")).withColumn("sid", F.unhex(F.md5("segment")))
+    distinct = written(each.groupBy("sid", "segment").agg(F.count("*").alias("n")), "licence-distinct")
     # of each different segment: the square of the norm of its terms outside of the templates, with their frequencies
-    words = distinct.select("segment", F.explode(F.split("segment", " ")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("m"))
+    words = distinct.select("sid", F.explode(F.split("segment", " ")).alias("term")).groupBy("sid", "term").agg(F.count("*").alias("m"))
     known = spark.createDataFrame([(t,) for t in sorted(own)], "term string")
     words = words.join(F.broadcast(known), "term", "left_anti")
     needed = written(words.groupBy("term").agg(F.count("*").alias("n")), "licence-needed")
@@ -253,10 +278,10 @@ def stated(files: DataFrame, forms: dict[str, list[str]] | None = None, least: f
     small = needed.count() <= FLUSH_TERMS
     by_term = needed.join(frequencies(files, frozenset(r["term"] for r in needed.select("term").collect()) if small else None), "term")
     weight = (1 + F.log("m")) * (F.log((F.lit(n) + 1) / (F.col("df") + 1)) + 1)
-    squares = join_hot(words, by_term, "term").groupBy("segment").agg(F.sum(weight * weight).alias("square"))
-    scored = distinct.join(squares, "segment", "left").select("segment", F.coalesce("square", F.lit(0.0)).alias("square"), "n")
-    best = scored.mapInArrow(_best(shared, least), "segment string, n long, score double, licence string")
-    found = join_hot(each, best, "segment").groupBy("uid").agg(F.max(F.struct("score", F.translate("licence", _LETTERS, _LETTERS[::-1]).alias("back"), "licence")).alias("top"))
+    squares = join_hot(words, by_term, "term").groupBy("sid").agg(F.sum(weight * weight).alias("square"))
+    scored = distinct.join(squares, "sid", "left").select("sid", "segment", F.coalesce("square", F.lit(0.0)).alias("square"), "n")
+    best = scored.mapInArrow(_best(shared, least), "sid binary, n long, score double, licence string")
+    found = join_hot(each.select("uid", "sid"), best, "sid").groupBy("uid").agg(F.max(F.struct("score", F.translate("licence", _LETTERS, _LETTERS[::-1]).alias("back"), "licence")).alias("top"))
     return likely.join(found, "uid", "left").select("file_id", "path", F.col("top.licence").alias("licence"), F.col("top.score").alias("score"))
 
 
