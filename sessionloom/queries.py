@@ -665,3 +665,194 @@ def next_actions(spark, sf_dir):
     runs = calls(spark, sf_dir).select(F.col("user_id").alias("session_key"), F.col("event_type").alias("normalized"), (F.col("event_type") != "view").alias("failed"), F.lit("run").alias("category"), "evt")
     none = spark.createDataFrame([], "session_key long, sig string, status string, occurrences long")
     return S.next_actions(runs, none).select(F.col("session_key").alias("user_id"), "rank", "action")
+
+
+# ---- events as sessions with tools, through the ledgers
+
+WORK = f"""{EV}, w AS (
+  SELECT CAST(user_id AS VARCHAR) AS session_key, evt * 2 AS evt, event_id, event_type, 'src/m' || event_id % 5 || '.rs' AS path, event_id % 3 = 0 AS broken,
+    CASE event_id % 4 WHEN 0 THEN 'cargo test -q' WHEN 1 THEN 'cargo build > out.log' WHEN 2 THEN 'git commit -m step' ELSE 'git push origin main' END AS normalized,
+    CASE event_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'build' ELSE 'git' END AS category FROM ev), run AS (
+  SELECT session_key, evt, event_id, normalized, category, event_type = 'error' AS failed,
+    CASE WHEN event_type = 'error' THEN 'error: task ' || CASE event_id % 3 WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' ELSE 'gamma' END || ' failed'
+      WHEN event_id % 4 = 2 THEN '[main ' || left(md5(CAST(event_id AS VARCHAR)), 8) || '] step ' || event_id WHEN event_id % 4 = 3 THEN 'see https://h.example/pull/' || event_id % 3 ELSE 'fine' END AS output
+  FROM w WHERE event_type IN ('click', 'error'))"""
+OPS = """ops AS (
+  SELECT session_key, path, evt, 'edit' AS op, false AS inferred FROM w WHERE event_type = 'signup'
+  UNION ALL SELECT session_key, path, evt, 'read', false FROM w WHERE event_type = 'view'
+  UNION ALL SELECT session_key, 'out.log', evt, 'create', true FROM run WHERE event_id % 4 = 1), led AS (
+  SELECT session_key, path, string_agg(op, ',' ORDER BY evt) AS ops, bool_or(op = 'create') AS created, count(*) FILTER (op <> 'read') AS edits, count(*) FILTER (op = 'read') AS reads,
+    min(evt) AS first_evt, max(evt) AS last_evt, bool_and(inferred) AS inferred FROM ops GROUP BY ALL)"""
+
+
+def tool_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's ``events`` as a session: views read a file, signups edit one (each third fails), clicks and errors run commands, purchases set the plan."""
+    c, n = calls(spark, sf_dir), F.col("event_id")
+    choose = lambda m, *values: F.element_at(F.array(*map(F.lit, values)), (n % m + 1).cast("int"))
+    kind, digits = F.col("event_type"), n.cast("string")
+    shell, plan = kind.isin("click", "error"), kind == "purchase"
+    args = F.when(shell, F.to_json(F.struct(choose(4, "cargo test -q", "cd /w && cargo build > out.log", "git commit -m step", "git push origin main").alias("command"))))
+    args = args.otherwise(F.to_json(F.struct(F.concat(F.lit("src/m"), n % 5, F.lit(".rs")).alias("file_path"))))
+    failed = F.concat(F.lit("error: task "), choose(3, "alpha", "beta", "gamma"), F.lit(" failed"))
+    told = F.when(n % 4 == 2, F.concat(F.lit("[main "), F.left(F.md5(digits.cast("binary")), F.lit(8)), F.lit("] step "), digits)).when(n % 4 == 3, F.concat(F.lit("see https://h.example/pull/"), n % 3)).otherwise("fine")
+    broken = (kind == "error") | ((kind == "signup") & (n % 3 == 0))
+    output = F.when(kind == "error", failed).when(broken, "error: no match").when(shell, told).otherwise("fine")
+    own = c.select(F.col("user_id").cast("string").alias("session_key"), (F.col("evt") * 2).alias("at"), plan.alias("is_plan"), shell.alias("shell"), kind.alias("type"), n.alias("n"), args.alias("args"), output.alias("output"), broken.alias("broken"))
+    call = {
+        "idx": F.col("at"),
+        "kind": F.when(F.col("is_plan"), "plan_update").otherwise("tool_call"),
+        "tool_class": F.when(F.col("shell"), "shell").when(F.col("type") == "signup", "edit").when(F.col("type") == "view", "read"),
+        "args": F.when(~F.col("is_plan"), F.col("args")),
+        "plan": F.when(F.col("is_plan"), F.array(F.struct(F.concat(F.lit("step "), F.col("n")).alias("text"), F.when(F.col("n") % 2 == 0, "completed").otherwise("in_progress").alias("status")))),
+    }
+    result = {"idx": F.col("at") + 1, "kind": F.lit("tool_result"), "output": F.col("output"), "is_error": F.col("broken")}
+    both = {"session_key": F.col("session_key"), "is_active": F.lit(True), "stream": F.lit(0), "call_id": F.concat(F.lit("c"), F.col("n"))}
+    schema = spark.createDataFrame([], E.SCHEMA).schema
+    shaped = lambda df, known: df.select(*[(both | known).get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return shaped(own, call).unionByName(shaped(own.where("NOT is_plan"), result))
+
+
+def _long(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({c: F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in names})
+
+
+@query(f"WITH {WORK} SELECT session_key, evt, normalized, category, failed, CASE WHEN failed THEN 'FAILED' ELSE 'ok' END AS status, output AS output_head FROM run")
+def command_ledger(spark, sf_dir):
+    return _long(ledgers.commands(tool_sessions(spark, sf_dir)), "evt").select("session_key", "evt", "normalized", "category", "failed", "status", "output_head")
+
+
+ERRORS = f"""{WORK}, e AS (
+  SELECT session_key, evt + 1 AS evt, output AS msg FROM run WHERE failed UNION ALL SELECT session_key, evt + 1, 'error: no match' FROM w WHERE event_type = 'signup' AND broken), g AS (
+  SELECT session_key, msg, min(evt) AS first_evt, max(evt) AS last_evt, count(*) AS occurrences FROM e GROUP BY ALL), c AS (
+  SELECT g.session_key, msg, first_evt, last_evt, occurrences, arg_max(r.normalized, r.evt) AS command FROM g LEFT JOIN run r ON r.session_key = g.session_key AND r.evt <= first_evt GROUP BY ALL), l AS (
+  SELECT c.session_key, msg, first_evt, last_evt, occurrences, command, max(r.evt) FILTER (r.evt > last_evt) AS later, arg_max(r.failed, r.evt) FILTER (r.evt > last_evt) AS later_failed, arg_max(r.failed, r.evt) AS any_failed
+  FROM c LEFT JOIN run r ON r.session_key = c.session_key AND r.normalized = command GROUP BY ALL), errs AS (
+  SELECT session_key, left(sha256(msg), 12) AS sig, msg AS example, first_evt, last_evt, occurrences, coalesce(command, '') AS command,
+    CASE WHEN command IS NULL THEN 'unknown' WHEN later IS NOT NULL THEN CASE WHEN later_failed THEN 'unresolved' ELSE 'resolved' END WHEN any_failed THEN 'unresolved' ELSE 'unknown' END AS status,
+    CASE WHEN NOT later_failed THEN coalesce(later, -1) ELSE -1 END AS resolved_evt FROM l)"""
+
+
+def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tool_sessions(spark, sf_dir)
+    return ledgers.errors(found, ledgers.commands(found))
+
+
+@query(f"WITH {ERRORS} SELECT * FROM errs")
+def errors_of_sessions(spark, sf_dir):
+    return _long(_errors(spark, sf_dir), "first_evt", "last_evt", "resolved_evt").withColumn("command", F.coalesce("command", F.lit("")))
+
+
+@query(f"WITH {ERRORS} SELECT session_key, sig, occurrences FROM errs WHERE status = 'unresolved' AND occurrences >= 3")
+def dead_ends_of_sessions(spark, sf_dir):
+    return ledgers.dead_ends(_errors(spark, sf_dir)).select("session_key", "sig", "occurrences")
+
+
+@query(f"WITH {WORK}, {OPS} SELECT * FROM led")
+def file_ledger(spark, sf_dir):
+    found = ledgers.files(tool_sessions(spark, sf_dir)).withColumn("ops", F.array_join("ops", ","))
+    return _long(found, "first_evt", "last_evt").drop("deleted", "moved_to")
+
+
+@query(f"WITH {WORK}, {OPS} SELECT session_key, path, edits FROM led WHERE edits > 0")
+def edited_files(spark, sf_dir):
+    return ledgers.edited(ledgers.files(tool_sessions(spark, sf_dir))).select("session_key", "path", "edits")
+
+
+@query(f"WITH {WORK} SELECT session_key, path, arg_max(NOT broken, evt) AS last_edit_succeeded FROM w WHERE event_type = 'signup' GROUP BY ALL")
+def edit_outcome_ledger(spark, sf_dir):
+    return ledgers.edit_outcomes(tool_sessions(spark, sf_dir))
+
+
+@query(f"WITH {WORK} SELECT session_key, max(evt) AS evt, CASE WHEN arg_max(event_id, evt) % 2 = 0 THEN '☑' ELSE '▸' END || ' step ' || arg_max(event_id, evt) AS shown FROM w WHERE event_type = 'purchase' GROUP BY session_key")
+def last_plan(spark, sf_dir):
+    return _long(ledgers.plan(tool_sessions(spark, sf_dir)), "evt").select("session_key", "evt", M.plan_line(F.col("items")).alias("shown"))
+
+
+@query(f"WITH {WORK} SELECT session_key, evt, left(md5(CAST(event_id AS VARCHAR)), 8) AS sha, 'step ' || event_id AS subject FROM run WHERE NOT failed AND event_id % 4 = 2")
+def git_commits(spark, sf_dir):
+    return _long(ledgers.git(ledgers.commands(tool_sessions(spark, sf_dir)))[0], "evt")
+
+
+@query(
+    f"""WITH {WORK}, u AS (SELECT session_key, output, min(evt) AS evt FROM run WHERE NOT failed AND event_id % 4 = 3 GROUP BY ALL), p AS (SELECT session_key, string_agg(replace(output, 'see ', ''), ' ' ORDER BY evt) AS pull_requests FROM u GROUP BY ALL)
+SELECT s.session_key, coalesce(pull_requests, '') AS pull_requests, pull_requests IS NOT NULL AS pushed FROM (SELECT DISTINCT session_key FROM run) s LEFT JOIN p ON p.session_key = s.session_key"""
+)
+def git_facts(spark, sf_dir):
+    return ledgers.git(ledgers.commands(tool_sessions(spark, sf_dir)))[1].select("session_key", F.array_join("pull_requests", " ").alias("pull_requests"), "pushed")
+
+
+@query(f"WITH {WORK}, {OPS}, a AS (SELECT session_key, path AS area, edits + reads AS work, row_number() OVER (PARTITION BY session_key ORDER BY edits + reads DESC, path) AS k FROM led) SELECT session_key, area, work FROM a WHERE k <= 5")
+def work_areas(spark, sf_dir):
+    return ledgers.work_areas(ledgers.files(tool_sessions(spark, sf_dir)))
+
+
+@query(f"WITH {CONV} SELECT session_key, CAST(idx AS BIGINT) AS evt, 'user' AS role, {R.redact_sql('text')} AS text FROM conv WHERE kind = 'user_message'")
+def message_ledger(spark, sf_dir):
+    return _long(ledgers.messages(sessions(spark, sf_dir)), "evt")
+
+
+@query(
+    f"""WITH {CONV}, k AS (SELECT session_key, min(idx) AS evt FROM conv WHERE kind = 'user_message' GROUP BY session_key, idx % 3)
+SELECT session_key, CAST(evt AS BIGINT) AS evt, row_number() OVER (PARTITION BY session_key ORDER BY evt DESC) AS rank FROM k"""
+)
+def top_constraints(spark, sf_dir):
+    """Each user turn forbids one of three things; what is said again is kept once."""
+    said = sessions(spark, sf_dir).withColumn("text", F.when(F.col("kind") == "user_message", F.concat(F.lit("Never push to branch number "), F.col("idx") % 3, F.lit("."))).otherwise(F.col("text")))
+    return _long(triage.constraints(said), "evt", "rank").select("session_key", "evt", "rank")
+
+
+@query(
+    f"""WITH {CONV}, m AS (SELECT session_key, CASE WHEN CAST(session_key AS BIGINT) % 2 = 0 THEN min(idx) ELSE max(idx) END AS edge FROM conv WHERE idx IN (2, 5) GROUP BY session_key)
+SELECT c.session_key, c.idx FROM conv c LEFT JOIN m ON m.session_key = c.session_key WHERE c.idx >= coalesce(edge, 0)"""
+)
+def since_compaction(spark, sf_dir):
+    """Turns 2 and 5 are boundaries: windowed ones in even conversations, replacing ones in the others."""
+    mark = F.col("idx").isin(2, 5)
+    marked = sessions(spark, sf_dir).withColumns({"kind": F.when(mark, "system").otherwise(F.col("kind")), "subtype": F.when(mark, "native_compaction").otherwise(F.col("subtype")), "windowed": F.col("session_key").cast("long") % 2 == 0})
+    return E.since_compaction(marked).select("session_key", "idx")
+
+
+ANSWER = "trim(regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}/._-]+', ' ', 'g'))"
+
+
+@query(f"SELECT doc_id, {ANSWER.format('source')} <> '' AND contains({ANSWER.format('text')}, {ANSWER.format('source')}) AS correct FROM documents")
+def answer_check(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", evaluation.correct(F.col("text"), F.col("source")).alias("correct"))
+
+
+@query("SELECT doc_id, CAST(doc_id AS INTEGER) || '-' || CAST(doc_id + 4 AS INTEGER) || ' ' || CAST(doc_id AS INTEGER) || '-' || CAST(doc_id + 1 AS INTEGER) AS ranges FROM documents")
+def expansion_requests(spark, sf_dir):
+    n = F.col("doc_id")
+    answer = F.concat(F.lit("Let me see. EXPAND "), n, F.lit(".."), n + 5, F.lit(" and EXPAND "), n, F.lit("..="), n + 1)
+    shown = F.transform(evaluation.expansions(answer), lambda r: F.concat_ws("-", r["start"].cast("string"), r["end"].cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(shown, " ").alias("ranges"))
+
+
+# ---- reconciliation of the ledgers with snapshots
+
+
+@query(f"WITH {WORK}, {OPS} SELECT session_key, path, CASE WHEN path IN ('src/m3.rs', 'src/m4.rs') THEN 'missing' WHEN edits > 0 AND path = 'src/m1.rs' THEN 'changed' ELSE 'known' END AS finding FROM led WHERE NOT inferred")
+def reconciled_files(spark, sf_dir):
+    found = ledgers.files(tool_sessions(spark, sf_dir))
+    there = found.where(F.col("path").isin("src/m0.rs", "src/m1.rs", "src/m2.rs")).select("session_key", "path")
+    return state.reconcile(found, there, there.where("path = 'src/m1.rs'"))
+
+
+@query(f"WITH {WORK} SELECT session_key, evt, left(md5(CAST(event_id AS VARCHAR)), 8) AS sha FROM run WHERE NOT failed AND event_id % 8 = 6")
+def missing_commits(spark, sf_dir):
+    """The repository has every second commit of a session."""
+    commits = ledgers.git(ledgers.commands(tool_sessions(spark, sf_dir)))[0]
+    known = calls(spark, sf_dir).where("event_id % 8 = 2").select(F.col("user_id").cast("string").alias("session_key"), F.md5(F.col("event_id").cast("string").cast("binary")).alias("sha"))
+    return _long(state.missing_commits(commits, known), "evt").select("session_key", "evt", "sha")
+
+
+@query(
+    f"""WITH {WORK}, p AS (SELECT session_key, max(evt) AS evt, arg_max(event_id, evt) AS n FROM w WHERE event_type = 'purchase' GROUP BY session_key),
+r AS (SELECT session_key, max(evt) AS evt, arg_max(normalized, evt) AS c, arg_max(failed, evt) AS failed FROM run GROUP BY session_key)
+SELECT coalesce(p.session_key, r.session_key) AS session_key, CASE WHEN n % 2 = 1 THEN 'from the plan: step ' || n ELSE 'last command: ' || c || ' — ' || CASE WHEN failed THEN 'FAILED' ELSE 'ok' END END AS text,
+  CASE WHEN n % 2 = 1 THEN p.evt ELSE r.evt END AS evt FROM p FULL JOIN r ON p.session_key = r.session_key WHERE n % 2 = 1 OR c IS NOT NULL"""
+)
+def derived_step(spark, sf_dir):
+    found = tool_sessions(spark, sf_dir)
+    none = spark.createDataFrame([], "session_key string, kind string, status string")
+    return _long(state.derived_step(none, ledgers.plan(found), ledgers.commands(found)), "evt").select("session_key", "text", "evt")
