@@ -5,21 +5,61 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as X
+from sessionloom.operators.events import user_turns
 from sessionloom.operators.segment import stride_sample
 
 TRIALS = "session_key string, arm string, question_id int, class string, correct boolean, tokens long, expansions int"
 
 
 def questions(found: DataFrame, deep: int = 8) -> DataFrame:
-    """session_key, evt, class, question, key: what a spread of earlier events said, by their most telling token."""
-    told = found.where(F.col("kind").isin("user_message", "assistant_text", "tool_result")).select("session_key", F.col("idx").alias("evt"), "kind", F.coalesce("text", "output", F.lit("")).alias("t"))
-    keyed = told.withColumn("key", X.distinctive(F.col("t"))).where("key IS NOT NULL")
-    chosen = keyed.join(stride_sample(keyed.select("session_key", "evt"), deep), ["session_key", "evt"])
-    return chosen.select("session_key", "evt", F.lit("deep").alias("class"), F.concat(F.lit("What was named in event "), F.col("evt").cast("string"), F.lit("?")).alias("question"), "key")
+    """session_key, evt, class, question, key: what a spread of earlier events said, by their most telling token.
+
+    The spread is over the first 85 % of a session's telling events; a session with fewer there than ``deep`` gives none.
+    """
+    keyed = _keyed(found)
+    enough = keyed.groupBy("session_key").agg(F.count("*").alias("n")).where(F.floor(F.col("n") * 85 / 100) >= deep).select("session_key")
+    chosen = keyed.join(stride_sample(keyed.select("session_key", "evt").join(enough, "session_key", "left_semi"), deep), ["session_key", "evt"])
+    return _asked(chosen, "deep")
+
+
+def recent_questions(found: DataFrame, recent: int = 4) -> DataFrame:
+    """The same of the last telling events of each session."""
+    w = Window.partitionBy("session_key").orderBy(F.desc("evt"))
+    return _asked(_keyed(found).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= recent), "recent")
+
+
+def _keyed(found: DataFrame) -> DataFrame:
+    told = found.where("is_active").where(F.col("kind").isin("user_message", "assistant_text", "tool_result")).select("session_key", F.col("idx").alias("evt"), "kind", F.coalesce("text", "output", F.lit("")).alias("t"))
+    return told.withColumn("key", X.distinctive(F.col("t"))).where("key IS NOT NULL")
+
+
+def _asked(chosen: DataFrame, name: str) -> DataFrame:
+    return chosen.select("session_key", "evt", F.lit(name).alias("class"), F.concat(F.lit("What was named in event "), F.col("evt").cast("string"), F.lit("?")).alias("question"), "key")
+
+
+def brief_questions(found: DataFrame, messages: DataFrame, files: DataFrame, commits: DataFrame, errors: DataFrame, folders: DataFrame) -> DataFrame:
+    """session_key, id, class, question, key, evt: what a handoff is bound to say, as far as the session has it: the first wish (its first eight words), the file edited most, the newest
+    commit, the open error that came most often, the number of the user's turns and the working folder (session_key, cwd; empty if unknown)."""
+    words = F.array_join(F.slice(F.split(F.trim(F.col("text")), r"\s+"), 1, 8), " ")
+    edits = F.struct("edits", F.length("path"), "path")
+    often = F.struct(-F.col("occurrences"), F.col("sig"))
+    parts = {
+        "goal": ("What did the user first ask for?", messages.where("role = 'user'").groupBy("session_key").agg(F.min_by(words, "evt").alias("key"), F.min("evt").alias("evt"))),
+        "busiest-file": ("Which file was edited most often?", files.where("edits > 0").groupBy("session_key").agg(F.max_by("path", edits).alias("key"), F.max_by("last_evt", edits).alias("evt"))),
+        "last-commit": ("What was the newest commit?", commits.groupBy("session_key").agg(F.max_by("subject", "evt").alias("key"), F.max("evt").alias("evt"))),
+        "unresolved": ("Which error was never resolved?", errors.where("status = 'unresolved'").groupBy("session_key").agg(F.min_by("sig", often).alias("key"), F.min_by("last_evt", often).alias("evt"))),
+        "user-turns": ("How often did the user speak?", user_turns(found).select("session_key", F.col("user_turns").cast("string").alias("key"), F.lit(0).alias("evt"))),
+        "dir": ("Which folder was worked in?", found.select("session_key").distinct().join(folders.select("session_key", "cwd"), "session_key", "left").select("session_key", F.coalesce("cwd", F.lit("")).alias("key"), F.lit(0).alias("evt"))),
+    }
+    out = None
+    for name, (question, part) in parts.items():
+        own = part.select("session_key", F.lit(name).alias("id"), F.lit("brief").alias("class"), F.lit(question).alias("question"), "key", F.col("evt").cast("int").alias("evt"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def correct(answer: Column, key: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import redact as R
 from sessionloom.functions import text as X
-from sessionloom.operators.events import is_human
+from sessionloom.operators.events import PATH_KEYS, is_human
 
 #: Tiers by importance; their place is their rank.
 TIERS = ["user", "assistant_final", "subagent", "commentary", "prior_summary", "tool_result_error", "tool_call", "tool_result_ok"]
@@ -35,6 +35,13 @@ def call_arguments(args: Column) -> Column:
     return F.coalesce(F.nullif(shown, F.lit("")), X.truncate_middle(F.coalesce(args, F.lit("")), 200))
 
 
+def edit_stat(args: Column) -> Column:
+    """`` (+a −r)``: lines of the new text and of the replaced one in an edit's arguments; `` (+a)`` without the latter, empty without the former."""
+    count = lambda t: F.when(t.isNull(), None).when(t == "", 0).otherwise(F.size(F.split(F.regexp_replace(t, F.lit(r"\n\z"), F.lit("")), "\n")))
+    new, old = F.coalesce(F.get_json_object(args, "$.new_string"), F.get_json_object(args, "$.content")), F.get_json_object(args, "$.old_string")
+    return F.when(new.isNull(), "").when(old.isNull(), F.format_string(" (+%d)", count(new))).otherwise(F.format_string(" (+%d −%d)", count(new), count(old)))
+
+
 def masked_rows(events: DataFrame, mode: str = "default", keep_reasoning: bool = False, keep_system: bool = False, sidechains: bool = False) -> DataFrame:
     """session_key, evt, tier, tier_rank, text, tokens, is_human_turn of the active events that give a row; see TIERS."""
     text = F.coalesce("text", F.lit(""))
@@ -42,6 +49,8 @@ def masked_rows(events: DataFrame, mode: str = "default", keep_reasoning: bool =
     kind, meta, output = F.col("kind"), F.coalesce("is_meta", F.lit(False)), F.coalesce("output", F.lit(""))
     call = X.short_id(F.coalesce("call_id", F.lit("")))
     keep = lambda flag, value: F.when(F.lit(flag), value)
+    path = F.coalesce(*[F.nullif(F.get_json_object("args", f"$.{k}"), F.lit("")) for k in PATH_KEYS])
+    edited = F.when(F.col("tool_class") == "edit", F.concat(path, edit_stat(F.col("args"))))
     row = (
         F.when((kind == "user_message") & meta, F.struct(F.lit("commentary"), _label("user·harness", X.truncate_tokens(text, USER))))
         .when(kind == "user_message", F.struct(F.lit("user"), _label("user", X.truncate_tokens(text, USER))))
@@ -49,7 +58,7 @@ def masked_rows(events: DataFrame, mode: str = "default", keep_reasoning: bool =
         .when((kind == "assistant_text") & (F.col("phase") == "commentary"), F.struct(F.lit("commentary"), _label("assistant·commentary", X.truncate_tokens(text, COMMENTARY))))
         .when(kind == "assistant_text", F.struct(F.lit("assistant_final"), _label("assistant", X.truncate_tokens(text, FINAL))))
         .when((kind == "reasoning") & F.col("text").isNotNull(), F.struct(F.lit("commentary"), keep(keep_reasoning, _label("reasoning", X.truncate_tokens(text, REASONING)))))
-        .when((kind == "tool_call") & (F.col("tool_class") != "plan"), F.struct(F.lit("tool_call"), F.concat(F.lit("[call "), F.col("tool_name"), F.lit(" #"), call, F.lit("] "), call_arguments(F.col("args")))))
+        .when((kind == "tool_call") & (F.col("tool_class") != "plan"), F.struct(F.lit("tool_call"), F.concat(F.lit("[call "), F.col("tool_name"), F.lit(" #"), call, F.lit("] "), F.coalesce(edited, call_arguments(F.col("args"))))))
         .when((kind == "tool_result") & failed(), F.struct(F.lit("tool_result_error"), F.concat(F.lit("[result #"), call, F.lit(" ERROR"), exit_, F.lit("] "), X.head_and_tail(output, ERROR))))
         .when(kind == "tool_result", F.struct(F.lit("tool_result_ok"), F.concat(F.lit("[result #"), call, F.lit("] "), X.placeholder(output))))
         .when(

@@ -51,3 +51,31 @@ def document(sessions: DataFrame, constraints: DataFrame, files: DataFrame, comm
         out = out.join(part.withColumnRenamed("a", f"p{k}"), "session_key", "left")
         texts.append(F.when(F.coalesce(f"p{k}", F.lit("")) != "", F.concat(F.lit(f"## {title}\n\n"), F.col(f"p{k}"))))
     return out.select("session_key", F.array_join(F.array_compact(F.array(*texts)), "\n\n").alias("markdown"))
+
+
+def described(events: DataFrame, most: int = 1200, lines: int = 20) -> DataFrame:
+    """session_key, evt, line: messages, answers, calls and results as one entry each, bodies of ``most`` characters; other kinds have none."""
+    kind, text = F.col("kind"), F.coalesce("text", F.lit(""))
+    short = lambda v: F.left(F.substring_index(v, "\n", 1), F.lit(60))
+    args = F.array_join(F.transform(F.array_sort(F.map_entries(F.from_json("args", "map<string,string>"))), lambda e: short(e["value"])), " ")
+    body = (
+        F.when(kind == "user_message", F.concat(F.when(F.coalesce("is_meta", F.lit(False)), "[user-harness] ").otherwise("[user] "), text))
+        .when(kind == "user_answer", F.concat(F.lit("[user-answer] "), F.col("question"), F.lit(" "), F.col("answer")))
+        .when(kind == "assistant_text", F.concat(F.lit("[assistant] "), text))
+        .when(kind == "tool_call", F.concat(F.lit("[call "), F.coalesce("tool_name", F.lit("")), F.lit("] "), F.coalesce(args, F.lit(""))))
+        .when(kind == "tool_result", F.concat(F.lit("[result] "), F.substring_index(F.coalesce("output", F.lit("")), "\n", lines)))
+    )
+    return events.select("session_key", F.col("idx").alias("evt"), F.concat(F.lit("evt "), F.col("idx").cast("string"), F.lit(" "), F.left(body, F.lit(most))).alias("line")).where("line IS NOT NULL")
+
+
+# The layers of a document.
+LAYERS = {"L0": "brief", "L1": "items", "L2": "tail", "L3": "retrieval"}
+
+
+def layers(chosen: str) -> list[str]:
+    """The layers that a list such as ``L0,L2`` names, in order; blanks and case don't matter, an unknown name is an error."""
+    names = [p.strip().upper() for p in chosen.split(",") if p.strip()]
+    unknown = [n for n in names if n not in LAYERS]
+    if unknown:
+        raise ValueError(f"unknown layer {unknown[0]}: expected one of {', '.join(LAYERS)}")
+    return [LAYERS[n] for n in LAYERS if n in names]

@@ -367,3 +367,21 @@ def derived_step(found: DataFrame, plans: DataFrame, runs: DataFrame) -> DataFra
 def looks_like_work(path: F.Column) -> F.Column:
     # Parts of paths that are read while working, not worked on.
     return ~F.regexp_like(F.lower(path), F.lit(r"/logs/|_logs|\.log|/node_modules/|/\.npm/|/tmp/"))
+
+
+def evt_range(start: F.Column, end: F.Column) -> F.Column:
+    """``evt A`` or ``evt A–B``, whichever bound comes first."""
+    low, high = F.least(start, end), F.greatest(start, end)
+    return F.when(low == high, F.format_string("evt %d", low)).otherwise(F.format_string("evt %d–%d", low, high))
+
+
+def provenance(sources: F.Column) -> F.Column:
+    """All ranges of an item in brackets; empty without sources."""
+    shown = F.array_join(F.transform(sources, lambda r: evt_range(r["start"], r["end"])), ", ")
+    return F.when(F.size(sources) > 0, F.concat(F.lit("["), shown, F.lit("]"))).otherwise("")
+
+
+def span(sources: F.Column) -> F.Column:
+    """The widest range that an item cites, as (start, end); null without sources."""
+    low = F.array_min(F.transform(sources, lambda r: F.least(r["start"], r["end"])))
+    return F.when(F.size(sources) > 0, F.struct(low.alias("start"), F.array_max(F.transform(sources, lambda r: F.greatest(r["start"], r["end"]))).alias("end")))

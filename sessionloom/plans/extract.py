@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from sessionloom.operators import events as E
 from sessionloom.operators import ledgers as L
@@ -50,7 +52,35 @@ def extract(spark: SparkSession, path: str, options: Options | None = None) -> d
     return out
 
 
-def write(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as Parquet in a folder of its name."""
+def write(tables: dict[str, DataFrame], path: str, form: str = "parquet") -> None:
+    """Each table as Parquet, or JSON lines, in a folder of its name."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        df.write.mode("overwrite").format(form).save(f"{path}/{name}")
+
+
+def projected(tables: dict[str, DataFrame]) -> DataFrame:
+    """session_key, json: the rows of each table, without the key, as one object for each session; tables are sorted by their rows, and one without rows of the session is an empty list."""
+    out = None
+    for name, df in tables.items():
+        row = F.struct(*[c for c in df.columns if c != "session_key"])
+        own = df.groupBy("session_key").agg(F.array_sort(F.collect_list(row)).alias(name))
+        out = own if out is None else out.join(own, "session_key", "full")
+    filled = [F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType)).alias(name) for name in tables]
+    return out.select("session_key", F.to_json(F.struct(*filled)).alias("json"))
+
+
+def schemas(tables: dict[str, DataFrame]) -> dict[str, str]:
+    """Name -> the table's schema as JSON."""
+    return {name: df.schema.json() for name, df in tables.items()}
+
+
+def read_back(spark: SparkSession, path: str, written: dict[str, str], form: str = "parquet") -> dict[str, DataFrame]:
+    """The tables that ``write`` left, by the schemas of ``schemas``."""
+    return {name: spark.read.format(form).schema(StructType.fromJson(json.loads(s))).load(f"{path}/{name}") for name, s in written.items()}
+
+
+def unprojected(found: DataFrame, name: str, schema: str) -> DataFrame:
+    """One table out of ``projected``, by its schema as JSON."""
+    fields = StructType([f for f in StructType.fromJson(json.loads(schema)) if f.name != "session_key"])
+    rows = F.from_json(F.get_json_object("json", f"$.{name}"), ArrayType(fields))
+    return found.select("session_key", F.explode(rows).alias("r")).select("session_key", "r.*")

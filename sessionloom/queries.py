@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import redact as R
 from sessionloom.functions import text as X
-from sessionloom.operators import evaluation, joins, ledgers, segment, state, triage
+from sessionloom.operators import evaluation, joins, ledgers, render, segment, state, triage
+from sessionloom.plans import extract as plans
 from sessionloom.operators import sessions as S
 from sessionloom.operators import events as E
 from sessionloom.operators import masking as M
@@ -856,3 +857,69 @@ def derived_step(spark, sf_dir):
     found = tool_sessions(spark, sf_dir)
     none = spark.createDataFrame([], "session_key string, kind string, status string")
     return _long(state.derived_step(none, ledgers.plan(found), ledgers.commands(found)), "evt").select("session_key", "text", "evt")
+
+
+# ---- questions, provenance and projections
+
+
+@query(
+    f"""WITH {ERRORS}, {OPS}, conv AS (SELECT CAST(conv_id AS VARCHAR) AS session_key, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS idx, role, text FROM conversations), s AS (SELECT DISTINCT session_key FROM w), q AS (
+  SELECT session_key, 'goal' AS id, array_to_string(list_slice(string_split_regex(trim({R.redact_sql("arg_min(text, idx)")}), '\\s+'), 1, 8), ' ') AS key, min(idx) AS evt FROM conv WHERE role = 'user' GROUP BY session_key
+  UNION ALL SELECT session_key, 'busiest-file', arg_max(path, (edits, length(path), path)), arg_max(last_evt, (edits, length(path), path)) FROM led WHERE edits > 0 GROUP BY session_key
+  UNION ALL SELECT session_key, 'last-commit', 'step ' || arg_max(event_id, evt), max(evt) FROM run WHERE NOT failed AND event_id % 4 = 2 GROUP BY session_key
+  UNION ALL SELECT session_key, 'unresolved', arg_min(sig, (-occurrences, sig)), arg_min(last_evt, (-occurrences, sig)) FROM errs WHERE status = 'unresolved' GROUP BY session_key
+  UNION ALL SELECT session_key, 'user-turns', '0', 0 FROM s
+  UNION ALL SELECT session_key, 'dir', CASE WHEN CAST(session_key AS BIGINT) % 2 = 0 THEN '/w' ELSE '' END, 0 FROM s) SELECT session_key, id, key, CAST(evt AS BIGINT) AS evt FROM q"""
+)
+def brief_questions(spark, sf_dir):
+    """The sessions made from events; their first wish is that of the conversation of the same number."""
+    found = tool_sessions(spark, sf_dir)
+    runs = ledgers.commands(found)
+    folders = found.select("session_key").distinct().where(F.col("session_key").cast("long") % 2 == 0).withColumn("cwd", F.lit("/w"))
+    asked = evaluation.brief_questions(found, ledgers.messages(sessions(spark, sf_dir)), ledgers.files(found), ledgers.git(runs)[0], ledgers.errors(found, runs), folders)
+    return _long(asked, "evt").select("session_key", "id", "key", "evt")
+
+
+NAMED = """n AS (SELECT CAST(user_id AS VARCHAR) AS session_key, 2 * (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) + 1 AS evt, event_type, event_id FROM events),
+a AS (SELECT session_key, evt, 'https://h.example/pull/' || event_id % 3 AS key, row_number() OVER (PARTITION BY session_key ORDER BY evt) - 1 AS pos, count(*) OVER (PARTITION BY session_key) AS n FROM n WHERE event_type = 'click' AND event_id % 4 = 3)"""
+
+
+def _named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the sessions made from events, the results that name an address: others have no telling word."""
+    return tool_sessions(spark, sf_dir).where("kind = 'tool_result' AND output LIKE 'see %'")
+
+
+@query(f"WITH {NAMED} SELECT session_key, evt, key FROM a WHERE n * 85 // 100 >= 2 AND pos < n * 85 // 100 AND pos // (n * 85 // 100 // 2) < 2 AND pos = (pos // (n * 85 // 100 // 2)) * (n * 85 // 100 // 2) + (n * 85 // 100 // 2) // 2")
+def deep_questions(spark, sf_dir):
+    return _long(evaluation.questions(_named(spark, sf_dir), 2), "evt").select("session_key", "evt", "key")
+
+
+@query(f"WITH {NAMED} SELECT session_key, evt, key FROM a WHERE n - pos <= 2")
+def recent_questions(spark, sf_dir):
+    return _long(evaluation.recent_questions(_named(spark, sf_dir), 2), "evt").select("session_key", "evt", "key")
+
+
+@query("SELECT doc_id, ' (+' || len(string_split(regexp_replace(text, '\n$', ''), chr(10))) || CASE WHEN doc_id % 2 = 0 THEN ' −1' ELSE '' END || ')' AS stat FROM documents WHERE text <> ''")
+def edit_statistics(spark, sf_dir):
+    args = F.to_json(F.struct(F.col("text").alias("new_string"), F.when(F.col("doc_id") % 2 == 0, "one line\n").alias("old_string")))
+    return table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", M.edit_stat(args).alias("stat"))
+
+
+@query("SELECT l_orderkey, '[' || string_agg(CASE WHEN l_linenumber = l_suppkey % 7 THEN 'evt ' || l_linenumber ELSE 'evt ' || least(l_linenumber, l_suppkey % 7) || '–' || greatest(l_linenumber, l_suppkey % 7) END, ', ' ORDER BY l_linenumber, l_suppkey % 7) || ']' AS provenance, CAST(min(least(l_linenumber, l_suppkey % 7)) AS BIGINT) AS first_evt, CAST(max(greatest(l_linenumber, l_suppkey % 7)) AS BIGINT) AS last_evt FROM lineitem GROUP BY l_orderkey")
+def item_provenance(spark, sf_dir):
+    """Each order as an item that cites one range of events for each of its lines, bounds either way round."""
+    own = F.struct(F.col("l_linenumber").cast("long").alias("n"), F.col("l_linenumber").cast("long").alias("start"), (F.col("l_suppkey") % 7).cast("long").alias("end"))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(own)).alias("sources"))
+    return items.select("l_orderkey", state.provenance(F.col("sources")).alias("provenance"), state.span(F.col("sources"))["start"].alias("first_evt"), state.span(F.col("sources"))["end"].alias("last_evt"))
+
+
+@query(f"WITH {CONV} SELECT session_key, idx AS evt, 'evt ' || idx || ' ' || left(CASE kind WHEN 'user_message' THEN '[user] ' ELSE '[assistant] ' END || text, 1200) AS line FROM conv WHERE kind <> 'system'")
+def described_events(spark, sf_dir):
+    return render.described(sessions(spark, sf_dir))
+
+
+@query(f"WITH {CONV} SELECT session_key, idx, kind, text FROM conv")
+def projected_events(spark, sf_dir):
+    """The events as one JSON object for each session, and out of it again."""
+    own = sessions(spark, sf_dir).select("session_key", "idx", "kind", "text")
+    return plans.unprojected(plans.projected({"events": own}), "events", own.schema.json())

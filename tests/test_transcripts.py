@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import events as E
-from sessionloom.operators import ledgers, state
+from sessionloom.operators import ledgers, masking, render, state
 from sessionloom.plans import extract as plan
 from sessionloom.sources import transcripts
 
@@ -197,3 +197,36 @@ def test_reconcile(spark):
     there = spark.createDataFrame([("s", "a.py"), ("s", "b.py"), ("s", "d.py")], "session_key string, path string")
     got = {r["path"]: r["finding"] for r in state.reconcile(files, there, there.where("path = 'd.py'")).collect()}
     assert got == {"a.py": "known", "b.py": "contradicted", "c.py": "missing", "d.py": "changed"}
+
+
+def test_tables_written_and_read_back(spark, store, tmp_path):
+    tables = {k: v for k, v in plan.extract(spark, str(store)).items() if k in ("files", "commands", "plan", "messages")}
+    known = plan.schemas(tables)
+    whole = plan.projected(tables)
+    key = lambda rows: sorted(map(str, rows))
+    for form in ("parquet", "json"):
+        plan.write(tables, str(tmp_path / form), form)
+        again = plan.read_back(spark, str(tmp_path / form), known, form)
+        for name, df in tables.items():
+            assert key(again[name].select(df.columns).collect()) == key(df.collect())
+    for name, df in tables.items():
+        assert df.count() and key(plan.unprojected(whole, name, known[name]).select(df.columns).collect()) == key(df.collect())
+
+
+def test_layers_of_a_document():
+    assert render.layers("l2, L0,,") == ["brief", "tail"]
+    assert render.layers("") == []
+    with pytest.raises(ValueError):
+        render.layers("L0,L9")
+
+
+def test_ranges_of_an_item(spark):
+    df = spark.createDataFrame([(1, [(5, 2), (7, 7)]), (2, [])], "id int, sources array<struct<start:int,end:int>>")
+    got = {r[0]: r[1:] for r in df.select("id", state.provenance(F.col("sources")), state.span(F.col("sources"))).collect()}
+    assert got[1][0] == "[evt 2–5, evt 7]" and tuple(got[1][1]) == (2, 7)
+    assert got[2] == ("", None)
+
+
+def test_edit_rows_have_statistics(spark):
+    df = spark.createDataFrame([('{"new_string":"a\\nb\\n","old_string":""}',), ('{"content":"a"}',), ('{"path":"x"}',), (None,)], "args string")
+    assert [r[0] for r in df.select(masking.edit_stat(F.col("args"))).collect()] == [" (+2 −0)", " (+1)", "", ""]
