@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sessionloom.llm import decontaminate, html_text, language, licences, packing, pii, quality, simhash, topk, warc
+from sessionloom.llm import decontaminate, html_text, language, licences, mixing, packing, pii, quality, simhash, topk, trie, warc, whitening
 
 QUERIES = {
     "op1_license_scan": licences.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_pii_weak_supervision": pii.op8_pii_weak_supervision,
     "op9_html_extraction": html_text.op9_html_extraction,
     "op10_benchmark_decontamination": decontaminate.op10_benchmark_decontamination,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_conversation_trie": trie.op12_conversation_trie,
+    "op13_source_mixing": mixing.op13_source_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
