@@ -923,3 +923,7 @@ def projected_events(spark, sf_dir):
     """The events as one JSON object for each session, and out of it again."""
     own = sessions(spark, sf_dir).select("session_key", "idx", "kind", "text")
     return plans.unprojected(plans.projected({"events": own}), "events", own.schema.json())
+
+
+# the queries of the other modules
+import sessionloom.queries_state  # noqa: E402, F401

@@ -1,5 +1,7 @@
 """Facts on whole sessions and the rankings and budgets over them."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from sessionloom import queries
@@ -94,9 +96,11 @@ def test_malformed_operations_are_refused(spark):
         {"op": "resolve", "id": "G1", "evt": "2"}, {"op": "update", "id": "G1", "add_sources": 5}, {"op": "add", "kind": "goal", "text": "x", "sources": "1..2"}, {"op": "update", "id": ["G1"]},
     ]
     good = {"op": "add", "kind": "goal", "text": "ship it", "sources": [source]}
-    got, refused = state.replay([("c1", state.Batch(0, 5, [1, 2], ["ship it"]), [good]), ("c2", state.Batch(0, 5, [1, 2], []), odd)])
-    assert [i.text for i in got.items] == ["ship it"] and got.items[0].status == "active"
-    assert [(r[0], r[1]) for r in refused] == [("c2", k) for k in range(len(odd))] and all(r[3] for r in refused)
+    rows = [("s", "c1", 0, 5, [1, 2], ["ship it"], [], json.dumps([good])), ("s", "c2", 0, 5, [1, 2], [], [], json.dumps(odd))]
+    batches = spark.createDataFrame(rows, "session_key string, chunk string, evt_start int, evt_end int, visible array<int>, human array<string>, paths array<string>, ops string")
+    got, refused = state.items(batches).collect(), state.rejections(batches).collect()
+    assert [(i["text"], i["status"]) for i in got] == [("ship it", "active")]
+    assert [(r["chunk"], r["op_index"]) for r in refused] == [("c2", k) for k in range(len(odd))] and all(r["reason"] for r in refused)
 
 
 def test_ledger_slice_keeps_the_first_of_each_section(spark):

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionloom.operators import events as E
-from sessionloom.operators import ledgers, masking, render, state
+from sessionloom.operators import fold, ledgers, masking, render, state
 from sessionloom.plans import extract as plan
 from sessionloom.sources import transcripts
 
@@ -188,8 +188,8 @@ def test_state_checks_and_replay(spark):
 def test_repair():
     good = [{"op": "drop", "id": "G1"}]
     for text in ('{"ops": [{"op": "drop", "id": "G1"}]}', 'Sure:\n```json\n[{"op": "drop", "id": "G1",}]\n```', '{"ops": [{"op": "drop", "id": "G1"', '[{"op":"drop","id":"G1'):
-        assert state.repaired(text) == good
-    assert state.repaired("nothing") == [] and state.repaired("{{{") == []
+        assert fold.repaired(text) == good
+    assert fold.repaired("nothing") == [] and fold.repaired("{{{") == []
 
 
 def test_reconcile(spark):
