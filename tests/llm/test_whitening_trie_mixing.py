@@ -234,7 +234,7 @@ def test_mixing_keeps_probabilities(spark):
     """Over many draws each document is taken as often as its source's share asks, whatever its size."""
     rows = [(i, "w " * (1 + i % 40), "a" if i < 300 else "b") for i in range(500)]
     df = spark.createDataFrame(rows, DOCUMENTS).cache()
-    counts, draws = defaultdict(int), 5
+    counts, draws = defaultdict(int), 3
     for seed in range(draws):
         mixing.SEED = seed
         for r in mixing.mix(df).collect():
