@@ -19,12 +19,11 @@ ERROR_MARKERS = [
 ]
 
 # How providers open the fragments that they inject as user messages.
-HARNESS_OPENERS = [
-    "Caveat: The messages below were generated",
-    "# AGENTS.md instructions",
-    "## My request for Codex:",
-    "# Files mentioned by the user:",
-]
+HARNESS_OPENERS = {
+    "tree": ["Caveat: The messages below were generated"],
+    "rollout": ["# AGENTS.md instructions", "## My request for Codex:", "# Files mentioned by the user:"],
+    "journal": [],
+}
 
 
 def _or_lit(x: Column | str) -> Column:
@@ -243,10 +242,11 @@ def is_shouted(text: Column) -> Column:
     return (F.size(words) >= 4) & F.forall(words, lambda w: ~F.regexp_like(w, F.lit(r"\p{Ll}")))
 
 
-def is_harness_fragment(text: Column) -> Column:
-    """Whether a user message is injected context: a provider's opener, or a tag at its start that is closed further on."""
-    t = F.regexp_replace(text, F.lit(r"^\s+"), F.lit(""))
-    opener = F.regexp_like(t, F.lit("(?i)^(?:" + "|".join(quoted(m) for m in HARNESS_OPENERS) + ")"))
+def is_harness_fragment(text: Column, provider: str | None = None) -> Column:
+    """Whether a user message is injected context: an opener of the provider (of any, if none is given), or a tag at its start that is closed further on."""
+    t = F.regexp_replace(text, F.lit(r"(?U)^\s+"), F.lit(""))
+    openers = [o for p, own in HARNESS_OPENERS.items() if provider in (None, p) for o in own]
+    opener = F.regexp_like(t, F.lit("(?i)^(?:" + "|".join(map(quoted, openers)) + ")")) if openers else F.lit(False)
     name = F.regexp_extract(t, "^<([A-Za-z0-9_-]+)[> \n]", 1)
     return opener | ((name != "") & F.contains(t, F.concat(F.lit("</"), name, F.lit(">"))))
 

@@ -1,423 +1,229 @@
 """Transcript lines to canonical events, with the branch of history that is still live.
 
-One pass for each session in line order: streams, question pairing and rollbacks depend on what came before.  Sessions are
-independent; a group is one session's lines.
+A line gives its events by itself (see ``parsing``).  What depends on other lines comes from windows over narrow rows, one for a line or an event: ordinals, streams, the pairing
+of calls with what answers them, rollbacks; and from walks up the entries' tree (see ``live``).  These facts are joined to the events by place, so that a
+session is spread over tasks however long it is.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+import functools
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.operators import live, parsing
+from sessionloom.operators.parsing import CLASS_OF, COMMAND_KEYS, OPENERS, PATH_KEYS, PLAN_LISTS, TOOLS  # noqa: F401
+from sessionloom.operators.steps import Steps, new_folder
 from sessionloom.sources.transcripts import detect
 
 SCHEMA = """session_key string, idx int, native_id string, parent string, ts string, stream int, kind string, is_active boolean,
  path_ix int, line_no int, text string, is_meta boolean, phase string, redacted boolean, call_id string, tool_name string, tool_class string,
  args string, output string, is_error boolean, exit_code int, command string, plan array<struct<text:string,status:string>>, question string,
  answer string, num_turns int, model string, sub_stream int, subtype string, windowed boolean"""
-COLUMNS = [c.split()[0] for c in SCHEMA.replace("plan array<struct<text:string,status:string>>", "plan x").split(",")]
-DIAGNOSTICS = "session_key string, kind string, line_no int, message string, n long"
-
-# The providers' tool names and what they do.
-TOOLS = {
-    "tree": {
-        "edit": ["Edit", "MultiEdit", "Write", "NotebookEdit"], "read": ["Read", "NotebookRead"], "search": ["Grep", "Glob", "LS"], "shell": ["Bash", "BashOutput", "KillBash"],
-        "plan": ["TodoWrite", "ExitPlanMode"], "subagent": ["Task", "Agent"], "web": ["WebFetch", "WebSearch"], "ask": ["AskUserQuestion"],
-    },
-    "rollout": {
-        "edit": ["apply_patch"], "read": ["read_file"], "shell": ["shell", "exec_command", "write_stdin", "local_shell_call"], "plan": ["update_plan"], "ask": ["request_user_input"],
-        "web": ["web_search_call", "web_search"], "search": ["file_search"],
-    },
-    "journal": {
-        "edit": ["edit", "write", "multi_edit"], "read": ["read"], "search": ["grep", "glob", "list"], "shell": ["bash"], "plan": ["todo_write"], "subagent": ["task"], "web": ["web_fetch"],
-        "ask": ["ask_user"],
-    },
-}
-CLASS_OF = {p: {n.lower(): c for c, names in t.items() for n in names} for p, t in TOOLS.items()}
-# Keys of tool arguments, and of the plan's list, text and status.
-PATH_KEYS = ["file_path", "filePath", "path", "notebook_path", "file", "target_file"]
-COMMAND_KEYS = ["command", "cmd", "script"]
-PLAN_LISTS = {"tree": ["todos", "plan"], "rollout": ["plan", "steps"], "journal": ["todos", "items"]}
-OPENERS = {"tree": ["Caveat: The messages below were generated"], "rollout": ["# AGENTS.md instructions", "## My request for Codex:", "# Files mentioned by the user:"], "journal": []}
-MAX_DEPTH = 8
 
 
 class TooManyBadLines(ValueError):
     """More lines are unreadable than allowed."""
 
 
-def classify(provider: str, name: str) -> str:
-    return "mcp" if name.startswith("mcp__") else CLASS_OF[provider].get(name.lower(), "other")
-
-
-def string(value, *keys: str) -> str | None:
-    """The first of the keys with a non-empty string."""
-    return next((v for k in keys if isinstance(v := value.get(k), str) and v), None) if isinstance(value, dict) else None
-
-
-def flat_text(value, depth: int = 0) -> str:
-    """A content field as text: strings, typed blocks, lists of them, and messages around them."""
-    if depth > MAX_DEPTH or value is None:
-        return ""
-    if isinstance(value, str):
-        return value
-    if isinstance(value, dict):
-        own = string(value, "text", "thinking")
-        nested = "" if own else flat_text(value.get("content"), depth + 1)
-        return own or (nested if nested.strip() else "")
-    if isinstance(value, list):
-        return "\n".join(t for b in value if isinstance(b, str | dict) and (t := flat_text(b, depth + 1)))
-    return json.dumps(value)
-
-
-def compact_json(value) -> str:
-    return json.dumps(value, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-
-
-def output_text(value) -> str:
-    if value is None:
-        return ""
-    return flat_text(value) or ("" if isinstance(value, str) else compact_json(value))
-
-
-def injected(text: str, openers: list[str]) -> bool:
-    t = text.lstrip()
-    if any(t[: len(o)].lower() == o.lower() for o in openers):
-        return True
-    end = next((i for i, c in enumerate(t[1:], 1) if not (c.isascii() and c.isalnum() or c in "_-")), len(t))
-    return t[:1] == "<" and end > 1 and t[end : end + 1] in (">", " ", "\n") and f"</{t[1:end]}>" in t
-
-
-def whole(value, least: int = -(1 << 31), most: int = (1 << 31) - 1) -> int | None:
-    return value if isinstance(value, int) and not isinstance(value, bool) and least <= value <= most else None
-
-
-@dataclass
-class Parsed:
-    events: list[dict] = field(default_factory=list)
-    notes: list[tuple[str, int | None, str]] = field(default_factory=list)
-
-    def add(self, kind: str, at: tuple[int, int], native_id=None, parent=None, ts=None, stream: int = 0, **values) -> int:
-        self.events.append({"kind": kind, "idx": len(self.events), "native_id": native_id, "parent": parent, "ts": ts, "stream": stream, "path_ix": at[0], "line_no": at[1], **values})
-        return len(self.events) - 1
-
-
-def plan_of(provider: str, args) -> list[tuple[str, str]] | None:
-    steps = next((args[k] for k in PLAN_LISTS[provider] if isinstance(args.get(k), list)), []) if isinstance(args, dict) else []
-    found = [(t, string(s, "status", "state") or "pending") for s in steps if (t := string(s, "step", "content", "text", "title"))]
-    return found or None
-
-
-def _call(p: Parsed, provider: str, name: str, call_id: str, args, where: dict) -> None:
-    kind = classify(provider, name)
-    p.add("tool_call", call_id=call_id, tool_name=name, tool_class=kind, args=compact_json(args), **where)
-    if kind == "plan" and (plan := plan_of(provider, args)):
-        p.add("plan_update", plan=plan, **where)
-
-
-def parse_tree(lines: list[tuple[int, int, dict]]) -> tuple[Parsed, set[int]]:
-    """Messages linked by ``parentUuid``; sidechains are streams of their own."""
-    p, nodes, stream_of, spawned, last_stream = Parsed(), [], {}, {}, 0
-    file_stream: dict[int, int] = {}
-    for path_ix, line_no, raw in lines:
-        kind, uuid, parent = raw.get("type") or "", string(raw, "uuid"), string(raw, "parentUuid")
-        side, stream = path_ix > 0 or raw.get("isSidechain") is True, 0
-        if path_ix > 0:
-            if path_ix not in file_stream:
-                last_stream += 1
-                file_stream[path_ix] = last_stream
-            stream = file_stream[path_ix]
-        elif side:
-            stream = stream_of.get(parent, 0)
-            if not stream:
-                last_stream += 1
-                stream = last_stream
-            if uuid:
-                stream_of[uuid] = stream
-        where = {"at": (path_ix, line_no), "native_id": uuid, "parent": parent, "ts": string(raw, "timestamp"), "stream": stream}
-        first = len(p.events)
-        content = (raw.get("message") or {}).get("content") if isinstance(raw.get("message"), dict) else None
-        blocks = content if isinstance(content, list) else [content]
-        if kind == "user" and raw.get("isCompactSummary") is True:
-            p.add("compaction_summary", text=flat_text(content), **where)
-        elif kind in ("user", "assistant"):
-            for b in blocks:
-                t = b.get("type") if isinstance(b, dict) else None
-                if kind == "user" and t == "tool_result":
-                    call_id = string(b, "tool_use_id", "toolUseId") or ""
-                    output = output_text(b.get("content")) or output_text(raw.get("toolUseResult"))
-                    error = b.get("is_error") if isinstance(b.get("is_error"), bool) else None
-                    if call_id in spawned:
-                        p.add("subagent_result", sub_stream=spawned.pop(call_id), text=output, **where)
-                    else:
-                        p.add("tool_result", call_id=call_id, output=output, is_error=error, **where)
-                elif kind == "assistant" and t == "tool_use":
-                    name, call_id, args = string(b, "name") or "unknown", string(b, "id", "tool_use_id") or "", b.get("input")
-                    if classify("tree", name) == "subagent":
-                        last_stream += 1
-                        spawned[call_id] = last_stream
-                        p.add("subagent_spawn", sub_stream=last_stream, text=string(args, "prompt", "description", "task") or "", **where)
-                    else:
-                        _call(p, "tree", name, call_id, args, where)
-                elif kind == "assistant" and t in ("thinking", "redacted_thinking"):
-                    text = string(b, "thinking", "text") if t == "thinking" else None
-                    p.add("reasoning", text=text, redacted=text is None, **where)
-                elif (text := flat_text(b)).strip():
-                    if kind == "user":
-                        p.add("user_message", text=text, is_meta=raw.get("isMeta") is True or injected(text, OPENERS["tree"]), **where)
-                    else:
-                        p.add("assistant_text", text=text, phase="final", **where)
-        elif kind == "system":
-            p.add("system", subtype=string(raw, "subtype") or "system", text=string(raw, "content", "message", "text"), **where)
-        elif kind == "summary":
-            p.add("system", subtype="summary", text=string(raw, "summary"), **where)
-        elif kind == "fork-context-ref":
-            p.add("system", subtype="fork_context_ref", text=string(raw, "agentId", "parentLastUuid"), **where)
-        else:
-            p.notes.append(("unknown_kind", line_no, kind or "<missing type>"))
-            p.add("unknown", text=compact_json(raw), **where)
-        nodes.append({"id": uuid, "parent": parent, "other": string(raw, "logicalParentUuid"), "side": side, "talks": kind in ("user", "assistant"), "events": range(first, len(p.events))})
-    leaf = next((n for n in reversed(nodes) if n["talks"] and not n["side"] and n["id"]), None)
-    if leaf is None:
-        return p, {e["idx"] for e in p.events}
-    return p, _walk(p, nodes, leaf)
-
-
-def _walk(p: Parsed, nodes: list[dict], leaf: dict) -> set[int]:
-    """The events from a leaf to its root; a missing parent is bridged by the logical one, and noted if there is none."""
-    by_id = {n["id"]: n for n in nodes if n["id"]}
-    on_path, node = set(), leaf
-    while node is not None and node["id"] not in on_path:
-        on_path.add(node["id"])
-        up = [x for x in (node["parent"], node.get("other")) if x]
-        node_up = next((by_id[x] for x in up if x in by_id), None)
-        if node_up is None and up:
-            p.notes.append(("missing_parent", None, up[0]))
-        node = node_up
-    active, run = set(), 0
-    for n in nodes:
-        here = n["id"] in on_path
-        loose = not n["id"] and any(p.events[i]["kind"] == "compaction_summary" for i in n["events"])
-        if here or loose or n.get("outside"):
-            active.update(n["events"])
-        left = n["talks"] and not n["side"] and n["id"] and not here
-        if left:
-            run += 1
-        if run and (here or n is nodes[-1]):
-            p.notes.append(("abandoned_branch", None, f"{run} entries"))
-            run = 0
-    return active
-
-
-def parse_rollout(lines: list[tuple[int, int, dict]]) -> tuple[Parsed, set[int]]:
-    """Envelopes in order; a rollback drops the newest user turns with all that follows them."""
-    p, asked = Parsed(), {}
-    turns: list[list[int]] = [[]]  # events by user turn; the first list comes before any
-    boundary: set[int] = set()
-
-    for path_ix, line_no, raw in lines:
-        kind = raw.get("type") or ""
-        body = raw.get("payload") if isinstance(raw.get("payload"), dict) else {}
-        where = {"at": (path_ix, line_no), "ts": string(raw, "timestamp")}
-        first = len(p.events)
-        if kind == "response_item":
-            _rollout_item(p, body, where | {"native_id": string(body, "id")}, asked, boundary)
-        elif kind == "event_msg":
-            if "rolled_back" in (string(body, "type") or ""):
-                p.add("rollback", num_turns=whole(body.get("num_turns"), 0) if whole(body.get("num_turns"), 0) is not None else 1, **where)
-        elif kind == "compacted":
-            text = string(body, "message", "summary", "text") or flat_text(body.get("replacement_history"))
-            windowed = whole(body.get("window_number"), 0) is not None
-            if text:
-                p.add("compaction_summary", text=text, windowed=windowed, **where)
-            else:
-                p.add("system", subtype="native_compaction", windowed=windowed, **where)
-        elif kind in ("token_usage_record", "world_state", "security_risk_score", "retained_context", "realtime_item", "turn_diff", "inter_agent_communication_metadata"):
-            p.notes.append(("unknown_kind", line_no, kind))
-        elif kind not in ("session_meta", "turn_context"):
-            p.notes.append(("unknown_kind", line_no, kind or "<missing type>"))
-            p.add("unknown", text=compact_json(raw), **where)
-        for i in range(first, len(p.events)):
-            if p.events[i]["kind"] == "rollback":
-                n = p.events[i]["num_turns"]
-                del turns[max(1, len(turns) - n) if n else len(turns) :]
-            elif i in boundary:
-                turns.append([i])
-            else:
-                turns[-1].append(i)
-    return p, {i for t in turns for i in t}
-
-
-def _rollout_item(p: Parsed, body: dict, where: dict, asked: dict[str, str], boundary: set[int]) -> None:
-    kind = string(body, "type") or ""
-    if kind == "message":
-        text, role = flat_text(body.get("content")), string(body, "role") or ""
-        if not text.strip() or role in ("developer", "system"):
-            return
-        if role == "user":
-            meta = injected(text, OPENERS["rollout"])
-            i = p.add("user_message", text=text, is_meta=meta, **where)
-            if not meta:
-                boundary.add(i)
-        else:
-            p.add("assistant_text", text=text, phase="commentary" if body.get("phase") == "commentary" else "final", **where)
-    elif kind == "reasoning":
-        text = next((t for k in ("summary", "content") if (t := flat_text(body.get(k))).strip()), None)
-        p.add("reasoning", text=text, redacted=text is None, **where)
-    elif kind in ("function_call", "custom_tool_call", "local_shell_call"):
-        name, call_id = string(body, "name", "tool_name") or kind, string(body, "call_id", "id") or ""
-        args = next((body[k] for k in ("arguments", "input", "action") if body.get(k) is not None), None)
-        if isinstance(args, str):
-            try:
-                args = json.loads(args)
-            except ValueError:
-                pass
-        if name == "request_user_input":
-            each = [string(q, "question", "prompt", "text", "header") for q in args.get("questions", [])] if isinstance(args, dict) and isinstance(args.get("questions"), list) else []
-            asked[call_id] = string(args, "question", "prompt", "message") or " · ".join(q for q in each if q) or flat_text(args)
-        _call(p, "rollout", name, call_id, args, where)
-    elif kind in ("function_call_output", "custom_tool_call_output"):
-        call_id, value = string(body, "call_id", "id") or "", body.get("output")
-        output, fields = output_text(value), value if isinstance(value, dict) else {}
-        if call_id in asked:
-            lists = [v.get("answers") for v in fields.get("answers", {}).values() if isinstance(v, dict)] if isinstance(fields.get("answers"), dict) else []
-            given = "; ".join(a for x in lists if isinstance(x, list) for a in x if isinstance(a, str))
-            boundary.add(p.add("user_answer", question=asked.pop(call_id), answer=given or output, **where))
-            return
-        ok, error = fields.get("success"), body.get("is_error")
-        is_error = not ok if isinstance(ok, bool) else error if isinstance(error, bool) else None
-        p.add("tool_result", call_id=call_id, output=output, is_error=is_error, exit_code=whole(fields.get("exit_code")), **where)
-    elif kind == "web_search_call":
-        args = {"query": string(body, "query", "action") or ""}
-        p.add("tool_call", call_id=string(body, "id") or "", tool_name=kind, tool_class="web", args=compact_json(args), **(where | {"native_id": None}))
-    elif kind in ("compaction", "context_compaction"):
-        p.add("system", subtype="native_compaction", **where)
-    else:
-        p.notes.append(("unknown_kind", where["at"][1], f"response_item:{kind}"))
-        p.add("unknown", text=compact_json(body), **where)
-
-
-def parse_journal(lines: list[tuple[int, int, dict]]) -> tuple[Parsed, set[int]]:
-    """Entries linked by ``parentId`` from version 2 on; in order before."""
-    p, nodes, version = Parsed(), [], 1
-    for path_ix, line_no, raw in lines:
-        kind = (raw.get("type") or "").replace("_", "").lower()
-        own_id, parent = string(raw, "id", "entryId"), string(raw, "parentId", "parent")
-        if kind == "session":
-            version = whole(raw.get("version")) or 1
-            continue
-        where = {"at": (path_ix, line_no), "native_id": own_id, "parent": parent, "ts": string(raw, "timestamp", "time")}
-        first = len(p.events)
-        hidden = raw.get("excludeFromContext") is True
-        if kind == "message":
-            _journal_message(p, raw, where)
-        elif kind == "bashexecution":
-            if not hidden:
-                code = next((c for k in ("exitCode", "exit_code") if (c := whole(raw.get(k))) is not None), None)
-                value = raw.get("output") if raw.get("output") is not None else raw.get("result")
-                p.add("shell_execution", command=string(raw, "command", "cmd") or "", output=output_text(value), exit_code=code, **where)
-        elif kind in ("compaction", "compactionsummary"):
-            p.add("compaction_summary", text=string(raw, "summary", "text", "message") or flat_text(raw.get("details")), **where)
-        elif kind == "branchsummary":
-            p.add("branch_summary", text=string(raw, "summary", "text") or "", **where)
-        elif kind == "modelchange":
-            p.add("model_change", model=string(raw, "model", "to") or "", **where)
-        elif kind in ("custom", "custommessage"):
-            if not hidden:
-                p.add("system", subtype=string(raw, "customType", "custom_type", "subtype") or "custom", text=string(raw, "text", "content", "message"), **where)
-        elif kind not in ("label", "sessioninfo"):
-            p.notes.append(("unknown_kind", line_no, raw.get("type") or "<missing type>"))
-            p.add("unknown", text=compact_json(raw), **where)
-        events = range(first, len(p.events))
-        nodes.append({"id": own_id, "parent": parent, "side": False, "talks": True, "events": events, "outside": not own_id})
-    tree = [n for n in nodes if n["id"] and len(n["events"])]
-    if version < 2 or not tree:
-        return p, {e["idx"] for e in p.events}
-    return p, _walk(p, nodes, tree[-1])
-
-
-def _journal_message(p: Parsed, raw: dict, where: dict) -> None:
-    message = raw.get("message") if isinstance(raw.get("message"), dict) else {}
-    role, content = message.get("role") or "", message.get("content")
-    if role == "user":
-        text = flat_text(content)
-        if text.strip():
-            p.add("user_message", text=text, is_meta=message.get("isContext") is True or raw.get("isContext") is True, **where)
-        return
-    if role.replace("_", "").lower() == "toolresult":
-        error = message.get("isError")
-        p.add("tool_result", call_id=string(message, "toolCallId", "id") or "", output=output_text(content), is_error=error if isinstance(error, bool) else None, **where)
-        return
-    thought = string(message, "thinking", "reasoning")
-    if thought or message.get("redactedThinking") is True:
-        p.add("reasoning", text=thought, redacted=thought is None, **where)
-    text = flat_text(content)
-    if text.strip():
-        p.add("assistant_text", text=text, phase="final", **where)
-    calls = [message["toolCall"]] if message.get("toolCall") is not None else message.get("toolCalls")
-    for c in calls if isinstance(calls, list) else []:
-        if isinstance(c, dict):
-            args = c.get("arguments") if c.get("arguments") is not None else c.get("input")
-            _call(p, "journal", string(c, "name", "tool") or "", string(c, "id", "toolCallId") or "", args, where)
-
-
-PARSERS: dict[str, Callable] = {"tree": parse_tree, "rollout": parse_rollout, "journal": parse_journal}
-
-
-def parse_session(provider: str, lines: Iterator[tuple[int, int, str]], bad_line_rate: float | None = 0.02) -> tuple[Parsed, set[int]]:
-    """Events, notes and the ordinals of the active events of one session's lines."""
-    good, bad = [], []
-    for path_ix, line_no, raw in lines:
-        if not raw.strip():
-            continue
-        try:
-            value = json.loads(raw)
-            good.append((path_ix, line_no, value if isinstance(value, dict) else {}))
-        except ValueError as why:
-            bad.append((line_no, str(why)))
-    p, active = PARSERS[provider](good)
-    p.notes = [("bad_line", n, why) for n, why in bad] + p.notes
-    if bad_line_rate is not None and bad and len(bad) / max(len(p.events), len(bad)) > bad_line_rate:
-        raise TooManyBadLines(f"{len(bad)} of {len(good) + len(bad)} lines are unreadable")
-    return p, active
-
-
-def _grouped(bad_line_rate: float | None, notes: bool):
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["path_ix", "line_no"])
-        p, active = parse_session(key[1], zip(frame["path_ix"].tolist(), frame["line_no"].tolist(), frame["raw"].tolist(), strict=True), bad_line_rate)
-        if notes:
-            rows = [(key[0], k, n, m, 1) for k, n, m in p.notes]
-            return pd.DataFrame(rows, columns=["session_key", "kind", "line_no", "message", "n"]).astype({"line_no": "Int32"})
-        rows = [{"session_key": key[0], "is_active": e["idx"] in active, **{c: e.get(c) for c in COLUMNS if c not in ("session_key", "is_active")}} for e in p.events]
-        out = pd.DataFrame(rows, columns=COLUMNS)
-        for c in ("idx", "stream", "path_ix", "line_no", "exit_code", "num_turns", "sub_stream"):
-            out[c] = out[c].astype("Int32")
-        return out
-
-    return run
-
-
-def with_provider(lines: DataFrame) -> DataFrame:
-    """The lines with the provider of their session, by its first non-blank line."""
+def providers(lines: DataFrame) -> DataFrame:
+    """session_key, provider of the sessions with a known one, by their first non-blank line."""
     first = lines.where((F.col("path_ix") == 0) & (F.trim("raw") != "")).groupBy("session_key").agg(F.min_by("raw", "line_no").alias("first"))
-    known = first.select("session_key", detect(F.col("first")).alias("provider")).where("provider IS NOT NULL")
-    return lines.join(known, "session_key")
+    return first.select("session_key", detect(F.col("first")).alias("provider")).where("provider IS NOT NULL")
+
+
+LINE = ["session_key", "provider", "path_ix", "line_no"]
+PLACE = ["path_ix", "line_no"]
+
+
+@functools.cache
+def _expressions(provider: str, gateway: int) -> dict[str, Column]:
+    """What a provider's line (v) says of itself.  Large, so made once for each gateway to the JVM."""
+    v = F.col("v")
+    text = lambda *keys: parsing.string(v, *keys)
+    if provider == "tree":
+        kind = F.coalesce(parsing.text_of(parsing.get(v, "type")), F.lit(""))
+        own = {"id": text("uuid"), "parent": text("parentUuid"), "other": text("logicalParentUuid"), "ts": text("timestamp"), "talks": kind.isin("user", "assistant")}
+        own |= {"side": (F.col("path_ix") > 0) | F.coalesce(parsing.boolean(v, "isSidechain"), F.lit(False)), "note": parsing.tree_note(v), "events": parsing.tree_events(v)}
+    elif provider == "rollout":
+        own = {"ts": text("timestamp"), "note": parsing.rollout_note(v), "events": parsing.rollout_events(v)}
+    else:
+        own = {"id": text("id", "entryId"), "parent": text("parentId", "parent"), "ts": text("timestamp", "time"), "talks": F.lit(True), "header": parsing.journal_kind(v) == "session"}
+        own |= {"version": parsing.whole(v, "version"), "note": parsing.journal_note(v), "events": parsing.journal_events(v)}
+    types = {"id": "string", "parent": "string", "other": "string", "ts": "string", "side": "boolean", "talks": "boolean", "header": "boolean", "version": "int", "note": "string", "events": parsing.EVENTS}
+    return {k: own.get(k, F.lit(False) if t == "boolean" else F.lit(None)).cast(t) for k, t in types.items()}
+
+
+def parsed(lines: DataFrame, known: DataFrame, names: list[str]) -> DataFrame:
+    """A row for each line that isn't blank: what it says of itself as an entry (id, parent, other, side, talks), whether it can't be read (bad), a note on its
+    kind, and its events.  ``known`` gives the sessions' providers, ``names`` those that occur."""
+    own = lines.join(known, "session_key").where(~parsing.is_blank(F.col("raw"))).withColumn("v", F.try_parse_json("raw"))
+    own = own.select(*LINE, F.col("v").isNull().alias("bad"), F.when(parsing.is_object(F.col("v")), F.col("v")).otherwise(F.parse_json(F.lit("{}"))).alias("v"))
+    of = {p: _expressions(p, id(SparkContext._gateway)) for p in names}
+    each = {k: F.coalesce(*[F.when(F.col("provider") == p, e[k]) for p, e in of.items()]) if len(of) > 1 else e[k] for e in of.values() for k in e}
+    return own.select(*LINE, "bad", *[F.when(~F.col("bad"), c).alias(k) for k, c in each.items()])
+
+
+def _entries(own: DataFrame) -> DataFrame:
+    """The lines that are entries of a tree, with pos: their number in the session."""
+    return own.where("provider <> 'rollout' AND NOT bad AND NOT header").withColumn("pos", F.row_number().over(Window.partitionBy("session_key").orderBy(*PLACE)))
+
+
+def _tree(own: DataFrame, steps: Steps) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of parsed lines: the entries, with here (whether they are on the live path; null if the session has none), the ids on live paths with
+    those above them, and the sessions that have a path."""
+    entries = _entries(own.withColumn("summary", F.exists("events", lambda e: e["kind"] == "compaction_summary")).drop("events"))
+    named = entries.where("id IS NOT NULL")
+    versions = own.where("header AND NOT bad").groupBy("session_key").agg(F.max_by(F.coalesce("version", F.lit(0)), F.struct(*PLACE)).alias("version"))
+    flat = F.coalesce("version", F.lit(0)) < 2
+    leaf = F.when(F.col("provider") == "tree", F.col("talks") & ~F.col("side")).otherwise((F.col("n_events") > 0) & ~flat)
+    leaves = steps.once("leaves", lambda: named.drop("version").join(versions, "session_key", "left").where(leaf).groupBy("session_key").agg(F.max_by(F.struct("id", "parent", "other"), "pos").alias("leaf")).select("session_key", "leaf.*"))
+    # the last entry of an id stands for it; its parent is the first of the two that exists
+    last = named.join(leaves.select("session_key"), "session_key", "left_semi").groupBy("session_key", "id").agg(F.max("pos").alias("pos"), F.max_by(F.struct("parent", "other"), "pos").alias("up"))
+    # but for the leaf's id, it is the leaf itself
+    of_leaf = leaves.select("session_key", "id", F.struct("parent", "other").alias("_leaf_up"))
+    last = last.join(of_leaf, ["session_key", "id"], "left").withColumn("up", F.coalesce("_leaf_up", "up")).select("session_key", "id", "pos", "up.parent", "up.other")
+    there = last.select("session_key", F.col("id").alias("_id"))
+    known = last.join(there.withColumn("_p", F.lit(True)).withColumnRenamed("_id", "parent"), ["session_key", "parent"], "left")
+    known = known.join(there.withColumn("_o", F.lit(True)).withColumnRenamed("_id", "other"), ["session_key", "other"], "left")
+    linked = known.select("session_key", "id", "pos", F.when(F.col("_p"), F.col("parent")).when(F.col("_o"), F.col("other")).alias("up"), F.coalesce("parent", "other").alias("wanted"))
+    linked = steps.once("linked", lambda: linked)
+    path = steps.once("path", lambda: live.on_path(linked.drop("wanted"), leaves.select("session_key", "id"), steps))
+    marked = entries.join(leaves.select("session_key", F.lit(True).alias("has")), "session_key", "left").join(path.withColumn("_on", F.lit(True)), ["session_key", "id"], "left")
+    marked = marked.withColumn("here", F.when(F.col("has"), F.coalesce("_on", F.lit(False)))).drop("has", "_on")
+    return marked, linked.join(path, ["session_key", "id"], "left_semi"), leaves
+
+
+def _streams(own: DataFrame, steps: Steps) -> DataFrame:
+    """Of the parsed lines of linked transcripts that are sidechains, or start subagents: path_ix, line_no, stream, and before, the number of the streams opened up to and
+    with the line itself, its subagents not counted.
+
+    A sidechain file is one stream; a line inside the main file inherits its parent's, or opens one; each call that starts a subagent opens one.
+    """
+    lines = own.where("provider = 'tree' AND NOT bad").withColumn("spawns", F.size(F.filter("events", lambda e: e["kind"] == "subagent_spawn"))).where("side OR spawns > 0")
+    lines = steps.once("stream-lines", lambda: lines.select("session_key", *PLACE, "id", "parent", "side", "spawns").withColumn("pos", F.row_number().over(Window.partitionBy("session_key").orderBy(*PLACE))))
+    inner = lines.where("side AND path_ix = 0")
+    # the latest line before that has the parent's id
+    defines = inner.where("id IS NOT NULL").select("session_key", "pos", F.col("id").alias("key"), F.col("pos").alias("def"), F.lit(True).alias("is_def"))
+    asks = inner.where("parent IS NOT NULL").select("session_key", "pos", F.col("parent").alias("key"), F.lit(None).cast("int").alias("def"), F.lit(False).alias("is_def"))
+    w = Window.partitionBy("session_key", "key").orderBy("pos", "is_def").rowsBetween(Window.unboundedPreceding, -1)
+    above = defines.unionByName(asks).withColumn("up", F.last("def", ignorenulls=True).over(w)).where("NOT is_def").select("session_key", "pos", "up")
+    chains = inner.select("session_key", "pos").join(above, ["session_key", "pos"], "left").select("session_key", F.col("pos").alias("id"), "pos", "up")
+    rooted = steps.once("stream-roots", lambda: live.roots(chains, steps).select("session_key", F.col("id").alias("pos"), "root"))
+    of_file = F.row_number().over(Window.partitionBy("session_key", "path_ix").orderBy("line_no")) == 1
+    opened = lines.join(rooted, ["session_key", "pos"], "left").withColumn("opens", F.when(F.col("path_ix") > 0, of_file).otherwise(F.coalesce(F.col("root") == F.col("pos"), F.lit(False))).cast("int"))
+    total = F.sum(F.col("opens") + F.col("spawns")).over(Window.partitionBy("session_key").orderBy(*PLACE).rowsBetween(Window.unboundedPreceding, 0))
+    counted = opened.withColumn("before", (total - F.col("spawns")).cast("int"))
+    counted = steps.once("stream-counts", lambda: counted)
+    of_root = counted.where("opens = 1 AND path_ix = 0").select("session_key", F.col("pos").alias("root"), F.col("before").alias("_root_stream"))
+    files = counted.where("opens = 1 AND path_ix > 0").select("session_key", "path_ix", F.col("before").alias("_file_stream"))
+    stream = F.when(F.col("path_ix") > 0, F.col("_file_stream")).otherwise(F.coalesce("_root_stream", F.lit(0)))
+    return counted.join(of_root, ["session_key", "root"], "left").join(files, ["session_key", "path_ix"], "left").select("session_key", *PLACE, stream.alias("stream"), "before")
+
+
+def _facts(own: DataFrame, steps: Steps, seen: dict[str, bool]) -> DataFrame:
+    """A narrow row for each event: idx, is_active, stream, sub_stream, and for what answers a call that asked or started a subagent, the question or the stream.
+
+    ``seen`` says what occurs at all; what doesn't is not looked for.
+    """
+    one = F.transform("events", lambda e, k: F.struct(k.alias("k"), e["kind"].alias("kind"), e["call_id"].alias("call_id"), e["question"].alias("question"), e["is_meta"].alias("is_meta"), e["num_turns"].alias("num_turns")))
+    each = own.where("NOT bad").select("session_key", "provider", *PLACE, F.explode(one).alias("e")).select("session_key", "provider", *PLACE, "e.*")
+    order = [*PLACE, "k"]
+    each = each.withColumn("idx", (F.row_number().over(Window.partitionBy("session_key").orderBy(*order)) - 1).cast("int"))
+    if seen["streams"]:
+        streams = steps.once("streams", lambda: _streams(own, steps))
+        each = each.join(streams, ["session_key", *PLACE], "left").withColumn("stream", F.coalesce("stream", F.lit(0)))
+        spawn = F.col("kind") == "subagent_spawn"
+        nth = F.sum(spawn.cast("int")).over(Window.partitionBy("session_key", *PLACE).orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+        each = each.withColumn("sub_stream", F.when(spawn, (F.col("before") + nth).cast("int")))
+    else:
+        each = each.withColumns({"stream": F.lit(0), "sub_stream": F.lit(None).cast("int")})
+    # what answers: the next result of the same call, if nothing else of it comes between
+    if seen["streams"] or seen["asked"]:
+        opens = F.col("sub_stream").isNotNull() | F.col("question").isNotNull()
+        pairs = each.where(opens | (F.col("kind") == "tool_result")).select("session_key", "call_id", "idx", "kind", F.col("sub_stream").alias("_s"), F.col("question").alias("_q"))
+        pairs = pairs.join(each.where(opens).select("session_key", "call_id").distinct(), ["session_key", "call_id"], "left_semi")
+        w = Window.partitionBy("session_key", "call_id").orderBy("idx")
+        paired = pairs.select("session_key", "idx", "kind", F.lag("_s").over(w).alias("answers_stream"), F.lag("_q").over(w).alias("answers_question")).where("kind = 'tool_result'").drop("kind")
+        each = each.join(paired, ["session_key", "idx"], "left")
+    else:
+        each = each.withColumns({"answers_stream": F.lit(None).cast("int"), "answers_question": F.lit(None).cast("string")})
+
+    if seen["entries"]:
+        lines = _tree(own, steps)[0].select("session_key", *PLACE, "here", F.col("id").isNull().alias("loose"), "summary")
+        each = each.join(lines, ["session_key", *PLACE], "left")
+    else:
+        each = each.withColumns({c: F.lit(None).cast("boolean") for c in ("here", "loose", "summary")})
+    outside = F.col("loose") & ((F.col("provider") == "journal") | F.col("summary"))
+    turn = F.col("answers_question").isNotNull() | ((F.col("kind") == "user_message") & ~F.coalesce("is_meta", F.lit(False)))
+    back = F.when(F.col("kind") == "rollback", F.col("num_turns"))
+    rolled = live.with_survivors(each.where("provider = 'rollout'"), turn, back, order).withColumn("is_active", F.col("survives")).drop("survives")
+    kept = each.where("provider <> 'rollout'").withColumn("is_active", F.coalesce(F.col("here") | outside, F.lit(True)))
+    return rolled.unionByName(kept).select("session_key", *order, "idx", "is_active", "stream", "sub_stream", "answers_stream", "answers_question")
+
+
+def _parsed(lines: DataFrame) -> tuple[DataFrame, Steps]:
+    spark = lines.sparkSession
+    steps = Steps(spark, new_folder(spark, "events"))
+    known = steps.once("providers", lambda: providers(lines))
+    names = sorted(r["provider"] for r in known.select("provider").distinct().collect())
+    own = steps.once("parsed", lambda: parsed(lines, known, names or ["tree"]))
+    return own.withColumn("events", F.coalesce("events", parsing.none())).withColumn("n_events", F.size("events")), steps
 
 
 def events(lines: DataFrame, bad_line_rate: float | None = 0.02) -> DataFrame:
     """The canonical events of raw lines.  Sessions of no known provider give none; one with too many unreadable lines fails."""
-    return with_provider(lines).groupBy("session_key", "provider").applyInPandas(_grouped(bad_line_rate, False), SCHEMA)
+    own, steps = _parsed(lines)
+    has = lambda f: F.exists("events", f)
+    streams = F.col("side") | has(lambda e: e["kind"] == "subagent_spawn")
+    seen = {"bad": F.col("bad"), "streams": streams, "asked": has(lambda e: e["question"].isNotNull()), "entries": (F.col("provider") != "rollout") & F.col("id").isNotNull()}
+    seen = own.agg(*[F.coalesce(F.bool_or(c), F.lit(False)).alias(k) for k, c in seen.items()]).first().asDict()
+    if bad_line_rate is not None and seen["bad"]:
+        counted = own.groupBy("session_key").agg(F.count_if("bad").alias("bad"), F.sum("n_events").alias("events"), F.count("*").alias("lines"))
+        worst = counted.where((F.col("bad") > 0) & (F.col("bad") / F.greatest("events", "bad") > bad_line_rate)).limit(1).collect()
+        if worst:
+            raise TooManyBadLines(f"{worst[0]['bad']} of {worst[0]['lines']} lines of {worst[0]['session_key']} are unreadable")
+    facts = steps.once("facts", lambda: _facts(own, steps, seen))
+    each = own.where("NOT bad").select("session_key", "path_ix", "line_no", "id", "parent", "ts", "provider", F.posexplode("events").alias("k", "e"))
+    all_ = each.join(facts, ["session_key", *PLACE, "k"])
+    answers, asked = F.col("answers_stream").isNotNull(), F.col("answers_question").isNotNull()
+    result = answers | asked
+    e = lambda name: F.col(f"e.{name}")
+    said = {
+        "native_id": F.when(F.col("provider") == "rollout", e("native_id")).otherwise(F.col("id")),
+        "parent": F.when(F.col("provider") != "rollout", F.col("parent")),
+        "kind": F.when(answers, "subagent_result").when(asked, "user_answer").otherwise(e("kind")),
+        "text": F.when(answers, e("output")).otherwise(e("text")),
+        "call_id": F.when(~result & (e("kind") != "subagent_spawn"), e("call_id")),
+        "output": F.when(~result, e("output")),
+        "is_error": F.when(~result, e("is_error")),
+        "exit_code": F.when(~result, e("exit_code")),
+        "question": F.col("answers_question"),
+        "answer": F.when(asked, F.coalesce(e("answer"), e("output"))),
+        "sub_stream": F.coalesce("sub_stream", "answers_stream"),
+    }
+    schema = lines.sparkSession.createDataFrame([], SCHEMA).schema
+    own_names = ("session_key", "idx", "ts", "stream", "is_active", "path_ix", "line_no")
+    return all_.select(*[(said[f.name] if f.name in said else F.col(f.name) if f.name in own_names else e(f.name)).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def diagnostics(lines: DataFrame) -> DataFrame:
     """session_key, kind, line_no, message, n: unreadable lines, unknown kinds, missing parents and abandoned branches."""
-    return with_provider(lines).groupBy("session_key", "provider").applyInPandas(_grouped(None, True), DIAGNOSTICS)
+    own, steps = _parsed(lines)
+    one = lambda kind, line, message: [F.lit(kind).alias("kind"), line.cast("int").alias("line_no"), message.cast("string").alias("message"), F.lit(1).cast("long").alias("n")]
+    none = F.lit(None)
+    out = own.where("bad").select("session_key", *one("bad_line", F.col("line_no"), F.lit("not JSON")))
+    out = out.unionByName(own.where("note IS NOT NULL").select("session_key", *one("unknown_kind", F.col("line_no"), F.col("note"))))
+    entries, path, _ = _tree(own, steps)
+    out = out.unionByName(path.where("up IS NULL AND wanted IS NOT NULL").select("session_key", *one("missing_parent", none, F.col("wanted"))))
+    # entries that talk and were left, by the next one on the path that ends their run
+    w = Window.partitionBy("session_key").orderBy("pos")
+    left = F.col("talks") & ~F.col("side") & F.col("id").isNotNull() & ~F.col("here")
+    runs = entries.where("here IS NOT NULL").withColumn("run", F.sum(F.col("here").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    gone = runs.groupBy("session_key", "run").agg(F.count_if(left).alias("c")).where("c > 0")
+    return out.unionByName(gone.select("session_key", *one("abandoned_branch", none, F.concat(F.col("c").cast("string"), F.lit(" entries")))))
 
 
 def kind_histogram(found: DataFrame) -> DataFrame:

@@ -40,10 +40,10 @@ CLASS_OF = {p: {n.lower(): c for c, names in t.items() for n in names} for p, t
 PATH_KEYS = ["file_path", "filePath", "path", "notebook_path", "file", "target_file"]
 COMMAND_KEYS = ["command", "cmd", "script"]
 PLAN_LISTS = {"tree": ["todos", "plan"], "rollout": ["plan", "steps"], "journal": ["todos", "items"]}
-OPENERS = {"tree": ["Caveat: The messages below were generated"], "rollout": ["# AGENTS.md instructions", "## My request for Codex:", "# Files mentioned by the user:"], "journal": []}
+OPENERS = X.HARNESS_OPENERS
 SILENT = ["token_usage_record", "world_state", "security_risk_score", "retained_context", "realtime_item", "turn_diff", "inter_agent_communication_metadata"]
 MAX_DEPTH = 8
-_PART = "struct<s:string,v:variant>"
+_PART = "struct<s:string,v:variant,within:array<int>>"
 
 
 # ---- values of a variant
@@ -93,14 +93,15 @@ def compact_json(v: Column) -> Column:
     return F.coalesce(F.to_json(v), F.lit("null"))
 
 
-def _expand(e: Column) -> Column:
+def _expand(e: Column, here: Column) -> Column:
+    """One level down: a part is a finished string, s, or a value, v; within: the objects that it is the content of, by number."""
     v, none = e["v"], F.array().cast(f"array<{_PART}>")
-    done = lambda s: F.array(F.struct(s.alias("s"), F.lit(None).cast("variant").alias("v")))
-    more = lambda x: F.struct(F.lit(None).cast("string").alias("s"), x.alias("v"))
-    content = get(v, "content")
-    blank = F.coalesce(F.trim(F.regexp_replace(text_of(content), r"(?U)\s+", " ")) == "", F.lit(False))
-    of_object = F.when(string(v, "text", "thinking").isNotNull(), done(string(v, "text", "thinking"))).when(content.isNull() | blank, none).otherwise(F.array(more(content)))
-    of_list = F.transform(F.filter(listed(v), lambda x: is_string(x) | is_object(x)), more)
+    part = lambda s, v, within: F.struct((s if s is not None else F.lit(None).cast("string")).alias("s"), (v if v is not None else F.lit(None).cast("variant")).alias("v"), within.alias("within"))
+    done = lambda s: F.array(part(s, None, e["within"]))
+    content, inside = get(v, "content"), F.concat(e["within"], F.array(here))
+    own = string(v, "text", "thinking")
+    of_object = F.when(own.isNotNull(), done(own)).when(content.isNotNull(), F.array(part(None, content, inside))).otherwise(none)
+    of_list = F.transform(F.filter(listed(v), lambda x: is_string(x) | is_object(x)), lambda x: part(None, x, e["within"]))
     kind = type_of(v)
     return (
         F.when(e["s"].isNotNull(), F.array(e))
@@ -113,11 +114,15 @@ def _expand(e: Column) -> Column:
 
 
 def flat_text(v: Column) -> Column:
-    """A content field as text: strings, typed blocks, lists of them and messages around them, to MAX_DEPTH levels; never null."""
-    start = F.array(F.struct(F.lit(None).cast("string").alias("s"), v.alias("v"))).cast(f"array<{_PART}>")
+    """A content field as text: strings, typed blocks, lists of them and messages around them, to MAX_DEPTH levels; never null.  What an object holds
+    counts for nothing if it is blank as a whole."""
+    start = F.array(F.struct(F.lit(None).cast("string").alias("s"), v.alias("v"), F.array().cast("array<int>").alias("within"))).cast(f"array<{_PART}>")
     levels = F.sequence(F.lit(0), F.lit(MAX_DEPTH))
-    parts = F.aggregate(levels, start, lambda acc, _: F.flatten(F.transform(acc, _expand)))
-    deep = F.array_join(F.filter(F.transform(parts, lambda p: p["s"]), lambda s: F.coalesce(s, F.lit("")) != ""), "\n")
+    number = lambda level, i: level * 1_000_000 + i
+    parts = F.aggregate(levels, start, lambda acc, level: F.flatten(F.transform(acc, lambda e, i: _expand(e, number(level, i)))))
+    said = F.filter(parts, lambda p: F.coalesce(p["s"], F.lit("")) != "")
+    counts = lambda all_, p: (F.size(p["within"]) == 0) | ~is_blank(p["s"]) | F.exists(all_, lambda o: ~is_blank(o["s"]) & F.array_contains(o["within"], F.element_at(p["within"], -1)))
+    deep = X.let(said, lambda all_: F.array_join(F.transform(F.filter(all_, lambda p: counts(all_, p)), lambda p: p["s"]), "\n"))
     return F.when(v.isNull(), "").when(is_string(v), text_of(v)).otherwise(deep)
 
 
@@ -130,13 +135,8 @@ def is_blank(text: Column) -> Column:
 
 
 def injected(text: Column, provider: str) -> Column:
-    """Whether the harness put a user's message there: an opener, or a fragment of markup."""
-    head = F.ltrim(text)
-    opened = [F.lower(F.left(head, F.lit(len(o)))) == o.lower() for o in OPENERS[provider]]
-    out = X.is_harness_fragment(text)
-    for o in opened:
-        out = out | o
-    return F.coalesce(out, F.lit(False))
+    """Whether the harness put a user's message there."""
+    return F.coalesce(X.is_harness_fragment(text, provider), F.lit(False))
 
 
 # ---- events

@@ -927,3 +927,4 @@ def projected_events(spark, sf_dir):
 
 # the queries of the other modules
 import sessionloom.queries_state  # noqa: E402, F401
+import sessionloom.queries_transcripts  # noqa: E402, F401
