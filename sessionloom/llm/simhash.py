@@ -20,7 +20,12 @@ eight bits and hold a few hundred distinct fingerprints.
 shingles as a shingle has words, but only one or two of a text's distinct words, so fingerprints of the distinct words
 stay within the radius; several with hashes of their own make up for each other's misses.  Pairs within the radius of such a
 word fingerprint are linked if their shingle fingerprints differ in at most ``side`` bits, which are 13 of 64 for a similarity
-of 0.8 of the five-word shingles (8.7 bits differ on average at 0.8, with a deviation of 2.7).
+of 0.8 of the five-word shingles (8.7 bits differ on average at 0.8, with a deviation of 2.7), and if one of BANDS least shingles is the same
+(but for one pair in 7,000 at a similarity of 0.83 of the shingles).
+
+Texts of the same words in other orders or numbers share their word fingerprints, however many they are, and no finer mask parts
+them.  So a full bucket of such nodes is dealt by the least shingles instead: whatever the rule links has one in common, so no link is lost,
+and a text goes to BANDS buckets, once.
 """
 
 from __future__ import annotations
@@ -43,6 +48,9 @@ LEVELS = 3
 PRINT = "simhash_fingerprint"
 SEEDS = 3
 SIDE = 13
+BANDS, BAND_BITS = 5, 12
+#: Members of a bucket's largest component that others are compared with first.
+HUBS = 64
 
 
 def _majority(hashes: np.ndarray) -> int:
@@ -78,19 +86,32 @@ def word_prints(words: list[bytes], seeds: int = SEEDS) -> list[int]:
     return out
 
 
-def shingle_print(words: list[bytes], shingle: int = SHINGLE) -> int:
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
+    """XXH64 of each shingle; of the whole sequence if it has fewer words."""
     joined = b" ".join(words)
     n = len(words) - shingle + 1
+    digest = xxhash.xxh64_intdigest
     if n <= 1:
-        return xxhash.xxh64_intdigest(joined, seed=42)
+        return np.array([digest(joined, seed=42)] if words else [], np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    return _majority(hashes)
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def shingle_print(words: list[bytes], shingle: int = SHINGLE) -> int:
+    hashes = shingle_hashes(words, shingle)
+    return _majority(hashes) if len(hashes) else 0
+
+
+def least_shingles(hashes: np.ndarray) -> int:
+    """BANDS pieces of BAND_BITS bits, each of the least of the hashes in an order of its own; 0 without a hash."""
+    out = 0
+    for k in range(BANDS if len(hashes) else 0):
+        g = (hashes ^ hashes >> np.uint64(33)) * np.uint64(0xFF51AFD7ED558CCD + 2 * k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+        g = (g ^ g >> np.uint64(29)) * np.uint64(0xC4CEB9FE1A85EC53)
+        out |= (int(g.min()) * 0x9E3779B97F4A7C15 >> 40 & (1 << BAND_BITS) - 1) << k * BAND_BITS
+    return out
 
 
 def _signed(x: int) -> int:
@@ -109,13 +130,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return own_columns(docs, doc_id="long", text="string").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+KINDS = ["side", "bands", *(f"w{k}" for k in range(SEEDS))]
+
+
 def _all_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, rows = batch.column(0), []
         for i in range(len(texts)):
             words = words_of(texts[i].as_py())
-            rows.append([_signed(x) for x in (shingle_print(words), *word_prints(words))])
-        kinds = ["side", *(f"w{k}" for k in range(SEEDS))]
+            hashes = shingle_hashes(words)
+            rows.append([_signed(x) for x in (_majority(hashes) if len(hashes) else 0, least_shingles(hashes), *word_prints(words))])
+        kinds = KINDS
         found = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(kinds))]
         yield pa.RecordBatch.from_arrays([*found, *batch.columns[1:]], [*kinds, *batch.schema.names[1:]])
 
@@ -138,9 +163,10 @@ def _unused(mask: int) -> list[int]:
 def _spanning(rows: np.ndarray, radius: int, side: int | None, block: int = 1024) -> list[tuple[int, int]]:
     """Links within one bucket: a spanning forest of the pairs within the radius, smallest root first.
 
-    ``rows`` has a row for each of fp (and node and its shingle fingerprint, if ``side`` bounds the differences of these).
+    ``rows`` has a row for each of fp (and node, its shingle fingerprint and its least shingles, if ``side`` bounds the differences of these).  Pairs within the
+    largest component of the first block, and what joins it, are not compared with each other.
     """
-    rows = rows[:, np.argsort(rows[0] if side is None else rows[1])]
+    rows = rows[:, np.argsort(rows[0] if side is None else rows[1], kind="stable")]
     names = rows[0] if side is None else rows[1]
     n = rows.shape[1]
     parent = list(range(n))
@@ -152,20 +178,42 @@ def _spanning(rows: np.ndarray, radius: int, side: int | None, block: int = 1024
         return x
 
     bits = rows[0].view(np.uint64)
-    sides = None if side is None else rows[2].view(np.uint64)
+    sides, bands = (None, None) if side is None else (rows[2].view(np.uint64), rows[3].view(np.uint64))
     out = []
-    for lo in range(0, n, block):
-        for at in range(lo, n, block):
-            near = np.bitwise_count(bits[lo : lo + block, None] ^ bits[None, at : at + block]) <= radius
-            if sides is not None:
-                near &= np.bitwise_count(sides[lo : lo + block, None] ^ sides[None, at : at + block]) <= side
-            i, j = np.nonzero(near)
-            keep = j + at > i + lo
-            for x, y in zip((i[keep] + lo).tolist(), (j[keep] + at).tolist(), strict=True):
-                rx, ry = root(x), root(y)
-                if rx != ry:
-                    parent[max(rx, ry)] = min(rx, ry)
-                    out.append((int(names[x]), int(names[y])))
+
+    def link(left: np.ndarray, right: np.ndarray) -> None:
+        near = np.bitwise_count(bits[left, None] ^ bits[None, right]) <= radius
+        if sides is not None:
+            near &= np.bitwise_count(sides[left, None] ^ sides[None, right]) <= side
+        i, j = np.nonzero(near)
+        x, y = left[i], right[j]
+        if bands is not None and len(x):
+            apart = bands[x] ^ bands[y]
+            same = np.zeros(len(x), bool)
+            for k in range(BANDS):
+                same |= apart >> np.uint64(k * BAND_BITS) & np.uint64((1 << BAND_BITS) - 1) == 0
+            x, y = x[same], y[same]
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            ra, rb = root(a), root(b)
+            if ra != rb:
+                parent[max(ra, rb)] = min(ra, rb)
+                out.append((int(names[min(a, b)]), int(names[max(a, b)])))
+
+    first = np.arange(min(n, block))
+    link(first, first)
+    if n <= block:
+        return out
+    roots = np.array([root(int(x)) for x in first])
+    largest = np.bincount(roots).argmax()
+    hubs = np.flatnonzero(roots == largest)[:HUBS]
+    for at in range(block, n, block):
+        link(np.arange(at, min(n, at + block)), hubs)
+    inner = np.array([root(x) for x in range(n)]) == root(int(largest))
+    outer = np.flatnonzero(~inner)
+    everyone = np.arange(n)
+    for at in range(0, len(outer), block):  # each pair but those inside
+        for to in range(0, n, block):
+            link(outer[at : at + block], everyone[to : to + block])
     return out
 
 
@@ -207,36 +255,50 @@ def _link_batch(links: list[tuple[int, int]], over: list[tuple[int, np.ndarray]]
     rows = np.concatenate([x for _, x in over], axis=1) if over else np.zeros((width, 0), np.int64)
     tables = np.repeat(np.array([t for t, _ in over], np.int64), [x.shape[1] for _, x in over]) if over else np.zeros(0, np.int64)
     cols = [pa.concat_arrays([pa.array(x, pa.int64()), pa.nulls(len(tables), pa.int64())]) for x in (a, b)]
-    return pa.RecordBatch.from_arrays([*cols, *(pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(x)]) for x in (tables, *rows))], ["a", "b", "over", "fp", "node", "side"][: 3 + width])
+    return pa.RecordBatch.from_arrays([*cols, *(pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(x)]) for x in (tables, *rows))], ["a", "b", "over", "fp", "node", "side", "bands"][: 3 + width])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, side: int | None = None) -> DataFrame:
-    """a, b: links that connect exactly the fingerprints (column fp, distinct) within the radius.
+def _dealt(keyed: DataFrame, radius: int, limit: int, side: int | None, own: list[str], name: str) -> DataFrame:
+    """a, b of the links within the buckets (t, key); over and ``own`` of the rows of those beyond the limit."""
+    dealt = keyed.select("t", "key", *own).repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    return written(dealt.mapInArrow(_link_buckets(radius, limit, side), "a long, b long, over long, " + ", ".join(f"{c} long" for c in own)), name)
 
-    With ``side``, rows are (fp, node, side): nodes are linked whose fps are within the radius and whose sides are within ``side`` bits.  Buckets of the last
-    level are held whole: their rows differ in a few bits of fp only.
-    """
+
+def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """a, b: links that connect exactly the fingerprints (column fp, distinct) within the radius.  Buckets of the last level differ in a few bits and are held whole."""
     spark = distinct.sparkSession
-    own = ["fp"] if side is None else ["fp", "node", "side"]
     masks, out = {0: 0}, None
-    rows = distinct.select(F.lit(0).cast("long").alias("at"), *own)
-    schema = "a long, b long, over long, " + ", ".join(f"{c} long" for c in own)
+    rows = distinct.select(F.lit(0).cast("long").alias("at"), "fp")
     for level in range(1, LEVELS + 1):
         finer = [(at, at * 64 + k + 1, m | mask) for at, m in masks.items() for k, mask in enumerate(covering_masks(_unused(m), radius))]
         tables = spark.createDataFrame([(at, t, _signed(m)) for at, t, m in finer], "at long, t long, mask long")
-        keyed = rows.join(F.broadcast(tables), "at").select("t", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), *own)  # masks: LEVELS and the radius bound them
-        dealt = keyed.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
-        found = written(dealt.mapInArrow(_link_buckets(radius, bucket_limit if level < LEVELS else 0, side), schema), f"simhash-links-{level}")
+        keyed = rows.join(F.broadcast(tables), "at").withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))  # masks: LEVELS and the radius bound them
+        found = _dealt(keyed, radius, bucket_limit if level < LEVELS else 0, None, ["fp"], f"simhash-links-{level}")
         linked = found.where("over IS NULL").select("a", "b")
         out = linked if out is None else out.unionByName(linked)
         over = {r["over"] for r in found.where("over IS NOT NULL").select("over").distinct().collect()}  # tables of the level: 31, then 961
         if not over:
             break
         masks = {t: m for _, t, m in finer if t in over}
-        rows = found.where("over IS NOT NULL").select(F.col("over").alias("at"), *own)
+        rows = found.where("over IS NOT NULL").select(F.col("over").alias("at"), "fp")
     return out
 
 
+def node_links(nodes: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, side: int = SIDE) -> DataFrame:
+    """a, b: links that connect exactly the nodes (fp, node, side, bands) that the rule of ``first_of_copies`` links: fps within the radius, sides within ``side`` bits, and a
+    least shingle in common.  A full bucket is dealt once more by the least shingles, each with its number; such a bucket is held whole, and what hangs
+    together with its largest component isn't compared with itself."""
+    own = ["fp", "node", "side", "bands"]
+    masks = [_signed(m) for m in covering_masks(list(range(64)), radius)]
+    tables = F.array(*[F.struct(F.lit(t).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks, 1)])
+    found = _dealt(nodes.select(*own, F.explode(tables).alias("m")).select("m.*", *own), radius, bucket_limit, side, own, "simhash-links-1")
+    masked = F.col("fp").bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), F.col("over").cast("int")))
+    pieces = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("bands", k * BAND_BITS).bitwiseAND(F.lit((1 << BAND_BITS) - 1)).alias("piece")) for k in range(BANDS)])
+    parted = found.where("over IS NOT NULL").select(F.col("over").alias("t"), masked.alias("masked"), *own, F.explode(pieces).alias("b")).withColumn("key", F.xxhash64("masked", "b.k", "b.piece"))
+    finer = _dealt(parted, radius, 0, side, own, "simhash-links-2")
+    return found.where("over IS NULL").select("a", "b").unionByName(finer.select("a", "b"))
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's links -> each of its nodes with the smallest node that they connect it to."""
     parent: dict[int, int] = {}
@@ -304,8 +366,8 @@ def _address(docs: DataFrame) -> DataFrame:
 def first_of_copies(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT, side: int = SIDE) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their group of near copies: the smallest doc_id, then the place in the files.
 
-    Documents are grouped by the word fingerprints and the shingle fingerprint (see above), which also holds pairs within ``radius`` of each other by the
-    shingle fingerprint alone.  One row of each group stays, whatever ids repeat; a row without an id stays only where
+    Documents are grouped by the word fingerprints, the shingle fingerprint and the least shingles (see above); pairs within ``radius`` of each other by the
+    shingle fingerprint alone are linked, too.  One row of each group stays, whatever ids repeat; a row without an id stays only where
     none of its group has one.  Rows without a word are copies of each other.  ``docs`` is written first if it isn't read from files.  An empty
     table gives an empty result.
     """
@@ -315,15 +377,17 @@ def first_of_copies(docs: DataFrame, radius: int = RADIUS, bucket_limit: int = B
         docs = written(docs, "simhash-docs")
         placed = _address(docs)
     own = text_batches(placed).select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"), "_file", "_row")
-    kinds = ["side", *(f"w{k}" for k in range(SEEDS))]
-    schema = ", ".join(f"{c} long" for c in (*kinds, "doc_id")) + ", _file long, _row long"
-    prints = written(own.mapInArrow(_all_prints, schema).withColumn("node", F.xxhash64(*kinds)), "simhash-prints")
+    schema = ", ".join(f"{c} long" for c in (*KINDS, "doc_id")) + ", _file long, _row long"
+    prints = written(own.mapInArrow(_all_prints, schema).withColumn("node", F.xxhash64(*KINDS)), "simhash-prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_file", "_row")).alias("first")
-    nodes = written(prints.groupBy("node", *kinds).agg(first), "simhash-nodes")
-    found = links(nodes.select(F.col("w0").alias("fp"), "node", "side"), radius, bucket_limit, side)
-    for k in range(1, SEEDS):
-        found = found.unionByName(links(nodes.select(F.col(f"w{k}").alias("fp"), "node", "side"), radius, bucket_limit, side))
-    found = found.unionByName(links(nodes.select(F.col("side").alias("fp"), "node", "side"), radius, bucket_limit, radius))
+    nodes = written(prints.groupBy("node", *KINDS).agg(first), "simhash-nodes")
+    # by the shingle fingerprint alone: its distinct values, each named by one of its nodes
+    by_side = written(nodes.groupBy("side").agg(F.min("node").alias("hub")), "simhash-sides")
+    hubs = by_side.select(F.col("side").alias("a"), F.col("hub").alias("_a")), by_side.select(F.col("side").alias("b"), F.col("hub").alias("_b"))
+    found = links(by_side.select(F.col("side").alias("fp")), radius, bucket_limit).join(hubs[0], "a").join(hubs[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    found = found.unionByName(join_hot(nodes.select("node", "side"), nodes.groupBy("side").agg(F.min("node").alias("hub"), F.count("*").alias("n")), "side").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+    for k in range(SEEDS):
+        found = found.unionByName(node_links(nodes.select(F.col(f"w{k}").alias("fp"), "node", "side", "bands"), radius, bucket_limit, side))
     comp = written(components(found), "simhash-components")
     # nodes are distinct on both sides; the minima of a group are combined before they are shuffled
     grouped = nodes.join(comp, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))

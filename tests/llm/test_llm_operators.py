@@ -172,6 +172,66 @@ def test_first_of_copies_catches_near_copies(spark):
     assert simhash.first_of_copies(docs.limit(0)).collect() == []
 
 
+def plain_links(words):
+    """Pairs that the stage's rule links, one by one."""
+    hashes = [simhash.shingle_hashes(w) for w in words]
+    side = [simhash._majority(h) for h in hashes]
+    least = [[simhash.least_shingles(h) >> k * simhash.BAND_BITS & (1 << simhash.BAND_BITS) - 1 for k in range(simhash.BANDS)] for h in hashes]
+    prints = [simhash.word_prints(w) for w in words]
+    for i in range(len(words)):
+        for j in range(i):
+            apart = (side[i] ^ side[j]).bit_count()
+            near = any((a ^ b).bit_count() <= 4 for a, b in zip(prints[i], prints[j], strict=True)) and any(a == b for a, b in zip(least[i], least[j], strict=True))
+            if apart <= 4 or apart <= simhash.SIDE and near:
+                yield i, j
+
+
+def test_first_of_copies_is_the_rule_by_brute_force(spark):
+    """Permutations and edits of a few texts, with full buckets: one of each class by the rule stays, the first."""
+    rng = random.Random(31)
+    texts = []
+    for _ in range(4):
+        base = text(rng, rng.choice([16, 60])).split()
+        for _ in range(40):
+            own = list(base)
+            rng.choice([lambda w: rng.shuffle(w), lambda w: w.__setitem__(rng.randrange(len(w)), rng.choice(WORDS)), lambda w: w.extend(w[: rng.randrange(len(w))])])(own)
+            texts.append(" ".join(own))
+    group = list(range(len(texts)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i, j in plain_links([simhash.words_of(t) for t in texts]):
+        a, b = root(i), root(j)
+        group[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted({root(i) for i in range(len(texts))})
+    assert 4 < len(want) < 150
+    for limit in (4096, 10):
+        assert sorted(r["doc_id"] for r in simhash.first_of_copies(docs, bucket_limit=limit).collect()) == want
+
+
+def test_full_buckets_are_compared_but_for_the_largest_component():
+    rng = np.random.default_rng(4)
+    near = (rng.integers(0, 1 << 62) ^ (1 << rng.integers(0, 62, 3000))).astype(np.int64)
+    rows = np.stack([np.zeros(3300, np.int64), np.arange(3300), np.concatenate([near, rng.integers(0, 1 << 62, 300)]), np.concatenate([np.full(3000, 7), rng.integers(0, 1 << 60, 300)])])
+    rows = rows[:, rng.permutation(3300)]
+    joined = simhash._spanning(rows, 4, 2)
+    assert len(joined) == 2999 and {x for p in joined for x in p} == set(range(3000))
+
+
+def test_permutations_of_one_list_of_words_take_time_in_proportion(spark):
+    rng = random.Random(9)
+    base = text(rng, 16).split()
+    texts = list({" ".join(rng.sample(base, 16)) for _ in range(20_000)})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    began = time.perf_counter()
+    kept = simhash.first_of_copies(docs).count()
+    assert kept > 0.98 * len(texts) and time.perf_counter() - began < 120
+
+
 def test_top_k_is_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)]
