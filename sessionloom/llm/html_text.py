@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 A page is parsed into a tree.  What is never article text (scripts, styles, forms, navigation, page headers
-and footers, asides, hidden elements and roles of the kind) is cut off.  Each paragraph then gives points, for its length and
+and footers, asides, hidden elements and roles of the kind) is cut off; a form or field set that holds the article (an article or main element, or the text around it but for next to
+nothing) loses its controls only, and the header of an article is its own.  Each paragraph then gives points, for its length and
 its commas, to its ancestors: all to the parent, half to the grandparent, less further up.  A node's points are discounted by
 its link density.  The best node is the container of the article, up to the article or main element that holds it; siblings
 that look like parts of the article, other article elements first, are kept with it.
@@ -55,8 +56,10 @@ SIBLINGS = {
 P_BOUND = frozenset("button caption html table td th article body div section main blockquote li dd".split())
 
 NEVER = frozenset(
-    "script style noscript template iframe object embed form nav footer aside menu select button input textarea svg canvas dialog head title noembed noframes fieldset audio video map".split()
+    "script style noscript template iframe object embed nav footer aside menu select button input textarea svg canvas dialog head title noembed noframes audio video map".split()
 )
+#: What is cut unless the article stands in it; then only their labels are.
+FRAMES = frozenset(["form", "fieldset"])
 NEVER_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form status note tooltip".split())
 #: Words of a class or id that name something other than the article.
 UNLIKELY = frozenset(
@@ -100,6 +103,13 @@ class Tree:
         self.inside[self._open[-1]].append(at)
         return at
 
+    def inside_of(self, node: int, tag: str) -> bool:
+        """Whether an element of this kind is above a node."""
+        up = self.parent[node]
+        while up > 0 and self.tag[up] != tag:
+            up = self.parent[up]
+        return up > 0
+
     def _pop_to(self, depth: int) -> None:
         for n in self._open[depth:]:
             self._depths[self.tag[n]].pop()
@@ -218,6 +228,34 @@ def _said(attrs: dict[str, str]) -> tuple[bool, bool, bool]:
     return against, speaks, readers
 
 
+def _frames(t: Tree, bad: list[bool]) -> None:
+    """Mark forms and field sets that don't hold the article, and the labels in all of them."""
+    n = len(t.tag)
+    if not any(tag in FRAMES for tag in t.tag):
+        return
+    gone, within, framed = bad[:], [0] * n, [False] * n  # within: the innermost article or main element, else the page
+    said, holds = [0] * n, [False] * n
+    for i in range(1, n):
+        p = t.parent[i]
+        gone[i] |= gone[p]
+        within[i] = i if t.tag[i] in ("article", "main") else within[p]
+        framed[i] = framed[p] or t.tag[i] in FRAMES
+    for i in range(n - 1, 0, -1):
+        if gone[i]:
+            continue
+        own = sum(len(x.strip()) for x in t.inside[i] if isinstance(x, str))
+        said[i] += own
+        holds[i] |= t.tag[i] in ("article", "main") and said[i] > 0
+        said[t.parent[i]] += said[i]
+        holds[t.parent[i]] |= holds[i]
+    outside = any(t.tag[i] in ("article", "main") and said[i] > 0 and not framed[i] for i in range(1, n))
+    for i in range(1, n):
+        if t.tag[i] in FRAMES and not holds[i] and (said[within[i]] - said[i] >= max(MIN_CHARS, said[i] / 10) or not within[i] and outside):
+            bad[i] = True
+        elif t.tag[i] == "label" and framed[i]:
+            bad[i] = True
+
+
 def _cut_off(t: Tree) -> tuple[list[bool], list[bool]]:
     """For each node: whether it isn't article text by itself; whether its class or id speaks for an article."""
     n = len(t.tag)
@@ -234,7 +272,8 @@ def _cut_off(t: Tree) -> tuple[list[bool], list[bool]]:
             if tag == "article" and readers[i] and not good[i]:  # a comment marked up as an article
                 names[i] = True
         if tag == "header":
-            names[i], good[i] = True, False
+            names[i], good[i] = not t.inside_of(i, "article"), False
+    _frames(t, bad)
     gone, size, holds = bad[:], [0] * n, [False] * n
     for i in range(1, n):
         gone[i] |= gone[t.parent[i]]

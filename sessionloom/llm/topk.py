@@ -26,13 +26,16 @@ SHARD_ROWS = 16_384
 QUERY_BLOCK = 1024
 LEAF = 128
 SAFE = float(1 << 52)
+#: Vectors with components as large as this, in units of 1 / SCALE, take no part: they are no longs.
+LARGEST = float(1 << 62)
+HALF = 62  #: Scores travel as two longs, s >> HALF and the rest, so that they stay exact and in order beyond a long.
 
 
 def quantized(column: F.Column) -> F.Column:
-    """Each component x, as a double, to floor(256 x); null for null vectors, and those with null or non-finite components
-    (or components beyond 2 ** 62 / 256, whose products are no longs)."""
+    """Each component x, as a double, to floor(256 x); null for null vectors and those with null or non-finite components
+    (or components of 2 ** 62 / 256 and more, which are no longs)."""
     wide = F.transform(column.cast("array<double>"), lambda x: x * SCALE)
-    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= float(1 << 62)))
+    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) >= LARGEST))
     return F.when(column.isNull() | bad | F.exists(column, lambda x: x.isNull()), F.lit(None)).otherwise(F.transform(wide, lambda x: F.floor(x)))
 
 
@@ -58,14 +61,19 @@ def build_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[t
 
 
 def _better(scores: np.ndarray, ids: np.ndarray, uids: np.ndarray, k: int) -> np.ndarray:
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i], uids[i]))[:k], np.int64)
     return np.lexsort((uids, ids, -scores))[:k]
 
 
 def search(points: np.ndarray, ids: np.ndarray, uids: np.ndarray, order: np.ndarray, nodes: list[tuple[int, int, int, int]], queries: np.ndarray, own: np.ndarray, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Scores, ids and uids of each query's best, at most k, of those that reach its ``floor`` score; ``own`` is the uid left out.
 
-    All of a round's queries take their next node, in the order of their bounds, together.
+    ``points`` and ``queries`` are doubles, which hold every sum exactly, or Python's integers; bounds are doubles with some slack, and a k-th score is
+    rounded down.  All of a round's queries take their next node, in the order of their bounds, together.
     """
+    exact_points, exact_queries = points, queries
+    points, queries = points.astype(float), queries.astype(float)
     centres = np.stack([points[order[a:b]].mean(axis=0) for a, b, _, _ in nodes])
     radii = np.array([math.sqrt(((points[order[a:b]] - c) ** 2).sum(axis=1).max()) for (a, b, _, _), c in zip(nodes, centres, strict=True)])
     norms = np.sqrt((queries**2).sum(axis=1))
@@ -88,7 +96,7 @@ def search(points: np.ndarray, ids: np.ndarray, uids: np.ndarray, order: np.ndar
                 below[nodes[node][2]] = who
                 below[nodes[node][3]] = who
         frontier = below
-    best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
+    best = [(np.zeros(0, exact_points.dtype), np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in queries]
     if not leaf_of:
         return best
     pairs, bounds = np.concatenate(leaf_of), np.concatenate(bound_of)
@@ -106,17 +114,17 @@ def search(points: np.ndarray, ids: np.ndarray, uids: np.ndarray, order: np.ndar
             who = pairs[now[pairs[now, 1] == node], 0]
             a, b, _, _ = nodes[node]
             inside = order[a:b]
-            scores = queries[who] @ points[inside].T
+            scores = exact_queries[who] @ exact_points[inside].T
             for row, q in enumerate(who.tolist()):
                 s = scores[row]
-                ok = (s >= kth[q]) & (uids[inside] != own[q])
+                ok = (s >= kth[q]).astype(bool) & (uids[inside] != own[q])
                 if ok.any():
                     have = best[q]
                     s, i, u = np.concatenate([have[0], s[ok]]), np.concatenate([have[1], ids[inside][ok]]), np.concatenate([have[2], uids[inside][ok]])
                     top = _better(s, i, u, k)
                     best[q] = s[top], i[top], u[top]
                     if len(top) == k:
-                        kth[q] = max(kth[q], s[top[-1]])
+                        kth[q] = max(kth[q], s[top[-1]] if s.dtype != object else np.nextafter(float(s[top[-1]]), -np.inf))
         at[live] += 1
         live = live[at[live] < ends[live]]
     return best
@@ -160,40 +168,42 @@ def _search(k: int):
                 points = np.frombuffer(r["vectors"], np.int64).reshape(len(ids), dim)
                 queries = np.array(r["q_vectors"], np.int64).reshape(-1, dim)
                 # doubles hold every sum exactly while it stays below 2 ** 52; beyond that Python's integers do
-                safe = dim == 0 or float(np.abs(points).max()) * float(np.abs(queries).max()) * dim < SAFE
+                safe = float(np.abs(points).max(initial=0)) * float(np.abs(queries).max(initial=0)) * dim < SAFE
                 kind = float if safe else object
                 floors = np.array([-np.inf if f is None else float(f) for f in r["q_floors"]])
-                if safe:
-                    nodes = [tuple(n) for n in np.frombuffer(r["nodes"], np.int64).reshape(-1, 4).tolist()]
-                    order = np.frombuffer(r["tree_order"], np.int64)
-                    found = search(points.astype(kind), ids, uids, order, nodes, queries.astype(kind), np.array(r["q_uids"], np.int64), floors, k)
-                else:
-                    found = []
-                    for q, own in zip(queries.astype(object), r["q_uids"], strict=True):
-                        scored = sorted((-sum(x * y for x, y in zip(q, p, strict=True)), int(i), int(u)) for p, i, u in zip(points.astype(object), ids, uids, strict=True) if u != own)[:k]
-                        found.append(([-s for s, _, _ in scored], [i for _, i, _ in scored], [u for _, _, u in scored]))
-                rows = [(int(quid), int(qid), int(i), int(u), int(s)) for quid, qid, (ss, ii, uu) in zip(r["q_uids"], r["q_ids"], found, strict=True) for s, i, u in zip(ss, ii, uu, strict=True)]
-                cols = list(zip(*rows, strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["q_uid", "query_id", "vec_id", "uid", "score"])
+                nodes = [tuple(n) for n in np.frombuffer(r["nodes"], np.int64).reshape(-1, 4).tolist()]
+                order = np.frombuffer(r["tree_order"], np.int64)
+                found = search(points.astype(kind), ids, uids, order, nodes, queries.astype(kind), np.array(r["q_uids"], np.int64), floors, k)
+                rows = [(int(quid), int(qid), int(i), int(u), int(s) >> HALF, int(s) & (1 << HALF) - 1) for quid, qid, (ss, ii, uu) in zip(r["q_uids"], r["q_ids"], found, strict=True) for s, i, u in zip(ss, ii, uu, strict=True)]
+                cols = list(zip(*rows, strict=True)) or [()] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["q_uid", "query_id", "vec_id", "uid", "hi", "lo"])
 
     return run
 
 
-_FOUND = "q_uid long, query_id long, vec_id long, uid long, score long"
+_FOUND = "q_uid long, query_id long, vec_id long, uid long, hi long, lo long"
 
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query, by score and then the smaller vec_id, with their rank."""
-    order = F.struct((-F.col("score")).alias("worse"), "vec_id", "uid", "query_id")
+    order = F.struct((-F.col("hi")).alias("hi"), (-F.col("lo")).alias("lo"), "vec_id", "uid", "query_id")
     top = found.groupBy("q_uid").agg(F.slice(F.array_sort(F.collect_list(order)), 1, k).alias("top"))  # k for each shard at most
-    return top.select("q_uid", F.posexplode("top").alias("at", "t")).select("q_uid", F.col("t.query_id").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.uid").alias("uid"), (-F.col("t.worse")).alias("score"))
+    each = top.select("q_uid", F.posexplode("top").alias("at", "t"))
+    return each.select("q_uid", F.col("t.query_id").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("t.vec_id").alias("vec_id"), F.col("t.uid").alias("uid"), (-F.col("t.hi")).alias("hi"), (-F.col("t.lo")).alias("lo"))
+
+
+def _score() -> F.Column:
+    """The score as a long; the nearest one, where it is none."""
+    hi, most = F.col("hi"), (1 << 63) - 1
+    return F.when(hi > 1, F.lit(most)).when(hi < -2, F.lit(-most - 1)).otherwise(hi * F.lit(1 << HALF) + F.col("lo"))
 
 
 def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, shard_rows: int = SHARD_ROWS, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest integer inner products of each query row of ``vectors`` (vec_id, embedding) with the
     other rows; all, if there are fewer.  Ties go to the smaller vec_id.
 
-    Null vectors, those with null or non-finite components, empty ones and rows without vec_id take no part.  Only vectors of equal
+    Null vectors, those with null or non-finite components, empty ones, those with components of 2 ** 62 / 256 and more and rows without vec_id take no part.
+    Scores are compared exactly; one that is no long is given as the nearest long.  Only vectors of equal
     length are compared.  A repeated row is a row of its own: it is found by its copies.  An empty table gives an empty result; other
     columns are not read.
     """
@@ -217,13 +227,14 @@ def top_k(vectors: DataFrame, is_query: F.Column, k: int = K, shard_rows: int =
         return pairs.mapInArrow(_search(k), _FOUND)
 
     home = F.pmod(F.col("block"), F.lit(shards)).cast("int")
-    first = written(ask(asked.withColumn("floor", F.lit(None).cast("long")), F.array(home)), "topk-first")
+    first = written(ask(asked.withColumn("floor", F.lit(None).cast("double")), F.array(home)), "topk-first")
     if shards == 1:
-        return _best(first, k).select("query_id", "rank", "vec_id", "score")
-    kth = _best(first, k).where(F.col("rank") == k).select(F.col("q_uid").alias("uid"), F.col("score").alias("floor"))
+        return _best(first, k).select("query_id", "rank", "vec_id", _score().alias("score"))
+    about = F.col("hi") * float(1 << HALF) + F.col("lo")
+    kth = _best(first, k).where(F.col("rank") == k).select(F.col("q_uid").alias("uid"), (about - F.abs(about) * 1e-12 - 1).alias("floor"))
     others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
     rest = ask(asked.join(kth, "uid", "left"), others)
-    return _best(first.unionByName(rest), k).select("query_id", "rank", "vec_id", "score")
+    return _best(first.unionByName(rest), k).select("query_id", "rank", "vec_id", _score().alias("score"))
 
 
 def op4_exact_top_k(spark, sf_dir: str) -> DataFrame:

@@ -249,6 +249,22 @@ def test_top_k_is_brute_force(spark):
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_top_k_beyond_a_long(spark):
+    """Products of large vectors are compared exactly, over shards, too; what is no long is the nearest one."""
+    rng = random.Random(12)
+    vectors = [(i, [rng.choice([1e9, 2e9, -1e9, 1e15, 0.5, 3.25]) * rng.choice([1, 1 + 2**-20, -1]) for _ in range(4)]) for i in range(120)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v in vectors]
+    clamp = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    want = []
+    for i, v in whole:
+        if i % 50 == 0:
+            scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for j, w in whole if j != i)[:5]
+            want += [(i, r + 1, j, clamp(-s)) for r, (s, j) in enumerate(scored)]
+    for shard in (1000, 16):
+        assert key(topk.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=shard).collect()) == key(want)
+
+
 def test_ball_tree_prunes_and_stays_exact():
     rng = np.random.default_rng(0)
     points = np.concatenate([rng.normal(c, 0.05, size=(300, 6)) for c in (-3, 0, 3)]).round(3) * 100 // 1
@@ -691,6 +707,12 @@ LONG_TEXT = "A long paragraph, with commas, and with more words than the rest.\n
         (f'<div class="share-wrapper"><h1>T</h1>{LONG}</div>', f"T\n{LONG_TEXT}"),
         (f"<main><section><h2>a</h2><p>short, one</p></section><section>{LONG}</section></main><div>{LONG * 9}</div>", f"a\nshort, one\n{LONG_TEXT}"),
         ('<div class="ad">Buy this, and that, and all of it, now.</div><article><p>Tiny.</p></article>', "Tiny."),
+        (f'<form action="/x"><input name=a><label>L</label><div class="content"><h1>T</h1>{LONG}</div><button>Go</button><select><option>o</select></form>', f"T\n{LONG_TEXT}"),
+        (f"<form><article>{LONG}</article></form><form><p>Your mail, please, and your name.</p><input></form>", LONG_TEXT),
+        (f"<article>{LONG}<form><p>Mail us, and tell us all, about it.</p><input></form></article>", LONG_TEXT),
+        (f"<article><fieldset>{LONG}</fieldset></article>", LONG_TEXT),
+        (f"<header>Site, name, and slogan.</header><article><header><h1>Title</h1><p>By A, on a day.</p></header>{LONG}</article>", f"Title\nBy A, on a day.\n{LONG_TEXT}"),
+        (f'<div class="cookie-notice">{LONG * 3}</div><div><p>Short article, with a comma.</p><p>And its end.</p></div>', "Short article, with a comma.\nAnd its end."),
         (f"<div id=a>{LONG}</div><div id=b>{LONG}</div>", f"{LONG_TEXT}\n{LONG_TEXT}"),  # a tie keeps both
         ('<p title=">">hello <a href="x>it is', "hello it is"),
         ("<p>a </> b </3 c>d<!-->e<!--->f<!-- g", "a b def"),
