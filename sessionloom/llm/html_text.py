@@ -250,7 +250,7 @@ def _frames(t: Tree, bad: list[bool]) -> None:
         holds[t.parent[i]] |= holds[i]
     outside = any(t.tag[i] in ("article", "main") and said[i] > 0 and not framed[i] for i in range(1, n))
     for i in range(1, n):
-        if t.tag[i] in FRAMES and not holds[i] and (said[within[i]] - said[i] >= max(MIN_CHARS, said[i] / 10) or not within[i] and outside):
+        if t.tag[i] in FRAMES and not holds[i] and (said[within[i]] - said[i] > said[i] / 10 or not within[i] and outside):
             bad[i] = True
         elif t.tag[i] == "label" and framed[i]:
             bad[i] = True
