@@ -31,7 +31,7 @@ class Options:
 def extract(spark: SparkSession, path: str, options: Options | None = None) -> dict[str, DataFrame]:
     """Name -> table, for every session below ``path``.  The events are persisted, as all other tables read them."""
     o = options or Options()
-    lines = transcripts.raw_lines(spark, path)
+    lines = transcripts.raw_lines(spark, path, hashed=False)
     found = E.events(lines, o.bad_line_rate)
     found = (E.since_compaction(found) if o.since_compaction else found).persist()
     files, runs = L.files(found), L.commands(found, o.mode)

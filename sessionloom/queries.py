@@ -926,5 +926,6 @@ def projected_events(spark, sf_dir):
 
 
 # the queries of the other modules
+import sessionloom.queries_document  # noqa: E402, F401
 import sessionloom.queries_state  # noqa: E402, F401
 import sessionloom.queries_transcripts  # noqa: E402, F401

@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sessionloom.operators import fold, steps
+from sessionloom.operators import fold, rounds, steps
 from sessionloom.queries import CONV, query, sessions
 
 PREMAP_FROM = fold.PREMAP_FROM
@@ -107,3 +107,34 @@ SELECT session_key, CAST(n * CASE WHEN n >= {PREMAP_FROM} THEN 2 ELSE 1 END + re
 )
 def fold_calls(spark, sf_dir):
     return folded(spark, sf_dir).withColumn("processed", F.size("processed"))[["session_key", "calls", "repairs", "failures", "processed"]]
+
+
+# ---- trials with expansions
+
+
+def asking(prompt: str) -> str:
+    """Asks for the turn in question, then for the ones before it, as often as the turn's number modulo 5 says; then answers."""
+    evt = int(re.search(r"Question: ([0-9]+)\?$", prompt)[1])
+    seen = prompt.count("You asked for evt ")
+    if not prompt.startswith("You may look") or seen >= evt % 5:
+        return f"It is turn {evt}."
+    return f"Let me see: EXPAND {evt - seen}..={evt - seen}"
+
+
+@query(
+    f"""WITH {CONV}, a AS (SELECT * FROM (VALUES ('alone', '', false), ('look', 'You may look: ', true)) AS v(arm, context, can)), p AS (
+  SELECT session_key, arm, idx AS evt, context, CASE WHEN can THEN least(idx % 5, 3) ELSE 0 END AS k, idx % 5 > 3 AND can AS lost FROM conv CROSS JOIN a), r AS (
+  SELECT p.*, j, c.text || '  (evt ' || c.idx || ')' || chr(10) AS body, p.evt - j AS at FROM p JOIN (SELECT unnest(range(0, 3)) AS j) x ON j < p.k JOIN conv c ON c.session_key = p.session_key AND c.idx = p.evt - j), u AS (
+  SELECT session_key, arm, evt, j, ceil(strlen(body) / 4.0) AS seen, strlen(chr(10) || 'You asked for evt ' || at || '..' || at || ':' || chr(10) || body) AS more FROM r), g AS (
+  SELECT p.session_key, p.arm, p.evt, n, strlen(context) + strlen(chr(10) || 'Question: ' || p.evt || '?') + coalesce(sum(u.more), 0) AS bytes FROM p JOIN (SELECT unnest(range(0, 4)) AS n) x ON n <= p.k LEFT JOIN u ON u.session_key = p.session_key AND u.arm = p.arm AND u.evt = p.evt AND u.j < n GROUP BY ALL), t AS (
+  SELECT session_key, arm, evt, sum(ceil(bytes / 4.0)) AS asked FROM g GROUP BY ALL), s AS (SELECT session_key, arm, evt, sum(seen) AS seen FROM u GROUP BY ALL)
+SELECT p.session_key, p.arm, CAST(p.evt AS INTEGER) AS evt, NOT lost AS correct, CAST(t.asked + coalesce(s.seen, 0) AS BIGINT) AS tokens, CAST(k AS INTEGER) AS expansions
+FROM p JOIN t ON t.session_key = p.session_key AND t.arm = p.arm AND t.evt = p.evt LEFT JOIN s ON s.session_key = p.session_key AND s.arm = p.arm AND s.evt = p.evt"""
+)
+def trial_rounds(spark, sf_dir):
+    """Each turn is a question to two arms, of which one may look; turns of rest 4 would look more often than they may."""
+    s = sessions(spark, sf_dir)
+    arms = F.explode(F.array(F.struct(F.lit("alone").alias("arm"), F.lit("").alias("context"), F.lit(False).alias("can_expand")), F.struct(F.lit("look").alias("arm"), F.lit("You may look: ").alias("context"), F.lit(True).alias("can_expand"))))
+    plan = s.select("session_key", F.col("idx").alias("evt"), F.lit("turn").alias("class"), F.concat("idx", F.lit("?")).alias("question"), F.concat(F.lit("turn "), "idx").alias("key"), arms.alias("a")).select("session_key", "evt", "class", "question", "key", "a.*")
+    rows = s.select("session_key", F.col("idx").alias("evt"), "text", F.lit(0).alias("tokens"))
+    return rounds.trials(plan, rows, asking, steps.new_folder(spark, "trials")).select("session_key", "arm", "evt", "correct", "tokens", "expansions")

@@ -2,34 +2,108 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PROVIDERS = ("tree", "rollout", "journal")
 
 
-def raw_lines(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
-    """session_key, path, path_ix, line_no, raw, sha256 for every line of the transcripts below ``path`` (plain or compressed).
+PACKED = r"\.(?:zst|gz|bz2|lz4|snappy|deflate)$"
+
 
-    Line numbers start at 1 and count blank lines; one closing carriage return is taken off.  A session is a file together with the sidechain files
-    in the folder that carries its name; the file comes first (path_ix 0), its sidechains follow in path order.
+def files(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
+    """session_key, path, path_ix, length, modified of the transcript files below ``path``; nothing of their content is read.
+
+    A session is a file together with the sidechain files in the folder that carries its name; the file comes first (path_ix 0), its sidechains follow in
+    path order.  Files whose names begin with a dot are left out.
     """
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
-    whole = whole.select(F.col("_metadata.file_path").alias("path"), "value").where(~F.regexp_like("path", F.lit(r"/\.[^/]*$")))
+    found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=glob).load(path)
+    own = {"path": "file_path", "length": "file_size", "modified": "file_modification_time"}
+    found = found.select(*[F.col(f"_metadata.{m}").alias(c) for c, m in own.items()])
+    found = found.where(~F.regexp_like("path", F.lit(r"/\.[^/]*$"))).withColumn("side", F.contains("path", F.lit("/subagents/")))
     main = F.regexp_replace(F.regexp_replace("path", F.lit(r"/subagents/[^/]*$"), F.lit("")), F.lit(r"\.jsonl(?:\.[a-z0-9]+)?$"), F.lit(""))
-    files = whole.select(main.alias("session_key"), "path", F.sha2(F.col("value").cast("binary"), 256).alias("sha256"), F.regexp_replace("value", F.lit("\n$"), F.lit("")).alias("value"))
-    lines = files.select("session_key", "path", "sha256", F.posexplode(F.split("value", "\n")).alias("at", "raw"))
-    keyed = lines.withColumn("is_side", F.contains(F.col("path"), F.lit("/subagents/")))
-    order = files.groupBy("session_key").agg(F.array_sort(F.collect_set(F.struct(F.contains(F.col("path"), F.lit("/subagents/")).alias("side"), "path"))).alias("files"))
-    places = order.select("session_key", F.posexplode("files").alias("path_ix", "f")).select("session_key", "path_ix", F.col("f.path").alias("path"))
-    return keyed.join(places, ["session_key", "path"]).select("session_key", "path", "path_ix", (F.col("at") + 1).alias("line_no"), F.regexp_replace("raw", F.lit("\r$"), F.lit("")).alias("raw"), "sha256")
+    place = F.row_number().over(Window.partitionBy("session_key").orderBy("side", "path")) - 1
+    return found.withColumn("session_key", main).select("session_key", "path", place.alias("path_ix"), "length", "modified")
+
+
+def _scan(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """path, block (where the split begins), id (dense and rising within a split), value: the lines as they lie, a split of a file at a time."""
+    text = spark.read.options(recursiveFileLookup=True, pathGlobFilter=glob, lineSep="\n").text(path)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), "value")
+
+
+def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
+    """path, line_no (from 1), value of every line below ``path``.
+
+    Plain files are read in splits of the session's ``spark.sql.files.maxPartitionBytes``, each in a task of its own; compressed ones whole.  A first pass counts the
+    lines of each split, so a line's number is that of the splits before it and its place in its own.
+    """
+    scan = _scan(spark, path, glob)
+    counts = scan.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    blocks = counts.select("path", "block", "first", before.alias("before"))  # a row for each split
+    return scan.join(blocks, ["path", "block"]).select("path", (F.col("before") + F.col("id") - F.col("first") + 1).cast("int").alias("line_no"), "value")
+
+
+def raw_lines(spark: SparkSession, path: str, glob: str = "*.jsonl*", hashed: bool = True) -> DataFrame:
+    """session_key, path, path_ix, line_no, raw and, if ``hashed``, sha256 (of the file, see ``file_hashes``) for every line of the transcripts below ``path`` (plain
+    or compressed).
+
+    Line numbers start at 1 and count blank lines; one closing carriage return is taken off, and bytes that are no UTF-8 become U+FFFD.
+    """
+    known = files(spark, path, glob).select("session_key", "path", "path_ix")
+    if hashed:
+        known = known.join(file_hashes(spark, path, glob), "path")
+    lines = numbered_lines(spark, path, glob).where(~F.regexp_like("path", F.lit(r"/\.[^/]*$")))
+    raw = F.regexp_replace(F.make_valid_utf8("value"), F.lit(r"\r\z"), F.lit(""))
+    return lines.join(known, "path").select("session_key", "path", "path_ix", "line_no", raw.alias("raw"), *(["sha256"] if hashed else []))
+
+
+def _hash_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines sorted by (path, line_no), with the file's length: a hash of each file's bytes.  Whether the last line was ended shows in the length."""
+    path, digest, size, length = None, None, 0, 0
+
+    def close() -> pa.RecordBatch:
+        if size < length:
+            digest.update(b"\n")
+        return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([digest.hexdigest()])], ["path", "sha256"])
+
+    for batch in batches:
+        for name, long_, value in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            if name != path:
+                if path is not None:
+                    yield close()
+                path, digest, size, length = name, hashlib.sha256(), 0, long_
+            else:
+                digest.update(b"\n")
+                size += 1
+            digest.update(value)
+            size += len(value)
+    if path is not None:
+        yield close()
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str = "*.jsonl*") -> DataFrame:
+    """path, sha256 of each file's bytes, uncompressed ones.  A plain file's lines run through one task in order, none is held; a compressed file is read as one value."""
+    found = files(spark, path, glob).select("path", "length")
+    plain = numbered_lines(spark, path, glob).where(~F.regexp_like("path", F.lit(PACKED))).join(found, "path")
+    ordered = plain.select("path", "line_no", "length", F.col("value").cast("binary").alias("value")).repartition("path").sortWithinPartitions("path", "line_no")
+    hashed = ordered.mapInArrow(_hash_lines, "path string, sha256 string")
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(F.col("_metadata.file_path").alias("path"), "value")
+    packed = whole.where(F.regexp_like("path", F.lit(PACKED))).select("path", F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))
+    empty = found.where("length = 0").select("path", F.lit(hashlib.sha256().hexdigest()).alias("sha256"))
+    return hashed.unionByName(packed).unionByName(empty)
 
 
 def source_hash(lines: DataFrame) -> DataFrame:
     """session_key, source_hash: the hash of the files' hashes, in file order."""
-    files = lines.select("session_key", "path_ix", "sha256").distinct()
+    known = lines.select("session_key", "path_ix", "sha256").distinct()
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path_ix", "sha256"))), lambda f: f["sha256"]), "")
-    return files.groupBy("session_key").agg(F.sha2(joined.cast("binary"), 256).alias("source_hash"))
+    return known.groupBy("session_key").agg(F.sha2(joined.cast("binary"), 256).alias("source_hash"))
 
 
 def profile(lines: DataFrame, head: int = 60) -> DataFrame:
