@@ -120,7 +120,7 @@ def _items(spark, sf_dir) -> DataFrame:
     at = lambda c: F.array(F.struct(F.col(c).cast("int").alias("start"), F.col(c).cast("int").alias("end"))).alias("sources")
     rest = [F.lit("active").alias("status"), F.lit(None).cast("string").alias("detail"), F.lit(0).alias("last_confirmed")]
     actions = runs.select("session_key", F.concat(F.lit("N"), order).alias("id"), F.lit("next_action").alias("kind"), F.concat(F.lit("mend, then run  "), F.upper("normalized")).alias("text"), at("evt"), *rest)
-    edits = ledgers.files(found).where("edits > 0").select("session_key", F.concat(F.lit("D"), "path").alias("id"), F.lit("decision").alias("kind"), F.concat(F.lit("keep `"), F.col("path"), F.lit("`.")).alias("text"), at("last_evt"), *rest)
+    edits = ledgers.files(found).where("edits > 0").select("session_key", F.concat(F.lit("D"), "path").alias("id"), F.lit("decision").alias("kind"), F.concat(F.lit("keep `"), F.col("path"), F.lit("`")).alias("text"), at("last_evt"), *rest)
     return actions.unionByName(edits)
 
 
@@ -163,7 +163,7 @@ def findings_of_sessions(spark, sf_dir):
 
 
 @query(
-    f"""WITH {WORK}, {OPS} SELECT session_key, path, CASE WHEN path NOT IN {THERE} AND NOT (path = 'src/m3.rs' AND CAST(session_key AS BIGINT) % 4 = 0) THEN 'stale' WHEN path = 'src/m1.rs' THEN 'stale' ELSE 'verified' END AS verified FROM led WHERE edits > 0"""
+    f"""WITH {WORK}, {OPS} SELECT session_key, path, CASE WHEN path NOT LIKE '%/%' THEN 'unchecked' WHEN path NOT IN {THERE} AND NOT (path = 'src/m3.rs' AND CAST(session_key AS BIGINT) % 4 = 0) THEN 'stale' WHEN path = 'src/m1.rs' THEN 'stale' ELSE 'verified' END AS verified FROM led WHERE edits > 0"""
 )
 def verified_again(spark, sf_dir):
     """A stored state after every fourth session's snapshot has got one more file."""

@@ -124,9 +124,9 @@ def asking(prompt: str) -> str:
 @query(
     f"""WITH {CONV}, a AS (SELECT * FROM (VALUES ('alone', '', false), ('look', 'You may look: ', true)) AS v(arm, context, can)), p AS (
   SELECT session_key, arm, idx AS evt, context, CASE WHEN can THEN least(idx % 5, 3) ELSE 0 END AS k, idx % 5 > 3 AND can AS lost FROM conv CROSS JOIN a), r AS (
-  SELECT p.*, j, c.text || '  (evt ' || c.idx || ')' || chr(10) AS body, p.evt - j AS at FROM p JOIN (SELECT unnest(range(0, 3)) AS j) x ON j < p.k JOIN conv c ON c.session_key = p.session_key AND c.idx = p.evt - j), u AS (
-  SELECT session_key, arm, evt, j, ceil(strlen(body) / 4.0) AS seen, strlen(chr(10) || 'You asked for evt ' || at || '..' || at || ':' || chr(10) || body) AS more FROM r), g AS (
-  SELECT p.session_key, p.arm, p.evt, n, strlen(context) + strlen(chr(10) || 'Question: ' || p.evt || '?') + coalesce(sum(u.more), 0) AS bytes FROM p JOIN (SELECT unnest(range(0, 4)) AS n) x ON n <= p.k LEFT JOIN u ON u.session_key = p.session_key AND u.arm = p.arm AND u.evt = p.evt AND u.j < n GROUP BY ALL), t AS (
+  SELECT p.*, j, c.text || '  (evt ' || c.idx || ')' || chr(10) AS body, p.evt - j AS near FROM p JOIN (SELECT unnest(range(0, 3)) AS j) x ON j < p.k JOIN conv c ON c.session_key = p.session_key AND c.idx = p.evt - j), u AS (
+  SELECT session_key, arm, evt, j, ceil(strlen(body) / 4.0) AS seen, strlen(chr(10) || 'You asked for evt ' || near || '..' || near || ':' || chr(10) || body) AS more FROM r), g AS (
+  SELECT p.session_key, p.arm, p.evt, n, strlen(context) + strlen(chr(10) || 'Question: ' || p.evt || '?') + coalesce(sum(u.more), 0) AS bytes FROM p JOIN (SELECT unnest(range(0, 4)) AS n) x ON n <= p.k LEFT JOIN u ON u.session_key = p.session_key AND u.arm = p.arm AND u.evt = p.evt AND u.j < n GROUP BY p.session_key, p.arm, p.evt, n, context), t AS (
   SELECT session_key, arm, evt, sum(ceil(bytes / 4.0)) AS asked FROM g GROUP BY ALL), s AS (SELECT session_key, arm, evt, sum(seen) AS seen FROM u GROUP BY ALL)
 SELECT p.session_key, p.arm, CAST(p.evt AS INTEGER) AS evt, NOT lost AS correct, CAST(t.asked + coalesce(s.seen, 0) AS BIGINT) AS tokens, CAST(k AS INTEGER) AS expansions
 FROM p JOIN t ON t.session_key = p.session_key AND t.arm = p.arm AND t.evt = p.evt LEFT JOIN s ON s.session_key = p.session_key AND s.arm = p.arm AND s.evt = p.evt"""
