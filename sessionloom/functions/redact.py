@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionloom.functions import text as X
+
 REDACTED = "[REDACTED_SECRET]"
 
 #: class -> pattern, in the order of use; patterns are in the common part of Java's and RE2's syntax.
@@ -26,8 +31,28 @@ STRICT = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "private_ip": r"(?:10\.[0-9]{1,3}|192\.168|172\.(?:1[6-9]|2[0-9]|3[01]))\.[0-9]{1,3}\.[0-9]{1,3}",
 }
+#: class -> texts of which a match holds one, whatever else it holds; a text with none of them is not searched.
+NEEDS = {
+    "pem": ["-----BEGIN "],
+    "url_credentials": ["://"],
+    "bearer": ["earer "],
+    "sk_ant": ["sk-ant-"],
+    "sk": ["sk-"],
+    "aws": ["AKIA", "ASIA"],
+    "github": ["ghp_", "gho_", "github_pat_"],
+    "slack": ["xox"],
+    "stripe": ["k_live_"],
+    "google": ["AIza"],
+    "jwt": ["eyJ"],
+    "email": ["@"],
+    "private_ip": ["10.", "192.168.", "172."],
+}
+#: The same for assignments: one of the signs, and one of the words in lower case (parts without an i, whose lower case is not the same everywhere).
+SIGNS, WORDS = ["=", ":"], ["secret", "token", "passw", "_key"]
 #: Strings of 32 characters and more are secrets, in strict mode, from this entropy a character on.
 TOKEN, ENTROPY = r"[A-Za-z0-9_+/=-]{32,}", 3.5
+#: The same strings, looked for at their first characters only: they are taken whole, so none begins inside another.
+TOKEN_START = rf"(?<![A-Za-z0-9_+/=-]){TOKEN}+"
 MODES = ("off", "default", "strict")
 
 
@@ -45,15 +70,25 @@ def entropy(token: Column) -> Column:
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda sum_, c: sum_ - F.when(c == "", 0.0).otherwise(share(c) * F.log2(share(c))))
 
 
+def _has(text: Column, needs: list[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(n)) for n in needs])
+
+
+def _without(text: Column, name: str) -> Column:
+    """The text with the secrets of one class replaced."""
+    if name == "high_entropy":
+        found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN_START), F.lit(0))), lambda t: entropy(t) >= ENTROPY)
+        return F.aggregate(found, text, lambda own, t: F.replace(own, t, F.lit(REDACTED)))
+    may = _has(text, SIGNS) & X.let(F.lower(text), lambda low: _has(low, WORDS)) if name == "assignment" else _has(text, NEEDS[name])
+    return F.when(may, F.regexp_replace(text, F.lit((DEFAULT | STRICT)[name]), F.lit(REDACTED))).otherwise(text)
+
+
 def redact(text: Column, mode: str = "default") -> Column:
-    """The text with its secrets replaced.  ``strict`` adds mail addresses, private addresses and long strings of high entropy; ``off`` changes nothing."""
-    for name in classes(mode):
-        if name == "high_entropy":
-            found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))), lambda t: entropy(t) >= ENTROPY)
-            text = F.aggregate(found, text, lambda own, t: F.replace(own, t, F.lit(REDACTED)))
-        else:
-            text = F.regexp_replace(text, F.lit((DEFAULT | STRICT)[name]), F.lit(REDACTED))
-    return text
+    """The text with its secrets replaced.  ``strict`` adds mail addresses, private addresses and long strings of high entropy; ``off`` changes nothing.
+
+    The text of each step is made once, and searched for a class only if it holds what every secret of the class holds.
+    """
+    return reduce(lambda own, name: X.let(own, lambda t: _without(t, name)), classes(mode), text)
 
 
 def redactions(before: Column, after: Column) -> Column:
