@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,44 +41,51 @@ def directive_head(lower: Column) -> Column:
     return F.regexp_replace(lower, F.lit(rf"^\s*{filler}*"), F.lit(""))
 
 
+def _begins(text: Column, words: list[str]) -> Column:
+    return reduce(or_, [F.startswith(text, F.lit(w)) for w in words])
+
+
 def markers(text: Column) -> Column:
     """The families of a clean sentence; empty if it is no standing instruction."""
-    low = F.lower(text)
-    head = directive_head(low)
-    fine = (
-        (F.length(text) <= MAX_CHARS)
-        & (F.size(F.split(F.trim(text), r"\s+")) >= MIN_WORDS)
-        & ~F.regexp_like(low, F.lit(_any(NOISE)))
-        & ~F.regexp_like(low, F.lit(r"[?:]\s*$"))
-        & ~F.regexp_like(low, F.lit("^" + _any(QUESTIONS)))
-        & ~X.is_shouted(text)
-    )
-    found = [F.when(F.regexp_like(head, F.lit("^" + _any(starts))), F.lit(family)) for family, starts in DIRECTIVES.items()]
-    return F.when(fine, F.array_compact(F.array(*found))).otherwise(F.array().cast("array<string>"))
+
+    def named(x: Column) -> Column:
+        # the dear conditions come last: most sentences begin with no directive
+        found = F.array_compact(F.array(*[F.when(_begins(x["head"], starts), F.lit(family)) for family, starts in DIRECTIVES.items()]))
+        fine = (
+            (F.length(text) <= MAX_CHARS)
+            & ~_begins(x["low"], QUESTIONS)
+            & ~reduce(or_, [F.contains(x["low"], F.lit(n)) for n in NOISE])
+            & (F.size(F.split(F.trim(text), r"\s+")) >= MIN_WORDS)
+            & ~F.regexp_like(x["low"], F.lit(r"[?:]\s*$"))
+            & ~X.is_shouted(text)
+        )
+        return X.let(found, lambda f: F.when((F.size(f) > 0) & fine, f).otherwise(F.array().cast("array<string>")))
+
+    return X.let(F.lower(text), lambda low: X.let(F.struct(low.alias("low"), directive_head(low).alias("head")), named))
 
 
 def candidates(events: DataFrame, mode: str = "default") -> DataFrame:
     """session_key, evt, seq, text, markers, key of the sentences that are standing instructions."""
     own = events.where("is_active AND kind = 'user_message'").where(is_human())
-    each = own.select("session_key", F.col("idx").alias("evt"), F.posexplode(X.sentences(R.redact(F.col("text"), mode))).alias("seq", "raw"))
-    clean = each.select("session_key", "evt", "seq", X.clean_sentence(F.col("raw")).alias("text"))
-    found = clean.withColumn("markers", markers(F.col("text"))).where(F.size("markers") > 0)
-    return found.withColumn("key", X.normalize_words(F.col("text"))).where("key <> ''")
-
-
-def _keep(frame: pd.DataFrame) -> pd.DataFrame:
-    """In order: a rule said again adds its markers if it has more; one inside an earlier kept rule goes."""
-    kept: dict[str, int] = {}
-    rows: list[dict] = []
-    for r in frame.sort_values(["evt", "seq"]).to_dict("records"):
-        if r["key"] in kept:
-            old = rows[kept[r["key"]]]
-            if len(old["markers"]) < len(r["markers"]):
-                old["markers"] = r["markers"]
-        elif not any(len(k) > len(r["key"]) and r["key"] in k for k in kept):
-            kept[r["key"]] = len(rows)
-            rows.append(r)
-    return pd.DataFrame(rows, columns=frame.columns)
+
+    def one(sentence: Column, seq: Column) -> Column:
+        return X.let(X.clean_sentence(sentence), lambda t: F.struct(seq.alias("seq"), t.alias("text"), markers(t).alias("markers"), X.normalize_words(t).alias("key")))
+
+    # all inside one array: a filter behind it would have the texts redacted and split once more
+    said = X.let(R.redact(F.col("text"), mode), X.sentences)
+    return own.select("session_key", F.col("idx").alias("evt"), F.inline(F.filter(F.transform(said, one), lambda c: (F.size(c["markers"]) > 0) & (c["key"] != ""))))
+
+
+def _keep(found: DataFrame) -> DataFrame:
+    """A rule said again adds its markers if it has more; one inside a longer rule that was first said before it goes.
+
+    Whether that longer rule is kept itself makes no difference: if it went, then for one that holds both.
+    """
+    at = F.struct("evt", "seq")
+    per = found.groupBy("session_key", "key").agg(F.min(at).alias("at"), F.min_by("text", at).alias("text"), F.min_by("markers", F.struct(-F.size("markers"), "evt", "seq")).alias("markers"))
+    earlier = per.select(F.col("session_key").alias("_session"), F.col("key").alias("_key"), F.col("at").alias("_at"))
+    inside = F.col("session_key").eqNullSafe(F.col("_session")) & (F.length("_key") > F.length("key")) & (F.col("_at") < F.col("at")) & F.contains("_key", F.col("key"))
+    return per.join(earlier, inside, "left_anti").select("session_key", "at.evt", "at.seq", "text", "markers", "key")
 
 
 def constraints(events: DataFrame, vocabulary: DataFrame | None = None, mode: str = "default", most: int = MAX_KEPT) -> DataFrame:
@@ -84,8 +93,7 @@ def constraints(events: DataFrame, vocabulary: DataFrame | None = None, mode: st
 
     ``vocabulary`` (session_key, name) gives the scope: the names that stand in the text as words; an empty scope is global.
     """
-    found = candidates(events, mode)
-    kept = found.groupBy("session_key").applyInPandas(_keep, found.schema)
+    kept = _keep(candidates(events, mode))
     w = Window.partitionBy("session_key").orderBy(F.desc(F.size("markers")), F.desc("evt"), "text")
     ranked = kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most)
     if vocabulary is None:
