@@ -74,12 +74,22 @@ def _has(text: Column, needs: list[str]) -> Column:
     return reduce(or_, [F.contains(text, F.lit(n)) for n in needs])
 
 
+def _assigns(text: Column) -> Column:
+    return _has(text, SIGNS) & X.let(F.lower(text), lambda low: _has(low, WORDS))
+
+
+def _may_hold(text: Column, mode: str) -> Column:
+    """Whether a text holds what any class needs; most short ones don't."""
+    needs = _has(text, [n for name in classes(mode) for n in NEEDS.get(name, [])]) | _assigns(text)
+    return (F.octet_length(text) >= 32) | needs if mode == "strict" else needs
+
+
 def _without(text: Column, name: str) -> Column:
     """The text with the secrets of one class replaced."""
     if name == "high_entropy":
         found = F.filter(F.array_distinct(F.regexp_extract_all(text, F.lit(TOKEN_START), F.lit(0))), lambda t: entropy(t) >= ENTROPY)
         return F.aggregate(found, text, lambda own, t: F.replace(own, t, F.lit(REDACTED)))
-    may = _has(text, SIGNS) & X.let(F.lower(text), lambda low: _has(low, WORDS)) if name == "assignment" else _has(text, NEEDS[name])
+    may = _assigns(text) if name == "assignment" else _has(text, NEEDS[name])
     return F.when(may, F.regexp_replace(text, F.lit((DEFAULT | STRICT)[name]), F.lit(REDACTED))).otherwise(text)
 
 
@@ -88,7 +98,10 @@ def redact(text: Column, mode: str = "default") -> Column:
 
     The text of each step is made once, and searched for a class only if it holds what every secret of the class holds.
     """
-    return reduce(lambda own, name: X.let(own, lambda t: _without(t, name)), classes(mode), text)
+    if not classes(mode):
+        return text
+    chain = lambda t: reduce(lambda own, name: X.let(own, lambda u: _without(u, name)), classes(mode), t)
+    return X.let(text, lambda t: F.when(_may_hold(t, mode), chain(t)).otherwise(t))
 
 
 def redactions(before: Column, after: Column) -> Column:

@@ -6,6 +6,9 @@ its docstring says otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,18 +126,24 @@ def short_id(call_id: Column) -> Column:
 def normalize_command(command: Column) -> Column:
     """``cd X &&`` taken off the front as often as it stands there, values of leading variables masked, spaces single."""
     rest = F.regexp_replace(F.trim(command), F.lit(r"(?s)^(?:cd (?:(?!&&).)*&&\s*)+"), F.lit(""))
-    words = F.filter(F.split(F.trim(rest), r"\s+"), lambda w: w != "")
-    # variables count as leading only until the first other word; a masked one is a word too
-    first = F.get(words, F.lit(0))
-    masked = F.when(F.regexp_like(first, F.lit("^[A-Z_]+=")), F.concat(F.regexp_extract(first, "^[A-Z_]+=", 0), F.lit("***"))).otherwise(first)
-    return F.when(F.size(words) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.array(masked), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))), " "))
+
+    def masked(words: Column) -> Column:
+        # variables count as leading only until the first other word; a masked one is a word too
+        first = F.get(words, F.lit(0))
+        own = F.when(F.regexp_like(first, F.lit("^[A-Z_]+=")), F.concat(F.regexp_extract(first, "^[A-Z_]+=", 0), F.lit("***"))).otherwise(first)
+        return F.when(F.size(words) == 0, F.lit("")).otherwise(F.array_join(F.concat(F.array(own), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0)))), " "))
+
+    return let(F.filter(F.split(F.trim(rest), r"\s+"), lambda w: w != ""), masked)
 
 
 def categorize(command: Column) -> Column:
     """test, build, lint, git, package manager, run or other, by the leading words."""
-    low = F.lower(normalize_command(command))
-    words = F.split(low, " ")
-    one, two = F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
+    leading = lambda words, k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
+    parts = lambda low: let(F.split(low, " "), lambda w: F.struct(low.alias("low"), leading(w, 0).alias("one"), leading(w, 1).alias("two")))
+    return let(let(F.lower(normalize_command(command)), parts), lambda x: _category(x["low"], x["one"], x["two"]))
+
+
+def _category(low: Column, one: Column, two: Column) -> Column:
     # The leading words of each category.
     test = (
         (two.isin("test", "tests") & ~F.contains(low, F.lit("--no-run")))
@@ -156,7 +165,7 @@ def categorize(command: Column) -> Column:
 
 
 def looks_like_error(output: Column) -> Column:
-    return F.regexp_like(output, F.lit("|".join(quoted(m) for m in ERROR_MARKERS)))
+    return reduce(or_, [F.contains(output, F.lit(m)) for m in ERROR_MARKERS])
 
 
 def exit_code_in_output(output: Column) -> Column:
@@ -167,10 +176,12 @@ def exit_code_in_output(output: Column) -> Column:
 
 def error_snippet(output: Column) -> Column:
     """The first line that looks like an error and two more; null if there is none."""
-    each = lines(output)
-    at = F.array_position(F.transform(each, lambda line: looks_like_error(line)), True)
-    snippet = F.array_join(F.slice(each, F.greatest(at, F.lit(1)).cast("int"), 3), "\n")
-    return F.when((at > 0) & (F.trim(snippet) != ""), snippet)
+
+    def first(each: Column) -> Column:
+        at = F.array_position(F.transform(each, lambda line: looks_like_error(line)), True)
+        return let(at, lambda k: let(F.array_join(F.slice(each, F.greatest(k, F.lit(1)).cast("int"), 3), "\n"), lambda s: F.when((k > 0) & (F.trim(s) != ""), s)))
+
+    return let(lines(output), first)
 
 
 TOKEN = r"[\p{IsAlphabetic}\p{N}/._:\\-]+"

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,15 +19,19 @@ _OPS = "array<struct<path:string,op:string,moved_to:string,inferred:boolean>>"
 
 
 def _first_key(args: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[F.nullif(F.get_json_object(args, f"$.{k}"), F.lit("")) for k in keys])
+    return F.coalesce(*[X.let(F.get_json_object(args, f"$.{k}"), lambda v: F.when(v != "", v)) for k in keys])
 
 
 def command_of(args: Column) -> Column:
     """The command in a call's arguments: a string, or an argument list joined by spaces; a bare string is the command."""
     found = _first_key(args, COMMAND_KEYS)
-    listed = F.array_join(F.from_json(found, "array<string>"), " ")
+
+    def of_list(f: Column) -> Column:
+        listed = F.array_join(F.from_json(f, "array<string>"), " ")
+        return F.when(F.startswith(f, F.lit("[")) & (listed != ""), listed).otherwise(f)
+
     bare = F.from_json(F.concat(F.lit('{"x":'), args, F.lit("}")), "x string")["x"]
-    return F.coalesce(F.when(F.startswith(found, F.lit("[")) & (listed != ""), listed), found, F.when(F.startswith(args, F.lit('"')), bare))
+    return F.coalesce(X.let(found, of_list), F.when(F.startswith(args, F.lit('"')), bare))
 
 
 def path_of(args: Column) -> Column:
@@ -54,25 +61,34 @@ def patch_ops(args: Column) -> Column:
 
 def shell_ops(command: Column) -> Column:
     """File operations that a command line suggests: rm, mv, cp, touch (also under git), and redirections to a name with a dot."""
-    parts = F.split(command, r";|\n|&&")
+    none = F.array().cast(_OPS)
+    bare = lambda w: F.regexp_replace(w, F.lit("^[\"']+|[\"']+$"), F.lit(""))
 
-    def one(part: Column) -> Column:
-        words = F.filter(F.split(F.trim(part), r"\s+"), lambda w: w != "")
-        git = F.get(words, F.lit(0)) == "git"
-        verb = F.when(git, F.get(words, F.lit(1))).otherwise(F.get(words, F.lit(0)))
-        rest = F.slice(words, F.when(git, 3).otherwise(2), F.greatest(F.size(words), F.lit(1)))
-        paths = F.filter(F.transform(F.filter(rest, lambda w: ~F.startswith(w, F.lit("-"))), lambda w: F.regexp_replace(w, F.lit("^[\"']+|[\"']+$"), F.lit(""))), lambda w: w != "")
+    def named(verb: Column, paths: Column) -> Column:
         last = F.get(paths, F.size(paths) - 1)
-        none = F.array().cast(_OPS)
         moved = F.concat(F.when(F.size(paths) > 0, F.array(_op(F.get(paths, F.lit(0)), "move", True))).otherwise(none), F.when(F.size(paths) > 1, F.array(_op(last, "create", True))).otherwise(none))
         made = F.when(F.size(paths) > 0, F.array(_op(last, "create", True))).otherwise(none)
-        named = F.when(verb == "rm", F.transform(paths, lambda p: _op(p, "delete", True))).when(verb == "mv", moved).when(verb.isin("cp", "touch"), made).otherwise(none)
-        target = F.regexp_extract(F.get(F.split(part, ">"), F.lit(1)), r"^\s*(\S+)", 1)
-        into = F.coalesce((target != "") & ~F.startswith(target, F.lit("&")) & F.contains(target, F.lit(".")), F.lit(False))
-        redirected = F.when(into, F.array(_op(F.regexp_replace(target, F.lit("^[\"']+|[\"']+$"), F.lit("")), "create", True))).otherwise(none)
-        return F.concat(F.coalesce(named, none), redirected)
+        return F.when(verb == "rm", F.transform(paths, lambda p: _op(p, "delete", True))).when(verb == "mv", moved).otherwise(made)
+
+    def by_verb(words: Column) -> Column:
+        at = F.when(F.get(words, F.lit(0)) == "git", 2).otherwise(1)
+        rest = F.slice(words, at + 1, F.greatest(F.size(words), F.lit(1)))
+        paths = F.filter(F.transform(F.filter(rest, lambda w: ~F.startswith(w, F.lit("-"))), bare), lambda w: w != "")
+        verb = F.get(words, at - 1)
+        return F.when(verb.isin("rm", "mv", "cp", "touch"), X.let(paths, lambda p: named(verb, p))).otherwise(none)
+
+    def redirected(target: Column) -> Column:
+        into = (target != "") & ~F.startswith(target, F.lit("&")) & F.contains(target, F.lit("."))
+        return F.when(into, F.array(_op(bare(target), "create", True))).otherwise(none)
+
+    def one(part: Column) -> Column:
+        words = F.filter(F.split(F.trim(part), r"\s+"), lambda w: w != "")
+        target = F.when(F.contains(part, F.lit(">")), F.regexp_extract(F.get(F.split(part, ">"), F.lit(1)), r"^\s*(\S+)", 1)).otherwise("")
+        return F.concat(X.let(words, by_verb), X.let(target, redirected))
 
-    return F.flatten(F.transform(parts, one))
+    # a line without any of these suggests nothing
+    may = reduce(or_, [F.contains(command, F.lit(w)) for w in (">", "rm", "mv", "cp", "touch")])
+    return F.when(may, F.flatten(F.transform(F.split(command, r";|\n|&&"), one))).when(command.isNotNull(), none)
 
 
 def active(events: DataFrame) -> DataFrame:
@@ -88,7 +104,7 @@ def file_ops(events: DataFrame) -> DataFrame:
     ops = (
         F.when(call & (cls == "edit"), F.concat(F.transform(edited, lambda p: _op(p, "edit", False)), patch_ops(args)))
         .when(call & (cls == "read") & path_of(args).isNotNull(), F.array(_op(path_of(args), "read", False)))
-        .when(call & (cls == "shell"), F.coalesce(shell_ops(command_of(args)), none))
+        .when(call & (cls == "shell"), X.let(command_of(args), shell_ops))
         .when(F.col("kind") == "shell_execution", shell_ops(F.col("command")))
         .otherwise(none)
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as X
@@ -112,23 +112,35 @@ def expanded_pages(spark, sf_dir):
 ACTIONS = """acts AS (SELECT session_key, evt, 'N' || row_number() OVER (PARTITION BY session_key ORDER BY evt) AS id, normalized FROM run WHERE failed)"""
 
 
-def _items(spark, sf_dir) -> DataFrame:
-    """Each failed run makes an action of its command, each edited file a decision."""
-    found = tool_sessions(spark, sf_dir)
-    runs = ledgers.commands(found).where("failed")
-    order = F.row_number().over(Window.partitionBy("session_key").orderBy("evt"))
-    at = lambda c: F.array(F.struct(F.col(c).cast("int").alias("start"), F.col(c).cast("int").alias("end"))).alias("sources")
+def _ledgers(spark, sf_dir, *names: str) -> list[DataFrame]:
+    """The named ledgers (commands, files) of the sessions made from events, each made once in the shared folder, as several plans read them."""
+    found, made = tool_sessions(spark, sf_dir), steps.Steps(spark, steps.new_folder(spark, "ledgers"))
+    return [made.once(name, lambda make=getattr(ledgers, name): make(found)) for name in names]
+
+
+def _item(id_: Column, kind: str, text: Column, evt: str) -> list[Column]:
+    at = F.array(F.struct(F.col(evt).cast("int").alias("start"), F.col(evt).cast("int").alias("end")))
     rest = [F.lit("active").alias("status"), F.lit(None).cast("string").alias("detail"), F.lit(0).alias("last_confirmed")]
-    actions = runs.select("session_key", F.concat(F.lit("N"), order).alias("id"), F.lit("next_action").alias("kind"), F.concat(F.lit("mend, then run  "), F.upper("normalized")).alias("text"), at("evt"), *rest)
-    edits = ledgers.files(found).where("edits > 0").select("session_key", F.concat(F.lit("D"), "path").alias("id"), F.lit("decision").alias("kind"), F.concat(F.lit("keep `"), F.col("path"), F.lit("`")).alias("text"), at("last_evt"), *rest)
-    return actions.unionByName(edits)
+    return [F.col("session_key"), id_.alias("id"), F.lit(kind).alias("kind"), text.alias("text"), at.alias("sources"), *rest]
+
+
+def _actions(runs: DataFrame) -> DataFrame:
+    """Each failed run makes an action of its command."""
+    order = F.row_number().over(Window.partitionBy("session_key").orderBy("evt"))
+    return runs.where("failed").select(*_item(F.concat(F.lit("N"), order), "next_action", F.concat(F.lit("mend, then run  "), F.upper("normalized")), "evt"))
+
+
+def _decisions(files: DataFrame) -> DataFrame:
+    """Each edited file makes a decision."""
+    return files.where("edits > 0").select(*_item(F.concat(F.lit("D"), "path"), "decision", F.concat(F.lit("keep `"), F.col("path"), F.lit("`")), "last_evt"))
 
 
 @query(f"WITH {WORK}, {ACTIONS} SELECT a.session_key, a.id, CASE WHEN min(r.evt) IS NULL THEN 'active' ELSE 'resolved' END AS status, coalesce(CAST(min(r.evt) AS VARCHAR), '') AS detail FROM acts a LEFT JOIN run r ON r.session_key = a.session_key AND r.normalized = a.normalized AND NOT r.failed AND r.evt > a.evt GROUP BY ALL")
 def resolved_actions(spark, sf_dir):
     """Actions whose command succeeded later are done."""
-    items = _items(spark, sf_dir).where("kind = 'next_action'")
-    done = state.satisfied(items, ledgers.commands(tool_sessions(spark, sf_dir)))
+    (runs,) = _ledgers(spark, sf_dir, "commands")
+    items = _actions(runs)
+    done = state.satisfied(items, runs)
     return finish.with_resolved(items, done).select("session_key", "id", "status", F.coalesce("detail", F.lit("")).alias("detail"))
 
 
@@ -152,14 +164,14 @@ UNION ALL SELECT fe.session_key, 6, 'unresolved', 'the session ended with an ope
 def findings_of_sessions(spark, sf_dir):
     """The sessions made from events against a snapshot that has three of five files, none of their commits, and up to two later ones."""
     found = tool_sessions(spark, sf_dir)
-    runs, files = ledgers.commands(found), ledgers.files(found)
+    runs, files = _ledgers(spark, sf_dir, "commands", "files")
     there = files.where(F.col("path").isin(*THERE)).select("session_key", "path")
     k = (F.col("session_key").cast("long") % 3).cast("int")
     later = F.when(k == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.concat(F.lit("c"), i.cast("string"))))
     own = found.select("session_key").distinct().select("session_key", later.alias("later"), F.when(k == 2, 2).otherwise(0).alias("uncommitted"))
     against = state.reconcile(files, there, there.where("path = 'src/m1.rs'"))
     gone = state.missing_commits(ledgers.git(runs)[0], spark.createDataFrame([], "session_key string, sha string"))
-    return finish.findings(own, against, gone, state.verified(_items(spark, sf_dir), against), ledgers.errors(found, runs))
+    return finish.findings(own, against, gone, state.verified(_actions(runs).unionByName(_decisions(files)), against), ledgers.errors(found, runs))
 
 
 @query(
@@ -167,8 +179,8 @@ def findings_of_sessions(spark, sf_dir):
 )
 def verified_again(spark, sf_dir):
     """A stored state after every fourth session's snapshot has got one more file."""
-    items = _items(spark, sf_dir).where("kind = 'decision'")
-    files = ledgers.files(tool_sessions(spark, sf_dir))
+    (files,) = _ledgers(spark, sf_dir, "files")
+    items = _decisions(files)
     first = files.where(F.col("path").isin(*THERE)).select("session_key", "path")
     changed = first.where("path = 'src/m1.rs'")
     more = files.where("path = 'src/m3.rs' AND CAST(session_key AS BIGINT) % 4 = 0").select("session_key", "path")
