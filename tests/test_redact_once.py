@@ -1,7 +1,9 @@
 """Redaction at size: the text of a step is made once, and what holds no secret is hardly searched."""
 
+import math
 import re
 import time
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -50,3 +52,24 @@ def test_counts_of_a_long_text_without_secrets(spark, tmp_path):
     began = time.perf_counter()
     assert sorted(map(tuple, queries.QUERIES["redaction_counts"](spark, str(tmp_path)).collect())) == [(1, 0), (2, 3), (3, None)]
     assert time.perf_counter() - began < 15
+
+
+def test_strings_of_high_entropy_are_looked_for_in_long_words(spark):
+    mixed, same = "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dF", "a" * 40
+    long = "+".join(f"{k}x{k * 7}Q" for k in range(60))
+    short = "Some words of no length at all, " * 50
+    texts = [mixed, mixed[1:], f"{short}{mixed}\t{short}\n{mixed}é", f"é{mixed}{mixed} {mixed}", f"x\n{mixed[:31]}\n{mixed[:16]} {mixed[16:]}", f"  {same}  {long}  ", f"[REDACTED_SECRET] {mixed}[REDACTED_SECRET]", "", " ", short, None]
+
+    def plain(text):
+        found = dict.fromkeys(re.findall(R.TOKEN, text or ""))
+        bits = lambda t: -sum(n / len(t) * math.log2(n / len(t)) for n in Counter(t).values())
+        for t in found:
+            text = text.replace(t, R.REDACTED) if bits(t) >= R.ENTROPY else text
+        return text
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", R.redact(F.col("t"), "strict").alias("o"))
+    got = df.select("o", R.redactions(F.col("t"), F.col("o"))).collect()
+    assert [r[0] for r in got] == list(map(plain, texts))
+    assert [r[1] for r in got] == [None if t is None else plain(t).count(R.REDACTED) - t.count(R.REDACTED) for t in texts] and got[2][1] == 2
+    # the search itself sees long words only, not each character of the text
+    assert "regexp_extract_all(array_join(filter(split(" in df._jdf.queryExecution().analyzed().toString()
