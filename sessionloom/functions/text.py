@@ -138,9 +138,14 @@ def normalize_command(command: Column) -> Column:
 
 def categorize(command: Column) -> Column:
     """test, build, lint, git, package manager, run or other, by the leading words."""
+    return category_of(normalize_command(command))
+
+
+def category_of(normalized: Column) -> Column:
+    """The same of a command that is normalized already."""
     leading = lambda words, k: F.coalesce(F.get(words, F.lit(k)), F.lit(""))
     parts = lambda low: let(F.split(low, " "), lambda w: F.struct(low.alias("low"), leading(w, 0).alias("one"), leading(w, 1).alias("two")))
-    return let(let(F.lower(normalize_command(command)), parts), lambda x: _category(x["low"], x["one"], x["two"]))
+    return let(let(F.lower(normalized), parts), lambda x: _category(x["low"], x["one"], x["two"]))
 
 
 def _category(low: Column, one: Column, two: Column) -> Column:
@@ -171,7 +176,7 @@ def looks_like_error(output: Column) -> Column:
 def exit_code_in_output(output: Column) -> Column:
     """The number after ``exit code:`` in the first three lines; null if none."""
     hits = F.transform(F.slice(lines(output), 1, 3), lambda line: F.regexp_extract(line, r"exit code:\s*(-?[0-9]+)[},)]*(?:\s|$)", 1))
-    return F.get(F.filter(hits, lambda h: h != ""), F.lit(0)).try_cast("int")
+    return F.when(F.contains(output, F.lit("exit code:")), F.get(F.filter(hits, lambda h: h != ""), F.lit(0)).try_cast("int"))
 
 
 def error_snippet(output: Column) -> Column:

@@ -12,11 +12,13 @@ def pair_once(rows: DataFrame, is_call: Column, is_result: Column, key: list[str
     ``rows`` has the key, order and payload columns; the result has key, ``call`` and ``result`` (structs of order and payload).
     """
     w = Window.partitionBy(*key).orderBy(*order)
-    mark = rows.withColumns({"_call": is_call, "_result": is_result}).where("_call OR _result")
-    mark = mark.withColumn("_n", F.sum(F.col("_call").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    mark = rows.withColumns({"_call": sure(is_call), "_result": sure(is_result)}).where("_call OR _result")
     own = F.struct(*order, *payload)
-    per = mark.groupBy(*key, "_n").agg(F.min_by(own, F.when(F.col("_call"), F.struct(*order))).alias("call"), F.min_by(own, F.when(F.col("_result"), F.struct(*order))).alias("result"))
-    return per.where("call IS NOT NULL AND result IS NOT NULL").select(*key, "call", "result")
+    # a call is pending for the next row alone: that takes it or replaces it
+    mark = mark.select(*key, *order, "_call", "_result", own.alias("result"), F.lag(F.when(F.col("_call") & ~F.col("_result"), own)).over(w).alias("_pending"))
+    call = F.when(F.col("_call"), F.col("result")).otherwise(F.col("_pending"))
+    return mark.where("_result").select(*key, call.alias("call"), "result").where("call IS NOT NULL")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: list[str], at: str, right_at: str, value: list[str], tie: str | None = None) -> DataFrame:

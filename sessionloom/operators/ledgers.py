@@ -18,8 +18,13 @@ HEAD, TAIL, EXAMPLE, MESSAGE = 400, 800, 300, 1500
 _OPS = "array<struct<path:string,op:string,moved_to:string,inferred:boolean>>"
 
 
+def _may_name(args: Column, *names: str) -> Column:
+    """Whether a JSON text may hold one of the names: it stands there, or some character is written by its number."""
+    return reduce(or_, [F.contains(args, F.lit(n)) for n in (*names, "\\u")])
+
+
 def _first_key(args: Column, keys: list[str]) -> Column:
-    return F.coalesce(*[X.let(F.get_json_object(args, f"$.{k}"), lambda v: F.when(v != "", v)) for k in keys])
+    return F.coalesce(*[F.when(_may_name(args, k), X.let(F.get_json_object(args, f"$.{k}"), lambda v: F.when(v != "", v))) for k in keys])
 
 
 def command_of(args: Column) -> Column:
@@ -56,7 +61,7 @@ def patch_ops(args: Column) -> Column:
         op = F.when(moves, "move").when(kind(h) == "Add", "create").when(kind(h) == "Delete", "delete").otherwise("edit")
         return _op(F.when(kind(h) != "Move", path(h)), op, False, F.when(moves, path(after)))
 
-    return F.filter(F.transform(heads, one), lambda o: o["path"].isNotNull())
+    return F.when(_may_name(args, "*** "), F.filter(F.transform(heads, one), lambda o: o["path"].isNotNull())).otherwise(F.array().cast(_OPS))
 
 
 def shell_ops(command: Column) -> Column:
@@ -98,17 +103,19 @@ def active(events: DataFrame) -> DataFrame:
 def file_ops(events: DataFrame) -> DataFrame:
     """session_key, evt, seq, path, op, moved_to, inferred.  A patched file counts as an edit and as what the patch does to it."""
     args, none = F.col("args"), F.array().cast(_OPS)
-    own = F.array_compact(F.concat(F.array(path_of(args)), F.coalesce(F.transform(F.from_json(F.get_json_object(args, "$.edits"), "array<map<string,string>>"), lambda m: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in PATH_KEYS])), F.array().cast("array<string>"))))
-    edited = F.array_sort(F.array_distinct(F.concat(own, F.transform(patch_ops(args), lambda o: o["path"]))))
+    listed = F.from_json(F.when(_may_name(args, "edits"), F.get_json_object(args, "$.edits")), "array<map<string,string>>")
+    own = F.array_compact(F.concat(F.array(path_of(args)), F.coalesce(F.transform(listed, lambda m: F.coalesce(*[F.nullif(F.try_element_at(m, F.lit(k)), F.lit("")) for k in PATH_KEYS])), F.array().cast("array<string>"))))
+    edits = X.let(patch_ops(args), lambda patched: F.concat(F.transform(F.array_sort(F.array_distinct(F.concat(own, F.transform(patched, lambda o: o["path"])))), lambda p: _op(p, "edit", False)), patched))
     call, cls = F.col("kind") == "tool_call", F.col("tool_class")
     ops = (
-        F.when(call & (cls == "edit"), F.concat(F.transform(edited, lambda p: _op(p, "edit", False)), patch_ops(args)))
-        .when(call & (cls == "read") & path_of(args).isNotNull(), F.array(_op(path_of(args), "read", False)))
+        F.when(call & (cls == "edit"), edits)
+        .when(call & (cls == "read"), F.transform(F.array_compact(F.array(path_of(args))), lambda p: _op(p, "read", False)))
         .when(call & (cls == "shell"), X.let(command_of(args), shell_ops))
         .when(F.col("kind") == "shell_execution", shell_ops(F.col("command")))
         .otherwise(none)
     )
-    each = active(events).select("session_key", F.col("idx").alias("evt"), F.posexplode(ops).alias("seq", "o"))
+    # results, most of a transcript, suggest nothing
+    each = active(events).where(F.col("kind").isin("tool_call", "shell_execution")).select("session_key", F.col("idx").alias("evt"), F.posexplode(ops).alias("seq", "o"))
     return each.select("session_key", "evt", "seq", "o.*").where("path <> ''")
 
 
@@ -141,19 +148,21 @@ def edit_outcomes(events: DataFrame) -> DataFrame:
 
 def commands(events: DataFrame, mode: str = "default") -> DataFrame:
     """session_key, evt, command, normalized, category, exit_code, is_error, failed, status, output_head, output_tail: paired shell calls and shell executions."""
-    rows = active(events).withColumn("cmd", command_of(F.col("args")))
-    shell = (F.col("kind") == "tool_call") & (F.col("tool_class") == "shell") & F.col("cmd").isNotNull()
+    called = (F.col("kind") == "tool_call") & (F.col("tool_class") == "shell")
+    rows = active(events).where(called | (F.col("kind") == "tool_result")).withColumn("cmd", F.when(called, command_of(F.col("args"))))
+    shell = called & F.col("cmd").isNotNull()
     paired = pair_once(rows, shell, F.col("kind") == "tool_result", ["session_key", "call_id"], ["idx"], ["cmd", "output", "is_error", "exit_code"])
     called = paired.select("session_key", F.col("call.idx").alias("evt"), F.col("call.cmd").alias("command"), *[F.col(f"result.{c}").alias(c) for c in ("output", "is_error", "exit_code")])
     direct = active(events).where("kind = 'shell_execution'").select("session_key", F.col("idx").alias("evt"), "command", "output", F.lit(None).cast("boolean").alias("is_error"), "exit_code")
     both = called.unionByName(direct).withColumns({"output": F.coalesce("output", F.lit("")), "exit_code": F.coalesce("exit_code", X.exit_code_in_output(F.coalesce("output", F.lit(""))))})
     status = F.when(failed(), "FAILED").when(F.col("is_error").isNull() & F.col("exit_code").isNull(), "unknown").otherwise("ok")
+    both = both.withColumn("normalized", X.normalize_command(F.col("command")))
     return both.select(
         "session_key",
         "evt",
         R.redact(F.col("command"), mode).alias("command"),
-        X.normalize_command(F.col("command")).alias("normalized"),
-        X.categorize(F.col("command")).alias("category"),
+        "normalized",
+        X.category_of(F.col("normalized")).alias("category"),
         "exit_code",
         "is_error",
         failed().alias("failed"),
@@ -184,11 +193,10 @@ def errors(events: DataFrame, runs: DataFrame, mode: str = "default") -> DataFra
     near = as_of(grouped, runs.select("session_key", F.col("evt").alias("run_evt"), "normalized"), ["session_key"], "first_evt", "run_evt", ["normalized"])
     found = near.withColumn("command", F.coalesce("own", "normalized")).drop("own", "normalized")
     r = runs.select("session_key", F.col("normalized").alias("command"), "evt", "failed")
-    last = found.join(r, ["session_key", "command"], "left").groupBy("session_key", "sig").agg(
+    both = found.join(r, ["session_key", "command"], "left").groupBy(*found.columns).agg(
         F.max_by(F.struct("evt", "failed"), F.when(F.col("evt") > F.col("last_evt"), F.col("evt"))).alias("later"),
         F.max_by(F.struct("evt", "failed"), "evt").alias("any"),
     )
-    both = found.join(last, ["session_key", "sig"])
     later = F.when(F.col("later.evt") > F.col("last_evt"), F.col("later"))
     status = (
         F.when(F.col("command").isNull(), "unknown")

@@ -112,10 +112,17 @@ def expanded_pages(spark, sf_dir):
 ACTIONS = """acts AS (SELECT session_key, evt, 'N' || row_number() OVER (PARTITION BY session_key ORDER BY evt) AS id, normalized FROM run WHERE failed)"""
 
 
+#: What the queries below read of a ledger; the rest is not made.
+READ = {
+    "commands": ["session_key", "evt", "normalized", "category", "failed", "output_head", "output_tail"],
+    "files": ["session_key", "path", "deleted", "edits", "last_evt", "inferred"],
+}
+
+
 def _ledgers(spark, sf_dir, *names: str) -> list[DataFrame]:
     """The named ledgers (commands, files) of the sessions made from events, each made once in the shared folder, as several plans read them."""
     found, made = tool_sessions(spark, sf_dir), steps.Steps(spark, steps.new_folder(spark, "ledgers"))
-    return [made.once(name, lambda make=getattr(ledgers, name): make(found)) for name in names]
+    return [made.once(name, lambda make=getattr(ledgers, name): make(found).select(READ[name])) for name in names]
 
 
 def _item(id_: Column, kind: str, text: Column, evt: str) -> list[Column]:
